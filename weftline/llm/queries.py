@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat_format, token_counts, url_cascade
+from weftline.llm import chat_format, language_id, minimax_shards, token_counts, toxicity, url_cascade
 
 MODEL = "piece_bpe_32k.model"
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -17,6 +17,25 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    languages, bundles = language_id.train(docs.where(~held))
+    found = language_id.identify(docs.select("doc_id", "text"), languages, bundles)
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = toxicity.train(toxicity.labelled_sample(docs, labels.where(~held)))
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minimax_shards.shard(_table(spark, sf_dir, "documents"), 8)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), MODEL)
 
@@ -51,7 +70,7 @@ GROUP BY page_id, host, path
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_token_counts, op8_chat_format, op10_url_filter)}
+    return {f.__name__: f for f in (op3_language_id, op5_toxicity, op6_sharding, op7_token_counts, op8_chat_format, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
