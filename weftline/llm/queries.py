@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat_format, language_id, minimax_shards, token_counts, toxicity, url_cascade
+from weftline.llm import chat_format, fingerprints, language_id, minimax_shards, token_counts, toxicity, url_cascade
 
 MODEL = "piece_bpe_32k.model"
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -17,6 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_edits(_table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
@@ -70,7 +74,7 @@ GROUP BY page_id, host, path
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_language_id, op5_toxicity, op6_sharding, op7_token_counts, op8_chat_format, op10_url_filter)}
+    return {f.__name__: f for f in (op1_fingerprints, op3_language_id, op5_toxicity, op6_sharding, op7_token_counts, op8_chat_format, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
