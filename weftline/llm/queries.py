@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat_format, fingerprints, language_id, minimax_shards, token_counts, toxicity, url_cascade
+from weftline.llm import chat_format, decontamination, fingerprints, language_id, minimax_shards, mixing, token_counts, toxicity, url_cascade
+from weftline.llm.shared import kept
 
+ENTROPY_SHARE = 0.95
 MODEL = "piece_bpe_32k.model"
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -21,6 +23,14 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_edits(_table(spark, sf_dir, "documents"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    rows = kept(docs.select("doc_id", "source", mixing.words(F.col("text")).alias("tokens")))
+    mix = mixing.plan(rows, entropy_share=ENTROPY_SHARE)
+    given = mixing.realise(rows, mix)
+    return given.select("doc_id", "source", F.col("tokens").alias("n_tokens"), "mix_pass", "mix_block", "mix_place")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
@@ -29,6 +39,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document that holds a part of a benchmark item, and each such item."""
+    found = decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("items").alias("item_id"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
@@ -74,7 +90,7 @@ GROUP BY page_id, host, path
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op3_language_id, op5_toxicity, op6_sharding, op7_token_counts, op8_chat_format, op10_url_filter)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_mixing, op3_language_id, op4_decontamination, op5_toxicity, op6_sharding, op7_token_counts, op8_chat_format, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
