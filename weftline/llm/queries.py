@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat_format, decontamination, fingerprints, language_id, minimax_shards, mixing, token_counts, toxicity, url_cascade
+from weftline.llm import chat_format, decontamination, fingerprints, language_id, minimax_shards, mixing, parity_join, token_counts, toxicity, url_cascade
 from weftline.llm.shared import kept
 
 ENTROPY_SHARE = 0.95
@@ -67,6 +67,10 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_chats(turns.union(extra)))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.link_components(_table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     return url_cascade.judge_urls(_table(spark, sf_dir, "pages"), rules)
@@ -90,7 +94,7 @@ GROUP BY page_id, host, path
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_mixing, op3_language_id, op4_decontamination, op5_toxicity, op6_sharding, op7_token_counts, op8_chat_format, op10_url_filter)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_mixing, op3_language_id, op4_decontamination, op5_toxicity, op6_sharding, op7_token_counts, op8_chat_format, op9_jaccard_join, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
