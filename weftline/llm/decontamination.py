@@ -160,8 +160,8 @@ class Index:
         return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", id_col: str = "doc_id", item_text: str = "text", item_id: str = "item_id", q: int = Q, edits: float = EDITS, window: int = WINDOW, stride: int = STRIDE) -> DataFrame:
-    """(id_col, items): for every whole text the ids, ascending, of the items it holds a window of.
+def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] = (), item_text: str = "text", item_id: str = "item_id", q: int = Q, edits: float = EDITS, window: int = WINDOW, stride: int = STRIDE) -> DataFrame:
+    """(id_col, *keep, items): for every whole text the ids, ascending, of the items it holds a window of.
 
     One row for each row of docs, with an empty list for a clean text, a null or an empty one. A null or short
     item (under SHORTEST characters) matches nothing. The items go to the executors in parts of at most
@@ -176,23 +176,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
             size = 0
         parts[-1].append((r[0], r[1]))
         size += len(r[1])
-    kind = docs.schema[id_col].dataType.simpleString()
-    chosen = docs.select(id_col, text)
-    for k, items in enumerate(parts):
-        chosen = chosen.mapInArrow(_search(items, q, edits, window, stride, k == 0, k == len(parts) - 1), f"`{id_col}` {kind}, " + (f"`{text}` string, " if k < len(parts) - 1 else "") + "items array<bigint>")
-    return chosen
+    # the text to search and the list so far stand first; the columns asked for follow
+    found = docs.select(F.col(text).alias("searched"), F.lit(None).cast("array<bigint>").alias("items"), id_col, *keep)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields)
+    for items in parts:
+        found = found.mapInArrow(_search(items, q, edits, window, stride), schema)
+    return found.select(id_col, *keep, F.coalesce("items", F.array().cast("array<bigint>")).alias("items"))
 
 
-def _search(items: list[tuple[int, str]], q: int, edits: float, window: int, stride: int, first: bool, last: bool):
+def _search(items: list[tuple[int, str]], q: int, edits: float, window: int, stride: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = None
         for batch in batches:
             index = index or Index(items, q, edits, window, stride)
             lists = []
-            for i, value in enumerate(batch.column(1)):
+            for value, before in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 found = index.hits(normalise(value.as_py())) if index.windows else set()
-                lists.append(sorted(found if first else found | set(batch.column(2)[i].as_py())))
-            columns = [batch.column(0), *([] if last else [batch.column(1)]), pa.array(lists, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=[batch.schema.names[0], *([] if last else [batch.schema.names[1]]), "items"])
+                lists.append(sorted(found.union(before or ())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64())), *batch.columns[2:]], names=batch.schema.names)
 
     return run

@@ -7,15 +7,17 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df as a reliable checkpoint: it survives lost executors and cuts the lineage.
-
-    The folder is spark.checkpoint.dir; only where that is unset (local tests) one is made.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; only where that is unset (local tests) a folder is made."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df as a reliable checkpoint: it survives lost executors and cuts the lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
