@@ -1,8 +1,8 @@
 """N-gram Jaccard join by parity sketches, and the components of its links.
 
 Each document is its set of distinct word shingles. Sizes fall into bands. For a band, shingles are
-dealt by hash to P places, and a place's 64-bit word holds, by XOR, the parity of the shingles at each of
-its bits. The Hamming distance of two sketches is at most the symmetric difference of the sets, and two sets of
+dealt by hash to P places, and a place has a sketch of 2**32 bits, each the parity of the shingles that hash to
+it; as nearly all are 0, it is held as the XOR of the hashes of its odd bits. The Hamming distance of two sketches is at most the symmetric difference of the sets, and two sets of
 sizes a and b with the wanted likeness differ in at most d = a + b - 2 * least intersection shingles; so of the
 first d + 1 places that hold something in one sketch, one is the same in the other (pigeonhole).
 
@@ -100,8 +100,8 @@ def place_keys(hashes: np.ndarray, band: int, places: int, d: int) -> np.ndarray
         return tb.mix(hashes[: d + 1] + salt) if len(hashes) > d else None
     place = ((hashes >> np.uint64(32)) * np.uint64(places)) >> np.uint64(32)  # ascending, as the hashes are
     first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    bit = np.uint64(1) << (tb.mix(hashes) >> np.uint64(58))
-    word = np.bitwise_xor.reduceat(bit, first)
+    # a place's sketch has 2**32 bits, a shingle's bit is its hash's low half; the key is the XOR of its odd bits' hashes
+    word = np.bitwise_xor.reduceat(tb.mix((hashes & np.uint64(0xFFFFFFFF)) + np.uint64(0x9E37)), first)
     filled = np.flatnonzero(word)[: d + 1]
     if len(filled) <= d:
         return None
