@@ -275,11 +275,11 @@ def x1_x3_reconcile(spark, d):
     return out.withColumn("drift", F.col("drift"))
 
 
-@query("SELECT id, CASE WHEN regexp_full_match(urn, 'x') THEN 1 ELSE 0 END AS never, kind FROM (SELECT p_partkey AS id, 'k' AS urn, CASE p_partkey % 2 WHEN 0 THEN 'ELEMENT' ELSE 'DATASET' END AS kind FROM part)")
+@query("SELECT edge_key, source, target, band, status FROM consolidated WHERE target = (SELECT min(target) FROM consolidated)", *BY_PART)
 def t12_edge_detail(spark, d):
-    p = table(spark, d, "part")
-    urn = F.when(F.col("p_partkey") % 2 == 0, entity("part", F.col("p_partkey"))).otherwise(f"{BASE}part")
-    return p.select(F.col("p_partkey").alias("id"), F.lit(0).alias("never"), names.node_kind(urn).alias("kind"))
+    e = _edges(spark, d)
+    first = e.agg(F.min("target").alias("target"))
+    return e.join(F.broadcast(first), "target", "left_semi").select("edge_key", F.array_join("sources", ",").alias("source"), "target", "band", "status")
 
 
 @query("""SELECT source, target, band_at, CASE WHEN source < target THEN 'ok' ELSE 'reversed' END AS sorted FROM edges""", SQL_EDGES)
