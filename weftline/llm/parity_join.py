@@ -6,15 +6,15 @@ it; as nearly all are 0, it is held as the XOR of the hashes of its odd bits. Th
 sizes a and b with the wanted likeness differ in at most d = a + b - 2 * least intersection shingles; so of the
 first d + 1 places that hold something in one sketch, one is the same in the other (pigeonhole).
 
-1. ``sketched`` hashes every text once: size, a 64-bit identity of the set, a verification sketch of about 4
-   bits a shingle. Equal sets are one set from here on.
+1. ``sketched`` hashes every text once: size, a 64-bit identity of the set, a verification sketch of 8 or
+   more bits a shingle. Equal sets are one set from here on.
 2. ``_places`` gives each set's first d + 1 filled places as keys, in the bands that a partner can share. They travel as
    packed blocks, one for each task and target, not as rows.
 3. ``_groups`` sorts the keys of a target: sets that share one are a candidate group. Equal groups are merged, large
    ones are cut into blocks which are paired.
 4. In rounds, ``_forest`` takes the pairs of a group whose verification sketches allow a link, and proposes only a
    spanning forest of them, nearest first; ``_verified`` compares the exact sets of the pairs proposed. A refused pair
-   is noted, and further rounds propose other pairs until every pair that the sketches allow is linked, refused,
+   is noted, and further rounds propose other pairs, eight times as many forests each time, until every pair that the sketches allow is linked, refused,
    or inside one component. So no group is expanded into all its pairs, and no link between components is lost.
 5. Components are found by star contraction.
 """
@@ -38,6 +38,8 @@ WORDS = 5
 GROWTH, SMALL = 1.6, 24
 #: Keys that a task holds before it hands its blocks on; sets of a group that are compared at once.
 HELD_KEYS, GROUP = 1 << 21, 1024
+#: Tasks that the groups of one hub are dealt to; how many times more forests each round takes.
+ROUTES, FASTER = 4, 8
 
 
 def most_different(a: np.ndarray | int, b: np.ndarray | int, up: int = UP, down: int = DOWN) -> np.ndarray | int:
@@ -109,8 +111,8 @@ def place_keys(hashes: np.ndarray, band: int, places: int, d: int) -> np.ndarray
 
 
 def sketch_words(n: int) -> int:
-    """64-bit words of a verification sketch for a set of n: a power of two, 4 to 8 bits a shingle."""
-    return 1 << max(1, int(n * 4 - 1).bit_length() - 6)
+    """64-bit words of a verification sketch for a set of n: a power of two; 8 to 16 bits a shingle, 1,024 at least."""
+    return 1 << max(4, int(n * 8 - 1).bit_length() - 6)
 
 
 def sketch(hashes: np.ndarray, words: int) -> np.ndarray:
@@ -276,65 +278,82 @@ class Union:
         return x != y
 
 
-def forest(sets: list[int], labels: list[int], sizes: np.ndarray, sketches: list[np.ndarray], refused: set[tuple[int, int]], held: Union) -> tuple[list[tuple[int, int]], list[int]]:
-    """(pairs, sets in any pair that the sketches allow). Pairs come nearest first, were not refused, and join
-    sets not yet joined by labels or by pairs before (held)."""
-    n = len(sets)
+def forest(sets: list[int], labels: list[int], sizes: np.ndarray, sketches: list[np.ndarray], refused: set[tuple[int, int]], held: Union, times: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """(pairs, sets in any pair that the sketches allow).
+
+    Pairs come nearest first, were not refused, and join sets not yet joined by labels or by pairs before (held).
+    ``times`` such forests are taken, each of pairs that those before have left.
+    """
     for x, label in zip(sets, labels, strict=True):
         held.join(x, label)
-    words = min(len(s) for s in sketches)
-    table = np.stack([fold(s, words) for s in sketches])
+    roots = np.array([held.root(x) for x in sets])
+    names, place, counts = np.unique(roots, return_inverse=True, return_counts=True)
+    if len(names) < 2:
+        return [], []
+    table = np.stack([fold(s, min(len(s) for s in sketches)) for s in sketches])
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for i in range(n - 1):
-        d = most_different(sizes[i], sizes[i + 1 :])
-        h = np.bitwise_count(table[i + 1 :] ^ table[i]).sum(1).astype(np.int64)
-        ok = np.flatnonzero(h <= d)
+    largest = counts.argmax()
+    done = np.zeros(len(sets), bool)
+    for i in np.flatnonzero(place != largest).tolist():  # only pairs of different roots, each once
+        done[i] = True
+        others = np.flatnonzero((place != place[i]) & ~done)
+        h = np.bitwise_count(table[others] ^ table[i]).sum(1).astype(np.int64)
+        ok = np.flatnonzero(h <= most_different(sizes[i], sizes[others]))
         if len(ok):
-            found.append((h[ok], np.full(len(ok), i), ok + i + 1))
+            found.append((h[ok], np.full(len(ok), i), others[ok]))
     if not found:
         return [], []
     h, i, j = (np.concatenate(x) for x in zip(*found, strict=True))
-    out = []
-    for k in np.argsort(h, kind="stable").tolist():
-        a, b = sets[i[k]], sets[j[k]]
-        if held.root(a) != held.root(b) and (a, b) not in refused:
-            held.join(a, b)
-            out.append((a, b))
+    i, j = np.minimum(i, j), np.maximum(i, j)
+    order = np.argsort(h, kind="stable")
+    left = [p for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True) if (p := (sets[x], sets[y])) not in refused]
+    out: list[tuple[int, int]] = []
+    for turn in range(times):
+        joined, rest = (held, []) if not turn else (Union(), [])
+        if turn:
+            for x, label in zip(sets, labels, strict=True):
+                joined.join(x, label)
+        for pair in left:
+            (out if joined.join(*pair) else rest).append(pair)
+        left = rest
+        if not left:
+            break
     return out, [sets[k] for k in np.unique(np.concatenate([i, j])).tolist()]
 
 
-def _forest(members: DataFrame, refused: DataFrame | None) -> DataFrame:
-    """(gid, a, b): pairs to verify; in the first round also (gid, a, a) for each set in any pair that the
-    sketches allow. members: (gid, set_id, n, label, sketch)."""
-    rows = members.select("gid", F.lit(1).alias("kind"), F.col("set_id").alias("a"), F.col("label").alias("b"), "n", "sketch")
+def _forest(members: DataFrame, refused: DataFrame | None, times: int) -> DataFrame:
+    """(gid, hub, a, b): pairs to verify; in the first round also (gid, hub, a, a) for each set in any pair that the
+    sketches allow. members: (gid, hub, set_id, n, label, sketch). A group goes where others of its hub, its smallest
+    member, go, so what one has joined need not be compared again; a hub's groups are dealt to ROUTES tasks."""
+    rows = members.select("gid", "hub", F.lit(1).alias("kind"), F.col("set_id").alias("a"), F.col("label").alias("b"), "n", "sketch")
     if refused is not None:
-        rows = rows.unionByName(refused.select("gid", F.lit(0).alias("kind"), "a", "b", F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("binary").alias("sketch")))
+        rows = rows.unionByName(refused.select("gid", "hub", F.lit(0).alias("kind"), "a", "b", F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("binary").alias("sketch")))
 
     tell = refused is None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, told = Union(), set()
-        gid, sets, labels, sizes, sketches, no = None, [], [], [], [], set()
-        out: list[tuple[int, int, int]] = []
+        gid, hub, sets, labels, sizes, sketches, no = None, None, [], [], [], [], set()
+        out: list[tuple[int, int, int, int]] = []
 
         def close() -> None:
             if len(set(labels)) > 1:
-                pairs, used = forest(sets, labels, np.array(sizes), sketches, no, held)
-                out.extend((gid, a, b) for a, b in pairs)
+                pairs, used = forest(sets, labels, np.array(sizes), sketches, no, held, times)
+                out.extend((gid, hub, a, b) for a, b in pairs)
                 if tell:
-                    out.extend((gid, a, a) for a in used if a not in told)
+                    out.extend((gid, hub, a, a) for a in used if a not in told)
                     told.update(used)
 
         def rows_of() -> pa.RecordBatch:
-            g, a, b = zip(*out, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["gid", "a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["gid", "hub", "a", "b"])
 
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns[:5]]
-            for g, kind, a, b, n, s in zip(*columns, batch.column(5), strict=True):
+            columns = [c.to_pylist() for c in batch.columns[:6]]
+            for g, own, kind, a, b, n, s in zip(*columns, batch.column(6), strict=True):
                 if g != gid:
                     close()
-                    gid, sets, labels, sizes, sketches, no = g, [], [], [], [], set()
+                    gid, hub = g, own
+                    sets, labels, sizes, sketches, no = [], [], [], [], set()
                 if kind:
                     sets.append(a)
                     labels.append(b)
@@ -351,35 +370,53 @@ def _forest(members: DataFrame, refused: DataFrame | None) -> DataFrame:
         if out:
             yield rows_of()
 
-    ordered = rows.repartition("gid").sortWithinPartitions("gid", "kind", "a")
-    return ordered.mapInArrow(run, "gid bigint, a bigint, b bigint")
+    ordered = rows.repartition(F.xxhash64("hub", F.pmod("gid", F.lit(ROUTES)))).sortWithinPartitions("gid", "kind", "a")
+    return ordered.mapInArrow(run, "gid bigint, hub bigint, a bigint, b bigint")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(gid, a, b, linked) by the exact sets. sets: (set_id, hashes)."""
+    """(gid, hub, a, b, linked) by the exact sets. sets: (set_id, hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = []
-            for x, y in zip(batch.column(3), batch.column(4), strict=True):
+            for x, y in zip(batch.column(4), batch.column(5), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 linked.append(DOWN * both >= UP * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(linked)], names=["gid", "a", "b", "linked"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(linked)], names=["gid", "hub", "a", "b", "linked"])
 
     left = sets.select(F.col("set_id").alias("a"), F.col("hashes").alias("x"))
     right = sets.select(F.col("set_id").alias("b"), F.col("hashes").alias("y"))
-    both = pairs.join(right, "b").join(left, "a").select("gid", "a", "b", "x", "y")
-    return both.mapInArrow(run, "gid bigint, a bigint, b bigint, linked boolean")
+    both = pairs.join(right, "b").join(left, "a").select("gid", "hub", "a", "b", "x", "y")
+    return both.mapInArrow(run, "gid bigint, hub bigint, a bigint, b bigint, linked boolean")
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) of every node of links (a, b): root is the smallest node reachable.
 
-    Large and small stars by turns: each round is two grouped minima and joins, and a node's many links are
+    First each task joins its own links; then large and small stars by turns: each round is two grouped minima and joins, and a node's many links are
     never gathered in one place.
     """
-    edges = kept(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where(F.col("u") != F.col("v")).distinct())
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Union()
+
+        def stars() -> pa.RecordBatch:
+            nodes = list(held.up)
+            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([held.root(x) for x in nodes], pa.int64())], names=["u", "v"])
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held.join(a, b)
+            if len(held.up) > 1 << 20:
+                yield stars()
+                held = Union()
+        if held.up:
+            yield stars()
+
+    own = links.select("a", "b").mapInArrow(join, "u bigint, v bigint")
+    edges = kept(own.where(F.col("u") != F.col("v")).distinct())
     before = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -476,9 +513,9 @@ def link_components(docs: DataFrame, *, text: str = "text", id_col: str = "doc_i
     each = kept(filled.groupBy("set_id").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch")))
     groups = kept(_groups(_places(docs, targets, text), targets))
     short = groups.where(F.size("members") == 1).select(F.explode("members").alias("set_id")).distinct()
-    members = groups.where(F.size("members") > 1).select("gid", F.explode("members").alias("set_id"))
+    members = groups.where(F.size("members") > 1).select("gid", F.array_min("members").alias("hub"), F.explode("members").alias("set_id"))
     members = members.join(each.select("set_id", "n", "sketch"), "set_id")
-    labels, refused, links, sets = None, None, None, None
+    labels, refused, links, sets, times = None, None, None, None, 1
     if not short.isEmpty():
         links = kept(_short(docs, short, text))
         labels = components(links)
@@ -489,7 +526,8 @@ def link_components(docs: DataFrame, *, text: str = "text", id_col: str = "doc_i
             named = members.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("root", "set_id")).drop("root")
             open_ = named.groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y")).where(F.col("x") != F.col("y")).select("gid")
             labelled = named.join(open_, "gid", "left_semi")
-        proposed = kept(_forest(labelled, refused))
+        proposed = kept(_forest(labelled, refused, times))
+        times *= FASTER
         if sets is None:
             wanted = proposed.where(F.col("a") == F.col("b")).select(F.col("a").alias("set_id")).distinct()
             wanted = wanted.join(each.select("set_id", "rep"), "set_id").select(F.col("rep").alias("id"))
@@ -500,7 +538,7 @@ def link_components(docs: DataFrame, *, text: str = "text", id_col: str = "doc_i
         judged = kept(_verified(pairs, sets))
         new = judged.where("linked").select("a", "b").distinct()
         links = new if links is None else links.unionByName(new)
-        no = judged.where(~F.col("linked")).select("gid", "a", "b")
+        no = judged.where(~F.col("linked")).select("gid", "hub", "a", "b")
         refused = no if refused is None else refused.unionByName(no)
         labels = components(links)
         if no.isEmpty():
