@@ -13,9 +13,10 @@ first d + 1 places that hold something in one sketch, one is the same in the oth
 3. ``_groups`` sorts the keys of a target: sets that share one are a candidate group. Equal groups are merged, large
    ones are cut into blocks which are paired.
 4. In rounds, ``_forest`` takes the pairs of a group whose verification sketches allow a link, and proposes only a
-   spanning forest of them, nearest first; ``_verified`` compares the exact sets of the pairs proposed. A refused pair
-   is noted, and further rounds propose other pairs, eight times as many forests each time, until every pair that the sketches allow is linked, refused,
-   or inside one component. So no group is expanded into all its pairs, and no link between components is lost.
+   spanning forest of them, nearest first; ``_verified`` compares the exact sets of the pairs proposed. If all are
+   linked, the components are found. Where some are refused, the second round takes 32 forests of what is left
+   between components, and the last all of it: pairs that nearly are links, by their sketches, and whose sets are not
+   joined. So no group is expanded into all its pairs, and no link between components is lost.
 5. Components are found by star contraction.
 """
 
@@ -38,8 +39,8 @@ WORDS = 5
 GROWTH, SMALL = 1.6, 24
 #: Keys that a task holds before it hands its blocks on; sets of a group that are compared at once.
 HELD_KEYS, GROUP = 1 << 21, 1024
-#: Tasks that the groups of one hub are dealt to; how many times more forests each round takes.
-ROUTES, FASTER = 4, 8
+#: Tasks that the groups of one hub are dealt to; how many forests each round takes. The last takes all pairs.
+ROUTES, ROUNDS = 4, (1, 32, 2 * GROUP)
 
 
 def most_different(a: np.ndarray | int, b: np.ndarray | int, up: int = UP, down: int = DOWN) -> np.ndarray | int:
@@ -278,11 +279,11 @@ class Union:
         return x != y
 
 
-def forest(sets: list[int], labels: list[int], sizes: np.ndarray, sketches: list[np.ndarray], refused: set[tuple[int, int]], held: Union, times: int) -> tuple[list[tuple[int, int]], list[int]]:
+def forest(sets: list[int], labels: list[int], sizes: np.ndarray, sketches: list[np.ndarray], held: Union, times: int) -> tuple[list[tuple[int, int]], list[int]]:
     """(pairs, sets in any pair that the sketches allow).
 
-    Pairs come nearest first, were not refused, and join sets not yet joined by labels or by pairs before (held).
-    ``times`` such forests are taken, each of pairs that those before have left.
+    Pairs come nearest first and join sets not yet joined by labels or by pairs before (held). ``times`` such
+    forests are taken, each of pairs that those before have left; as many as there are sets take every pair.
     """
     for x, label in zip(sets, labels, strict=True):
         held.join(x, label)
@@ -306,7 +307,7 @@ def forest(sets: list[int], labels: list[int], sizes: np.ndarray, sketches: list
     h, i, j = (np.concatenate(x) for x in zip(*found, strict=True))
     i, j = np.minimum(i, j), np.maximum(i, j)
     order = np.argsort(h, kind="stable")
-    left = [p for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True) if (p := (sets[x], sets[y])) not in refused]
+    left = [(sets[x], sets[y]) for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True)]
     out: list[tuple[int, int]] = []
     for turn in range(times):
         joined, rest = (held, []) if not turn else (Union(), [])
@@ -321,75 +322,71 @@ def forest(sets: list[int], labels: list[int], sizes: np.ndarray, sketches: list
     return out, [sets[k] for k in np.unique(np.concatenate([i, j])).tolist()]
 
 
-def _forest(members: DataFrame, refused: DataFrame | None, times: int) -> DataFrame:
-    """(gid, hub, a, b): pairs to verify; in the first round also (gid, hub, a, a) for each set in any pair that the
-    sketches allow. members: (gid, hub, set_id, n, label, sketch). A group goes where others of its hub, its smallest
-    member, go, so what one has joined need not be compared again; a hub's groups are dealt to ROUTES tasks."""
-    rows = members.select("gid", "hub", F.lit(1).alias("kind"), F.col("set_id").alias("a"), F.col("label").alias("b"), "n", "sketch")
-    if refused is not None:
-        rows = rows.unionByName(refused.select("gid", "hub", F.lit(0).alias("kind"), "a", "b", F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("binary").alias("sketch")))
+def _forest(members: DataFrame, times: int) -> DataFrame:
+    """(a, b): pairs to verify; in the first round also (a, a) for each set in any pair that the sketches allow.
 
-    tell = refused is None
+    members: (gid, hub, set_id, n, label, sketch). A group goes where others of its hub, its smallest member, go;
+    a hub's groups are dealt to ROUTES tasks. In the first round (times 1) what one group joins is not compared
+    again in others of the task; later each group stands alone.
+    """
+    rows = members.select("gid", F.col("set_id"), "label", "n", "sketch", F.xxhash64("hub", F.pmod("gid", F.lit(ROUTES))).alias("route"))
+    first = times == 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, told = Union(), set()
-        gid, hub, sets, labels, sizes, sketches, no = None, None, [], [], [], [], set()
-        out: list[tuple[int, int, int, int]] = []
+        gid, sets, labels, sizes, sketches = None, [], [], [], []
+        out: set[tuple[int, int]] = set()
 
         def close() -> None:
             if len(set(labels)) > 1:
-                pairs, used = forest(sets, labels, np.array(sizes), sketches, no, held, times)
-                out.extend((gid, hub, a, b) for a, b in pairs)
-                if tell:
-                    out.extend((gid, hub, a, a) for a in used if a not in told)
+                pairs, used = forest(sets, labels, np.array(sizes), sketches, held if first else Union(), times)
+                out.update(pairs)
+                if first:
+                    out.update((a, a) for a in used if a not in told)
                     told.update(used)
 
         def rows_of() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["gid", "hub", "a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns[:6]]
-            for g, own, kind, a, b, n, s in zip(*columns, batch.column(6), strict=True):
+            columns = [c.to_pylist() for c in batch.columns[:4]]
+            for g, a, label, n, s in zip(*columns, batch.column(4), strict=True):
                 if g != gid:
                     close()
-                    gid, hub = g, own
-                    sets, labels, sizes, sketches, no = [], [], [], [], set()
-                if kind:
-                    sets.append(a)
-                    labels.append(b)
-                    sizes.append(n)
-                    sketches.append(np.frombuffer(s.as_buffer(), np.uint64))
-                else:
-                    no.add((a, b))
+                    gid, sets, labels, sizes, sketches = g, [], [], [], []
+                sets.append(a)
+                labels.append(label)
+                sizes.append(n)
+                sketches.append(np.frombuffer(s.as_buffer(), np.uint64))
             if len(held.up) > 1 << 20:
                 held, told = Union(), set()
-            if out:
+            if len(out) > 1 << 16:
                 yield rows_of()
                 out.clear()
         close()
         if out:
             yield rows_of()
 
-    ordered = rows.repartition(F.xxhash64("hub", F.pmod("gid", F.lit(ROUTES)))).sortWithinPartitions("gid", "kind", "a")
-    return ordered.mapInArrow(run, "gid bigint, hub bigint, a bigint, b bigint")
+    ordered = rows.repartition("route").sortWithinPartitions("gid", "set_id").drop("route")
+    return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(gid, hub, a, b, linked) by the exact sets. sets: (set_id, hashes)."""
+    """(a, b, linked) by the exact sets. sets: (set_id, hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = []
-            for x, y in zip(batch.column(4), batch.column(5), strict=True):
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 linked.append(DOWN * both >= UP * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(linked)], names=["gid", "hub", "a", "b", "linked"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(linked)], names=["a", "b", "linked"])
 
     left = sets.select(F.col("set_id").alias("a"), F.col("hashes").alias("x"))
     right = sets.select(F.col("set_id").alias("b"), F.col("hashes").alias("y"))
-    both = pairs.join(right, "b").join(left, "a").select("gid", "hub", "a", "b", "x", "y")
-    return both.mapInArrow(run, "gid bigint, hub bigint, a bigint, b bigint, linked boolean")
+    both = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
+    return both.mapInArrow(run, "a bigint, b bigint, linked boolean")
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -515,33 +512,33 @@ def link_components(docs: DataFrame, *, text: str = "text", id_col: str = "doc_i
     short = groups.where(F.size("members") == 1).select(F.explode("members").alias("set_id")).distinct()
     members = groups.where(F.size("members") > 1).select("gid", F.array_min("members").alias("hub"), F.explode("members").alias("set_id"))
     members = members.join(each.select("set_id", "n", "sketch"), "set_id")
-    labels, refused, links, sets, times = None, None, None, None, 1
+    labels, refused, links, sets = None, None, None, None
     if not short.isEmpty():
         links = kept(_short(docs, short, text))
         labels = components(links)
-    while True:
+    for times in ROUNDS:
         if labels is None:
             labelled = members.withColumn("label", F.col("set_id"))
         else:
             named = members.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("root", "set_id")).drop("root")
             open_ = named.groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y")).where(F.col("x") != F.col("y")).select("gid")
             labelled = named.join(open_, "gid", "left_semi")
-        proposed = kept(_forest(labelled, refused, times))
-        times *= FASTER
+        proposed = kept(_forest(labelled, times))
         if sets is None:
-            wanted = proposed.where(F.col("a") == F.col("b")).select(F.col("a").alias("set_id")).distinct()
+            wanted = proposed.where(F.col("a") == F.col("b")).select(F.col("a").alias("set_id"))
             wanted = wanted.join(each.select("set_id", "rep"), "set_id").select(F.col("rep").alias("id"))
             sets = kept(_hashes_of(docs, wanted, text, id_col))
         pairs = proposed.where(F.col("a") != F.col("b"))
-        if pairs.isEmpty():
-            break
+        if refused is not None:
+            pairs = pairs.join(refused, ["a", "b"], "left_anti")
         judged = kept(_verified(pairs, sets))
-        new = judged.where("linked").select("a", "b").distinct()
-        links = new if links is None else links.unionByName(new)
-        no = judged.where(~F.col("linked")).select("gid", "hub", "a", "b")
+        new = judged.where("linked").select("a", "b")
+        no = judged.where(~F.col("linked")).select("a", "b")
         refused = no if refused is None else refused.unionByName(no)
-        labels = components(links)
-        if no.isEmpty():
+        if not new.isEmpty():
+            links = new if links is None else links.unionByName(new)
+            labels = components(links)
+        if refused.isEmpty():
             break
     if labels is None:
         sized = each.select("set_id", F.col("rep").alias("component"))
