@@ -2,21 +2,20 @@
 
 Each document is its set of distinct word shingles. Sizes fall into bands. For a band, shingles are
 dealt by hash to P places, and a place has a sketch of 2**32 bits, each the parity of the shingles that hash to
-it; as nearly all are 0, it is held as the XOR of the hashes of its odd bits. The Hamming distance of two sketches is at most the symmetric difference of the sets, and two sets of
-sizes a and b with the wanted likeness differ in at most d = a + b - 2 * least intersection shingles; so of the
-first d + 1 places that hold something in one sketch, one is the same in the other (pigeonhole).
+it; as nearly all are 0, it is held as the XOR of the hashes of its odd bits. The Hamming distance of two sketches is
+at most the symmetric difference of the sets, and two sets of sizes a and b with the wanted likeness differ in at most
+d = a + b - 2 * least intersection shingles; so of the first d + 1 places that hold something in one
+sketch, one is the same in the other (pigeonhole).
 
-1. ``sketched`` hashes every text once: size, a 64-bit identity of the set, a verification sketch of 8 or
-   more bits a shingle. Equal sets are one set from here on.
+1. ``sized`` hashes every text once: its set's size and 64-bit identity. Equal sets are one set from here on.
 2. ``_places`` gives each set's first d + 1 filled places as keys, in the bands that a partner can share. They travel as
    packed blocks, one for each task and target, not as rows.
 3. ``_groups`` sorts the keys of a target: sets that share one are a candidate group. Equal groups are merged, large
    ones are cut into blocks which are paired.
-4. In rounds, ``_forest`` takes the pairs of a group whose verification sketches allow a link, and proposes only a
-   spanning forest of them, nearest first; ``_verified`` compares the exact sets of the pairs proposed. If all are
-   linked, the components are found. Where some are refused, the second round takes 32 forests of what is left
-   between components, and the last all of it: pairs that nearly are links, by their sketches, and whose sets are not
-   joined. So no group is expanded into all its pairs, and no link between components is lost.
+4. ``_links`` sends groups to tasks by their smallest member, and there each of their sets once. A pair of sets not yet in one
+   component is tested by small parity sketches first, whose distance must not be above d, then exactly, nearest
+   pairs first. Only links that join components of the task come out: a spanning forest, not the pairs of a
+   group, and no link between components is lost.
 5. Components are found by star contraction.
 """
 
@@ -39,8 +38,8 @@ WORDS = 5
 GROWTH, SMALL = 1.6, 24
 #: Keys that a task holds before it hands its blocks on; sets of a group that are compared at once.
 HELD_KEYS, GROUP = 1 << 21, 1024
-#: Tasks that the groups of one hub are dealt to; how many forests each round takes. The last takes all pairs.
-ROUTES, ROUNDS = 4, (1, 32, 2 * GROUP)
+#: Groups of one hub for each task; ids of documents that may be broadcast, 16 bytes each.
+HUB_GROUPS, BROADCAST_IDS = 2048, 2_000_000
 
 
 def most_different(a: np.ndarray | int, b: np.ndarray | int, up: int = UP, down: int = DOWN) -> np.ndarray | int:
@@ -134,25 +133,19 @@ def _sets(column: pa.Array) -> Iterator[np.ndarray]:
         yield tb.shingle_set(w, WORDS)
 
 
-def sketched(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id, n, set_id, sketch): one row for each row of docs; the sketch comes once for each set and task."""
+def sized(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(id, n, set_id): one row for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
-            n, ids, sketches = [], [], []
+            n, ids = [], []
             for hashes in _sets(batch.column(1)):
-                own = identity(hashes)
                 n.append(len(hashes))
-                ids.append(own)
-                new = own not in seen and len(hashes) > 0
-                if new and len(seen) < 1 << 20:
-                    seen.add(own)
-                sketches.append(sketch(hashes, sketch_words(len(hashes))).tobytes() if new else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(sketches, pa.binary())], names=["id", "n", "set_id", "sketch"])
+                ids.append(identity(hashes))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64())], names=["id", "n", "set_id"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text).mapInArrow(run, f"id {kind}, n bigint, set_id bigint, sketch binary")
+    return docs.select(id_col, text).mapInArrow(run, f"id {kind}, n bigint, set_id bigint")
 
 
 def _places(docs: DataFrame, targets: int, text: str) -> DataFrame:
@@ -279,114 +272,78 @@ class Union:
         return x != y
 
 
-def forest(sets: list[int], labels: list[int], sizes: np.ndarray, sketches: list[np.ndarray], held: Union, times: int) -> tuple[list[tuple[int, int]], list[int]]:
-    """(pairs, sets in any pair that the sketches allow).
-
-    Pairs come nearest first and join sets not yet joined by labels or by pairs before (held). ``times`` such
-    forests are taken, each of pairs that those before have left; as many as there are sets take every pair.
-    """
-    for x, label in zip(sets, labels, strict=True):
-        held.join(x, label)
-    roots = np.array([held.root(x) for x in sets])
+def joined(members: list[int], sets: dict[int, np.ndarray], sketches: dict[int, np.ndarray], held: Union) -> list[tuple[int, int]]:
+    """Links that join the sets of a group which held does not join yet; nearest pairs are tested first."""
+    roots = np.array([held.root(x) for x in members])
     names, place, counts = np.unique(roots, return_inverse=True, return_counts=True)
     if len(names) < 2:
-        return [], []
-    table = np.stack([fold(s, min(len(s) for s in sketches)) for s in sketches])
+        return []
+    for x in members:
+        if x not in sketches:
+            sketches[x] = sketch(sets[x], sketch_words(len(sets[x])))
+    sizes = np.array([len(sets[x]) for x in members])
+    words = min(len(sketches[x]) for x in members)
+    table = np.stack([fold(sketches[x], words) for x in members])
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    largest = counts.argmax()
-    done = np.zeros(len(sets), bool)
-    for i in np.flatnonzero(place != largest).tolist():  # only pairs of different roots, each once
+    done = np.zeros(len(members), bool)
+    for i in np.flatnonzero(place != counts.argmax()).tolist():  # only pairs of different roots, each once
         done[i] = True
         others = np.flatnonzero((place != place[i]) & ~done)
         h = np.bitwise_count(table[others] ^ table[i]).sum(1).astype(np.int64)
-        ok = np.flatnonzero(h <= most_different(sizes[i], sizes[others]))
-        if len(ok):
-            found.append((h[ok], np.full(len(ok), i), others[ok]))
+        ok = h <= most_different(sizes[i], sizes[others])
+        if ok.any():
+            found.append((h[ok], np.full(int(ok.sum()), i), others[ok]))
     if not found:
-        return [], []
+        return []
     h, i, j = (np.concatenate(x) for x in zip(*found, strict=True))
-    i, j = np.minimum(i, j), np.maximum(i, j)
     order = np.argsort(h, kind="stable")
-    left = [(sets[x], sets[y]) for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True)]
-    out: list[tuple[int, int]] = []
-    for turn in range(times):
-        joined, rest = (held, []) if not turn else (Union(), [])
-        if turn:
-            for x, label in zip(sets, labels, strict=True):
-                joined.join(x, label)
-        for pair in left:
-            (out if joined.join(*pair) else rest).append(pair)
-        left = rest
-        if not left:
-            break
-    return out, [sets[k] for k in np.unique(np.concatenate([i, j])).tolist()]
-
-
-def _forest(members: DataFrame, times: int) -> DataFrame:
-    """(a, b): pairs to verify; in the first round also (a, a) for each set in any pair that the sketches allow.
-
-    members: (gid, hub, set_id, n, label, sketch). A group goes where others of its hub, its smallest member, go;
-    a hub's groups are dealt to ROUTES tasks. In the first round (times 1) what one group joins is not compared
-    again in others of the task; later each group stands alone.
-    """
-    rows = members.select("gid", F.col("set_id"), "label", "n", "sketch", F.xxhash64("hub", F.pmod("gid", F.lit(ROUTES))).alias("route"))
-    first = times == 1
+    out = []
+    for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
+        a, b = members[x], members[y]
+        if held.root(a) != held.root(b) and linked(sets[a], sets[b]):
+            held.join(a, b)
+            out.append((a, b))
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, told = Union(), set()
-        gid, sets, labels, sizes, sketches = None, [], [], [], []
-        out: set[tuple[int, int]] = set()
-
-        def close() -> None:
-            if len(set(labels)) > 1:
-                pairs, used = forest(sets, labels, np.array(sizes), sketches, held if first else Union(), times)
-                out.update(pairs)
-                if first:
-                    out.update((a, a) for a in used if a not in told)
-                    told.update(used)
-
-        def rows_of() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
-        for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns[:4]]
-            for g, a, label, n, s in zip(*columns, batch.column(4), strict=True):
-                if g != gid:
-                    close()
-                    gid, sets, labels, sizes, sketches = g, [], [], [], []
-                sets.append(a)
-                labels.append(label)
-                sizes.append(n)
-                sketches.append(np.frombuffer(s.as_buffer(), np.uint64))
-            if len(held.up) > 1 << 20:
-                held, told = Union(), set()
-            if len(out) > 1 << 16:
-                yield rows_of()
-                out.clear()
-        close()
-        if out:
-            yield rows_of()
+def linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """The exact test, on ascending distinct hashes."""
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    both = int((y[at] == x).sum()) if len(y) else 0
+    return DOWN * both >= UP * (len(x) + len(y) - both)
 
-    ordered = rows.repartition("route").sortWithinPartitions("gid", "set_id").drop("route")
-    return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
 
+def _links(groups: DataFrame, sets: DataFrame, targets: int) -> DataFrame:
+    """(a, b): verified links that join what the groups of a task can join.
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, linked) by the exact sets. sets: (set_id, hashes)."""
+    groups: (gid, members); sets: (set_id, hashes). Groups go to a task by their hub, the smallest member; a hub with
+    many groups is dealt to more tasks. A set goes once to each task that has a group of it.
+    """
+    hubs = groups.withColumn("hub", F.array_min("members"))
+    counts = hubs.groupBy("hub").agg(F.count("*").alias("n"))
+    salt = F.pmod("gid", F.floor(F.col("n") / HUB_GROUPS) + 1)
+    routed = kept(hubs.join(counts, "hub").select(F.pmod(F.xxhash64("hub", salt), F.lit(targets)).cast("int").alias("route"), "gid", "members"))
+    asked = routed.select("route", F.explode("members").alias("set_id")).distinct()
+    given = asked.join(sets, "set_id").select("route", F.lit(0).alias("kind"), F.col("set_id").alias("key"), "hashes", F.lit(None).cast("array<bigint>").alias("members"))
+    rows = given.unionByName(routed.select("route", F.lit(1).alias("kind"), F.col("gid").alias("key"), F.lit(None).cast("binary").alias("hashes"), "members"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[int, np.ndarray] = {}
+        sketches: dict[int, np.ndarray] = {}
+        held = Union()
         for batch in batches:
-            linked = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(DOWN * both >= UP * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(linked)], names=["a", "b", "linked"])
+            out: list[tuple[int, int]] = []
+            for kind, key, hashes, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if kind:
+                    out += joined(members.as_py(), sets, sketches, held)
+                else:
+                    sets[key] = np.frombuffer(hashes.as_buffer(), np.uint64)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
-    left = sets.select(F.col("set_id").alias("a"), F.col("hashes").alias("x"))
-    right = sets.select(F.col("set_id").alias("b"), F.col("hashes").alias("y"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
-    return both.mapInArrow(run, "a bigint, b bigint, linked boolean")
+    ordered = rows.repartitionById(targets, F.col("route")).sortWithinPartitions("kind", "key").drop("route")
+    return ordered.mapInArrow(run, "a bigint, b bigint")
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -442,7 +399,9 @@ def _hashes_of(docs: DataFrame, wanted: DataFrame, text: str, id_col: str) -> Da
                 sets = list(_sets(batch.column(0).slice(at, 256)))
                 yield pa.RecordBatch.from_arrays([pa.array([identity(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], names=["set_id", "hashes"])
 
-    some = docs.select(F.col(id_col).alias("id"), text).join(wanted.hint("shuffle_hash"), "id", "left_semi")
+    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted.hint("shuffle_hash")
+    rows = docs.select(F.col(id_col).alias("id"), text)
+    some = rows.join(side, rows["id"].eqNullSafe(side["id"]), "left_semi")
     return some.select(text).mapInArrow(run, "set_id bigint, hashes binary")
 
 
@@ -505,47 +464,24 @@ def link_components(docs: DataFrame, *, text: str = "text", id_col: str = "doc_i
     """
     spark = docs.sparkSession
     targets = parts(spark)
-    rows = kept(sketched(docs, text=text, id_col=id_col))
+    rows = kept(sized(docs, text=text, id_col=id_col))
     filled = rows.where(F.col("n") > 0)
-    each = kept(filled.groupBy("set_id").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch")))
+    each = kept(filled.groupBy("set_id").agg(F.min("id").alias("rep")))
     groups = kept(_groups(_places(docs, targets, text), targets))
     short = groups.where(F.size("members") == 1).select(F.explode("members").alias("set_id")).distinct()
-    members = groups.where(F.size("members") > 1).select("gid", F.array_min("members").alias("hub"), F.explode("members").alias("set_id"))
-    members = members.join(each.select("set_id", "n", "sketch"), "set_id")
-    labels, refused, links, sets = None, None, None, None
+    groups = groups.where(F.size("members") > 1)
+    wanted = kept(groups.select(F.explode("members").alias("set_id")).distinct().join(each, "set_id").select(F.col("rep").alias("id")))
+    links = _links(groups, _hashes_of(docs, wanted, text, id_col), targets)
     if not short.isEmpty():
-        links = kept(_short(docs, short, text))
-        labels = components(links)
-    for times in ROUNDS:
-        if labels is None:
-            labelled = members.withColumn("label", F.col("set_id"))
-        else:
-            named = members.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("root", "set_id")).drop("root")
-            open_ = named.groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y")).where(F.col("x") != F.col("y")).select("gid")
-            labelled = named.join(open_, "gid", "left_semi")
-        proposed = kept(_forest(labelled, times))
-        if sets is None:
-            wanted = proposed.where(F.col("a") == F.col("b")).select(F.col("a").alias("set_id"))
-            wanted = wanted.join(each.select("set_id", "rep"), "set_id").select(F.col("rep").alias("id"))
-            sets = kept(_hashes_of(docs, wanted, text, id_col))
-        pairs = proposed.where(F.col("a") != F.col("b"))
-        if refused is not None:
-            pairs = pairs.join(refused, ["a", "b"], "left_anti")
-        judged = kept(_verified(pairs, sets))
-        new = judged.where("linked").select("a", "b")
-        no = judged.where(~F.col("linked")).select("a", "b")
-        refused = no if refused is None else refused.unionByName(no)
-        if not new.isEmpty():
-            links = new if links is None else links.unionByName(new)
-            labels = components(links)
-        if refused.isEmpty():
-            break
+        links = links.unionByName(_short(docs, short, text))
+    links = kept(links)
+    labels = None if links.isEmpty() else components(links)
     if labels is None:
-        sized = each.select("set_id", F.col("rep").alias("component"))
+        named = each.select("set_id", F.col("rep").alias("component"))
     else:
         rooted = each.select("set_id", "rep").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
         least = rooted.groupBy("root").agg(F.min("rep").alias("component"))
-        sized = rooted.join(least, "root").select("set_id", "component")
-    found = filled.select("id", "n", "set_id").join(sized, "set_id").select("id", "n", "component")
+        named = rooted.join(least, "root").select("set_id", "component")
+    found = filled.select("id", "n", "set_id").join(named, "set_id").select("id", "n", "component")
     alone = rows.where(F.col("n") == 0).select("id", "n", F.col("id").alias("component"))
     return found.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
