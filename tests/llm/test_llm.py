@@ -347,7 +347,7 @@ def test_jaccard_join_odd_rows(odd):
 def test_sets_with_few_places_are_found(spark):
     text = " ".join(f"w{i}" for i in range(40))
     df = spark.createDataFrame([(1, text), (2, text + " more"), (3, "other words here and there again")], "doc_id bigint, text string")
-    ids = {r["id"]: r["set_id"] for r in parity_join.sketched(df).collect()}
+    ids = {r["id"]: r["set_id"] for r in parity_join.sized(df).collect()}
     short = spark.createDataFrame([(ids[1],)], "set_id bigint")
     assert {(r["a"], r["b"]) for r in parity_join._short(df, short, "text").collect()} == {(ids[1], ids[2])}
 
