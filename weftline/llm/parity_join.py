@@ -12,10 +12,11 @@ sketch, one is the same in the other (pigeonhole).
    packed blocks, one for each task and target, not as rows.
 3. ``_groups`` sorts the keys of a target: sets that share one are a candidate group. Equal groups are merged, large
    ones are cut into blocks which are paired.
-4. ``_links`` sends groups to tasks by their smallest member, and there each of their sets once. A pair of sets not yet in one
-   component is tested by small parity sketches first, whose distance must not be above d, then exactly, nearest
-   pairs first. Only links that join components of the task come out: a spanning forest, not the pairs of a
-   group, and no link between components is lost.
+4. ``_routed`` sends groups to tasks by their smallest member, and there each of their sets once. ``_near`` does so with
+   sketches of 4 to 8 bits a shingle and leaves in a group the members that have a pair in it whose distance is not above
+   d. ``_links`` does so with the exact sets of what is left: a pair of sets not yet in one component is tested by sketches,
+   then exactly, nearest pairs first. Only links that join components of the task come out: a spanning forest, not the
+   pairs of a group, and no link between components is lost.
 5. Components are found by star contraction.
 """
 
@@ -111,8 +112,8 @@ def place_keys(hashes: np.ndarray, band: int, places: int, d: int) -> np.ndarray
 
 
 def sketch_words(n: int) -> int:
-    """64-bit words of a verification sketch for a set of n: a power of two; 8 to 16 bits a shingle, 1,024 at least."""
-    return 1 << max(4, int(n * 8 - 1).bit_length() - 6)
+    """64-bit words of a verification sketch for a set of n: a power of two; 4 to 8 bits a shingle, 512 at least."""
+    return 1 << max(3, int(n * 4 - 1).bit_length() - 6)
 
 
 def sketch(hashes: np.ndarray, words: int) -> np.ndarray:
@@ -314,19 +315,63 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
     return DOWN * both >= UP * (len(x) + len(y) - both)
 
 
-def _links(groups: DataFrame, sets: DataFrame, targets: int) -> DataFrame:
-    """(a, b): verified links that join what the groups of a task can join.
+def _routed(groups: DataFrame, sets: DataFrame, value: str, targets: int) -> DataFrame:
+    """(kind, key, n, value, members): in each task first its sets (kind 0), each once, then its groups (kind 1).
 
-    groups: (gid, members); sets: (set_id, hashes). Groups go to a task by their hub, the smallest member; a hub with
-    many groups is dealt to more tasks. A set goes once to each task that has a group of it.
+    Groups go to a task by their hub, the smallest member; a hub with many groups is dealt to more tasks.
     """
     hubs = groups.withColumn("hub", F.array_min("members"))
     counts = hubs.groupBy("hub").agg(F.count("*").alias("n"))
     salt = F.pmod("gid", F.floor(F.col("n") / HUB_GROUPS) + 1)
     routed = kept(hubs.join(counts, "hub").select(F.pmod(F.xxhash64("hub", salt), F.lit(targets)).cast("int").alias("route"), "gid", "members"))
     asked = routed.select("route", F.explode("members").alias("set_id")).distinct()
-    given = asked.join(sets, "set_id").select("route", F.lit(0).alias("kind"), F.col("set_id").alias("key"), "hashes", F.lit(None).cast("array<bigint>").alias("members"))
-    rows = given.unionByName(routed.select("route", F.lit(1).alias("kind"), F.col("gid").alias("key"), F.lit(None).cast("binary").alias("hashes"), "members"))
+    given = asked.join(sets, "set_id").select("route", F.lit(0).alias("kind"), F.col("set_id").alias("key"), "n", F.col(value).alias("value"), F.lit(None).cast("array<bigint>").alias("members"))
+    rows = given.unionByName(routed.select("route", F.lit(1).alias("kind"), F.col("gid").alias("key"), F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("binary").alias("value"), "members"))
+    return rows.repartitionById(targets, F.col("route")).sortWithinPartitions("kind", "key").drop("route")
+
+
+def near(members: np.ndarray, sizes: np.ndarray, sketches: list[np.ndarray]) -> np.ndarray:
+    """The members that have a pair in their group which the sketches allow."""
+    words = min(map(len, sketches))
+    table = np.stack([fold(s, words) for s in sketches])
+    keep = np.zeros(len(members), bool)
+    for i in range(len(members)):
+        if not keep[i]:  # one that is kept already needs no pairs of its own: its partners find it
+            h = np.bitwise_count(table ^ table[i]).sum(1).astype(np.int64)
+            ok = h <= most_different(sizes[i], sizes)
+            ok[i] = False
+            if ok.any():
+                keep |= ok
+                keep[i] = True
+    return members[keep]
+
+
+def _near(groups: DataFrame, sketches: DataFrame, targets: int) -> DataFrame:
+    """(gid, members): the groups, and in them the members, that have a pair which the sketches allow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[int, tuple[int, np.ndarray]] = {}
+        done: set[int] = set()
+        for batch in batches:
+            out = []
+            for kind, key, n, value, members in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3), batch.column(4), strict=True):
+                if not kind:
+                    sets[key] = n, np.frombuffer(value.as_buffer(), np.uint64)
+                    continue
+                m = np.array(members.as_py(), np.int64)
+                left = near(m, np.array([sets[x][0] for x in m.tolist()]), [sets[x][1] for x in m.tolist()])
+                if len(left) > 1 and (g := identity(left.view(np.uint64))) not in done:
+                    done.add(g)
+                    out.append(left)
+            if out:
+                yield _group_rows(out)
+
+    rows = _routed(groups, sketches, "sketch", targets).mapInArrow(run, "gid bigint, members array<bigint>")
+    return rows.groupBy("gid").agg(F.first("members").alias("members"))
+
+
+def _links(groups: DataFrame, sets: DataFrame, targets: int) -> DataFrame:
+    """(a, b): verified links that join what the groups of a task can join. sets: (set_id, n, hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, np.ndarray] = {}
@@ -334,7 +379,7 @@ def _links(groups: DataFrame, sets: DataFrame, targets: int) -> DataFrame:
         held = Union()
         for batch in batches:
             out: list[tuple[int, int]] = []
-            for kind, key, hashes, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            for kind, key, hashes, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), batch.column(4), strict=True):
                 if kind:
                     out += joined(members.as_py(), sets, sketches, held)
                 else:
@@ -342,8 +387,7 @@ def _links(groups: DataFrame, sets: DataFrame, targets: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
-    ordered = rows.repartitionById(targets, F.col("route")).sortWithinPartitions("kind", "key").drop("route")
-    return ordered.mapInArrow(run, "a bigint, b bigint")
+    return _routed(groups, sets, "hashes", targets).mapInArrow(run, "a bigint, b bigint")
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -390,19 +434,21 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def _hashes_of(docs: DataFrame, wanted: DataFrame, text: str, id_col: str) -> DataFrame:
-    """(set_id, hashes) of the documents whose ids are wanted."""
+def _values(docs: DataFrame, wanted: DataFrame, text: str, id_col: str, whole: bool) -> DataFrame:
+    """(set_id, n, hashes or sketch) of the documents whose ids are wanted: the set, if whole, or its sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 sets = list(_sets(batch.column(0).slice(at, 256)))
-                yield pa.RecordBatch.from_arrays([pa.array([identity(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], names=["set_id", "hashes"])
+                values = [h.tobytes() if whole else sketch(h, sketch_words(len(h))).tobytes() for h in sets]
+                yield pa.RecordBatch.from_arrays([pa.array([identity(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array(values, pa.binary())], names=["set_id", "n", name])
 
+    name = "hashes" if whole else "sketch"
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted.hint("shuffle_hash")
     rows = docs.select(F.col(id_col).alias("id"), text)
     some = rows.join(side, rows["id"].eqNullSafe(side["id"]), "left_semi")
-    return some.select(text).mapInArrow(run, "set_id bigint, hashes binary")
+    return some.select(text).mapInArrow(run, f"set_id bigint, n bigint, {name} binary")
 
 
 def _short(docs: DataFrame, short: DataFrame, text: str, block: int = 4096) -> DataFrame | None:
@@ -470,8 +516,12 @@ def link_components(docs: DataFrame, *, text: str = "text", id_col: str = "doc_i
     groups = kept(_groups(_places(docs, targets, text), targets))
     short = groups.where(F.size("members") == 1).select(F.explode("members").alias("set_id")).distinct()
     groups = groups.where(F.size("members") > 1)
-    wanted = kept(groups.select(F.explode("members").alias("set_id")).distinct().join(each, "set_id").select(F.col("rep").alias("id")))
-    links = _links(groups, _hashes_of(docs, wanted, text, id_col), targets)
+
+    def ids_of(some: DataFrame) -> DataFrame:
+        return kept(some.select(F.explode("members").alias("set_id")).distinct().join(each, "set_id").select(F.col("rep").alias("id")))
+
+    groups = kept(_near(groups, _values(docs, ids_of(groups), text, id_col, whole=False), targets))
+    links = _links(groups, _values(docs, ids_of(groups), text, id_col, whole=True), targets)
     if not short.isEmpty():
         links = links.unionByName(_short(docs, short, text))
     links = kept(links)
