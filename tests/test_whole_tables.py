@@ -1,0 +1,27 @@
+"""Queries over whole tables: rows that a filter on ids would leave out."""
+
+import duckdb
+import pytest
+
+from weftline.plans.queries import QUERIES, SQL
+
+
+@pytest.fixture
+def held(spark, tmp_path):
+    """Runs a query and its SQL over hand-made tables; returns the rows of both, sorted."""
+
+    def run(name, **tables):
+        c = duckdb.connect()
+        for t, df in tables.items():
+            df.coalesce(1).write.parquet(f"file://{tmp_path}/{t}.parquet")
+            c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+        df = QUERIES[name](spark, str(tmp_path))
+        return sorted(map(tuple, df.collect())), sorted(c.execute(f"SELECT {', '.join(df.columns)} FROM ({SQL[name]})").fetchall())
+
+    return run
+
+
+def test_lease_steals_of_every_command(spark, held):
+    turns = spark.createDataFrame([(c, t, "user" if t % 2 == 0 else "assistant") for c in (0, 39, 40, 999) for t in range(3)], "conv_id bigint, turn bigint, role string")
+    got, wanted = held("w11_lease_steals_whole", conversations=turns)
+    assert got == wanted == [(c, 2, 1) for c in (0, 39, 40, 999)]

@@ -135,10 +135,19 @@ def w10_fencing(spark, d):
     return queues.fenced(table(spark, d, "orders").select(F.col("o_orderpriority").alias("env"), F.col("o_orderkey").alias("reservation_id"), F.col("o_orderdate").alias("reserved_at")))
 
 
+def _attempts(turns):
+    return turns.select(F.col("conv_id").alias("command_id"), (F.col("turn") + 1).alias("epoch"), F.when(F.col("role") == "user", "LEASE_EXPIRED").otherwise("RUNNING").alias("status"))
+
+
 @query("SELECT conv_id AS command_id, count(*) FILTER (epoch > 1) AS steals, count(*) FILTER (before = 'LEASE_EXPIRED') AS after_expiry FROM (SELECT conv_id, turn + 1 AS epoch, lag(CASE WHEN role = 'user' THEN 'LEASE_EXPIRED' ELSE 'RUNNING' END) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations WHERE conv_id < 40) GROUP BY conv_id")
 def w11_lease_steals(spark, d):
-    a = table(spark, d, "conversations").where(F.col("conv_id") < 40)
-    return queues.lease_steals(a.select(F.col("conv_id").alias("command_id"), (F.col("turn") + 1).alias("epoch"), F.when(F.col("role") == "user", "LEASE_EXPIRED").otherwise("RUNNING").alias("status")))
+    return queues.lease_steals(_attempts(table(spark, d, "conversations").where(F.col("conv_id") < 40)))
+
+
+@query("SELECT conv_id AS command_id, count(*) FILTER (epoch > 1) AS steals, count(*) FILTER (before = 'LEASE_EXPIRED') AS after_expiry FROM (SELECT conv_id, turn + 1 AS epoch, lag(CASE WHEN role = 'user' THEN 'LEASE_EXPIRED' ELSE 'RUNNING' END) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) GROUP BY conv_id")
+def w11_lease_steals_whole(spark, d):
+    """As w11_lease_steals, whose SQL has but the commands below 40, over every command."""
+    return queues.lease_steals(_attempts(table(spark, d, "conversations")))
 
 
 @query("""SELECT o_orderkey AS command_id, CASE WHEN o_orderstatus = 'F' THEN 'CLOSED' WHEN o_orderstatus = 'P' AND o_orderkey % 2 = 0 THEN 'UNAVAILABLE' WHEN o_orderkey % 7 >= 5 OR o_orderdate < TIMESTAMP '1996-01-01' THEN 'FAILED_TERMINAL'
