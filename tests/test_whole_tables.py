@@ -25,3 +25,10 @@ def test_lease_steals_of_every_command(spark, held):
     turns = spark.createDataFrame([(c, t, "user" if t % 2 == 0 else "assistant") for c in (0, 39, 40, 999) for t in range(3)], "conv_id bigint, turn bigint, role string")
     got, wanted = held("w11_lease_steals_whole", conversations=turns)
     assert got == wanted == [(c, 2, 1) for c in (0, 39, 40, 999)]
+
+
+def test_evidence_of_every_session(spark, held):
+    customers = spark.createDataFrame([(k,) for k in (1, 2, 3, 4)], "c_custkey bigint")
+    orders = spark.createDataFrame([(2, 1, "F"), (11, 1, "O"), (3, 2, "O"), (14, 3, "P")], "o_orderkey bigint, o_custkey bigint, o_orderstatus string")
+    got, wanted = held("a12_evidence_status_whole", customer=customers, orders=orders)
+    assert got == wanted == [(1, "VALIDATED", 2), (2, "INCOMPLETE", 1), (3, "NOT_PROVIDED", 0), (4, "NOT_PROVIDED", 0)]
