@@ -1,10 +1,12 @@
 """Benchmark decontamination by the q-gram lemma.
 
 Texts and benchmark items are compared in lower case, runs of anything but letters and digits as one
-space. An item is covered by overlapping windows. If a part of a text is within e edits of a window of length w, the two
-share at least w + 1 - q (e + 1) q-grams, whose diagonals (place in the text less place in the window) lie in
-a band of 2 e + 1. So: look up each q-gram of a text in the index of all windows, count hits in overlapping bands
-of diagonals, keep the regions that meet the bound, and verify them by an alignment in the band alone.
+space. Every stretch of w characters of an item, wherever it begins, is a window. If a part of a text is within e edits of a window, the two
+share at least w + 1 - q (e + 1) q-grams, whose diagonals (place in the text less place in the item) lie in
+a band of 2 e + 1. So: look up each q-gram of a text in the index of all items, take the overlapping bands of
+diagonals with enough hits, in them the windows that meet the bound, and verify those by an alignment in the band alone.
+A quote of WINDOW characters is thus found whatever its place. An item of less than two windows counts as one window too, so that no
+part with the edits of the whole is lost; one under SHORTEST characters is searched for as it is, as whole words.
 """
 
 from __future__ import annotations
@@ -20,12 +22,17 @@ from pyspark.sql import functions as F
 Q = 12
 #: Edits allowed, as a share of a window's length.
 EDITS = 0.05
-WINDOW, STRIDE = 120, 60
-#: Shorter items are told from chance resemblance no more, and match nothing.
+#: The least characters of an item that a text must quote, some 11 words.
+WINDOW = 60
+#: With edits, shorter items are told from chance resemblance no more; they match exactly, as a whole.
 SHORTEST = 40
+#: Windows that are aligned at once.
+ALIGNED = 2048
 #: Code points of a text that are searched at once, and bytes of benchmark that are indexed at once.
 BLOCK, INDEX_BYTES = 1 << 18, 16 << 20
 _MARKS = re.compile(r"[\W_]+")
+#: Thai, Lao, Burmese, Khmer, kana and Han set no spaces between words.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -53,51 +60,64 @@ def grams(text: str, q: int = Q) -> np.ndarray:
     return (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def distance(window: str, part: str, most: int, shift: int) -> int:
-    """Least edits between window and any stretch of part, on diagonals from shift - most to shift + most.
+def codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def distances(windows: np.ndarray, part: np.ndarray, most: int, shifts: np.ndarray) -> np.ndarray:
+    """For each row of windows the least edits to any stretch of part, on diagonals from its shift - most to shift + most.
 
-    most + 1 if there are more. One numpy row of the band for each character of the window.
+    most + 1 if there are more. All are code points. One numpy step for each character of a window.
     """
-    w = np.frombuffer(window.encode("utf-32-le", "surrogatepass"), np.uint32)
-    p = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
-    width = 2 * most + 1
-    padded = np.zeros(len(w) + width + 1, np.uint32)  # padded[i + k] stands at place shift - most + i + k of part
-    first = shift - most
-    a, b = max(0, first), min(len(p), first + len(padded))
-    if b > a:
-        padded[a - first : b - first] = p[a:b]
-    places = first + np.arange(len(padded) + 1)
+    length, width = windows.shape[1], 2 * most + 1
+    places = (shifts - most)[:, None] + np.arange(length + width + 1)
+    padded = np.zeros(places.shape, np.uint32)  # padded[j, i + k] stands at place shifts[j] - most + i + k of part
+    inside = (places >= 0) & (places < len(part))
+    padded[inside] = part[places[inside]]
     ramp = np.arange(width)
-    row = np.where((places[:width] >= 0) & (places[:width] <= len(p)), 0, most + 1)
-    for i, c in enumerate(w):
-        step = row + (padded[i : i + width] != c)
-        step[:-1] = np.minimum(step[:-1], row[1:] + 1)
-        row = np.minimum.accumulate(step - ramp) + ramp
+    row = np.where((places[:, :width] >= 0) & (places[:, :width] <= len(part)), 0, most + 1)
+    for i in range(length):
+        step = row + (padded[:, i : i + width] != windows[:, i : i + 1])
+        step[:, :-1] = np.minimum(step[:, :-1], row[:, 1:] + 1)
+        row = np.minimum.accumulate(step - ramp, axis=1) + ramp
         if row.min() > most:
-            return most + 1
-    return int(min(row.min(), most + 1))
+            break
+    return np.minimum(row.min(axis=1), most + 1)
 
 
-class Index:
-    """The q-grams of all windows of some benchmark items."""
+def distance(window: str, part: str, most: int, shift: int) -> int:
+    """``distances`` of one window."""
+    return int(distances(codes(window)[None], codes(part), most, np.array([shift]))[0])
 
-    def __init__(self, items: list[tuple[int, str]], q: int, edits: float, window: int, stride: int) -> None:
-        self.q, self.edits = q, edits
-        self.windows: list[tuple[int, str, int, int]] = []  # item, text, edits, q-grams to share
+
+def stands_alone(text: str, at: int, end: int) -> bool:
+    """Whether text[at:end] begins and ends where words of a normalised text do."""
+    joined = lambda a, b: a != " " and b != " " and not _UNSPACED.match(a) and not _UNSPACED.match(b)
+    return not (at and joined(text[at - 1], text[at])) and not (end < len(text) and joined(text[end - 1], text[end]))
+
+
+class Index:
+    """The q-grams of some benchmark items, and the items too short for them."""
+
+    def __init__(self, items: list[tuple[int, str]], q: int, edits: float, window: int) -> None:
+        self.q = q
+        # item, code points, characters of a window, edits, q-grams to share
+        self.windows: list[tuple[int, np.ndarray, int, int, int]] = []
+        self.short: dict[int, dict[str, set[int]]] = {}
+        hashes = []
         for item, text in items:
             text = normalise(text)
             if len(text) < SHORTEST:
+                if text:
+                    self.short.setdefault(len(text), {}).setdefault(text, set()).add(item)
                 continue
-            starts = list(range(0, max(1, len(text) - window + 1), stride))
-            if starts[-1] + window < len(text):
-                starts.append(len(text) - window)
-            for s in starts:
-                part = text[s : s + window]
-                most = int(edits * len(part))
-                while most and len(part) + 1 - q * (most + 1) < 1:
+            lengths = {min(window, len(text))} | ({len(text)} if len(text) < 2 * window else set())
+            for length in sorted(lengths):
+                most = int(edits * length)
+                while most and length + 1 - q * (most + 1) < 1:
                     most -= 1
-                self.windows.append((item, part, most, len(part) + 1 - q * (most + 1)))
-        hashes = [grams(w[1], q) for w in self.windows]
+                self.windows.append((item, codes(text), length, most, length + 1 - q * (most + 1)))
+                hashes.append(grams(text, q))
         flat = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
         owner = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
         place = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.empty(0, np.int64)
@@ -106,16 +126,25 @@ class Index:
         self.bits = 22
         self.maybe = np.zeros(1 << self.bits, bool)
         self.maybe[self.hashes >> np.uint64(64 - self.bits)] = True
-        self.band = np.array([w[2] for w in self.windows], np.int64)
-        self.bound = np.array([w[3] for w in self.windows], np.int64)
+        self.longest = max((len(w[1]) for w in self.windows), default=0)
+        self.length = np.array([w[2] for w in self.windows], np.int64)
+        self.band = np.array([w[3] for w in self.windows], np.int64)
+        self.bound = np.array([w[4] for w in self.windows], np.int64)
+        self.short_hashes = {n: np.unique(np.concatenate([grams(t, n) for t in known])) for n, known in self.short.items()}
 
     def hits(self, text: str) -> set[int]:
-        """Items of which a window is within its edits of a part of this normalised text."""
+        """Items of which a window is within its edits of a part of this normalised text, and short ones that it holds."""
         found: set[int] = set()
-        longest = max((len(w[1]) for w in self.windows), default=0)
-        over = longest + 2 * int(self.edits * longest) + self.q
-        for at in range(0, len(text), BLOCK):
+        over = int((self.length + 2 * self.band).max()) + self.q if self.windows else 0
+        for at in range(0, len(text), BLOCK) if self.windows else ():
             found |= self._block(text[at : at + BLOCK + over], found)
+        for n, known in self.short.items():
+            for at in range(0, len(text), BLOCK):
+                h = grams(text[at : at + BLOCK + n - 1], n)
+                for i in (np.flatnonzero(np.isin(h, self.short_hashes[n])) + at).tolist():
+                    same = known.get(text[i : i + n], set())
+                    if not same <= found and stands_alone(text, i, i + n):
+                        found |= same
         return found
 
     def _block(self, text: str, known: set[int]) -> set[int]:
@@ -134,37 +163,54 @@ class Index:
             if b > a:
                 rows = np.repeat(low[a:b], n[a:b]) + np.arange(n[a:b].sum()) - np.repeat(np.cumsum(n[a:b]) - n[a:b], n[a:b])
                 w, diagonal = self.owner[rows], np.repeat(at[a:b], n[a:b]) - self.place[rows]
-                keys.append(np.stack([w, diagonal + WINDOW], 1))
+                keys.append(np.stack([w, diagonal + self.longest, self.place[rows]], 1))
         if not keys:
             return out
         pairs = np.concatenate(keys)
-        w, d = pairs[:, 0], pairs[:, 1]
+        w, d, place = pairs[:, 0], pairs[:, 1], pairs[:, 2]
         width = self.band[w] + 1
-        # bands of 4 e + 2 diagonals that overlap by half hold any 2 e + 1 neighbours
+        part = codes(text)
+        # bands of 2 e + 2 diagonals that overlap by half hold any e + 1 neighbours
         for half in (0, 1):
             band = (d + half * width) // (2 * width)
             code = w.astype(np.int64) << 40 | band
-            values, first, count = np.unique(code, return_index=True, return_counts=True)
-            keep = count >= self.bound[w[first]]
-            for value in values[keep].tolist():
-                i = value >> 40
-                item, part, most, _ = self.windows[i]
+            values, first, of, count = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
+            rows = np.flatnonzero((count >= self.bound[w[first]])[of])
+            rows = rows[np.lexsort((place[rows], code[rows]))]
+            begins = np.flatnonzero(np.diff(code[rows], prepend=-1))
+            for r in np.split(rows, begins[1:]) if len(rows) else ():
+                i = int(w[r[0]])
+                item, whole, length, most, bound = self.windows[i]
                 if item in known or item in out:
                     continue
-                begin = (value & ((1 << 40) - 1)) * 2 * (most + 1) - half * (most + 1) - WINDOW
-                wide = 2 * most + 1
-                a = max(0, begin - most)
-                region = text[a : begin + len(part) + 2 * wide + most + 2]
-                if distance(part, region, wide, begin + most - a) <= most:
-                    out.add(item)
+                starts = self._starts(place[r], len(whole), length, bound)
+                shift = int(band[r[0]]) * 2 * (most + 1) - half * (most + 1) - self.longest + most
+                # one from the middle first: where much is quoted it is enough
+                for some in [starts[len(starts) // 2 :][:1], *[starts[k : k + ALIGNED] for k in range(0, len(starts), ALIGNED)]]:
+                    if len(some) and distances(whole[some[:, None] + np.arange(length)], part, 2 * most + 1, some + shift).min() <= most:
+                        out.add(item)
+                        break
         return out
 
-
-def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] = (), item_text: str = "text", item_id: str = "item_id", q: int = Q, edits: float = EDITS, window: int = WINDOW, stride: int = STRIDE) -> DataFrame:
+    def _starts(self, places: np.ndarray, whole: int, length: int, bound: int) -> np.ndarray:
+        """Where a window of an item can begin so that it holds bound of these ascending places' q-grams."""
+        a, b = places[: len(places) - bound + 1], places[bound - 1 :]
+        near = b - a <= length - self.q
+        low, high = np.maximum(b[near] + self.q - length, 0), np.minimum(a[near], whole - length)
+        if not len(low):
+            return np.empty(0, np.int64)
+        base = int(low[0])
+        steps = np.zeros(int(high[-1]) - base + 2, np.int64)
+        np.add.at(steps, low - base, 1)
+        np.add.at(steps, high - base + 1, -1)
+        return np.flatnonzero(np.cumsum(steps)) + base
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] = (), item_text: str = "text", item_id: str = "item_id", q: int = Q, edits: float = EDITS, window: int = WINDOW) -> DataFrame:
     """(id_col, *keep, items): for every whole text the ids, ascending, of the items it holds a window of.
 
-    One row for each row of docs, with an empty list for a clean text, a null or an empty one. A null or short
-    item (under SHORTEST characters) matches nothing. The items go to the executors in parts of at most
+    One row for each row of docs, with an empty list for a clean text, a null or an empty one. A null item, or one
+    without a letter or digit, matches nothing; one under SHORTEST characters matches as a whole, exactly. The items go to the executors in parts of at most
     INDEX_BYTES; more parts mean more passes, whose lists are put together. Empty tables give
     empty lists or no rows; other columns are not read, whatever their names.
     """
@@ -180,18 +226,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     found = docs.select(F.col(text).alias("searched"), F.lit(None).cast("array<bigint>").alias("items"), id_col, *keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields)
     for items in parts:
-        found = found.mapInArrow(_search(items, q, edits, window, stride), schema)
+        found = found.mapInArrow(_search(items, q, edits, window), schema)
     return found.select(id_col, *keep, F.coalesce("items", F.array().cast("array<bigint>")).alias("items"))
 
 
-def _search(items: list[tuple[int, str]], q: int, edits: float, window: int, stride: int):
+def _search(items: list[tuple[int, str]], q: int, edits: float, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = None
         for batch in batches:
-            index = index or Index(items, q, edits, window, stride)
+            index = index or Index(items, q, edits, window)
             lists = []
             for value, before in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                found = index.hits(normalise(value.as_py())) if index.windows else set()
+                found = index.hits(normalise(value.as_py()))
                 lists.append(sorted(found.union(before or ())))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64())), *batch.columns[2:]], names=batch.schema.names)
 
