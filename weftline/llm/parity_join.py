@@ -307,6 +307,22 @@ def joined(members: list[int], sets: dict[int, np.ndarray], sketches: dict[int,
     return out
 
 
+def every(members: list[int], sets: dict[int, np.ndarray], sketches: dict[int, np.ndarray]) -> list[tuple[int, int]]:
+    """All links between the sets of a group."""
+    for x in members:
+        if x not in sketches:
+            sketches[x] = sketch(sets[x], sketch_words(len(sets[x])))
+    sizes = np.array([len(sets[x]) for x in members])
+    words = min(len(sketches[x]) for x in members)
+    table = np.stack([fold(sketches[x], words) for x in members])
+    out = []
+    for i in range(len(members) - 1):
+        h = np.bitwise_count(table[i + 1 :] ^ table[i]).sum(1).astype(np.int64)
+        near = np.flatnonzero(h <= most_different(sizes[i], sizes[i + 1 :])) + i + 1
+        out += [(members[i], members[j]) for j in near.tolist() if linked(sets[members[i]], sets[members[j]])]
+    return out
+
+
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
     """The exact test, on ascending distinct hashes."""
     at = np.searchsorted(y, x)
@@ -370,8 +386,8 @@ def _near(groups: DataFrame, sketches: DataFrame, targets: int) -> DataFrame:
     return rows.groupBy("gid").agg(F.first("members").alias("members"))
 
 
-def _links(groups: DataFrame, sets: DataFrame, targets: int) -> DataFrame:
-    """(a, b): verified links that join what the groups of a task can join. sets: (set_id, n, hashes)."""
+def _links(groups: DataFrame, sets: DataFrame, targets: int, whole: bool = False) -> DataFrame:
+    """(a, b): verified links that join what the groups of a task can join, or if whole all of each group. sets: (set_id, n, hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, np.ndarray] = {}
@@ -381,7 +397,7 @@ def _links(groups: DataFrame, sets: DataFrame, targets: int) -> DataFrame:
             out: list[tuple[int, int]] = []
             for kind, key, hashes, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), batch.column(4), strict=True):
                 if kind:
-                    out += joined(members.as_py(), sets, sketches, held)
+                    out += every(members.as_py(), sets, sketches) if whole else joined(members.as_py(), sets, sketches, held)
                 else:
                     sets[key] = np.frombuffer(hashes.as_buffer(), np.uint64)
             if out:
@@ -499,7 +515,7 @@ def _short(docs: DataFrame, short: DataFrame, text: str, block: int = 4096) -> D
     return links
 
 
-def link_components(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def link_components(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", count_links: bool = False) -> DataFrame:
     """(id_col, n_shingles, component_id): the components of the links between near documents.
 
     Words are runs of anything but space and U+0009 to U+000D, A-Z in lower case; a document's set is its
@@ -507,6 +523,9 @@ def link_components(docs: DataFrame, *, text: str = "text", id_col: str = "doc_i
     >= 80 * union. component_id is the smallest id reachable by links. A null, empty or blank text has an empty
     set and is linked with nothing: its component is its own id. One row for each row of docs, repeated rows
     included; an empty table gives an empty one; other columns are not read, whatever their names.
+
+    With count_links there is one more column, n_links: the number of other rows that a row is linked with, equal sets
+    among them. All links are then verified, not a spanning forest; they are as many as the pairs of a cluster.
     """
     spark = docs.sparkSession
     targets = parts(spark)
@@ -521,9 +540,11 @@ def link_components(docs: DataFrame, *, text: str = "text", id_col: str = "doc_i
         return kept(some.select(F.explode("members").alias("set_id")).distinct().join(each, "set_id").select(F.col("rep").alias("id")))
 
     groups = kept(_near(groups, _values(docs, ids_of(groups), text, id_col, whole=False), targets))
-    links = _links(groups, _values(docs, ids_of(groups), text, id_col, whole=True), targets)
+    links = _links(groups, _values(docs, ids_of(groups), text, id_col, whole=True), targets, whole=count_links)
     if not short.isEmpty():
         links = links.unionByName(_short(docs, short, text))
+    if count_links:
+        links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = kept(links)
     labels = None if links.isEmpty() else components(links)
     if labels is None:
@@ -532,6 +553,15 @@ def link_components(docs: DataFrame, *, text: str = "text", id_col: str = "doc_i
         rooted = each.select("set_id", "rep").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
         least = rooted.groupBy("root").agg(F.min("rep").alias("component"))
         named = rooted.join(least, "root").select("set_id", "component")
-    found = filled.select("id", "n", "set_id").join(named, "set_id").select("id", "n", "component")
+    found = filled.select("id", "n", "set_id").join(named, "set_id")
     alone = rows.where(F.col("n") == 0).select("id", "n", F.col("id").alias("component"))
-    return found.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    columns = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")]
+    if count_links:
+        copies = filled.groupBy("set_id").agg(F.count("*").alias("copies"))
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        others = both.join(copies.withColumnRenamed("set_id", "b"), "b").groupBy(F.col("a").alias("set_id")).agg(F.sum("copies").alias("others"))
+        n_links = copies.join(others, "set_id", "left").select("set_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+        found = found.join(n_links, "set_id")
+        alone = alone.withColumn("n_links", F.lit(0).cast("bigint"))
+        columns.append(F.col("n_links"))
+    return found.drop("set_id").unionByName(alone).select(*columns)

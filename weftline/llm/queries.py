@@ -71,6 +71,11 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.link_components(_table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op9_jaccard_join, with each document's number of links."""
+    return parity_join.link_components(_table(spark, sf_dir, "documents"), count_links=True)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     return url_cascade.judge_urls(_table(spark, sf_dir, "pages"), rules)
@@ -107,9 +112,12 @@ SELECT s.doc_id, len(s.sh) AS n_shingles, min(r.c) AS component_id FROM s JOIN r
 """
 
 
+OP9_LINKS_SQL = f"SELECT j.*, coalesce(k.n_links, 0) AS n_links FROM ({OP9_SQL}) j LEFT JOIN (SELECT a, count(*) AS n_links FROM ({OP9_SQL[: OP9_SQL.index('), r(doc_id, c)')]}) SELECT a FROM links) GROUP BY a) k ON k.a = j.doc_id"
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_mixing, op3_language_id, op4_decontamination, op5_toxicity, op6_sharding, op7_token_counts, op8_chat_format, op9_jaccard_join, op10_url_filter)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_mixing, op3_language_id, op4_decontamination, op5_toxicity, op6_sharding, op7_token_counts, op8_chat_format, op9_jaccard_join, op9_jaccard_links, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_jaccard_join": OP9_SQL, "op10_url_filter": OP10_SQL}
+    return {"op9_jaccard_join": OP9_SQL, "op9_jaccard_links": OP9_LINKS_SQL, "op10_url_filter": OP10_SQL}
