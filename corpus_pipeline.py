@@ -19,6 +19,8 @@ from weftline.llm.shared import kept, shared_folder
 LEAST_COSINE = 0.02
 ENTROPY_SHARE = 0.95
 SHARDS = 8
+#: Names of rows without an id begin here.
+NAMELESS = 1 << 62
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,10 +37,21 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component of near copies: that with the smallest id."""
-    found = parity_join.link_components(docs)
-    first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+    """Keeps one document of each component of near copies: that with the smallest id.
+
+    Rows without an id go by a name made from their text, above any id below NAMELESS: one of them is kept if its component has no id.
+    """
+    if docs.where(F.col("doc_id").isNull()).isEmpty():
+        found = parity_join.link_components(docs)
+        first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+        return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+    named = docs.withColumn("own_id", F.coalesce("doc_id", F.lit(NAMELESS) + F.pmod(F.xxhash64("text"), F.lit(NAMELESS))))
+    found = parity_join.link_components(named, id_col="own_id")
+    first = found.where(F.col("own_id") == F.col("component_id")).select("own_id", "n_shingles").distinct()
+    left = kept(named.join(first, "own_id"))
+    # equal texts without an id have one name; blank ones are copies of nothing
+    nameless = F.col("doc_id").isNull() & (F.col("n_shingles") > 0)
+    return left.where(~nameless).unionByName(left.where(nameless).dropDuplicates(["own_id"])).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,20 @@
+"""Rows without an id in the pipeline's join."""
+
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+
+
+def words(name, n=60):
+    return " ".join(f"{name}{i}" for i in range(n))
+
+
+def test_rows_without_id_are_kept_once(spark):
+    rows = [(1, words("a")), (None, words("a") + " more"), (None, words("b")), (None, words("b")), (None, words("c")), (None, words("c") + " more"), (None, words("d")), (None, ""), (None, ""), (2, words("e")), (3, words("e"))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    left = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert left.columns == docs.columns
+    got = sorted((r["doc_id"] or 0, r["text"][:2]) for r in left.collect())
+    assert got == [(0, ""), (0, ""), (0, "b0"), (0, "c0"), (0, "d0"), (1, "a0"), (2, "e0")]
+    ided = docs.where(F.col("doc_id").isNotNull())
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, ided, "").collect()) == [1, 2]
