@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 
 from pyspark.sql import DataFrame, Window
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from weftline.functions import names, rules
 
 MAX_DEPTH = 5
+#: After so many levels the union of them is cut, so that a deep chain's plan stays short.
+CUT_LEVELS = 16
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -78,7 +81,7 @@ def impact(adjacent: DataFrame, subjects: DataFrame, depth: int = MAX_DEPTH) ->
     return out.select("change_id", F.col("node").alias("target"), "path_length", F.col("via").alias("via_edges"), band.alias("band"), rules.named(F.col("corroboration_at"), rules.CORROBORATION).alias("corroboration"), rules.severity(F.col("change_type"), band).alias("severity"), F.concat(F.lit("team-"), names.system_of(F.col("node"))).alias("owner"), names.node_kind(F.col("node")).alias("kind"))
 
 
-def blast_radius(adjacent: DataFrame, seed: str, most_levels: int = 1000) -> DataFrame:
+def blast_radius(adjacent: DataFrame, seed: str) -> DataFrame:
     """(node, hops, severity) of everything that a seed reaches, to the fixpoint.
 
     A dataset also reaches the targets of its elements (one way). The lineage of the plan is cut at each level.
@@ -89,7 +92,7 @@ def blast_radius(adjacent: DataFrame, seed: str, most_levels: int = 1000) -> Dat
     steps = _cut(own.unionByName(bridge).distinct())
     reached = spark.createDataFrame([(seed, 0)], "node string, hops int")
     frontier = reached
-    for hop in range(1, most_levels + 1):
+    for hop in itertools.count(1):
         found = frontier.join(steps, frontier["node"] == steps["source"]).select(F.col("target").alias("node")).distinct()
         frontier = _cut(found.join(reached, "node", "left_anti").withColumn("hops", F.lit(hop)))
         if frontier.isEmpty():
@@ -98,16 +101,18 @@ def blast_radius(adjacent: DataFrame, seed: str, most_levels: int = 1000) -> Dat
     return reached.withColumn("severity", rules.hop_severity(F.col("hops")))
 
 
-def closure(steps: DataFrame, most_levels: int = 50) -> DataFrame:
+def closure(steps: DataFrame) -> DataFrame:
     """(node, ancestor, hops) of the transitive closure of (node, parent), shortest hops."""
     reached = _cut(steps.select("node", F.col("parent").alias("ancestor")).distinct().withColumn("hops", F.lit(1)))
     frontier = reached
-    for hop in range(2, most_levels + 1):
+    for hop in itertools.count(2):
         further = frontier.select("node", F.col("ancestor").alias("mid")).join(steps.select(F.col("node").alias("mid"), F.col("parent").alias("ancestor")), "mid").select("node", "ancestor").distinct()
         frontier = _cut(further.join(reached, ["node", "ancestor"], "left_anti").withColumn("hops", F.lit(hop)))
         if frontier.isEmpty():
             break
         reached = reached.unionByName(frontier)
+        if hop % CUT_LEVELS == 0:
+            reached = _cut(reached)
     return reached
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import names
+from weftline.operators.graph import CUT_LEVELS, _cut
 
 #: Methods that every repository inherits.
 INHERITED = {"save": "WRITE", "saveAll": "WRITE", "delete": "WRITE", "deleteAll": "WRITE", "deleteById": "WRITE", "flush": "WRITE", "findAll": "READ", "findById": "READ", "findAllById": "READ", "getReferenceById": "READ", "count": "READ", "existsById": "READ"}
@@ -79,7 +82,7 @@ def witnessed(edges: DataFrame, observed: DataFrame) -> DataFrame:
     return edges.join(o, (edges["table"] == o["t"]) & (edges["operation"] == o["o"]) & names.column_matches(o["f"], edges["column"]), "left_semi")
 
 
-def changelog_order(includes: DataFrame, files: DataFrame, most_levels: int = 20) -> DataFrame:
+def changelog_order(includes: DataFrame, files: DataFrame) -> DataFrame:
     """(file, at) in the order of a depth-first walk from the files that none includes; each file once.
 
     includes: (file, child, position). ``at`` is the path of positions; the first of several paths counts.
@@ -87,12 +90,15 @@ def changelog_order(includes: DataFrame, files: DataFrame, most_levels: int = 20
     roots = files.join(includes.select(F.col("child").alias("file")).distinct(), "file", "left_anti")
     level = roots.select("file", F.array(F.col("file")).alias("at"), F.array("file").alias("seen"))
     out = level
-    for _ in range(most_levels):
+    for depth in itertools.count(1):
         nested = level.join(includes, "file").where(~F.array_contains("seen", F.col("child")))
         level = nested.select(F.col("child").alias("file"), F.concat("at", F.array(F.lpad(F.col("position").cast("string"), 6, "0"))).alias("at"), F.concat("seen", F.array("child")).alias("seen"))
+        level = _cut(level)
         if level.isEmpty():
             break
         out = out.unionByName(level)
+        if depth % CUT_LEVELS == 0:
+            out = _cut(out)
     first = out.groupBy("file").agg(F.min("at").alias("at"))
     # a changelog set is small: one file's includes, ordered once
     return first.select("file", F.array_join("at", "/").alias("at"), F.row_number().over(Window.orderBy("at")).alias("nth"))
