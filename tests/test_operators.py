@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import names, rules
-from weftline.operators import consolidate, graph, publication, resolver
+from weftline.operators import consolidate, graph, java_facts, ordered, publication, queues, resolver, runtime
 from weftline.sources import extractors, inputs, sql_lineage
 
 
@@ -38,6 +38,101 @@ def test_consolidation_does_not_depend_on_order(spark, small):
     assert rows(consolidate.consolidate(claims.unionByName(claims).distinct())) == first
 
 
+def test_transforms_that_are_the_same(spark):
+    n = lambda t: one(spark, rules.normal_transform(F.lit(t)))
+    assert n("SUM( amount )") == n("sum(amount)") == "sum(amount)"
+    assert n("a AND b") != n("a and b")
+    assert n("CASE WHEN x > 1.5 THEN 'A  b' ELSE y END") == "casewhenx>1.5then'Ab'elseyend"
+
+
+def test_repeated_claims_must_agree(spark):
+    schema = "provenance_id string, sources array<string>, transform string"
+    same = spark.createDataFrame([("p", ["a"], "x"), ("p", ["a"], "x"), ("q", ["b"], None)], schema)
+    assert consolidate.accepted(same).count() == 2
+    clash = same.unionByName(spark.createDataFrame([("p", ["a"], "y")], schema))
+    assert {(r["provenance_id"], r["transform"], r["conflict"]) for r in consolidate.deduplicated(clash.repartition(5)).collect()} == {("p", "x", True), ("q", None, False)}
+    with pytest.raises(consolidate.Conflict):
+        consolidate.accepted(clash)
+
+
+def test_ledger_takes_new_claims_once(spark):
+    claims = spark.createDataFrame([(f"p{i}", ["urn:ldp:e:p:s:a"], "urn:ldp:e:p:s:b", "READS") for i in (1, 2, 3)], "provenance_id string, sources array<string>, target string, edge_type string")
+    old = consolidate.ledger(claims.where("provenance_id <> 'p1'"))
+    after = consolidate.merged(old, claims.unionByName(claims))
+    assert {(r["provenance_id"], r["version"], r["fresh"]) for r in after.collect()} == {("p2", 1, False), ("p3", 2, False), ("p1", 3, True)}
+    again = consolidate.merged(after.drop("fresh"), claims)
+    assert again.where("fresh").isEmpty() and again.count() == 3
+
+
+def test_late_claims_at_service_endpoints(spark):
+    e = spark.createDataFrame([("r", ["urn:ldp:e:p:s:a#x"], "service://repo/T#m", "READS"), ("w", ["service://repo/T#m"], "urn:ldp:e:p:s:a#x", "WRITES"), ("d", ["urn:ldp:e:p:s:a#x", "urn:ldp:e:p:s:a#y"], "urn:ldp:e:p:s:b#z", "DERIVES")], "edge_key string, sources array<string>, target string, edge_type string")
+    schema = "session_id string, observation_id string, outcome string, granularity string, sources array<string>, target string, endpoint string, edge_type string, transform string, exact boolean"
+    row = lambda o, g, src, t, end, kind, out="COMPLETE": ("s", o, out, g, src, t, end, kind, None, True)
+    seen = [
+        row("1", "ELEMENT", ["urn:ldp:e:p:s:a#x"], "urn:ldp:e:p:s:a#x", "service://repo/T#m", "READS"), row("2", "ELEMENT", ["urn:ldp:e:p:s:a#x"], "urn:ldp:e:p:s:a#x", "service://repo/T#m", "WRITES"),
+        row("3", "DATASET", ["urn:ldp:e:p:s:a"], "urn:ldp:e:p:s:b", None, "DERIVES"), row("4", "ELEMENT", ["urn:ldp:e:p:s:a#y", "urn:ldp:e:p:s:a#x"], "urn:ldp:e:p:s:b#z", None, "DERIVES"),
+        row("5", "DATASET", ["urn:ldp:e:p:s:a"], "urn:ldp:e:p:s:b", None, "DERIVES", "INCOMPLETE"), row("6", "DATASET", ["urn:ldp:e:p:s:a"], "urn:ldp:e:p:s:b", None, "READS"),
+    ]
+    got = {(r["provenance_id"], r["edge_key"], r["scope"]) for r in consolidate.late_claims(spark.createDataFrame(seen, schema), e).collect()}
+    assert got == {("runtime:s:1", "r", "ELEMENT"), ("runtime:s:2", "w", "ELEMENT"), ("runtime:s:3:d", "d", "DATASET"), ("runtime:s:4", "d", "ELEMENT")}
+
+
+def test_running_totals_over_ranges(spark):
+    rows = spark.createDataFrame([("a" if i % 3 else "b", i, i % 5) for i in range(200)], "g string, i int, v int").repartition(6)
+    got = {(r["g"], r["i"]): (r["nth"], r["upto"]) for r in ordered.numbered(ordered.numbered(rows, ["i"], by=["g"]), ["i"], by=["g"], value="v", name="upto").collect()}
+    want = {}
+    for g in "ab":
+        n = total = 0
+        for i in range(200):
+            if ("a" if i % 3 else "b") == g:
+                n, total = n + 1, total + i % 5
+                want[g, i] = (n, total)
+    assert got == want
+
+
+def test_dead_message_blocks_nothing(spark):
+    day = "2024-01-01"
+    m = spark.createDataFrame([("l", "g", 1, "DEAD"), ("l", "g", 2, "AVAILABLE"), ("l", "h", 3, "IN_FLIGHT"), ("l", "h", 4, "AVAILABLE"), ("l", "k", 5, "ACKED"), ("l", "k", 6, "AVAILABLE")], "lane string, group_id string, sequence int, status string")
+    m = m.withColumn("created_at", F.lit(day).cast("timestamp")).withColumn("available_at", F.when(F.col("sequence") == 6, "2024-01-03").otherwise(day).cast("timestamp")).withColumn("attempts", F.lit(1))
+    now = lambda t: F.lit(t).cast("timestamp")
+    assert [r["sequence"] for r in queues.claimable(m, now("2024-01-02")).collect()] == [2]
+    states = spark.createDataFrame([("l", "g", 9)], "lane string, group_id string, last_claim_order bigint")
+    assert {(r["sequence"], r["claim"]) for r in queues.claimable(m, now("2024-01-04"), states).collect()} == {(6, 1), (2, 2)}
+
+
+def test_rejected_sequence_leaves_no_trace(spark):
+    j = runtime.Judge()
+    take = [("a", "d", 5, "x"), ("b", "d", 5, "x"), ("b", "d", 6, "x"), ("a", "d", 7, "x"), ("a", "d", 8, "y"), ("c", "e", 1, "z")]
+    assert [j.take(*t) for t in take] == ["ACCEPTED", "OUT_OF_SEQUENCE", "ACCEPTED", "DUPLICATE", "CONFLICT", "ACCEPTED"]
+
+
+def test_prohibited_keys_at_any_depth(spark):
+    p = lambda t: one(spark, rules.prohibited(F.lit(t)))
+    assert (p('{"a": {"b": [1, {"Token": 2}]}}'), p('{"a": "token"}'), p('{"a": ["x", "SK-1"]}'), p('{"a": "b\\"value\\":"}'), p("["), p('{"db.statement": 1}')) == ("PROHIBITED_FIELD", None, "SECRET_VALUE", None, "MALFORMED", "PROHIBITED_FIELD")
+
+
+def test_queries_of_repositories(spark):
+    cases = {
+        ("select o from Owner o", False): ("READS", "Owner", "JPQL", []),
+        ("FROM Owner WHERE id = 1", False): ("READS", "Owner", "JPQL", []),
+        ("select new a.b.Dto(o.id, p.name) from Owner o left join fetch o.pets p", False): ("READS", "Owner", "JPQL", []),
+        ("select o.id from Owner o join Visit v on v.owner = o", False): ("READS", "Owner", "JPQL", ["Visit"]),
+        ("select o.id from Owner o join Visit v", False): None,
+        ("select count(o) from Owner o", False): None,
+        ("update Owner o set o.city = ?1", False): ("WRITES", "Owner", "JPQL", []),
+        ("delete from Owner o where o.id = ?1", False): ("WRITES", "Owner", "JPQL", []),
+        ("select o from Owner o where o.id in (select v.id from Visit v)", False): None,
+        ("SELECT * FROM owners WHERE name = 'from x'", True): ("READS", "owners", "SQL", []),
+        ("SELECT a.x FROM owners a, vets b", True): None,
+        ("SELECT a.x FROM owners a JOIN vets b ON a.i = b.i", True): None,
+        ("INSERT INTO owners (a) VALUES (1)", True): ("WRITES", "owners", "SQL", []),
+        ("DELETE FROM owners; DROP TABLE x", True): None,
+    }
+    rows = spark.createDataFrame([(i, t, n) for i, (t, n) in enumerate(cases)], "i int, t string, n boolean")
+    got = {r["i"]: r["q"] for r in rows.select("i", java_facts.explicit_query(F.col("t"), F.col("n")).alias("q")).collect()}
+    assert {k: None if got[i] is None else (got[i]["edge_type"], got[i]["target"], got[i]["language"], got[i]["joined"]) for i, k in enumerate(cases)} == cases
+
+
 def test_transform_pick(spark):
     schema = "provenance_id string, sources array<string>, target string, edge_type string, mechanism string, transform string, exact boolean, scope string, session_complete boolean"
     base = [("p1", ["urn:ldp:e:p:s:a#x"], "urn:ldp:e:p:s:b#y", "DERIVES", "LLM", "x", False, None, False), ("p2", ["urn:ldp:e:p:s:a#x"], "urn:ldp:e:p:s:b#y", "DERIVES", "SCA", " x ", True, None, False)]
@@ -61,18 +156,46 @@ def test_impact_takes_the_smallest_of_shortest_paths(spark):
     assert (got["service://repo/X#y"]["kind"], got["service://repo/X#y"]["owner"]) == ("SERVICE", "team-repo")
 
 
+def multi(spark, rows):
+    return spark.createDataFrame([(k, a, b, n) for k, a, b, n in rows], "edge_key string, sources array<string>, target string, band_at int")
+
+
 def test_lineage_on_a_cycle(spark):
-    s = steps(spark, [("a", "b", "1", 1), ("b", "a", "2", 1), ("b", "c", "3", 1), ("c", "d", "4", 1)])
-    assert {(r["node"], r["hops"]) for r in graph.lineage(s, "a", "down", 2).collect()} == {("a", 0), ("b", 1), ("c", 2)}
-    assert {r["node"] for r in graph.lineage(s, "d", "up", 5).collect()} == {"a", "b", "c", "d"}
-    assert graph.truncated(s, graph.lineage(s, "a", "down", 2), 2)
+    s = multi(spark, [("1", ["a"], "b", 1), ("2", ["b"], "a", 1), ("3", ["b", "x"], "c", 1), ("4", ["c"], "d", 1), ("5", ["x"], "y", 1)])
+    got = graph.lineage(s, "a", "down", 2)
+    # x is a node, as the other source of edge 3, but not walked on from
+    assert {(r["node"], r["hops"]) for r in got.nodes.collect()} == {("a", 0), ("b", 1), ("c", 2), ("x", 2)}
+    assert {r["edge_key"] for r in got.edges.collect()} == {"1", "2", "3"} and got.truncated
+    up = graph.lineage(s, "d", "up", 5)
+    assert {r["node"] for r in up.nodes.collect()} == {"a", "b", "c", "d", "x"} and not up.truncated
+    assert {r["node"] for r in graph.lineage(s, "y", "both", 2).nodes.collect()} == {"y", "x", "c", "b"}
+    assert {r["node"] for r in graph.lineage(s, "nobody").nodes.collect()} == {"nobody"}
     with pytest.raises(ValueError):
         graph.lineage(s, "a", "down", 6)
 
 
+def test_paths_stop_at_the_limit(spark):
+    s = multi(spark, [("1", ["a"], "b", 4), ("2", ["a"], "c", 3), ("3", ["b"], "a", 4), ("4", ["c"], "b", 1)])
+    every = graph.paths(s, "a", 3, 100)
+    assert {tuple(r["via"]) for r in every.rows.collect()} == {("1",), ("2",), ("1", "3"), ("2", "4"), ("1", "3", "2"), ("2", "4", "3")} and not every.truncated
+    some = graph.paths(s, "a", 3, 3)
+    assert {tuple(r["via"]) for r in some.rows.collect()} == {("1",), ("2",), ("1", "3")} and some.truncated
+    assert {(r["node"], r["band"]) for r in graph.path_impact(s, "a", "COLUMN_DROP", 3, 100).rows.collect()} == {("b", "HIGHEST"), ("c", "HIGH"), ("a", "HIGHEST")}
+
+
+def test_canvas_settles_what_the_subject_does_not_reach(spark):
+    p = spark.createDataFrame([("s", "t"), ("r", "s"), ("r", "u"), ("u", "v"), ("x", "y"), ("t", "s")], "a string, b string")
+    assert {r["node"]: r["rank"] for r in graph.canvas_ranks(p, "s").collect()} == {"s": 1, "t": 2, "r": 0, "u": 1, "v": 2, "x": 1, "y": 1}
+    q = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("d", "c")], "a string, b string")
+    assert {r["node"]: r["rank"] for r in graph.canvas_ranks(q, None).collect()} == {"a": 0, "b": 1, "c": 2, "d": 0}
+
+
 def test_blast_radius_bridges_one_way(spark):
-    s = steps(spark, [("urn:x:t#c", "urn:x:u#c", "1", 1), ("urn:x:u#c", "urn:x:v#c", "2", 1)])
-    assert {(r["node"], r["severity"]) for r in graph.blast_radius(s, "urn:x:t").collect()} == {("urn:x:t", "SOURCE"), ("urn:x:u#c", "BREAK"), ("urn:x:v#c", "WARN")}
+    rows = [("urn:x:t#c", "urn:x:u#c", "f"), ("urn:x:u#c", "urn:x:v#c", "g"), ("urn:x:t#d", "urn:x:w#c", "a"), ("urn:x:w#c", "urn:x:v#c", "b")]
+    s = spark.createDataFrame(rows, "source string, target string, transform string")
+    got = {r["node"]: (r["severity"], r["via"], r["dataset"]) for r in graph.blast_radius(s, "urn:x:t").collect()}
+    # v is met from u and from w at once; u was found first
+    assert got == {"urn:x:t": ("SOURCE", [], "urn:x:t"), "urn:x:u#c": ("BREAK", ["f"], "urn:x:u"), "urn:x:w#c": ("BREAK", ["a"], "urn:x:w"), "urn:x:v#c": ("WARN", ["f", "g"], "urn:x:v")}
     assert {r["node"] for r in graph.blast_radius(s, "urn:x:u#c").collect()} == {"urn:x:u#c", "urn:x:v#c"}
 
 
@@ -102,15 +225,19 @@ def test_publication_refuses(spark, tmp_path):
         store.rollback("e", 1, store.reserve("e"), "other")
     with pytest.raises(publication.Refused):
         store.read("none")
-
-
-def test_stream_equals_batch(spark, small):
-    from weftline.operators import runtime
-    from weftline.plans.source_queries import z1_z4_streamed_sessions
-
-    streamed = {r["session_id"]: r for r in z1_z4_streamed_sessions(spark, small).collect()}
-    batch = runtime.session_manifest(runtime.deduplicate(inputs.observations(spark, small))).collect()
-    assert len(streamed) == len(batch)
-    for r in batch:
-        s = streamed[r["session_id"]]
-        assert [s[c] for c in ("outcome", "attempted", "accepted", "duplicates", "rejected", "last_sequence")] == [r[c] for c in ("outcome", "attempted", "accepted", "duplicates", "rejected", "last_sequence")]
+    before = store.pointer("e")
+    token = store.reserve("e")
+    with pytest.raises(publication.Refused):  # a writer that read the pointer before
+        store._point("e", before, {"active": 9, "prior": None, "token": 99})
+    assert store.pointer("e")["token"] == token and store.pointer("e")["active"] == 1
+
+
+def test_sessions_that_nobody_closes_expire(spark):
+    from weftline.streaming import sessions
+
+    rows = [(1, 1, 1, "d", "a", "x", "2024-01-01 00:00:00"), (2, 2, 1, "d", "b", "x", "2024-01-03 00:00:00"), (2, 3, 2, "d", "b", "y", "2024-01-03 00:00:01")]
+    df = spark.createDataFrame(rows, "session_id bigint, arrival bigint, sequence bigint, dataset string, observation_id string, checksum string, observed_at string")
+    df = df.withColumn("observed_at", F.col("observed_at").cast("timestamp")).withColumn("closing", F.lit(None).cast(sessions.CLOSING))
+    got = {r["session_id"]: r for r in sessions.replay(df).collect()}
+    # the watermark reaches the third day less an hour: the first session is over, the second is not
+    assert {k: (r["outcome"], r["accepted"], r["rejected"]) for k, r in got.items()} == {1: ("EXPIRED", 1, 0)}

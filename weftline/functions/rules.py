@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,13 +13,21 @@ CORROBORATION = ("NONE", "DATASET", "ELEMENT")
 #: Changes that break readers.
 DESTRUCTIVE = ("COLUMN_DROP", "COLUMN_TYPE_CHANGE", "DATASET_REMOVAL")
 OTHER_CHANGES = ("COLUMN_RENAME", "TRANSFORM_CHANGE", "FINGERPRINT_DRIFT")
-#: SQL words that are case-insensitive in a transform.
-KEYWORDS = ("and", "as", "between", "case", "else", "end", "in", "is", "not", "null", "or", "then", "when")
-#: What a metadata value may not contain, and forbidden keys.
-SECRET_VALUES = r"(?i)bearer |password=|secret=|sk-"
-SECRET_KEYS = ("authorization", "password", "secret", "token", "payload", "body")
-READ_VERBS = ("find", "get", "read", "count", "exists", "query", "search", "stream")
-WRITE_VERBS = ("save", "insert", "update", "delete", "remove", "persist", "merge", "write")
+#: SQL words whose case does not count in a transform, and what a transform's tokens look like.
+KEYWORDS = ("AS", "AVG", "CASE", "CAST", "COUNT", "DATE", "ELSE", "END", "MAX", "MIN", "SUM", "THEN", "WHEN")
+TOKEN = r"(?U)[A-Za-z_][A-Za-z0-9_]*|\d+(?:\.\d+)?|[^\w\s]"
+#: Keys that no runtime payload may have, whatever their case, and marks of secrets in its values.
+PROHIBITED_KEYS = ("authorization", "bind", "db.query.text", "db.statement", "literalvalue", "password", "secret", "token", "value", "values")
+SECRET_MARKS = ("bearer ", "password=", "secret=", "sk-")
+#: The same for a span's attributes, where a part of a key is enough.
+SPAN_KEY_PARTS = ("authorization", "credential", "db.query", "db.statement", "header", "parameter", "password", "payload", "secret", "token", "value")
+SPAN_SECRET_MARKS = ("bearer ", "password=", "secret=", "sk-", "token=")
+#: First words of methods that read, and of those that write.
+READ_VERBS = ("find", "get", "read", "query", "count", "exists", "search", "stream")
+WRITE_VERBS = ("save", "insert", "update", "delete", "remove", "persist", "flush")
+#: Database operations of a span that read, and those that write.
+SPAN_READS = ("SELECT", "READ", "GET")
+SPAN_WRITES = ("INSERT", "UPDATE", "DELETE", "MERGE", "WRITE", "PUT")
 
 
 def ordinal(value: Column, names: tuple[str, ...]) -> Column:
@@ -31,8 +41,8 @@ def named(place: Column, names: tuple[str, ...]) -> Column:
 
 def normal_transform(text: Column) -> Column:
     """tokens without white space, keywords in lower case."""
-    tokens = F.regexp_extract_all(text, F.lit(r"'[^']*'|[A-Za-z_][A-Za-z0-9_.]*|[0-9.]+|[^\sA-Za-z0-9_]"), 0)
-    return F.array_join(F.transform(tokens, lambda t: F.when(F.lower(t).isin(*KEYWORDS), F.lower(t)).otherwise(t)), "")
+    tokens = F.regexp_extract_all(text, F.lit(TOKEN), 0)
+    return F.array_join(F.transform(tokens, lambda t: F.when(F.upper(t).isin(*KEYWORDS), F.lower(t)).otherwise(t)), "")
 
 
 def edge_key(sources: Column, target: Column, edge_type: Column) -> Column:
@@ -65,25 +75,34 @@ def hop_severity(hops: Column) -> Column:
     return F.when(hops == 0, "SOURCE").when(hops == 1, "BREAK").otherwise("WARN")
 
 
-def displayed(name: Column, corroboration: Column) -> Column:
-    """(display, percent) of a band."""
-    return F.struct(
-        F.when(name.isin("HIGHEST", "HIGH"), "VERIFIED").when(name.isin("MEDIUM", "SINGLE"), "PROBABLE").otherwise("INFERRED").alias("display"),
-        F.when(name == "HIGHEST", 96).when(name == "HIGH", 92).when(name == "MEDIUM", 78).when(name == "SINGLE", 70).otherwise(55).alias("percent"),
-        (corroboration != "NONE").alias("observed"),
+def displayed(name: Column, provenance: Column) -> Column:
+    """(display, percent, signals, last_observed) of a band, from its provenance array<struct<mechanism, observed_at>>.
+
+    Signals are the distinct mechanisms, ascending; only a runtime claim observes. Null for an unknown band.
+    """
+    mechanisms = F.filter(F.transform(provenance, lambda x: x["mechanism"]), lambda m: m.isNotNull() & (m != ""))
+    seen = F.filter(provenance, lambda x: (x["mechanism"] == "RUNTIME") & x["observed_at"].isNotNull())
+    return F.when(
+        name.isin(*BANDS),
+        F.struct(
+            F.when(name.isin("HIGHEST", "HIGH"), "VERIFIED").when(name.isin("MEDIUM", "SINGLE"), "PROBABLE").otherwise("INFERRED").alias("display"),
+            F.when(name == "HIGHEST", 96).when(name == "HIGH", 92).when(name == "MEDIUM", 78).when(name == "SINGLE", 70).otherwise(55).alias("percent"),
+            F.array_sort(F.array_distinct(mechanisms)).alias("signals"),
+            F.array_max(F.transform(seen, lambda x: x["observed_at"])).alias("last_observed"),
+        ),
     )
 
 
 def operation(method: Column) -> Column:
-    """READ, WRITE or UNKNOWN, by the method's first word."""
-    low = F.lower(method)
-    return F.when(low.rlike("^(" + "|".join(READ_VERBS) + ")"), "READ").when(low.rlike("^(" + "|".join(WRITE_VERBS) + ")"), "WRITE").otherwise("UNKNOWN")
+    """WRITE, READ or UNKNOWN, by the method's first word."""
+    begins = lambda words: F.lower(method).rlike("^(" + "|".join(words) + ")")
+    return F.when(begins(WRITE_VERBS), "WRITE").when(begins(READ_VERBS), "READ").otherwise("UNKNOWN")
 
 
 def db_edge_type(op: Column) -> Column:
     """F18."""
     up = F.upper(op)
-    return F.when(up.isin("SELECT", "READ", "QUERY", "FIND", "GET"), "READS").when(up.isin("INSERT", "UPDATE", "DELETE", "UPSERT", "WRITE", "MERGE"), "WRITES").otherwise("CONNECTS")
+    return F.when(up.isin(*SPAN_READS), "READS").when(up.isin(*SPAN_WRITES), "WRITES").otherwise("CONNECTS")
 
 
 def evidence_class(mechanisms: Column) -> Column:
@@ -97,8 +116,9 @@ def liveness(count: Column) -> Column:
 
 
 def age_seconds(then: Column, now: Column) -> Column:
-    """whole seconds, not below 0."""
-    return F.greatest(F.lit(0).cast("bigint"), F.unix_timestamp(now) - F.unix_timestamp(then))
+    """whole seconds, not below 0; null if either is."""
+    age = F.unix_timestamp(now) - F.unix_timestamp(then)
+    return F.when(age.isNotNull(), F.greatest(F.lit(0).cast("bigint"), age))
 
 
 def version_tuple(name: Column) -> Column:
@@ -118,14 +138,41 @@ def cursor(*values: Column) -> Column:
     return F.rtrim(F.translate(F.base64(body.cast("binary")), "+/=\r\n", "-_"))
 
 
+#: Final states of a run that need nothing more.
+SETTLED = ("NO_LINEAGE_IMPACT", "NO_LINEAGE", "BLOCK", "PASS", "WARN", "REJECTED", "RECONCILED", "PROPOSALS_RAISED")
+
+
 def run_category(state: Column) -> Column:
-    """done, failed, review or running."""
-    return F.when(state.isin("COMPLETE", "PUBLISHED", "NO_LINEAGE"), "done").when(state.rlike("^(FAILED|REJECTED|SUPERSEDED)"), "failed").when(state.isin("IN_REVIEW", "APPROVED"), "review").otherwise("running")
+    """awaiting, failed, published, settled or running."""
+    up = F.upper(state)
+    failed = up.contains("FAILED") | up.isin("QUARANTINED", "ROLLED_BACK", "LINEAGE_OUT_OF_SYNC")
+    return F.when(up.isin("AWAITING_APPROVAL", "IN_REVIEW"), "awaiting").when(failed, "failed").when(up.isin("PUBLISHED", "PROMOTED"), "published").when(up.isin(*SETTLED), "settled").otherwise("running")
+
+
+def holds_mark(value: Column, marks: tuple[str, ...] = SECRET_MARKS) -> Column:
+    """Whether a text holds the mark of a secret, in any case."""
+    low = F.lower(value)
+    return F.coalesce(reduce(lambda a, b: a | b, [low.contains(m) for m in marks]), F.lit(False))
+
+
+#: A string of canonical JSON with the colon that makes it a key. Between two keys the scan can also begin at the end of a
+#: string, but what it takes for a key then begins with a comma or bracket.
+_KEY = r'"((?:[^"\\]|\\.)*)":'
+
+
+def prohibited(json: Column) -> Column:
+    """what makes a payload inadmissible, at any depth: MALFORMED, PROHIBITED_FIELD or SECRET_VALUE; null if nothing does."""
+    body = F.to_json(F.try_parse_json(json))
+    keys = F.transform(F.regexp_extract_all(body, F.lit(_KEY), 1), F.lower)
+    values = F.regexp_replace(body, _KEY, ":")
+    forbidden = F.arrays_overlap(keys, F.array(*map(F.lit, PROHIBITED_KEYS)))
+    return F.when(body.isNull(), "MALFORMED").when(forbidden, "PROHIBITED_FIELD").when(holds_mark(values), "SECRET_VALUE")
 
 
-def holds_secret(value: Column) -> Column:
-    """F22."""
-    return F.coalesce(value.rlike(SECRET_VALUES), F.lit(False))
+def span_prohibited(key: Column, value: Column) -> Column:
+    """F22 of a span's attribute: its key has a forbidden part, or its value the mark of a secret."""
+    low = F.lower(key)
+    return F.coalesce(reduce(lambda a, b: a | b, [low.contains(p) for p in SPAN_KEY_PARTS]), F.lit(False)) | holds_mark(value, SPAN_SECRET_MARKS)
 
 
 def only_allowed(attributes: Column, allowed: tuple[str, ...]) -> Column:

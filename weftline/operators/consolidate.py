@@ -2,18 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import names, rules
+from weftline.operators.ordered import numbered
 
 
 def deduplicated(claims: DataFrame) -> DataFrame:
-    """One row for each provenance_id, with ``conflict`` if its rows differ in what they claim."""
-    body = F.xxhash64("sources", "target", "edge_type", "mechanism", "transform", "exact", "scope", "session_complete")
-    first = F.first(F.struct(*[c for c in claims.columns if c != "provenance_id"])).alias("claim")
-    seen = claims.groupBy("provenance_id").agg(first, (F.min(body) != F.max(body)).alias("conflict"))
-    return seen.select("provenance_id", "claim.*", "conflict")
+    """One row for each provenance_id, with ``conflict`` if its rows differ in what they claim; of several bodies the smallest stays."""
+    columns = [c for c in claims.columns if c != "provenance_id"]
+    body = F.struct(*columns)
+    seen = claims.groupBy("provenance_id").agg(F.min(body).alias("claim"), F.max(body).alias("other"))
+    return seen.select("provenance_id", "claim.*", (F.col("claim") != F.col("other")).alias("conflict"))
+
+
+class Conflict(RuntimeError):
+    """Claims under one provenance_id that differ."""
+
+
+def accepted(claims: DataFrame) -> DataFrame:
+    """Claims without repeats; raises Conflict if two of one provenance_id differ."""
+    once = deduplicated(claims)
+    clash = once.where("conflict").select("provenance_id").first()
+    if clash is not None:
+        raise Conflict(clash["provenance_id"])
+    return once.drop("conflict")
+
+
+def with_key(claims: DataFrame) -> DataFrame:
+    return claims.withColumn("edge_key", rules.edge_key(F.col("sources"), F.col("target"), F.col("edge_type")))
 
 
 def consolidate(claims: DataFrame) -> DataFrame:
@@ -21,40 +39,86 @@ def consolidate(claims: DataFrame) -> DataFrame:
 
     Runtime counts as a mechanism only for complete sessions that observed elements. An edge without any counting
     mechanism has a null band (to be quarantined). The transform is that of the first exact SCA claim by
-    provenance_id, else of the first SCA or LLM claim; none if their normalised transforms conflict.
+    provenance_id, else of the first SCA or LLM claim; none if their normalised transforms conflict. Its system is that of its target, or of
+    the first governed source where the target is a service.
     """
     complete_runtime = (F.col("mechanism") == "RUNTIME") & F.col("session_complete")
     static = F.col("mechanism") != "RUNTIME"
     has = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
-    normal = F.when(static & F.col("transform").isNotNull(), rules.normal_transform(F.col("transform")))
-    rank = F.when(static & F.col("transform").isNotNull(), F.struct((~((F.col("mechanism") == "SCA") & F.col("exact"))).cast("int").alias("later"), F.col("provenance_id")))
-    grouped = claims.withColumn("edge_key", rules.edge_key(F.col("sources"), F.col("target"), F.col("edge_type"))).groupBy("edge_key", "target", "edge_type").agg(
-        F.min_by("sources", "provenance_id").alias("sources"),
+    given = static & F.col("transform").isNotNull()
+    normal = F.when(given, rules.normal_transform(F.col("transform")))
+    rank = F.when(given, F.struct((~((F.col("mechanism") == "SCA") & F.col("exact"))).cast("int").alias("later"), F.col("provenance_id")))
+    # one aggregate without DISTINCT: two normalised transforms differ if their smallest and largest do
+    grouped = with_key(claims).withColumn("normal", normal).groupBy("edge_key").agg(
+        F.min_by(F.struct("sources", "target", "edge_type"), "provenance_id").alias("e"),
         has(F.col("mechanism") == "SCA").alias("sca"),
         has(F.col("mechanism") == "LLM").alias("llm"),
         has(complete_runtime & (F.col("scope") == "ELEMENT")).alias("runtime"),
         F.max(F.when(complete_runtime, rules.ordinal(F.col("scope"), rules.CORROBORATION)).otherwise(0)).alias("observed"),
-        (F.countDistinct(normal) > 1).alias("conflict"),
+        F.coalesce(F.min("normal") != F.max("normal"), F.lit(False)).alias("conflict"),
         F.min_by("transform", rank).alias("first_transform"),
         has((F.col("mechanism") == "SCA") & F.col("exact") & F.col("transform").isNotNull()).alias("exact_sca"),
         F.count("*").alias("n_claims"),
     )
+    governed = F.when(F.col("e.target").startswith("urn:ldp:"), F.col("e.target")).otherwise(F.get(F.filter("e.sources", lambda x: x.startswith("urn:ldp:")), 0))
     return grouped.select(
-        "edge_key", "sources", "target", "edge_type",
+        "edge_key", F.array_sort("e.sources").alias("sources"), "e.target", "e.edge_type",
         rules.band(F.col("sca"), F.col("llm"), F.col("runtime")).alias("band"),
         rules.named(F.col("observed"), rules.CORROBORATION).alias("corroboration"),
         F.when(F.col("conflict"), "CONFLICTING").otherwise("PROPOSED").alias("status"),
         F.when(~F.col("conflict"), F.col("first_transform")).alias("transform"),
         (~F.col("conflict") & F.col("exact_sca")).alias("auto_publishable"),
-        names.system_of(F.col("target")).alias("system"),
+        names.system_of(governed).alias("system"),
         "n_claims",
     )
 
 
 def ledger(claims: DataFrame) -> DataFrame:
-    """The version that each newly seen provenance_id gives its edge: 1, 2, ... in order of provenance_id."""
-    keyed = claims.withColumn("edge_key", rules.edge_key(F.col("sources"), F.col("target"), F.col("edge_type"))).select("edge_key", "provenance_id").distinct()
-    return keyed.withColumn("version", F.row_number().over(Window.partitionBy("edge_key").orderBy("provenance_id")))
+    """A7 from nothing: the version that each provenance_id gives its edge: 1, 2, ... in order of provenance_id."""
+    return numbered(with_key(claims).select("edge_key", "provenance_id").distinct(), ["provenance_id"], by=["edge_key"], name="version")
+
+
+def merged(known: DataFrame, claims: DataFrame, order: str = "provenance_id") -> DataFrame:
+    """A ledger (edge_key, provenance_id, version) after claims arrive in ``order``; rows that are new have ``fresh``.
+
+    A provenance_id that its edge already has changes nothing, and among the new ones only the first of each counts; every other claim gives
+    its edge the next version.
+    """
+    keyed = with_key(claims).groupBy("edge_key", "provenance_id").agg(F.min(order).alias("at_"))
+    new = keyed.join(known.select("edge_key", "provenance_id"), ["edge_key", "provenance_id"], "left_anti")
+    top = known.groupBy("edge_key").agg(F.max("version").alias("top_"))
+    placed = numbered(new, ["at_", "provenance_id"], by=["edge_key"], name="nth_").join(top, "edge_key", "left")
+    added = placed.select("edge_key", "provenance_id", (F.coalesce("top_", F.lit(0)) + F.col("nth_")).alias("version"), F.lit(True).alias("fresh"))
+    return known.select("edge_key", "provenance_id", F.col("version").cast("bigint"), F.lit(False).alias("fresh")).unionByName(added)
+
+
+def late_claims(observed: DataFrame, edges: DataFrame) -> DataFrame:
+    """Runtime claims that complete sessions, whenever they came, make on edges that are there.
+
+    observed: (session_id, observation_id, outcome, granularity, sources, target, endpoint, edge_type, transform, exact), sources and target as
+    URNs: elements, or datasets for DATASET. Nothing observed makes an edge of its own, and sessions that are not complete claim nothing.
+    Claims have the columns that ``consolidate`` takes, and edge_key.
+    """
+    o = observed.where(F.col("outcome") == "COMPLETE").withColumn("k", F.array_sort("sources"))
+    e = edges.select("edge_key", F.col("sources").alias("edge_sources"), F.col("target").alias("edge_target"), "edge_type")
+    element = o.where((F.col("granularity") == "ELEMENT") & F.col("endpoint").isNull())
+    direct = element.withColumnRenamed("target", "t").join(e.withColumn("k", F.array_sort("edge_sources")).withColumn("t", F.col("edge_target")), ["k", "t", "edge_type"])
+    ends = o.where((F.col("granularity") == "ELEMENT") & F.col("endpoint").isNotNull() & (F.size("sources") == 1)).withColumn("a", F.col("sources")[0])
+    single = e.where(F.size("edge_sources") == 1).withColumn("s", F.col("edge_sources")[0]).withColumn("t", F.col("edge_target"))
+    out = ends.withColumn("s", F.col("a")).withColumn("t", F.col("endpoint")).join(single, ["s", "t", "edge_type"])
+    back = ends.withColumn("s", F.col("endpoint")).withColumn("t", F.col("a")).join(single, ["s", "t", "edge_type"])
+    governed = e.where(F.col("edge_target").startswith("urn:ldp:") & F.forall("edge_sources", lambda s: s.startswith("urn:ldp:")))
+    by_set = governed.withColumn("k", F.array_sort(F.array_distinct(F.transform("edge_sources", names.dataset_of)))).withColumn("t", names.dataset_of(F.col("edge_target")))
+    coarse = o.where(F.col("granularity") == "DATASET").withColumn("k", F.array_sort(F.array_distinct("sources"))).withColumnRenamed("target", "t").join(by_set, ["k", "t", "edge_type"])
+    name = F.concat_ws(":", F.lit("runtime"), F.col("session_id").cast("string"), F.col("observation_id"))
+
+    def claim(df: DataFrame, own: Column) -> DataFrame:
+        return df.select(
+            own.alias("provenance_id"), "edge_key", F.col("edge_sources").alias("sources"), F.col("edge_target").alias("target"), "edge_type", F.lit("RUNTIME").alias("mechanism"), "transform",
+            "exact", F.col("granularity").alias("scope"), F.lit(True).alias("session_complete"),
+        )
+
+    return claim(direct, name).unionByName(claim(out, name)).unionByName(claim(back, name)).unionByName(claim(coarse, F.concat_ws(":", name, "edge_key"))).distinct()
 
 
 def latest(rows: DataFrame, key: str, version: str) -> DataFrame:
@@ -65,27 +129,33 @@ def latest(rows: DataFrame, key: str, version: str) -> DataFrame:
 
 
 def compose(edges: DataFrame) -> DataFrame:
-    """Edges of several repositories by (sources, target, edge_type): who contributes, and whether transforms differ."""
-    key = F.array_sort("sources")
-    return edges.groupBy(key.alias("sources"), "target", "edge_type").agg(
+    """Edges of several repositories by (sources, target, edge_type): who contributes, by which claims, and whether transforms differ.
+
+    What the edges hold beside that comes from the first repository's smallest claim. One grouping by the edge's key; the lists are as long as an edge's own
+    witnesses.
+    """
+    return with_key(edges).groupBy("edge_key").agg(
+        F.min_by(F.struct(F.array_sort("sources").alias("sources"), "target", "edge_type"), F.struct("repository", "provenance_id")).alias("e"),
         F.array_sort(F.collect_set("repository")).alias("contributed_by"),
+        F.array_sort(F.collect_set("provenance_id")).alias("provenance_ids"),
         F.array_sort(F.collect_set("transform")).alias("transforms"),
-        F.countDistinct("provenance_id").alias("n_provenance"),
-        (F.countDistinct("transform") > 1).alias("transform_conflict"),
-    )
+    ).select("edge_key", "e.*", "contributed_by", "provenance_ids", "transforms", (F.size("transforms") > 1).alias("transform_conflict"))
+
+
+def _ends(edges: DataFrame) -> DataFrame:
+    """(repository, dataset) of every edge's ends, each once."""
+    return edges.select("repository", F.explode(F.array_distinct(F.transform(F.concat("sources", F.array("target")), names.dataset_of))).alias("dataset")).distinct()
 
 
 def contributions(edges: DataFrame) -> DataFrame:
-    """Edges and distinct endpoint datasets of each repository."""
-    ends = edges.select("repository", F.explode(F.concat("sources", F.array("target"))).alias("end"))
-    sets = ends.groupBy("repository").agg(F.countDistinct("end").alias("n_endpoints"))
+    """Edges and distinct datasets of each repository."""
+    sets = _ends(edges).groupBy("repository").agg(F.count("*").alias("n_datasets"))
     return edges.groupBy("repository").agg(F.count("*").alias("n_edges")).join(sets, "repository")
 
 
 def seams(edges: DataFrame) -> DataFrame:
-    """Endpoints in edges of more than one repository."""
-    ends = edges.select("repository", F.explode(F.concat("sources", F.array("target"))).alias("dataset"))
-    return ends.groupBy("dataset").agg(F.countDistinct("repository").alias("n_repositories")).where(F.col("n_repositories") > 1)
+    """Datasets in edges of more than one repository."""
+    return _ends(edges).groupBy("dataset").agg(F.count("*").alias("n_repositories")).where(F.col("n_repositories") > 1)
 
 
 def corroborated_elements(observed: DataFrame, edges: DataFrame) -> DataFrame:

@@ -1,56 +1,136 @@
-"""Traversals (T1-T8, T10): one join a level, with the pairs reached so far anti-joined."""
+"""Traversals (T1-T11): one join a level, with what was reached before anti-joined; each level is a reliable checkpoint."""
 
 from __future__ import annotations
 
 import itertools
-import tempfile
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import names, rules
+from weftline.operators.checkpoints import cut
+from weftline.operators.ordered import numbered
 
 MAX_DEPTH = 5
 #: After so many levels the union of them is cut, so that a deep chain's plan stays short.
 CUT_LEVELS = 16
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that spark.checkpoint.dir names (where unset: one for tests)."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-"))
-    return df.checkpoint()
-
-
 def adjacency(edges: DataFrame) -> DataFrame:
     """(source, target, ...) with one row for each source of an edge."""
     return edges.withColumn("source", F.explode("sources")).drop("sources")
 
 
-def lineage(adjacent: DataFrame, subject: str, direction: str = "down", depth: int = 3) -> DataFrame:
-    """(node, hops) within depth of a subject, itself included; direction down, up or both."""
+class Lineage(NamedTuple):
+    """nodes: (node, hops); edges: the selected edges; truncated: whether edges lead on from the last level."""
+
+    nodes: DataFrame
+    edges: DataFrame
+    truncated: bool
+
+
+def _depth(depth: int) -> None:
     if not 1 <= depth <= MAX_DEPTH:
         raise ValueError(f"depth must be from 1 to {MAX_DEPTH}")
-    spark = adjacent.sparkSession
-    down = adjacent.select(F.col("source").alias("a"), F.col("target").alias("b"))
-    up = down.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    steps = {"down": down, "up": up, "both": down.unionByName(up)}[direction]
-    reached = spark.createDataFrame([(subject, 0)], "node string, hops int")
-    frontier = reached
+
+
+def _steps(edges: DataFrame, direction: str, key: str) -> DataFrame:
+    """(a, b, key): from a node over an edge to a node, in the direction asked for."""
+    if direction not in ("down", "up", "both"):
+        raise ValueError("direction must be up, down or both")
+    down = edges.select(F.explode("sources").alias("a"), F.col("target").alias("b"), key)
+    up = edges.select(F.col("target").alias("a"), F.explode("sources").alias("b"), key)
+    return {"down": down, "up": up, "both": down.unionByName(up)}[direction]
+
+
+def lineage(edges: DataFrame, subject: str, direction: str = "down", depth: int = 3, key: str = "edge_key") -> Lineage:
+    """What lies within depth of a subject; direction down, up or both.
+
+    edges: (key, sources, target, ...). An edge that is touched is selected, and all its ends are nodes; but only the ends on the
+    side walked to are walked on from, unless they were nodes of an earlier level. The subject has hops 0, a node the level that it first came in.
+    """
+    _depth(depth)
+    spark = edges.sparkSession
+    steps = _steps(edges, direction, key)
+    ends = edges.select(key, F.explode(F.concat("sources", F.array("target"))).alias("node"))
+    nodes = spark.createDataFrame([(subject, 0)], "node string, hops int")
+    frontier, touched = nodes.select("node"), None
     for hop in range(1, depth + 1):
-        found = frontier.join(steps, frontier["node"] == steps["a"]).select(F.col("b").alias("node")).distinct()
-        frontier = _cut(found.join(reached, "node", "left_anti").withColumn("hops", F.lit(hop)))
+        met = cut(frontier.join(steps, frontier["node"] == steps["a"]).select("b", key).distinct())
+        if met.isEmpty():
+            frontier = None
+            break
+        keys = met.select(key).distinct()
+        found = met.select(F.col("b").alias("node")).distinct().join(nodes, "node", "left_anti")
+        fresh = ends.join(keys, key, "left_semi").select("node").distinct().join(nodes, "node", "left_anti").withColumn("hops", F.lit(hop))
+        touched = keys if touched is None else touched.unionByName(keys)
+        frontier = cut(found)
+        nodes = cut(nodes.unionByName(fresh))
         if frontier.isEmpty():
+            frontier = None
             break
-        reached = reached.unionByName(frontier)
-    return reached
+    on = frontier is not None and not frontier.join(steps.withColumnRenamed("a", "node"), "node", "left_semi").isEmpty()
+    chosen = edges.where(F.lit(False)) if touched is None else edges.join(touched.distinct(), key, "left_semi")
+    return Lineage(nodes, chosen, on)
+
+
+class Paths(NamedTuple):
+    """rows: (node, path_length, via, band_at); truncated: whether there are more than the limit."""
+
+    rows: DataFrame
+    truncated: bool
+
+
+def paths(edges: DataFrame, subject: str, depth: int, limit: int, direction: str = "down", key: str = "edge_key", *, trails: bool = True, by_via: bool = False) -> Paths:
+    """The first ``limit`` paths from a subject, shorter ones first, then by node (by_via: by their edges).
+
+    edges: (key, sources, target, band_at). With trails no path has an edge twice. As shorter paths come first, no level is extended once the
+    limit is reached: a level that is has at most ``limit`` paths.
+    """
+    _depth(depth)
+    if not 1 <= limit <= 10_000:
+        raise ValueError("limit must be from 1 to 10000")
+    steps = _steps(edges, direction, key).join(edges.select(key, F.col("band_at").alias("own")), key)
+    level = edges.sparkSession.createDataFrame([(subject, [], len(rules.BANDS) - 1)], "node string, via array<string>, band_at int")
+    out, left, more = level.where(F.lit(False)).withColumn("path_length", F.lit(0)), limit, False
+    order = ["via", "node"] if by_via else ["node", "via"]
+    for length in range(1, depth + 1):
+        f = level.withColumnRenamed("node", "a")
+        on = f.join(steps, "a")
+        if trails:
+            on = on.where(~F.array_contains("via", F.col(key)))
+        on = on.select(F.col("b").alias("node"), F.concat("via", F.array(key)).alias("via"), F.least("band_at", "own").cast("int").alias("band_at"))
+        level = cut(on.orderBy(*order).limit(left + 1))
+        n = level.count()
+        if n > left:
+            more = True
+            level = cut(level.orderBy(*order).limit(left)) if left else level.where(F.lit(False))
+        out = out.unionByName(level.withColumn("path_length", F.lit(length)))
+        left -= min(n, left)
+        if n == 0 or more:
+            break
+    return Paths(out.select("node", "path_length", "via", "band_at"), more)
+
 
+def path_lineage(edges: DataFrame, subject: str, depth: int, limit: int, direction: str = "down", key: str = "edge_key") -> Lineage:
+    """T4: the nodes and edges of the first paths, by ``paths``; of the edges the first ``limit`` by key."""
+    found = paths(edges, subject, depth, limit, direction, key)
+    keys = found.rows.select(F.explode("via").alias(key)).distinct()
+    chosen = edges.join(keys, key, "left_semi")
+    nodes = chosen.select(F.explode(F.concat("sources", F.array("target"))).alias("node"))
+    start = edges.sparkSession.createDataFrame([(subject,)], "node string")
+    on_path = found.rows.select("node").distinct().unionByName(start)
+    over = chosen.count() > limit
+    return Lineage(nodes.distinct().join(on_path, "node", "left_semi").unionByName(start).distinct(), chosen.orderBy(key).limit(limit), found.truncated or over)
 
-def truncated(adjacent: DataFrame, reached: DataFrame, depth: int) -> bool:
-    """Whether a node at the depth limit has an edge onwards."""
-    edge_nodes = reached.where(F.col("hops") == depth).select(F.col("node").alias("source"))
-    return not edge_nodes.join(adjacent, "source", "left_semi").isEmpty()
+
+def path_impact(edges: DataFrame, subject: str, change: str, depth: int, limit: int, key: str = "edge_key", *, trails: bool = True, by_via: bool = False) -> Paths:
+    """Each target of the first paths by its shortest one (ties: the first in order): its weakest band and severity."""
+    found = paths(edges, subject, depth, limit, "down", key, trails=trails, by_via=by_via)
+    best = found.rows.groupBy("node").agg(F.min(F.struct("path_length", "via", "band_at")).alias("p"))
+    band = rules.named(F.col("p.band_at"), rules.BANDS)
+    return Paths(best.select("node", "p.path_length", "p.via", band.alias("band"), rules.severity(F.lit(change), band).alias("severity")), found.truncated)
 
 
 def impact(adjacent: DataFrame, subjects: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
@@ -69,7 +149,7 @@ def impact(adjacent: DataFrame, subjects: DataFrame, depth: int = MAX_DEPTH) ->
         next_ = f.join(steps, "source").select("change_id", "change_type", F.col("target").alias("node"), F.concat("via", F.array("edge_key")).alias("via"), F.least("b", "band_at").cast("int").alias("band_at"), F.least("c", "corroboration_at").cast("int").alias("corroboration_at"))
         next_ = next_.join(visited, ["change_id", "node"], "left_anti")
         first = F.min_by(F.struct("change_type", "via", "band_at", "corroboration_at"), F.col("via")).alias("best")
-        frontier = _cut(next_.groupBy("change_id", "node").agg(first).select("change_id", "node", "best.*"))
+        frontier = cut(next_.groupBy("change_id", "node").agg(first).select("change_id", "node", "best.*"))
         if frontier.isEmpty():
             break
         visited = visited.unionByName(frontier.select("change_id", "node"))
@@ -81,39 +161,154 @@ def impact(adjacent: DataFrame, subjects: DataFrame, depth: int = MAX_DEPTH) ->
     return out.select("change_id", F.col("node").alias("target"), "path_length", F.col("via").alias("via_edges"), band.alias("band"), rules.named(F.col("corroboration_at"), rules.CORROBORATION).alias("corroboration"), rules.severity(F.col("change_type"), band).alias("severity"), F.concat(F.lit("team-"), names.system_of(F.col("node"))).alias("owner"), names.node_kind(F.col("node")).alias("kind"))
 
 
+def impact_truncated(adjacent: DataFrame, subjects: DataFrame, affected: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
+    """Whether each change has a node at the depth limit with any edge onwards, be it to one that was visited."""
+    last = affected.where(F.col("path_length") == depth).select("change_id", F.col("target").alias("source"))
+    cut_off = last.join(adjacent.select("source").distinct(), "source", "left_semi").select("change_id").distinct().withColumn("truncated", F.lit(True))
+    return subjects.select("change_id").distinct().join(cut_off, "change_id", "left").select("change_id", F.coalesce("truncated", F.lit(False)).alias("truncated"))
+
+
 def blast_radius(adjacent: DataFrame, seed: str) -> DataFrame:
-    """(node, hops, severity) of everything that a seed reaches, to the fixpoint.
+    """(node, dataset, hops, severity, via) of everything that a seed reaches, to the fixpoint; via: the transforms on the way.
 
-    A dataset also reaches the targets of its elements (one way). The lineage of the plan is cut at each level.
+    adjacent: (source, target, transform). A dataset also reaches the targets of its elements (one way). Of several ways of the fewest hops that of the
+    parent found first counts, of one parent the smallest transform: so each level is ranked by (parent's rank, node).
     """
     spark = adjacent.sparkSession
-    own = adjacent.select("source", "target")
-    bridge = own.where(F.col("source").contains("#")).select(names.dataset_of(F.col("source")).alias("source"), "target")
-    steps = _cut(own.unionByName(bridge).distinct())
-    reached = spark.createDataFrame([(seed, 0)], "node string, hops int")
-    frontier = reached
+    own = adjacent.select("source", "target", F.coalesce("transform", F.lit("")).alias("transform"))
+    bridge = own.where(F.col("source").contains("#")).select(names.dataset_of(F.col("source")).alias("source"), "target", "transform")
+    steps = cut(own.unionByName(bridge).groupBy("source", "target").agg(F.min("transform").alias("transform")))
+    reached = spark.createDataFrame([(seed, 0, [])], "node string, hops int, via array<string>")
+    frontier = reached.select("node", "via").withColumn("rank", F.lit(1).cast("bigint"))
     for hop in itertools.count(1):
-        found = frontier.join(steps, frontier["node"] == steps["source"]).select(F.col("target").alias("node")).distinct()
-        frontier = _cut(found.join(reached, "node", "left_anti").withColumn("hops", F.lit(hop)))
-        if frontier.isEmpty():
+        met = frontier.withColumnRenamed("node", "source").join(steps, "source").select(F.col("target").alias("node"), "rank", F.concat("via", F.array("transform")).alias("via"))
+        best = met.join(reached.select("node"), "node", "left_anti").groupBy("node").agg(F.min(F.struct("rank", "via")).alias("best"))
+        level = cut(best.select("node", F.col("best.via").alias("via"), F.col("best.rank").alias("parent")))
+        if level.isEmpty():
             break
-        reached = _cut(reached.unionByName(frontier))
-    return reached.withColumn("severity", rules.hop_severity(F.col("hops")))
+        frontier = numbered(level, ["parent", "node"], name="rank").select("node", "via", "rank")
+        reached = reached.unionByName(level.select("node", F.lit(hop).alias("hops"), "via"))
+        if hop % CUT_LEVELS == 0:
+            reached = cut(reached)
+    return reached.select("node", names.dataset_of(F.col("node")).alias("dataset"), "hops", rules.hop_severity(F.col("hops")).alias("severity"), "via")
 
 
 def closure(steps: DataFrame) -> DataFrame:
-    """(node, ancestor, hops) of the transitive closure of (node, parent), shortest hops."""
-    reached = _cut(steps.select("node", F.col("parent").alias("ancestor")).distinct().withColumn("hops", F.lit(1)))
-    frontier = reached
-    for hop in itertools.count(2):
-        further = frontier.select("node", F.col("ancestor").alias("mid")).join(steps.select(F.col("node").alias("mid"), F.col("parent").alias("ancestor")), "mid").select("node", "ancestor").distinct()
-        frontier = _cut(further.join(reached, ["node", "ancestor"], "left_anti").withColumn("hops", F.lit(hop)))
+    """(node, ancestor, hops) of the transitive closure of (node, parent), with the fewest hops.
+
+    Pairs are joined with themselves, so a chain of n steps takes log n rounds.
+    """
+    reached = cut(steps.select("node", F.col("parent").alias("ancestor")).distinct().withColumn("hops", F.lit(1)))
+    before = None
+    while True:
+        now = tuple(reached.agg(F.count("*"), F.sum("hops")).first())
+        if now == before:
+            return reached
+        before = now
+        half = reached.select("node", F.col("ancestor").alias("mid"), F.col("hops").alias("h"))
+        rest = reached.select(F.col("node").alias("mid"), "ancestor", F.col("hops").alias("k"))
+        longer = half.join(rest, "mid").select("node", "ancestor", (F.col("h") + F.col("k")).alias("hops"))
+        reached = cut(reached.unionByName(longer).groupBy("node", "ancestor").agg(F.min("hops").alias("hops")))
+
+
+def distances(pairs: DataFrame, subject: str, name: str) -> DataFrame:
+    """(node, name): the fewest steps from a subject over (a, b), to the fixpoint."""
+    reached = pairs.sparkSession.createDataFrame([(subject, 0)], f"node string, {name} int")
+    frontier = reached.select("node")
+    for hop in itertools.count(1):
+        frontier = cut(frontier.join(pairs, frontier["node"] == pairs["a"]).select(F.col("b").alias("node")).distinct().join(reached, "node", "left_anti"))
         if frontier.isEmpty():
-            break
-        reached = reached.unionByName(frontier)
+            return reached
+        reached = reached.unionByName(frontier.withColumn(name, F.lit(hop)))
         if hop % CUT_LEVELS == 0:
-            reached = _cut(reached)
-    return reached
+            reached = cut(reached)
+
+
+def canvas_ranks(pairs: DataFrame, subject: str | None) -> DataFrame:
+    """(node, rank) of a drawing's columns, the leftmost being 0. pairs: (a, b), a before b.
+
+    With a subject: its distance downwards, or less than zero upwards; where both are known the smaller, downwards if they are equal. What it does
+    not reach settles beside a ranked neighbour (round by round; the one before it by the smallest name, else the one after), else at 0. Without
+    one: the longest way from a node that nothing precedes; what only a cycle leads to keeps the rank that settled nodes give it.
+    """
+    pairs = cut(pairs.where(F.col("a") != F.col("b")).select("a", "b").distinct())
+    nodes = cut(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
+    if subject is None:
+        return _longest(nodes, pairs)
+    back = pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    d, u = F.col("d"), F.col("u")
+    both = nodes.join(distances(pairs, subject, "d"), "node", "left").join(distances(back, subject, "u"), "node", "left")
+    rank = F.when(d.isNotNull() & (u.isNull() | (d <= u)), d).when(u.isNotNull(), -u)
+    ranked = cut(both.select("node", rank.alias("rank")))
+    while True:
+        open_ = ranked.where(F.col("rank").isNull()).select("node")
+        known = ranked.where(F.col("rank").isNotNull())
+        side = lambda p, near, own, by: open_.join(p.select(F.col(own).alias("node"), F.col(near).alias("n")), "node").join(known.select(F.col("node").alias("n"), "rank"), "n").groupBy("node").agg((F.min_by("rank", "n") + by).alias("rank"))
+        before, after = side(pairs, "a", "b", 1), side(pairs, "b", "a", -1)
+        settled = cut(open_.join(before.withColumnRenamed("rank", "x"), "node", "left").join(after.withColumnRenamed("rank", "y"), "node", "left").select("node", F.coalesce("x", "y").alias("rank")))
+        if settled.where(F.col("rank").isNotNull()).isEmpty():
+            break
+        ranked = cut(known.unionByName(settled))
+    ranked = ranked.withColumn("rank", F.coalesce("rank", F.lit(0)))
+    least = ranked.agg(F.min("rank")).first()[0] or 0
+    return ranked.select("node", (F.col("rank") - least).cast("int").alias("rank"))
+
+
+def _longest(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Ranks by Kahn's order, a level at a time: a node is settled once all before it are."""
+    ranked = cut(nodes.select("node", F.lit(0).alias("rank")))
+    left = pairs
+    ready = cut(nodes.join(pairs.select(F.col("b").alias("node")).distinct(), "node", "left_anti"))
+    while not ready.isEmpty():
+        gone = ready.withColumnRenamed("node", "a")
+        pushed = left.join(gone, "a", "left_semi").join(ranked.select(F.col("node").alias("a"), "rank"), "a").groupBy("b").agg((F.max("rank") + 1).alias("r"))
+        ranked = cut(ranked.join(pushed.withColumnRenamed("b", "node"), "node", "left").select("node", F.greatest("rank", F.coalesce("r", F.lit(0))).alias("rank")))
+        met = left.join(gone, "a", "left_semi").select(F.col("b").alias("node")).distinct()
+        left = cut(left.join(gone, "a", "left_anti"))
+        ready = cut(met.join(left.select(F.col("b").alias("node")).distinct(), "node", "left_anti"))
+    return ranked
+
+
+def workflow_errors(stages: DataFrame, workflows: DataFrame) -> DataFrame:
+    """(kind, stage, error) of workflow definitions: routes, bounds, reachability.
+
+    stages: (kind, stage, timeout_s, max_attempts, retry_class, side_effect, on_success, on_error array<string>); workflows: (kind, entry,
+    timeout_s, terminals array<string>). A route goes to a stage of its workflow or to ``terminal:`` and a declared state.
+    """
+    whole = F.lit(None).cast("string")
+    key = lambda c: F.concat_ws("/", "kind", c)
+    routes = stages.select("kind", "stage", F.inline(F.array(F.struct(F.lit("success").alias("way"), F.col("on_success").alias("to")), F.struct(F.lit("error").alias("way"), F.col("on_error").alias("to")))))
+    each = routes.select("kind", "stage", "way", F.explode("to").alias("to")).join(workflows.select("kind", "terminals"), "kind")
+    ends = F.col("to").startswith("terminal:")
+    declared = F.array_contains("terminals", F.regexp_replace("to", "^terminal:", ""))
+    known = stages.select("kind", F.col("stage").alias("to"), F.lit(True).alias("known")).distinct()
+    each = cut(each.join(known, ["kind", "to"], "left").select("kind", "stage", "way", "to", ends.alias("ends"), (ends & declared).alias("declared"), F.coalesce("known", F.lit(False)).alias("known")))
+    hops = each.where("known")
+    ahead = closure(hops.select(key("stage").alias("node"), key("to").alias("parent"))) if not hops.isEmpty() else hops.select(key("stage").alias("node"), key("to").alias("ancestor"))
+    # stages from which some declared terminal is reached, at once or over others
+    at_once = each.where("declared").select(key("stage").alias("ancestor")).distinct()
+    good = at_once.unionByName(ahead.join(at_once, "ancestor", "left_semi").select(F.col("node").alias("ancestor"))).distinct().select(F.col("ancestor").alias("to_key"), F.lit(True).alias("good"))
+    led = each.withColumn("to_key", key("to")).join(good, "to_key", "left").groupBy("kind", "stage", "way").agg(F.bool_or(F.col("declared") | F.coalesce("good", F.lit(False))).alias("ok"))
+    entry = workflows.select("kind", F.concat_ws("/", "kind", "entry").alias("e"))
+    inside = ahead.join(entry, F.col("node") == F.col("e")).select("kind", F.col("ancestor").alias("s")).unionByName(entry.select("kind", F.col("e").alias("s"))).distinct()
+    unreached = stages.select("kind", "stage", key("stage").alias("s")).join(inside, ["kind", "s"], "left_anti")
+    sums = stages.groupBy("kind").agg(F.sum("timeout_s").alias("path_s"), F.count("*").alias("n"), F.countDistinct("stage").alias("k"))
+    w = workflows.join(sums, "kind", "left").join(stages.select("kind", F.col("stage").alias("entry"), F.lit(True).alias("there")).distinct(), ["kind", "entry"], "left")
+    of_workflow = [
+        ("REPEATED_STAGE", F.col("n") != F.col("k")), ("UNKNOWN_ENTRY", F.col("there").isNull()), ("TIMEOUT", F.col("timeout_s") < 1),
+        ("CRITICAL_PATH", F.col("path_s") > F.col("timeout_s")), ("NO_TERMINAL", F.size("terminals") == 0),
+    ]
+    s = stages.join(workflows.select("kind", F.col("timeout_s").alias("most")), "kind")
+    of_stage = [
+        ("STAGE_TIMEOUT", ~F.col("timeout_s").between(1, F.col("most"))), ("ATTEMPTS", ~F.col("max_attempts").between(1, 5)), ("RETRY_CLASS", ~F.col("retry_class").isin("NONE", "BOUNDED_TRANSIENT")),
+        ("SIDE_EFFECT", ~F.col("side_effect").isin("PURE", "READ_ONLY", "IMMUTABLE_WRITE", "IDEMPOTENT_WRITE", "FENCED_WRITE", "CHECK_AND_AUDIT_WRITE")),
+        ("NO_SUCCESS_ROUTE", F.size("on_success") == 0), ("NO_ERROR_ROUTE", F.size("on_error") == 0),
+    ]
+    codes = lambda tests: F.explode(F.array_compact(F.array(*[F.when(t, c) for c, t in tests])))
+    found = w.select("kind", whole.alias("stage"), codes(of_workflow).alias("error")).unionByName(s.select("kind", "stage", codes(of_stage).alias("error")))
+    bad = each.where(F.when(F.col("ends"), ~F.col("declared")).otherwise(~F.col("known"))).select("kind", "stage", F.when(F.col("ends"), "UNDECLARED_TERMINAL").otherwise("UNKNOWN_STAGE").alias("error"))
+    dead = led.where(~F.col("ok")).select("kind", "stage", F.concat(F.upper("way"), F.lit("_WITHOUT_TERMINAL")).alias("error"))
+    return found.unionByName(bad).unionByName(dead).unionByName(unreached.select("kind", "stage", F.lit("UNREACHABLE").alias("error"))).distinct()
 
 
 def weakest_incident(adjacent: DataFrame) -> DataFrame:
@@ -140,6 +335,4 @@ def page(rows: DataFrame, keys: list[str], after: tuple | None, limit: int) -> D
 def within_budget(affected: DataFrame, most: int) -> DataFrame:
     """changes' results in turn while their running number is within a budget shared by all."""
     counts = affected.groupBy("change_id").agg(F.count("*").alias("n"))
-    # one row a change, so one task orders few rows
-    upto = F.sum("n").over(Window.orderBy("change_id"))
-    return counts.withColumn("upto", upto).withColumn("truncated", F.col("upto") > most).select("change_id", "n", "truncated")
+    return numbered(counts, ["change_id"], value="n", name="upto").select("change_id", "n", (F.col("upto") > most).alias("truncated"))

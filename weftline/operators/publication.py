@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,10 +16,11 @@ class Refused(RuntimeError):
 
 
 class Store:
-    """Namespaces ``env=/version=`` of edges under a folder, and one pointer file for each environment.
+    """Namespaces ``env=/version=`` of edges under a folder, and a pointer for each environment.
 
-    A namespace is written aside, verified by count and checksum, and only then named by the pointer; the pointer is
-    replaced by a rename in the folder's file system. Tokens grow, and an old one can't activate.
+    A namespace is written aside, verified by count and checksum, and only then named by the pointer. A pointer is a row of numbered files, of which
+    the highest holds; a new one is written whole and takes the next number by a rename, which the file system grants to one writer only. So there always
+    is a pointer, tokens only grow, and of two writers that read the same pointer one is refused.
     """
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
@@ -30,28 +32,36 @@ class Store:
     def place(self, env: str, version: int) -> str:
         return f"{self.folder}/graph/env={env}/version={version}"
 
+    def _numbers(self, env: str) -> list[int]:
+        at = self._path(f"{self.folder}/pointer/{env}")
+        if not self.fs.exists(at):
+            return []
+        names = [f.getPath().getName() for f in self.fs.listStatus(at)]
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
     def pointer(self, env: str) -> dict:
-        p = self._path(f"{self.folder}/pointer/{env}.json")
-        if not self.fs.exists(p):
-            return {"active": None, "prior": None, "token": 0}
-        return json.loads(self.spark.read.option("wholetext", True).text(p.toString()).first()[0])
-
-    def _point(self, env: str, value: dict) -> None:
-        new, old = self._path(f"{self.folder}/pointer/.{env}.{value['token']}"), self._path(f"{self.folder}/pointer/{env}.json")
-        out = self.fs.create(new, True)
+        numbers = self._numbers(env)
+        if not numbers:
+            return {"active": None, "prior": None, "token": 0, "number": 0}
+        text = self.spark.read.option("wholetext", True).text(f"{self.folder}/pointer/{env}/{numbers[-1]:012d}.json").first()[0]
+        return {**json.loads(text), "number": numbers[-1]}
+
+    def _point(self, env: str, before: dict, value: dict) -> None:
+        """Puts value after the pointer that was read before; refused if another came between."""
+        folder = f"{self.folder}/pointer/{env}"
+        new, to = self._path(f"{folder}/{uuid.uuid4().hex}.tmp"), self._path(f"{folder}/{before['number'] + 1:012d}.json")
+        out = self.fs.create(new, False)
         out.write(bytearray(json.dumps(value).encode()))
         out.close()
-        if self.fs.exists(old):
-            self.fs.delete(old, False)
-        if not self.fs.rename(new, old):
-            raise Refused(f"the pointer of {env} could not be replaced")
+        if self.fs.exists(to) or not self.fs.rename(new, to):
+            self.fs.delete(new, False)
+            raise Refused(f"another writer moved the pointer of {env}")
 
     def reserve(self, env: str) -> int:
         """A token above all before."""
         p = self.pointer(env)
-        p["token"] += 1
-        self._point(env, p)
-        return p["token"]
+        self._point(env, p, {"active": p["active"], "prior": p["prior"], "token": p["token"] + 1})
+        return p["token"] + 1
 
     def digest(self, edges: DataFrame) -> tuple[str, int]:
         r = checksum(edges.select(F.lit(1).alias("g"), F.to_json(F.struct(*sorted(edges.columns))).alias("body")), "g", "body").first()
@@ -73,7 +83,7 @@ class Store:
         if token != p["token"]:
             raise Refused("a later reservation holds the fence")
         if p["active"] != version:
-            self._point(env, {"active": version, "prior": p["active"], "token": token})
+            self._point(env, p, {"active": version, "prior": p["active"], "token": token})
 
     def rollback(self, env: str, version: int, token: int, expected: str) -> None:
         """U8: names an earlier namespace again, if its checksum still is the expected one."""
@@ -118,13 +128,6 @@ def alerts(checks: DataFrame) -> DataFrame:
     return checks.select("night", F.array_join(found, ",").alias("alerts"), F.when(F.col("sample_drift") > 0, "PROPOSALS_RAISED").otherwise("RECONCILED").alias("terminal"))
 
 
-def resilience(parts: DataFrame) -> DataFrame:
-    """C9, A.5: the overall state of (queue, coverage, baseline, review, publication, watermark, correlation) states."""
-    states = F.array("queue", "coverage", "baseline", "review", "publication", "watermark", "correlation")
-    bad = F.exists(states, lambda s: s.isin("DEGRADED", "INCOMPLETE", "STALE"))
-    return parts.withColumn("overall", F.when(F.col("publication") == "OUT_OF_SYNC", "OUT_OF_SYNC").when(bad, "DEGRADED").otherwise("HEALTHY"))
-
-
 def drained(entries: DataFrame, order: list[str], most: int) -> tuple[DataFrame, bool]:
     """The first entries in order, and whether there were more (one more is asked for)."""
     some = entries.orderBy(*order).limit(most + 1)

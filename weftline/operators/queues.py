@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions import rules
+from weftline.operators.ordered import numbered
+
 #: Event type, lane, workflow, deadline in seconds, attempts.
 LANES = (
     ("pr.updated", "interactive", "PR_GATE", 120, 2),
@@ -36,37 +39,86 @@ def intake(deliveries: DataFrame) -> DataFrame:
     return judged.withColumn("nth", nth).select("delivery_id", "event_id", status.alias("status"), "reason")
 
 
-def claimable(messages: DataFrame) -> DataFrame:
-    """Available messages that are the oldest unfinished of their group (FIFO): a grouped minimum, no theta join."""
-    open_ = messages.where(F.col("status") != "DONE")
-    heads = open_.groupBy("lane", "group_id").agg(F.min(F.struct("sequence", "status", "created_at", "attempts")).alias("head"))
-    return heads.where(F.col("head.status") == "AVAILABLE").select("lane", "group_id", "head.sequence", "head.created_at", "head.attempts")
+#: States of a message; those in BLOCKING hold up the younger messages of their group.
+BLOCKING = ("AVAILABLE", "IN_FLIGHT")
+LANE_RANK = ("interactive", "events", "bulk")
+
+
+def claimable(messages: DataFrame, now: Column, groups: DataFrame | None = None) -> DataFrame:
+    """Due messages that are the oldest open one of their group (FIFO): a grouped minimum, no theta join.
+
+    messages: (lane, group_id, sequence, status, created_at, available_at, attempts). Acknowledged, dead and superseded messages block
+    nothing. groups: (lane, group_id, last_claim_order); with it the claim order of a lane is given too: groups that never were
+    claimed first, then by their last claim, then by sequence.
+    """
+    open_ = messages.where(F.col("status").isin(*BLOCKING))
+    head = F.min_by(F.struct("sequence", "status", "created_at", "available_at", "attempts"), "sequence").alias("head")
+    heads = open_.groupBy("lane", "group_id").agg(head).where((F.col("head.status") == "AVAILABLE") & (F.col("head.available_at") <= now))
+    out = heads.select("lane", "group_id", "head.sequence", "head.created_at", "head.attempts")
+    if groups is None:
+        return out
+    placed = out.join(groups.select("lane", "group_id", "last_claim_order"), ["lane", "group_id"], "left")
+    return numbered(placed.withColumn("last_claim_order", F.coalesce("last_claim_order", F.lit(-1))), ["last_claim_order", "sequence"], by=["lane"], name="claim").drop("last_claim_order")
 
 
 def fair_order(messages: DataFrame) -> DataFrame:
-    """Round robin: each group's first, then each one's second, ... ; ``turn`` and sequence order the claims."""
-    w = Window.partitionBy("lane", "group_id").orderBy("sequence")
-    return messages.where(F.col("status") == "AVAILABLE").withColumn("turn", F.row_number().over(w))
+    """W7 in batch: round robin: each group's first, then each one's second, ... ; ``turn`` and sequence order the claims."""
+    return numbered(messages.where(F.col("status") == "AVAILABLE"), ["sequence"], by=["lane", "group_id"], name="turn")
 
 
 def superseded(messages: DataFrame, key: str) -> DataFrame:
-    """Open messages with a newer one of the same key in the lane."""
+    """Available messages with a newer message of the same key in the lane, whatever became of that one."""
     w = Window.partitionBy("lane", key).orderBy("sequence")
-    newer = messages.where(F.col("status") != "DONE").withColumn("by", F.lead("sequence").over(w))
-    return newer.where(F.col("by").isNotNull()).select("lane", key, "sequence", "by")
+    newer = messages.withColumn("by", F.lead("sequence").over(w))
+    return newer.where((F.col("status") == "AVAILABLE") & F.col("by").isNotNull()).select("lane", key, "sequence", "by")
 
 
-def recovered(messages: DataFrame, most_attempts: int) -> DataFrame:
-    """C4: claimed messages whose visibility ran out: DEAD at the last attempt, else AVAILABLE."""
-    return messages.where(F.col("status") == "CLAIMED").select("lane", "sequence", F.when(F.col("attempts") >= most_attempts, "DEAD").otherwise("AVAILABLE").alias("status"))
+#: What may be done to a message, the states it may be in then, and the state that follows.
+STEPS = (
+    ("claim", ("AVAILABLE",), "IN_FLIGHT"), ("ack", ("IN_FLIGHT",), "ACKED"), ("retry", ("IN_FLIGHT",), "AVAILABLE"), ("expire", ("IN_FLIGHT",), "AVAILABLE"),
+    ("redrive", ("DEAD",), "AVAILABLE"), ("supersede", ("AVAILABLE",), "SUPERSEDED"),
+)
+
+
+def replayed(events: DataFrame) -> DataFrame:
+    """The state of each message after its log, with its attempts: (message_id, status, attempts, refused).
+
+    events: (message_id, at, step, max_attempts), the first of a message being ``publish``. A claim is an attempt; a retry or expiry at the last
+    attempt leaves it DEAD; a redrive sets attempts to 0; a step that the state does not allow is refused and changes nothing. A message's log is
+    folded in order; it is as long as the attempts that it may have.
+    """
+    logs = events.groupBy("message_id").agg(F.array_sort(F.collect_list(F.struct("at", "step", "max_attempts"))).alias("log"))
+    start = F.struct(F.lit(None).cast("string").alias("status"), F.lit(0).alias("attempts"), F.lit(0).alias("refused"))
+
+    def step(state: Column, e: Column) -> Column:
+        status, attempts = state["status"], state["attempts"]
+        last = attempts >= e["max_attempts"]
+        to = F.when(e["step"].isin("retry", "expire") & last, "DEAD")
+        ok = (e["step"] == "publish") & status.isNull()
+        to = F.when(e["step"] == "publish", "AVAILABLE").when(to.isNotNull(), to)
+        for name, froms, after in STEPS:
+            ok = ok | ((e["step"] == name) & status.isin(*froms))
+            to = to.when(e["step"] == name, after)
+        ok = F.coalesce(ok, F.lit(False))
+        tries = F.when(e["step"] == "claim", attempts + 1).when(e["step"] == "redrive", 0).otherwise(attempts)
+        return F.struct(F.when(ok, to).otherwise(status).alias("status"), F.when(ok, tries).otherwise(attempts).alias("attempts"), (state["refused"] + F.when(ok, 0).otherwise(1)).alias("refused"))
 
+    return logs.select("message_id", F.aggregate("log", start, step).alias("s")).select("message_id", "s.status", "s.attempts", "s.refused")
 
-def lane_stats(messages: DataFrame, now) -> DataFrame:
-    """Open messages, oldest age and attempts of each lane; C9's queue state."""
-    open_ = F.col("status") != "DONE"
-    g = messages.groupBy("lane").agg(F.count_if(open_).alias("n_open"), F.min(F.when(open_, F.col("created_at"))).alias("oldest"), F.sum(F.when(open_, F.col("attempts")).otherwise(0)).alias("retries"))
-    age = F.greatest(F.lit(0).cast("bigint"), F.unix_timestamp(now) - F.unix_timestamp("oldest"))
-    return g.select("lane", "n_open", "retries", age.alias("oldest_s"), F.when((F.col("retries") > 0) | (age > 60), "DEGRADED").otherwise("HEALTHY").alias("state"), F.when(F.col("lane") == "interactive", 0).when(F.col("lane") == "events", 1).otherwise(2).alias("priority"))
+
+def recovered(messages: DataFrame, most_attempts: int, now: Column) -> DataFrame:
+    """C4: messages in flight whose lease ran out: DEAD at the last attempt, else AVAILABLE."""
+    late = (F.col("status") == "IN_FLIGHT") & (F.col("lease_expires_at") <= now)
+    return messages.where(late).select("lane", "sequence", F.when(F.col("attempts") >= most_attempts, "DEAD").otherwise("AVAILABLE").alias("status"))
+
+
+def lane_stats(messages: DataFrame, now: Column) -> DataFrame:
+    """C8, C9's queue part for each lane: open messages, oldest age, those tried again, dead ones and the state."""
+    open_ = F.col("status").isin(*BLOCKING)
+    g = messages.groupBy("lane").agg(F.count_if(open_).alias("n_open"), F.min(F.when(open_, F.col("created_at"))).alias("oldest"), F.count_if((F.col("attempts") > 1) & (F.col("status") != "DEAD")).alias("retries"), F.count_if(F.col("status") == "DEAD").alias("dead"))
+    age = rules.age_seconds(F.col("oldest"), now)
+    degraded = (F.col("retries") > 0) | (F.col("dead") > 0) | F.coalesce(age > 60, F.lit(False))
+    return g.select("lane", "n_open", "retries", "dead", age.alias("oldest_s"), F.when(degraded, "DEGRADED").otherwise("HEALTHY").alias("state"), rules.ordinal(F.col("lane"), LANE_RANK).alias("priority"))
 
 
 def fairness(messages: DataFrame) -> DataFrame:
@@ -75,13 +127,36 @@ def fairness(messages: DataFrame) -> DataFrame:
     return each.groupBy("lane").agg((F.max("n") - F.min("n")).alias("spread"), F.count("*").alias("n_groups"))
 
 
-def judged_deployments(events: DataFrame) -> DataFrame:
-    """An event is STALE if (provider_sequence, attempt) is not above all before it, in order of arrival."""
-    at = F.struct("provider_sequence", "attempt")
-    before = Window.partitionBy("system").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
-    high = F.max(at).over(before)
-    outcome = F.when(F.coalesce(at <= high, F.lit(False)), "STALE_EVENT").when(F.col("outcome") == "F", "FAILED_NO_CHANGE").when(F.col("outcome") == "P", "LINEAGE_OUT_OF_SYNC").otherwise("PROMOTED")
-    return events.select("system", "event_id", outcome.alias("outcome"))
+def judged_deployments(events: DataFrame, packages: DataFrame, pointers: DataFrame) -> DataFrame:
+    """What each deployment event comes to, in order of arrival in its system and environment.
+
+    events: (system, environment, arrival, event_id, event_type, provider_sequence, attempt, outcome, artifact_digest, authentic); packages:
+    (system, environment, artifact_digest, graph_version, graph_checksum, approved); pointers: (environment, graph_version, checksum) of the
+    graphs that are there. Unauthentic events and merges change nothing and order nothing; a known event_id is a DUPLICATE; an event whose
+    (provider_sequence, attempt) is not above all before it is STALE.
+    """
+    key = ["system", "environment"]
+    counts = F.col("authentic") & (F.col("event_type") != "MERGE")
+    w = Window.partitionBy(*key).orderBy("arrival")
+    place = F.when(F.col("counts"), F.struct("provider_sequence", "attempt"))
+    again = F.row_number().over(Window.partitionBy(*key, "event_id", "counts").orderBy("arrival")) > 1
+    e = events.withColumn("counts", counts).withColumn("again", again & F.col("counts"))
+    high = F.max(F.when(~F.col("again"), place)).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    e = e.withColumn("stale", F.coalesce(place <= high, F.lit(False)) & ~F.col("again"))
+    p = packages.where("approved").select(*key, "artifact_digest", "graph_version", "graph_checksum", F.lit(True).alias("packed"))
+    g = pointers.select("environment", "graph_version", F.col("checksum").alias("there"))
+    j = e.join(p, [*key, "artifact_digest"], "left").join(g, ["environment", "graph_version"], "left")
+    reason = (
+        F.when(~F.col("authentic"), "AUTHENTICATION_FAILED").when(F.col("event_type") == "MERGE", "NON_DEPLOYMENT_EVENT").when(F.col("again"), "DUPLICATE").when(F.col("stale"), "STALE_EVENT")
+        .when(F.col("outcome") == "FAILED", "DEPLOYMENT_FAILED").when(F.col("artifact_digest").isNull(), "MISSING_ARTIFACT_DIGEST").when(F.col("packed").isNull(), "EXACT_PACKAGE_NOT_FOUND")
+        .when(F.col("there").isNull() | (F.col("there") != F.col("graph_checksum")), "PROMOTION_REFUSED")
+    )
+    state = (
+        F.when(F.col("reason").isin("AUTHENTICATION_FAILED", "NON_DEPLOYMENT_EVENT"), "UNCHANGED").when(F.col("reason") == "DUPLICATE", "DUPLICATE").when(F.col("reason") == "STALE_EVENT", "STALE")
+        .when(F.col("reason") == "DEPLOYMENT_FAILED", "FAILED_NO_CHANGE").when(F.col("reason") == "EXACT_PACKAGE_NOT_FOUND", "LINEAGE_OUT_OF_SYNC").when(F.col("reason").isNotNull(), "FAILED_TERMINAL")
+        .when(F.col("event_type") == "ROLLBACK", "ROLLED_BACK").otherwise("PROMOTED")
+    )
+    return j.withColumn("reason", reason).select(*key, "event_id", "arrival", state.alias("state"), "reason")
 
 
 def current_deployment(events: DataFrame) -> DataFrame:
@@ -97,8 +172,9 @@ def chain(rows: DataFrame, key: str, version: str) -> DataFrame:
 
 def fenced(reservations: DataFrame) -> DataFrame:
     """Tokens grow with each reservation of an environment; only the last may activate."""
-    w = Window.partitionBy("env").orderBy("reserved_at", "reservation_id")
-    return reservations.select("env", "reservation_id", F.row_number().over(w).alias("token"), F.lead("reservation_id").over(w).isNull().alias("may_activate"))
+    n = reservations.groupBy("env").agg(F.count("*").alias("last"))
+    given = numbered(reservations, ["reserved_at", "reservation_id"], by=["env"], name="token")
+    return given.join(n, "env").select("env", "reservation_id", "token", (F.col("token") == F.col("last")).alias("may_activate"))
 
 
 def lease_steals(attempts: DataFrame) -> DataFrame:
@@ -148,10 +224,16 @@ def reconciled(expected: DataFrame, actual: DataFrame, key: list[str]) -> DataFr
     return e.join(a, key, "left_anti").withColumn("drift", F.lit("MISSING")).unionByName(a.join(e, key, "left_anti").withColumn("drift", F.lit("UNEXPECTED")))
 
 
-def sync_status(pointers: DataFrame, versions: DataFrame) -> DataFrame:
-    """NOT_AVAILABLE without a version behind the pointer, else IN_SYNC if it is active."""
-    j = pointers.join(versions, ["env", "version"], "left")
-    return j.select("env", "version", F.when(F.col("state").isNull(), "NOT_AVAILABLE").when(F.col("state") == "ACTIVE", "IN_SYNC").otherwise("OUT_OF_SYNC").alias("sync"))
+def sync_status(pointers: DataFrame, versions: DataFrame, deployments: DataFrame) -> DataFrame:
+    """Whether what the pointer names is what was deployed.
+
+    pointers: (env, version); versions: (env, version, checksum) of the graphs that are there; deployments: (env, graph_version, package_digest,
+    state, updated_at, system), of which the latest counts. OUT_OF_SYNC without the pointer's graph; NOT_AVAILABLE without a deployment.
+    """
+    latest = deployments.groupBy("env").agg(F.min_by(F.struct("graph_version", "package_digest", "state"), F.struct(-F.unix_micros("updated_at"), F.col("system"))).alias("d"))
+    j = pointers.join(versions, ["env", "version"], "left").join(latest, "env", "left")
+    off = (F.col("d.state") == "LINEAGE_OUT_OF_SYNC") | ~F.col("d.graph_version").eqNullSafe(F.col("version")) | F.col("d.package_digest").isNull()
+    return j.select("env", "version", F.when(F.col("checksum").isNull(), "OUT_OF_SYNC").when(F.col("d").isNull(), "NOT_AVAILABLE").when(off, "OUT_OF_SYNC").otherwise("IN_SYNC").alias("sync"))
 
 
 def accounted(expected: DataFrame, dispositions: DataFrame) -> DataFrame:
@@ -162,8 +244,8 @@ def accounted(expected: DataFrame, dispositions: DataFrame) -> DataFrame:
 
 def work_units(paths: DataFrame, chunk: int = 100) -> DataFrame:
     """Paths of a repository in units of at most chunk, by order."""
-    at = F.row_number().over(Window.partitionBy("repository").orderBy("path")) - 1
-    return paths.withColumn("unit", F.floor(at / chunk).cast("int"))
+    placed = numbered(paths, ["path"], by=["repository"], name="unit")
+    return placed.withColumn("unit", F.floor((F.col("unit") - 1) / chunk).cast("int"))
 
 
 def bijection(units: DataFrame, results: DataFrame) -> DataFrame:
@@ -173,32 +255,76 @@ def bijection(units: DataFrame, results: DataFrame) -> DataFrame:
     return j.select("unit_id", F.when(F.col("planned").isNull(), "UNPLANNED").when(F.col("n").isNull(), "MISSING").when(F.col("n") > 1, "DUPLICATE").alias("problem")).where(F.col("problem").isNotNull())
 
 
-def classify(evidence: DataFrame) -> DataFrame:
-    """A repository's class by its lowest level of evidence; several classes there are a conflict."""
-    low = evidence.groupBy("repository").agg(F.min("level").alias("level"))
-    top = evidence.join(low, ["repository", "level"]).groupBy("repository", "level").agg(F.countDistinct("class").alias("k"), F.min("class").alias("class"))
-    conflict = F.col("k") > 1
-    forbidden = (F.col("level") == 7) & F.col("class").isin("EXCLUDE", "METADATA_ONLY")
-    reason = F.when(conflict, "EVIDENCE_CONFLICT").when(forbidden, "HEURISTIC_EXCLUSION_FORBIDDEN")
-    return top.select("repository", "level", F.when(reason.isNull(), F.col("class")).otherwise("UNKNOWN").alias("class"), reason.alias("reason"))
+#: Repository class, treatment of a baseline, treatment of a change.
+TREATMENTS = (
+    ("APPLICATION_RUNTIME", "INCLUDE", "INCREMENTAL_LINEAGE"),
+    ("DATA_PIPELINE", "INCLUDE", "INCREMENTAL_AND_NATIVE"),
+    ("CONTRACT_SCHEMA_SOURCE", "METADATA_ONLY", "REEVALUATE_DEPENDENTS"),
+    ("SHARED_LIBRARY", "EXCLUDE", "REANALYZE_CONSUMERS"),
+    ("INFRASTRUCTURE", "EXCLUDE", "EVALUATE_BINDINGS"),
+    ("DOCUMENTATION", "EXCLUDE", "NO_LINEAGE_IMPACT"),
+    ("TEST_AUTOMATION", "EXCLUDE", "UPDATE_COVERAGE"),
+    ("MIXED_MONOREPO", "PATH_LEVEL", "ROUTE_CHANGED_PATHS"),
+    ("UNKNOWN", "BLOCK", "REVIEW"),
+)
+HEURISTIC = 7
 
 
-def gate(reasons: DataFrame) -> DataFrame:
-    """BLOCK if a calibrated change blocks, else WARN if there is any reason, else PASS; reasons once, in order.
+def classify(repositories: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Each repository's class by its lowest level of evidence, with its treatments.
 
-    reasons: (pr, at, reason, blocks)
+    evidence: (repository, level, class). UNKNOWN, to be reviewed: without evidence (NO_DECISIVE_EVIDENCE), with several classes on the lowest
+    level (EVIDENCE_CONFLICT), or where only a heuristic (level 7) would leave content out (HEURISTIC_EXCLUSION_FORBIDDEN).
+    """
+    treatments = evidence.sparkSession.createDataFrame(TREATMENTS, "class string, baseline string, on_change string")
+    # smallest and largest class of the lowest level: they differ where there are several
+    low = evidence.groupBy("repository").agg(F.min(F.struct("level", "class")).alias("a"), F.max(F.struct(-F.col("level"), F.col("class"))).alias("z"))
+    level, found = F.coalesce("a.level", F.lit(HEURISTIC)), F.col("a.class")
+    left = repositories.select("repository").distinct().join(low, "repository", "left")
+    leaves_out = found.isin(*[c for c, t, _ in TREATMENTS if t in ("EXCLUDE", "METADATA_ONLY")])
+    reason = F.when(F.col("a").isNull(), "NO_DECISIVE_EVIDENCE").when(found != F.col("z.class"), "EVIDENCE_CONFLICT").when((level == HEURISTIC) & leaves_out, "HEURISTIC_EXCLUSION_FORBIDDEN")
+    judged = left.select("repository", level.alias("level"), F.when(reason.isNull(), found).otherwise("UNKNOWN").alias("class"), reason.alias("reason"))
+    return judged.join(F.broadcast(treatments), "class", "left").select("repository", "level", "class", "baseline", "on_change", F.when(F.col("class") == "UNKNOWN", "REVIEW_REQUIRED").otherwise("EVALUATED").alias("status"), "reason")
+
+
+def gate(requests: DataFrame, changes: DataFrame) -> DataFrame:
+    """BLOCK if a calibrated change blocks, else WARN if there is any reason, else PASS; reasons once each, in the order of the checks.
+
+    requests, one a pull request: (pr, deadline_s, head_matches, coverage_complete, environment (null: missing), environment_version,
+    head_matches_after, environment_after, environment_version_after, took_s). changes: (pr, at, change_type, mechanisms, available, version,
+    truncated, warn, block, elapsed_s). A change is looked at only in a healthy environment and before the deadline. What only a model says blocks nothing.
     """
-    g = reasons.groupBy("pr").agg(F.coalesce(F.bool_or("blocks"), F.lit(False)).alias("blocked"), F.array_sort(F.collect_list(F.when(F.col("reason").isNotNull(), F.struct("at", "reason")))).alias("all"))
-    codes = F.array_distinct(F.transform("all", lambda x: x["reason"]))
-    return g.select("pr", F.when(F.col("blocked"), "BLOCK").when(F.size(codes) > 0, "WARN").otherwise("PASS").alias("verdict"), F.array_join(codes, ",").alias("reasons"))
+    healthy = F.coalesce(F.col("environment") == "HEALTHY", F.lit(False))
+    c = changes.join(requests.select("pr", "deadline_s", healthy.alias("healthy"), "environment_version"), "pr")
+    # after the first change beyond the deadline none is looked at
+    late = changes.join(requests.select("pr", "deadline_s"), "pr").where(F.col("elapsed_s") >= F.col("deadline_s")).groupBy("pr").agg(F.min("at").alias("stopped"))
+    c = c.join(late, "pr", "left").where(F.col("healthy") & (F.col("stopped").isNull() | (F.col("at") < F.col("stopped"))))
+    seen = F.col("available")
+    model_only = F.coalesce((F.size(F.array_distinct("mechanisms")) == 1) & F.array_contains("mechanisms", "LLM"), F.lit(False))
+    blocks = seen & (F.col("block") > 0)
+    found = F.array(
+        F.when(~seen, "PROJECTION_UNAVAILABLE"), F.when(seen & ~F.col("version").eqNullSafe(F.col("environment_version")), "ENVIRONMENT_VERSION_MISMATCH"), F.when(seen & F.col("truncated"), "IMPACT_TRUNCATED"),
+        F.when(seen & (F.col("warn") > 0), "IMPACT_WARNING"), F.when(blocks & model_only, "LLM_ONLY_BLOCK_EVIDENCE"),
+    )
+    # a pull request has five reasons of a change at most, so these lists stay short: the first change that gives each
+    each = c.select("pr", "at", blocks.alias("blocks"), (blocks & ~model_only).alias("calibrated"), "truncated", seen.alias("seen"), F.posexplode_outer(F.array_compact(found)).alias("nth", "reason"))
+    first = each.groupBy("pr", "reason").agg(F.min(F.struct("at", "nth")).alias("at"), F.bool_or("calibrated").alias("calibrated"), F.bool_or(F.col("truncated") & F.col("seen")).alias("truncated"))
+    mid = first.groupBy("pr").agg(F.array_sort(F.collect_list(F.when(F.col("reason").isNotNull(), F.struct("at", "reason")))).alias("mid"), F.bool_or("calibrated").alias("calibrated"), F.bool_or("truncated").alias("truncated"))
+    j = requests.join(mid, "pr", "left").join(late, "pr", "left")
+    head = F.array(F.when(~F.col("head_matches"), "PR_HEAD_SUPERSEDED"), F.when(~F.col("coverage_complete"), "INCOMPLETE_COVERAGE"), F.when(F.col("environment").isNull(), "MISSING_ENVIRONMENT").when(F.col("environment") != "HEALTHY", "LINEAGE_OUT_OF_SYNC"))
+    moved = ~(F.col("environment").eqNullSafe(F.col("environment_after")) & F.col("environment_version").eqNullSafe(F.col("environment_version_after")))
+    tail = F.array(F.when(F.col("stopped").isNotNull() | (F.col("took_s") >= F.col("deadline_s")), "DEADLINE_EXCEEDED"), F.when(~F.col("head_matches_after"), "PR_HEAD_SUPERSEDED"), F.when(moved, "ENVIRONMENT_CHANGED"))
+    between = F.transform(F.coalesce("mid", F.array().cast("array<struct<at:struct<at:bigint,nth:int>,reason:string>>")), lambda x: x["reason"])
+    codes = F.array_distinct(F.array_compact(F.concat(head, between, tail)))
+    verdict = F.when(F.coalesce("calibrated", F.lit(False)), "BLOCK").when(F.size(codes) > 0, "WARN").otherwise("PASS")
+    return j.select("pr", verdict.alias("verdict"), F.array_join(codes, ",").alias("reasons"), F.coalesce("truncated", F.lit(False)).alias("truncated"))
 
 
 def guarded(proposals: DataFrame, budget: int) -> DataFrame:
     """SCHEMA, CITATION, URN, then BUDGET: the first that fails; the budget is for accepted ones before, by order."""
     first = F.when(~F.col("has_schema"), "SCHEMA").when(~F.col("has_citation"), "CITATION").when(~F.col("urn_known"), "URN")
     r = proposals.withColumn("failed", first)
-    before = F.sum(F.when(F.col("failed").isNull(), 1).otherwise(0)).over(Window.partitionBy("repository").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-    r = r.withColumn("before", F.coalesce(before, F.lit(0)))
+    r = numbered(r.withColumn("good", F.col("failed").isNull().cast("bigint")), ["seq"], by=["repository"], value="good", name="upto").withColumn("before", F.col("upto") - F.col("good"))
     return r.select("repository", "seq", F.when(F.col("failed").isNotNull(), F.col("failed")).when(F.col("before") >= budget, "BUDGET").otherwise("ACCEPTED").alias("result"))
 
 

@@ -7,17 +7,20 @@ from pyspark.sql import functions as F
 
 from weftline.functions import rules
 from weftline.operators import consolidate as c
-from weftline.operators import graph, queues, resolver
+from weftline.operators import graph, queues, resolver, validation
+from weftline.operators.ordered import numbered
 from weftline.plans.registry import query
 from weftline.sources import inputs
-from weftline.sources.inputs import BASE, SQL_ASSERTIONS, SQL_EDGES, entity, table
+from weftline.sources.inputs import BASE, SQL_ASSERTIONS, SQL_EDGES, SQL_JOINED, entity, table
 
-KEYED = """keyed AS (SELECT *, 'edge-' || substr(sha256('{"edgeType":"' || edge_type || '","from":["' || source || '"],"to":"' || target || '"}'), 1, 24) AS edge_key FROM assertions)"""
+#: A transform's tokens, and the words in it whose case does not count.
+NORMAL = r"""array_to_string(list_transform(regexp_extract_all(transform, '[A-Za-z_][A-Za-z0-9_]*|\d+(?:\.\d+)?|[^\w\s]'), lambda t: CASE WHEN upper(t) IN ('AS', 'AVG', 'CASE', 'CAST', 'COUNT', 'DATE', 'ELSE', 'END', 'MAX', 'MIN', 'SUM', 'THEN', 'WHEN') THEN lower(t) ELSE t END), '')"""
+KEYED = f"""keyed AS (SELECT *, {NORMAL} AS normal, 'edge-' || substr(sha256('{{"edgeType":"' || edge_type || '","from":["' || source || '"],"to":"' || target || '"}}'), 1, 24) AS edge_key FROM assertions)"""
 CONSOLIDATED = """grouped AS (
   SELECT edge_key, min(source) AS source, target, edge_type, bool_or(mechanism = 'SCA') AS sca, bool_or(mechanism = 'LLM') AS llm,
          bool_or(mechanism = 'RUNTIME' AND session_complete AND scope = 'ELEMENT') AS runtime,
          max(CASE WHEN mechanism = 'RUNTIME' AND session_complete THEN CASE scope WHEN 'ELEMENT' THEN 2 ELSE 1 END ELSE 0 END) AS observed,
-         count(DISTINCT transform) > 1 AS conflict,
+         count(DISTINCT normal) > 1 AS conflict,
          arg_min(transform, CASE WHEN mechanism = 'SCA' AND exact THEN '0' ELSE '1' END || provenance_id) FILTER (WHERE transform IS NOT NULL) AS first_transform,
          bool_or(mechanism = 'SCA' AND exact) AS exact_sca, count(*) AS n_claims
   FROM keyed GROUP BY edge_key, target, edge_type),
@@ -54,19 +57,46 @@ def a7_ledger(spark, d):
     return c.ledger(inputs.assertions(spark, d))
 
 
+#: A ledger of the static claims, and what a day brings: runtime claims and, once more, those of the models.
+DAY = """old AS (SELECT edge_key, provenance_id, row_number() OVER (PARTITION BY edge_key ORDER BY provenance_id) AS version FROM keyed WHERE mechanism <> 'RUNTIME'),
+fresh AS (SELECT edge_key, provenance_id FROM keyed WHERE mechanism <> 'SCA' EXCEPT SELECT edge_key, provenance_id FROM old)"""
+
+
+@query("""SELECT *, false AS fresh FROM old UNION ALL SELECT f.edge_key, f.provenance_id, coalesce(t.top, 0) + row_number() OVER (PARTITION BY f.edge_key ORDER BY f.provenance_id), true
+    FROM fresh f LEFT JOIN (SELECT edge_key, max(version) AS top FROM old GROUP BY edge_key) t ON t.edge_key = f.edge_key""", SQL_ASSERTIONS, KEYED, DAY)
+def a7_merged(spark, d):
+    a = inputs.assertions(spark, d)
+    return c.merged(c.ledger(a.where(F.col("mechanism") != "RUNTIME")), a.where(F.col("mechanism") != "SCA"))
+
+
+#: Sessions that observe parts at suppliers: elements, or both datasets; a service endpoint for each part.
+LATE = f"""seen AS (SELECT DISTINCT l_orderkey AS session_id, CASE WHEN l_returnflag = 'R' THEN 'INCOMPLETE' ELSE 'COMPLETE' END AS outcome, l_partkey, l_suppkey, l_linenumber FROM lineitem WHERE l_linestatus = 'O'),
+late AS (SELECT 'runtime:' || session_id || ':o' || l_linenumber AS provenance_id, edge_key, 'ELEMENT' AS scope FROM seen JOIN consolidated ON source = '{BASE}part#' || l_partkey AND target = '{BASE}supplier#' || l_suppkey WHERE outcome = 'COMPLETE' AND edge_type = 'DERIVES')"""
+
+
+@query("SELECT DISTINCT * FROM late", *BY_PART, LATE)
+def c15_z6_late_claims(spark, d):
+    lines = table(spark, d, "lineitem").where(F.col("l_linestatus") == "O").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag").distinct()
+    observed = lines.select(
+        F.col("l_orderkey").alias("session_id"), F.concat(F.lit("o"), F.col("l_linenumber").cast("string")).alias("observation_id"), F.when(F.col("l_returnflag") == "R", "INCOMPLETE").otherwise("COMPLETE").alias("outcome"), F.lit("ELEMENT").alias("granularity"),
+        F.array(entity("part", F.col("l_partkey"))).alias("sources"), entity("supplier", F.col("l_suppkey")).alias("target"), F.lit(None).cast("string").alias("endpoint"), F.lit("DERIVES").alias("edge_type"), F.lit(None).cast("string").alias("transform"), F.lit(True).alias("exact"),
+    )
+    return c.late_claims(observed, _edges(spark, d)).select("provenance_id", "edge_key", "scope")
+
+
 @query("""SELECT source, target, array_to_string(list_sort(list(DISTINCT repository)), ',') AS contributed_by, array_to_string(list_sort(list(DISTINCT transform) FILTER (WHERE transform IS NOT NULL)), ',') AS transforms,
-    count(DISTINCT provenance_id) AS n_provenance, count(DISTINCT transform) > 1 AS transform_conflict FROM assertions GROUP BY source, target, edge_type""", SQL_ASSERTIONS)
+    array_to_string(list_sort(list(DISTINCT provenance_id)), ',') AS provenance_ids, count(DISTINCT transform) > 1 AS transform_conflict FROM assertions GROUP BY source, target, edge_type""", SQL_ASSERTIONS)
 def a8_compose(spark, d):
-    made = c.compose(inputs.assertions(spark, d))
-    return made.select(F.array_join("sources", ",").alias("source"), "target", F.array_join("contributed_by", ",").alias("contributed_by"), F.nullif(F.array_join("transforms", ","), F.lit("")).alias("transforms"), "n_provenance", "transform_conflict")
+    made, joined = c.compose(inputs.assertions(spark, d)), lambda c: F.array_join(c, ",").alias(c)
+    return made.select(F.array_join("sources", ",").alias("source"), "target", joined("contributed_by"), F.nullif(F.array_join("transforms", ","), F.lit("")).alias("transforms"), joined("provenance_ids"), "transform_conflict")
 
 
-@query("SELECT repository, count(*) AS n_edges, (SELECT count(DISTINCT e) FROM (SELECT source AS e FROM assertions b WHERE b.repository = a.repository UNION SELECT target FROM assertions b WHERE b.repository = a.repository)) AS n_endpoints FROM assertions a GROUP BY repository", SQL_ASSERTIONS)
+@query("SELECT repository, count(*) AS n_edges, (SELECT count(DISTINCT e) FROM (SELECT split_part(source, '#', 1) AS e FROM assertions b WHERE b.repository = a.repository UNION SELECT split_part(target, '#', 1) FROM assertions b WHERE b.repository = a.repository)) AS n_datasets FROM assertions a GROUP BY repository", SQL_ASSERTIONS)
 def a9_contributions(spark, d):
     return c.contributions(inputs.assertions(spark, d))
 
 
-@query("SELECT dataset, count(DISTINCT repository) AS n_repositories FROM (SELECT source AS dataset, repository FROM assertions UNION ALL SELECT target, repository FROM assertions) GROUP BY dataset HAVING count(DISTINCT repository) > 1", SQL_ASSERTIONS)
+@query("SELECT split_part(dataset, '#', 1) AS dataset, count(DISTINCT repository) AS n_repositories FROM (SELECT source AS dataset, repository FROM assertions UNION ALL SELECT target, repository FROM assertions) GROUP BY 1 HAVING count(DISTINCT repository) > 1", SQL_ASSERTIONS)
 def j16_seams(spark, d):
     return c.seams(inputs.assertions(spark, d))
 
@@ -120,31 +150,73 @@ def a24_weakest_incident(spark, d):
 SUBJECT = f"{BASE}region#1"
 
 
-def _reach(direction: str, depth: int) -> str:
-    step = {"down": "e.source = r.node", "up": "e.target = r.node"}[direction]
-    other = {"down": "e.target", "up": "e.source"}[direction]
-    return f"""SELECT node, min(hops) AS hops FROM (WITH RECURSIVE r(node, hops) AS (SELECT '{SUBJECT if direction == "down" else BASE + "orders#1"}', 0 UNION ALL
-    SELECT {other}, hops + 1 FROM r JOIN edges e ON {step} WHERE hops < {depth}) SELECT * FROM r) GROUP BY node"""
+def _levels(subject: str, direction: str, depth: int) -> str:
+    """T1's levels as WITH items: met, nodes and frontier of each."""
+    steps = {"down": "SELECT source AS a, target AS b, edge_key FROM joined", "up": "SELECT target AS a, source AS b, edge_key FROM joined"}
+    steps["both"] = f"{steps['down']} UNION ALL {steps['up']}"
+    parts = [f"steps AS ({steps[direction]})", f"f0 AS (SELECT '{subject}' AS node)", f"n0 AS (SELECT '{subject}' AS node, 0 AS hops)"]
+    for k in range(1, depth + 1):
+        parts.append(f"m{k} AS (SELECT DISTINCT b, edge_key FROM f{k - 1} JOIN steps ON a = node)")
+        parts.append(f"f{k} AS (SELECT DISTINCT b AS node FROM m{k} WHERE b NOT IN (SELECT node FROM n{k - 1}))")
+        parts.append(f"n{k} AS (SELECT * FROM n{k - 1} UNION ALL SELECT DISTINCT e, {k} FROM (SELECT source AS e FROM joined WHERE edge_key IN (SELECT edge_key FROM m{k}) UNION SELECT target FROM joined WHERE edge_key IN (SELECT edge_key FROM m{k})) WHERE e NOT IN (SELECT node FROM n{k - 1}))")
+    return ", ".join(parts)
+
+
+DOWN, UP, BOTH = (_levels(SUBJECT, "down", 4), _levels(f"{BASE}orders#1", "up", 5), _levels(f"{BASE}part#1", "both", 2))
 
 
-@query(_reach("down", 4), SQL_EDGES)
+@query("SELECT node, hops FROM n4", SQL_EDGES, SQL_JOINED, DOWN)
 def t1_lineage_down(spark, d):
-    return graph.lineage(graph.adjacency(inputs.entity_edges(spark, d)), SUBJECT, "down", 4)
+    return graph.lineage(inputs.joined_edges(spark, d), SUBJECT, "down", 4).nodes
+
+
+@query("SELECT DISTINCT edge_key FROM (SELECT edge_key FROM m1 UNION ALL SELECT edge_key FROM m2 UNION ALL SELECT edge_key FROM m3 UNION ALL SELECT edge_key FROM m4)", SQL_EDGES, SQL_JOINED, DOWN)
+def t1_lineage_edges(spark, d):
+    return graph.lineage(inputs.joined_edges(spark, d), SUBJECT, "down", 4).edges.select("edge_key")
 
 
-@query(_reach("up", 5), SQL_EDGES)
+@query("SELECT node, hops FROM n5", SQL_EDGES, SQL_JOINED, UP)
 def t1_lineage_up(spark, d):
-    return graph.lineage(graph.adjacency(inputs.entity_edges(spark, d)), f"{BASE}orders#1", "up", 5)
+    return graph.lineage(inputs.joined_edges(spark, d), f"{BASE}orders#1", "up", 5).nodes
 
 
-@query("SELECT depth, depth < 3 AS truncated FROM range(1, 5) t(depth)")
+@query("SELECT node, hops FROM n2", SQL_EDGES, SQL_JOINED, BOTH)
+def t1_lineage_both(spark, d):
+    return graph.lineage(inputs.joined_edges(spark, d), f"{BASE}part#1", "both", 2).nodes
+
+
+@query(" UNION ALL ".join(f"SELECT {k} AS depth, EXISTS (SELECT 1 FROM f{k} JOIN steps ON a = node) AS truncated" for k in range(1, 5)), SQL_EDGES, SQL_JOINED, DOWN)
 def t2_truncated(spark, d):
-    adjacent = graph.adjacency(inputs.entity_edges(spark, d))
-    rows = [(k, graph.truncated(adjacent, graph.lineage(adjacent, SUBJECT, "down", k), k)) for k in range(1, 5)]
-    return spark.createDataFrame(rows, "depth bigint, truncated boolean")
+    edges = inputs.joined_edges(spark, d)
+    rows = [(k, graph.lineage(edges, SUBJECT, "down", k).truncated) for k in range(1, 5)]
+    return spark.createDataFrame(rows, "depth int, truncated boolean")
+
+
+PATHS = f"""walk AS (WITH RECURSIVE w AS (SELECT '{SUBJECT}' AS node, CAST([] AS VARCHAR[]) AS via, 4 AS band_at UNION ALL
+  SELECT e.target, list_append(w.via, e.edge_key), least(w.band_at, e.band_at) FROM w JOIN edges e ON e.source = w.node WHERE len(w.via) < 4 AND NOT list_contains(w.via, e.edge_key)) SELECT * FROM w WHERE len(via) > 0),
+firsts AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY len(via), node, via) AS nth FROM walk) WHERE nth <= 1000)"""
 
 
-IMPACT = f"""steps AS (SELECT source, target, 'k-' || target AS edge_key, band_at, band_at % 3 AS corroboration_at FROM edges),
+@query("SELECT DISTINCT edge_key FROM (SELECT unnest(via) AS edge_key FROM firsts) ORDER BY edge_key LIMIT 1000", SQL_EDGES, PATHS)
+def t4_path_lineage(spark, d):
+    return graph.path_lineage(inputs.entity_edges(spark, d), SUBJECT, 4, 1000).edges.select("edge_key")
+
+
+@query("""SELECT node, len(via) AS path_length, array_to_string(via, '>') AS via, ['LOWEST', 'SINGLE', 'MEDIUM', 'HIGH', 'HIGHEST'][band_at + 1] AS band, CASE WHEN band_at >= 3 THEN 'BLOCK' WHEN band_at >= 2 THEN 'WARN' ELSE 'INFO' END AS severity
+    FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY len(via), via) AS best FROM firsts) WHERE best = 1""", SQL_EDGES, PATHS)
+def t5_path_impact(spark, d):
+    found = graph.path_impact(inputs.entity_edges(spark, d), SUBJECT, "COLUMN_DROP", 4, 1000).rows
+    return found.withColumn("via", F.array_join("via", ">")).withColumn("path_length", F.col("path_length").cast("bigint"))
+
+
+@query("""SELECT node, len(via) AS path_length, array_to_string(via, '>') AS via, ['LOWEST', 'SINGLE', 'MEDIUM', 'HIGH', 'HIGHEST'][band_at + 1] AS band, CASE WHEN band_at >= 3 THEN 'BLOCK' WHEN band_at >= 2 THEN 'WARN' ELSE 'INFO' END AS severity
+    FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY len(via), via) AS best FROM (SELECT *, row_number() OVER (ORDER BY len(via), via) AS visited FROM walk) WHERE visited <= 500) WHERE best = 1""", SQL_EDGES, PATHS)
+def t6_visited_impact(spark, d):
+    found = graph.path_impact(inputs.entity_edges(spark, d), SUBJECT, "COLUMN_DROP", 4, 500, trails=False, by_via=True).rows
+    return found.withColumn("via", F.array_join("via", ">")).withColumn("path_length", F.col("path_length").cast("bigint"))
+
+
+IMPACT = f"""steps AS (SELECT source, target, edge_key, band_at, band_at % 3 AS corroboration_at FROM edges),
 walk AS (WITH RECURSIVE w AS (
   SELECT r_regionkey AS change_id, CASE WHEN r_regionkey % 2 = 0 THEN 'COLUMN_DROP' ELSE 'TRANSFORM_CHANGE' END AS change_type, '{BASE}region#' || r_regionkey AS node, CAST([] AS VARCHAR[]) AS via, 4 AS b, 2 AS c FROM region
   UNION ALL SELECT w.change_id, w.change_type, s.target, list_append(w.via, s.edge_key), least(w.b, s.band_at), least(w.c, s.corroboration_at) FROM w JOIN steps s ON s.source = w.node WHERE len(w.via) < 5)
@@ -154,10 +226,14 @@ impact AS (SELECT change_id, node AS target, len(via) AS path_length, array_to_s
   FROM (SELECT *, row_number() OVER (PARTITION BY change_id, node ORDER BY len(via), via) AS nth FROM walk) WHERE nth = 1)"""
 
 
-def _impact(spark, d):
-    steps = graph.adjacency(inputs.entity_edges(spark, d)).withColumn("edge_key", F.concat(F.lit("k-"), "target")).withColumn("corroboration_at", (F.col("band_at") % 3).cast("int"))
+def _impact_inputs(spark, d):
+    steps = graph.adjacency(inputs.entity_edges(spark, d)).withColumn("corroboration_at", (F.col("band_at") % 3).cast("int"))
     subjects = table(spark, d, "region").select(F.col("r_regionkey").alias("change_id"), F.when(F.col("r_regionkey") % 2 == 0, "COLUMN_DROP").otherwise("TRANSFORM_CHANGE").alias("change_type"), entity("region", F.col("r_regionkey")).alias("subject"))
-    return graph.impact(steps, subjects)
+    return steps, subjects
+
+
+def _impact(spark, d):
+    return graph.impact(*_impact_inputs(spark, d))
 
 
 @query("SELECT * FROM impact", SQL_EDGES, IMPACT)
@@ -175,28 +251,76 @@ def l8_impact_budget(spark, d):
     return graph.within_budget(_impact(spark, d), 500)
 
 
-@query("""SELECT change_id::VARCHAR AS pr, CASE WHEN bool_or(severity = 'BLOCK') THEN 'BLOCK' WHEN bool_or(severity = 'WARN') THEN 'WARN' ELSE 'PASS' END AS verdict,
-    CASE WHEN bool_or(severity <> 'INFO') THEN 'IMPACT_WARNING' ELSE '' END AS reasons FROM impact GROUP BY change_id""", SQL_EDGES, IMPACT)
+@query("SELECT c.change_id, EXISTS (SELECT 1 FROM impact i JOIN edges e ON e.source = i.target WHERE i.change_id = c.change_id AND i.path_length = 2) AS truncated FROM (SELECT r_regionkey AS change_id FROM region) c", SQL_EDGES, IMPACT)
+def t3_impact_truncated(spark, d):
+    steps, subjects = _impact_inputs(spark, d)
+    return graph.impact_truncated(steps, subjects, graph.impact(steps, subjects, 2), 2)
+
+
+#: A pull request for each customer, a change for each of its orders.
+REQUESTS = """requests AS (SELECT c_custkey AS pr, c_custkey % 11 <> 0 AS head_matches, c_custkey % 7 <> 0 AS covered, CASE WHEN c_custkey % 13 = 0 THEN NULL WHEN c_custkey % 17 = 0 THEN 'OUT' ELSE 'HEALTHY' END AS env, c_custkey % 19 <> 0 AS still, c_custkey % 23 = 0 AS moved, CASE WHEN c_custkey % 29 = 0 THEN 130 ELSE 60 END AS took FROM customer),
+changes AS (SELECT o_custkey AS pr, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place, o_orderkey % 31 <> 0 AS available, CASE WHEN o_orderkey % 37 = 0 THEN 'v2' ELSE 'v1' END AS version, o_orderkey % 41 = 0 AS truncated, (o_orderkey % 3 = 0)::INT AS warn, (o_orderkey % 9 = 0)::INT AS block, o_orderkey % 2 = 0 AS model_only, CASE WHEN o_orderkey % 97 = 0 THEN 121 ELSE 5 END AS elapsed FROM orders),
+stops AS (SELECT pr, min(place) AS stopped FROM changes WHERE elapsed >= 120 GROUP BY pr),
+seen AS (SELECT c.* FROM changes c JOIN requests r ON r.pr = c.pr AND r.env = 'HEALTHY' LEFT JOIN stops s ON s.pr = c.pr WHERE s.stopped IS NULL OR c.place < s.stopped),
+told AS (SELECT pr, 0 AS place, 1 AS nth, 'PR_HEAD_SUPERSEDED' AS reason FROM requests WHERE NOT head_matches UNION ALL SELECT pr, 0, 2, 'INCOMPLETE_COVERAGE' FROM requests WHERE NOT covered
+  UNION ALL SELECT pr, 0, 3, CASE WHEN env IS NULL THEN 'MISSING_ENVIRONMENT' ELSE 'LINEAGE_OUT_OF_SYNC' END FROM requests WHERE env IS DISTINCT FROM 'HEALTHY'
+  UNION ALL SELECT pr, place, 1, 'PROJECTION_UNAVAILABLE' FROM seen WHERE NOT available UNION ALL SELECT pr, place, 2, 'ENVIRONMENT_VERSION_MISMATCH' FROM seen WHERE available AND version <> 'v1' UNION ALL SELECT pr, place, 3, 'IMPACT_TRUNCATED' FROM seen WHERE available AND truncated
+  UNION ALL SELECT pr, place, 4, 'IMPACT_WARNING' FROM seen WHERE available AND warn > 0 UNION ALL SELECT pr, place, 5, 'LLM_ONLY_BLOCK_EVIDENCE' FROM seen WHERE available AND block > 0 AND model_only
+  UNION ALL SELECT r.pr, 1000000000, 1, 'DEADLINE_EXCEEDED' FROM requests r LEFT JOIN stops s ON s.pr = r.pr WHERE took >= 120 OR stopped IS NOT NULL UNION ALL SELECT pr, 1000000000, 2, 'PR_HEAD_SUPERSEDED' FROM requests WHERE NOT still UNION ALL SELECT pr, 1000000000, 3, 'ENVIRONMENT_CHANGED' FROM requests WHERE moved)"""
+
+
+@query("""SELECT r.pr, CASE WHEN coalesce(b.block, false) THEN 'BLOCK' WHEN t.reasons IS NOT NULL THEN 'WARN' ELSE 'PASS' END AS verdict, coalesce(t.reasons, '') AS reasons, coalesce(b.truncated, false) AS truncated FROM requests r
+    LEFT JOIN (SELECT pr, string_agg(reason, ',' ORDER BY place, nth) AS reasons FROM (SELECT pr, reason, arg_min(place, (place, nth)) AS place, arg_min(nth, (place, nth)) AS nth FROM told GROUP BY pr, reason) GROUP BY pr) t ON t.pr = r.pr
+    LEFT JOIN (SELECT pr, bool_or(available AND block > 0 AND NOT model_only) AS block, bool_or(available AND truncated) AS truncated FROM seen GROUP BY pr) b ON b.pr = r.pr""", REQUESTS)
 def c10_pr_gate(spark, d):
-    i = _impact(spark, d)
-    reasons = i.select(F.col("change_id").cast("string").alias("pr"), F.lit(1).alias("at"), F.when(F.col("severity") != "INFO", "IMPACT_WARNING").alias("reason"), (F.col("severity") == "BLOCK").alias("blocks"))
-    return queues.gate(reasons)
+    k, o = F.col("c_custkey"), F.col("o_orderkey")
+    env = F.when(k % 13 == 0, F.lit(None)).when(k % 17 == 0, "OUT").otherwise("HEALTHY")
+    requests = table(spark, d, "customer").select(
+        k.alias("pr"), F.lit(120).alias("deadline_s"), (k % 11 != 0).alias("head_matches"), (k % 7 != 0).alias("coverage_complete"), env.alias("environment"), F.lit("v1").alias("environment_version"),
+        (k % 19 != 0).alias("head_matches_after"), env.alias("environment_after"), F.when(k % 23 == 0, "v2").otherwise("v1").alias("environment_version_after"), F.when(k % 29 == 0, 130).otherwise(60).alias("took_s"),
+    )
+    numbered_ = numbered(table(spark, d, "orders").select("o_custkey", "o_orderkey"), ["o_orderkey"], by=["o_custkey"], name="at")
+    changes = numbered_.select(
+        F.col("o_custkey").alias("pr"), "at", F.lit("COLUMN_DROP").alias("change_type"), F.when(o % 2 == 0, F.array(F.lit("LLM"))).otherwise(F.array(F.lit("LLM"), F.lit("SCA"))).alias("mechanisms"), (o % 31 != 0).alias("available"),
+        F.when(o % 37 == 0, "v2").otherwise("v1").alias("version"), (o % 41 == 0).alias("truncated"), (o % 3 == 0).cast("int").alias("warn"), (o % 9 == 0).cast("int").alias("block"), F.when(o % 97 == 0, 121).otherwise(5).alias("elapsed_s"),
+    )
+    return queues.gate(requests, changes)
 
 
-@query(f"""SELECT node, min(hops)::BIGINT AS hops, CASE min(hops) WHEN 0 THEN 'SOURCE' WHEN 1 THEN 'BREAK' ELSE 'WARN' END AS severity FROM (WITH RECURSIVE r(node, hops) AS (SELECT '{BASE}nation', 0 UNION
-    SELECT s.target, hops + 1 FROM r JOIN (SELECT source, target FROM edges UNION SELECT regexp_replace(source, '#.*', ''), target FROM edges) s ON s.source = r.node WHERE hops < 10) SELECT * FROM r) GROUP BY node""", SQL_EDGES)
+@query(f"""SELECT node, split_part(node, '#', 1) AS dataset, hops, CASE hops WHEN 0 THEN 'SOURCE' WHEN 1 THEN 'BREAK' ELSE 'WARN' END AS severity, array_to_string(via, '>') AS via FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY hops, via) AS nth FROM (
+    WITH RECURSIVE r(node, hops, via) AS (SELECT '{BASE}nation', 0, CAST([] AS VARCHAR[]) UNION ALL
+    SELECT s.target, hops + 1, list_append(via, s.transform) FROM r JOIN (SELECT source, target, transform FROM edges UNION SELECT regexp_replace(source, '#.*', ''), target, transform FROM edges) s ON s.source = r.node WHERE hops < 10) SELECT * FROM r)) WHERE nth = 1""", SQL_EDGES)
 def t7_blast_radius(spark, d):
+    # each node of these tables has one parent, so the winner's rank and the smallest list agree
     out = graph.blast_radius(graph.adjacency(inputs.entity_edges(spark, d)), f"{BASE}nation")
-    return out.withColumn("hops", F.col("hops").cast("bigint"))
+    return out.withColumn("via", F.array_join("via", ">"))
+
+
+LINKS = """links AS (SELECT DISTINCT 'c' || o_custkey AS a, 's' || l_suppkey AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey), pairs AS (SELECT a, b FROM links UNION SELECT DISTINCT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT DISTINCT 'm' || c_nationkey, 'c' || c_custkey FROM customer)"""
 
 
-STAGES = """stages AS (SELECT 'B' || i AS node, 'B' || (i - 1) AS parent FROM range(2, 11) t(i) UNION ALL SELECT 'B10', 'B1')"""
+@query("""SELECT node, rank::INT AS rank FROM (SELECT node, CASE WHEN d IS NOT NULL AND (u IS NULL OR d <= u) THEN d WHEN u IS NOT NULL THEN -u END - (SELECT min(CASE WHEN d IS NOT NULL AND (u IS NULL OR d <= u) THEN d ELSE -u END) FROM ranks) AS rank FROM ranks)""",
+    LINKS, """down AS (SELECT node, min(hops) AS d FROM (WITH RECURSIVE r(node, hops) AS (SELECT 's1', 0 UNION SELECT p.b, hops + 1 FROM r JOIN pairs p ON p.a = r.node) SELECT * FROM r) GROUP BY node), up AS (SELECT node, min(hops) AS u FROM (WITH RECURSIVE r(node, hops) AS (SELECT 's1', 0 UNION SELECT p.a, hops + 1 FROM r JOIN pairs p ON p.b = r.node) SELECT * FROM r) GROUP BY node),
+    near AS (SELECT a AS node FROM pairs UNION SELECT b FROM pairs), base AS (SELECT near.node, d, u FROM near LEFT JOIN down ON down.node = near.node LEFT JOIN up ON up.node = near.node),
+    known AS (SELECT node, CASE WHEN d IS NOT NULL AND (u IS NULL OR d <= u) THEN d ELSE -u END AS r FROM base WHERE d IS NOT NULL OR u IS NOT NULL),
+    s1 AS (SELECT b.node, coalesce((SELECT arg_min(k.r, k.node) + 1 FROM pairs p JOIN known k ON k.node = p.a WHERE p.b = b.node), (SELECT arg_min(k.r, k.node) - 1 FROM pairs p JOIN known k ON k.node = p.b WHERE p.a = b.node)) AS r FROM base b WHERE d IS NULL AND u IS NULL),
+    k2 AS (SELECT * FROM known UNION ALL SELECT * FROM s1 WHERE r IS NOT NULL),
+    s2 AS (SELECT b.node, coalesce((SELECT arg_min(k.r, k.node) + 1 FROM pairs p JOIN k2 k ON k.node = p.a WHERE p.b = b.node), (SELECT arg_min(k.r, k.node) - 1 FROM pairs p JOIN k2 k ON k.node = p.b WHERE p.a = b.node)) AS r FROM s1 b WHERE r IS NULL),
+    k3 AS (SELECT * FROM k2 UNION ALL SELECT * FROM s2 WHERE r IS NOT NULL),
+    s3 AS (SELECT b.node, coalesce((SELECT arg_min(k.r, k.node) + 1 FROM pairs p JOIN k3 k ON k.node = p.a WHERE p.b = b.node), (SELECT arg_min(k.r, k.node) - 1 FROM pairs p JOIN k3 k ON k.node = p.b WHERE p.a = b.node), 0) AS r FROM s2 b WHERE r IS NULL),
+    ranks AS (SELECT node, r AS d, NULL::INT AS u FROM k3 UNION ALL SELECT node, r, NULL FROM s3)""")
+def t9_canvas_ranks(spark, d):
+    """Customers before the suppliers of their orders, those before nations, and customers' own nations before them; drawn around supplier 1."""
+    t = lambda n: table(spark, d, n)
+    pair = lambda df, a, ka, b, kb: df.select(F.concat(F.lit(a), F.col(ka).cast("string")).alias("a"), F.concat(F.lit(b), F.col(kb).cast("string")).alias("b"))
+    bought = t("orders").join(t("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey"), "o_orderkey")
+    pairs = pair(bought, "c", "o_custkey", "s", "l_suppkey").unionByName(pair(t("supplier"), "s", "s_suppkey", "n", "s_nationkey")).unionByName(pair(t("customer"), "m", "c_nationkey", "c", "c_custkey"))
+    return graph.canvas_ranks(pairs, "s1")
 
 
-@query("SELECT node, ancestor, min(hops) AS hops FROM (WITH RECURSIVE r AS (SELECT node, parent AS ancestor, 1 AS hops FROM stages UNION SELECT r.node, s.parent, hops + 1 FROM r JOIN stages s ON s.node = r.ancestor) SELECT * FROM r) GROUP BY ALL", STAGES)
+@query("SELECT node, ancestor, hops FROM (WITH RECURSIVE r AS (SELECT target AS node, source AS ancestor, 1 AS hops FROM edges UNION ALL SELECT r.node, e.source, hops + 1 FROM r JOIN edges e ON e.target = r.ancestor) SELECT * FROM r)", SQL_EDGES)
 def t8_t10_closure(spark, d):
-    steps = spark.range(2, 11).select(F.concat(F.lit("B"), F.col("id").cast("string")).alias("node"), F.concat(F.lit("B"), (F.col("id") - 1).cast("string")).alias("parent"))
-    return graph.closure(steps.unionByName(spark.createDataFrame([("B10", "B1")], "node string, parent string")))
+    return graph.closure(graph.adjacency(inputs.entity_edges(spark, d)).select(F.col("target").alias("node"), F.col("source").alias("parent")))
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE (c_name, c_custkey) > ('Customer#000000050', 50) ORDER BY c_name, c_custkey LIMIT 20")
@@ -270,9 +394,7 @@ def u5_checksum(spark, d):
 @query("SELECT CAST(c_custkey AS BIGINT) AS id, CASE WHEN c_custkey % 2 = 0 THEN 'MISSING' ELSE 'UNEXPECTED' END AS drift FROM customer WHERE (c_custkey % 2 = 0) <> (c_custkey % 3 = 0)")
 def x1_x3_reconcile(spark, d):
     rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
-    want, have = rows.where(F.col("id") % 2 == 0), rows.where(F.col("id") % 3 == 0)
-    out = queues.reconciled(want, have, ["id"])
-    return out.withColumn("drift", F.col("drift"))
+    return queues.reconciled(rows.where(F.col("id") % 2 == 0), rows.where(F.col("id") % 3 == 0), ["id"])
 
 
 @query("SELECT edge_key, source, target, band, status FROM consolidated WHERE target = (SELECT min(target) FROM consolidated)", *BY_PART)
@@ -282,11 +404,10 @@ def t12_edge_detail(spark, d):
     return e.join(F.broadcast(first), "target", "left_semi").select("edge_key", F.array_join("sources", ",").alias("source"), "target", "band", "status")
 
 
-@query("""SELECT source, target, band_at, CASE WHEN source < target THEN 'ok' ELSE 'reversed' END AS sorted FROM edges""", SQL_EDGES)
-def v8_sorted_arrays(spark, d):
-    e = graph.adjacency(inputs.entity_edges(spark, d))
-    pair = F.array("source", "target")
-    return e.select("source", "target", "band_at", F.when(pair == F.array_sort(F.array_distinct(pair)), "ok").otherwise("reversed").alias("sorted"))
+@query("SELECT l_orderkey FROM (SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS parts FROM lineitem GROUP BY l_orderkey) WHERE parts <> list_sort(list_distinct(parts))")
+def v8_unsorted_arrays(spark, d):
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("lines"))
+    return validation.unsorted_arrays(lines.select("l_orderkey", F.transform("lines", lambda x: x["l_partkey"]).alias("parts")), "l_orderkey", "parts")
 
 
 @query("SELECT edge_key, band FROM consolidated WHERE auto_publishable AND NOT (coalesce(band, '') IN ('HIGH', 'HIGHEST'))", *BY_PART)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
-from weftline.operators import consolidate, java_facts, publication, queues
+from weftline.operators import consolidate, graph, java_facts, operations, publication, queues, validation, workflows
+from weftline.operators.checkpoints import shared_folder
 from weftline.plans.registry import query
 from weftline.sources import inputs
 from weftline.sources.inputs import SQL_MESSAGES, SQL_OBSERVATIONS, table
@@ -33,19 +33,38 @@ def s9c_query_columns(spark, d):
     return java_facts.query_columns(methods, _grounded(spark))
 
 
-CALLS = """calls AS (SELECT o_orderkey AS line, 'svc' || (o_custkey % 7) AS caller, CASE o_orderkey % 5 WHEN 0 THEN 'owners' WHEN 1 THEN 'vets' WHEN 2 THEN 'twice' WHEN 3 THEN 'gone' ELSE 'unmapped' END AS receiver,
-  CASE o_orderstatus WHEN 'F' THEN 'findByName' WHEN 'O' THEN 'save' ELSE 'custom' END AS method FROM orders),
-compiled AS (SELECT caller, method, CASE receiver WHEN 'owners' THEN 'owners' WHEN 'vets' THEN 'vets' WHEN 'twice' THEN 'owners' END AS "table", CASE method WHEN 'findByName' THEN 'READS' WHEN 'save' THEN 'WRITES' END AS edge_type,
-  CASE WHEN receiver = 'gone' THEN 'unknown-repository' WHEN receiver = 'twice' THEN 'ambiguous-repository' WHEN receiver = 'unmapped' THEN 'unmapped-entity' WHEN method = 'custom' THEN 'unsupported-operation' END AS code, line FROM calls)"""
+#: Invocations on repositories; what each must come to is stated by the call alone.
+CALLS = """calls AS (SELECT o_orderkey AS line, 'svc' || (o_custkey % 7) AS caller, CASE o_orderkey % 6 WHEN 0 THEN 'owners' WHEN 1 THEN 'vets' WHEN 2 THEN 'twice' WHEN 3 THEN 'gone' WHEN 4 THEN 'unmapped' ELSE 'marker' END AS receiver,
+  ['findById/1', 'save/1', 'saveAndFlush/1', 'flush/0', 'findAll/2', 'findByCity/1', 'byQuery/1', 'native/1', 'other/1', 'moved/0', 'twice/1', 'wrap/1', 'deleteAllInBatch/0', 'custom/0', 'broken/0'][o_orderkey % 15 + 1] AS called FROM orders),
+compiled AS (SELECT caller, split_part(called, '/', 1) AS method, line, CASE WHEN code IS NULL THEN CASE WHEN called = 'byQuery/1' THEN 'visits' WHEN receiver = 'vets' THEN 'vets' ELSE 'owners' END END AS "table",
+  CASE WHEN code IS NULL THEN CASE WHEN called IN ('save/1', 'saveAndFlush/1', 'native/1', 'deleteAllInBatch/0') THEN 'WRITES' ELSE 'READS' END END AS edge_type, code
+  FROM (SELECT *, CASE WHEN receiver = 'gone' THEN 'unknown-repository' WHEN receiver = 'twice' THEN 'ambiguous-repository' WHEN receiver = 'unmapped' THEN 'unmapped-entity'
+    WHEN called IN ('findAll/2', 'custom/0') THEN 'unsupported-operation' WHEN called = 'flush/0' AND receiver <> 'marker' THEN 'ignored-repository-operation' WHEN called IN ('findById/1', 'save/1', 'saveAndFlush/1', 'flush/0', 'deleteAllInBatch/0') AND receiver = 'marker' THEN 'unsupported-operation'
+    WHEN receiver <> 'owners' AND called IN ('findByCity/1', 'byQuery/1', 'native/1', 'other/1', 'moved/0', 'twice/1', 'wrap/1', 'broken/0') THEN 'unsupported-operation'
+    WHEN called = 'other/1' THEN 'query-table-conflict' WHEN called = 'moved/0' THEN 'query-table-conflict' WHEN called = 'twice/1' THEN 'ambiguous-operation-overload' WHEN called = 'broken/0' THEN 'unsupported-query' END AS code FROM calls))"""
+METHODS = [
+    ("owners", "findByCity", 1, "abstract-interface", ["String"], None, False, None, None),
+    ("owners", "byQuery", 1, "abstract-interface", ["String"], "select v from Visit v join fetch v.pet where v.city = ?1", False, None, None),
+    ("owners", "native", 1, "abstract-interface", ["int"], "UPDATE owners SET city = 'from x' WHERE id = ?1", True, None, None),
+    ("owners", "other", 1, "abstract-interface", ["int"], "delete from vets where id = ?1", True, None, None),
+    ("owners", "moved", 0, "abstract-interface", [], "select g from Ghost g", False, None, None),
+    ("owners", "broken", 0, "abstract-interface", [], "select o from Owner o where o.id in (select 1)", False, None, None),
+    ("owners", "twice", 1, "abstract-interface", ["int"], None, False, None, None),
+    ("owners", "twice", 1, "abstract-interface", ["String"], None, False, None, None),
+    ("owners", "wrap", 1, "default", ["String"], None, False, "findByCity", 1),
+]
 
 
 def _compiled(spark, d):
-    receiver = F.element_at(F.array(*map(F.lit, ("owners", "vets", "twice", "gone", "unmapped"))), (F.col("o_orderkey") % 5 + 1).cast("int"))
-    method = F.when(F.col("o_orderstatus") == "F", "findByName").when(F.col("o_orderstatus") == "O", "save").otherwise("custom")
-    calls = table(spark, d, "orders").select(F.concat(F.lit("svc"), (F.col("o_custkey") % 7).cast("string")).alias("caller"), receiver.alias("receiver"), method.alias("method"), F.lit("A.java").alias("path"), F.col("o_orderkey").alias("line"))
-    repositories = spark.createDataFrame([("owners", "Owner"), ("vets", "Vet"), ("twice", "Owner"), ("twice", "Vet"), ("unmapped", "Visit")], "receiver string, entity string")
-    tables = spark.createDataFrame([("Owner", "owners"), ("Vet", "vets")], "entity string, table string")
-    return java_facts.compile_edges(calls, repositories, tables)
+    k, o = F.col("o_orderkey"), table(spark, d, "orders")
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (k % n + 1).cast("int"))
+    called = ("findById/1", "save/1", "saveAndFlush/1", "flush/0", "findAll/2", "findByCity/1", "byQuery/1", "native/1", "other/1", "moved/0", "twice/1", "wrap/1", "deleteAllInBatch/0", "custom/0", "broken/0")
+    parts = F.split(pick(called, 15), "/")
+    calls = o.select(F.concat(F.lit("svc"), (F.col("o_custkey") % 7).cast("string")).alias("caller"), pick(("owners", "vets", "twice", "gone", "unmapped", "marker"), 6).alias("receiver"), parts[0].alias("method"), parts[1].cast("int").alias("arity"), F.lit("A.java").alias("path"), k.alias("line"))
+    repositories = [("owners", "Owner", "Integer", "JPA"), ("vets", "Vet", "Integer", "JPA"), ("twice", "Owner", "Integer", "JPA"), ("twice", "Vet", "Integer", "JPA"), ("unmapped", "Pet", "Integer", "JPA"), ("marker", "Owner", "Integer", "MARKER")]
+    tables = spark.createDataFrame([("Owner", "owners"), ("Vet", "vets"), ("Visit", "visits")], "entity string, table string")
+    methods = spark.createDataFrame(METHODS, "receiver string, method string, arity int, mode string, parameter_types array<string>, query string, native boolean, delegates_to string, delegate_arity int")
+    return java_facts.compile_edges(calls, spark.createDataFrame(repositories, "receiver string, entity string, id_type string, base string"), tables, methods)
 
 
 @query("SELECT * FROM compiled", CALLS)
@@ -95,8 +114,7 @@ def u10_j15_diff(spark, d):
 @query("SELECT 1 AS active, 2 AS prior, 3 AS token, (SELECT count(*) FROM part WHERE p_partkey % 2 = 0) AS n")
 def u6_u8_publish_rollback(spark, d):
     """Two versions are published, then the first is named again; an old token is refused."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-")
-    store = publication.Store(spark, f"{base}/store-{uuid.uuid4().hex}")
+    store = publication.Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
     p = table(spark, d, "part").select("p_partkey", "p_brand")
     first = store.publish("staging", 1, p.where("p_partkey % 2 = 0"), store.reserve("staging"))
     token = store.reserve("staging")
@@ -126,12 +144,44 @@ def c12_nightly_alerts(spark, d):
     return publication.alerts(checks)
 
 
-@query("""SELECT o_custkey AS env, CASE WHEN bool_or(o_orderstatus = 'P') THEN 'OUT_OF_SYNC' WHEN max(o_orderkey % 10) > 7 THEN 'DEGRADED' ELSE 'HEALTHY' END AS overall FROM orders GROUP BY o_custkey""")
+#: The control tables of an environment (customer): its orders and their lines as commands, messages, manifests and so on.
+CONTROL = """o AS (SELECT *, o_custkey AS env, TIMESTAMP '1998-08-02' AS now FROM orders),
+queued AS (SELECT env, o_orderdate AS since FROM o WHERE o_orderstatus = 'P' UNION ALL SELECT env, o_orderdate FROM o WHERE o_orderkey % 8 = 1 AND o_orderkey % 70 <> 3 UNION ALL SELECT env, o_orderdate FROM o WHERE o_orderpriority = '1-URGENT'),
+part AS (SELECT env, any_value(now) AS now, count(*) FILTER (o_orderkey % 50 = 7) + count(*) FILTER (o_orderkey % 60 = 7 AND NOT (o_orderkey % 70 = 3)) AS retries, count(*) FILTER (o_orderkey % 70 = 3) + count(*) FILTER (o_orderkey % 80 = 5 AND o_orderstatus <> 'P') AS dead, count(*) FILTER (o_orderkey % 90 = 9) AS steals,
+  count(*) AS manifests, count(*) FILTER (o_orderkey % 25 = 0) AS incomplete, count(*) FILTER (o_orderkey % 2 = 1) AS joined, max(o_orderdate) FILTER (o_orderkey % 3 = 0) AS base_at, arg_max(o_orderkey % 25 <> 0, (o_orderdate, o_orderkey)) FILTER (o_orderkey % 3 = 0) AS base_ok,
+  min(o_orderdate) FILTER (o_orderpriority = '5-LOW' AND o_orderkey % 5 = 0) AS approval, min(o_orderdate) FILTER (o_orderkey % 40 = 2) AS publishing, arg_max(o_orderkey % 120, (o_orderdate, o_orderkey)) FILTER (o_orderkey % 40 <> 2 AND o_orderkey % 4 = 0) AS lag, count(*) * 2 AS tracked, count(*) FILTER (o_orderkey % 30 = 4) AS lost FROM o GROUP BY env),
+observed AS (SELECT p.*, q.depth, q.oldest FROM part p LEFT JOIN (SELECT env, count(*) AS depth, min(since) AS oldest FROM queued GROUP BY env) q ON q.env = p.env)"""
+
+
+def _control(spark, d):
+    o, k = table(spark, d, "orders").withColumn("env", F.col("o_custkey")).withColumn("at", F.col("o_orderdate").cast("timestamp")), F.col("o_orderkey")
+    commands = o.select("env", F.when(F.col("o_orderstatus") == "P", "QUEUED").when(k % 80 == 5, "FAILED_TERMINAL").otherwise("COMPLETE").alias("status"), F.when(k % 50 == 7, 2).otherwise(1).alias("attempt"), F.col("at").alias("created_at"))
+    messages = o.select("env", F.when(k % 70 == 3, "DEAD").when(k % 8 == 1, "AVAILABLE").otherwise("ACKED").alias("status"), F.when(k % 60 == 7, 2).otherwise(1).alias("attempts"), F.col("at").alias("published_at"))
+    outbox = o.select("env", F.when(F.col("o_orderpriority") == "1-URGENT", "PENDING").otherwise("DELIVERED").alias("status"), F.col("at").alias("created_at"))
+    coverage = o.select("env", F.when(k % 3 == 0, "BASELINE").otherwise("INCREMENTAL").alias("workflow"), F.when(k % 25 == 0, "INCOMPLETE").otherwise("COMPLETE").alias("state"), F.when(k % 2 == 1, "VALIDATED").otherwise("NOT_RECORDED").alias("runtime_status"), F.col("at").alias("updated_at"), k.alias("manifest_id"))
+    proposals = o.select("env", F.when((F.col("o_orderpriority") == "5-LOW") & (k % 5 == 0), "IN_REVIEW").otherwise("FINALIZED").alias("state"), F.col("at").alias("created_at"))
+    publications = o.select("env", k.alias("operation_id"), F.when(k % 40 == 2, F.lit(None)).when(k % 4 == 0, "SUCCEEDED").otherwise("FAILED").alias("outcome"), F.timestamp_micros(F.unix_micros("at") - k % 120 * 1_000_000).alias("created_at"), F.col("at").alias("terminal_at"))
+    # those under way began at their own time
+    publications = publications.withColumn("created_at", F.when(F.col("outcome").isNull(), F.col("terminal_at")).otherwise(F.col("created_at")))
+    correlated = [o.select("env", F.when(k % 30 == 4, "").otherwise("c").alias("correlation_id")), o.select("env", F.lit("c").alias("correlation_id"))]
+    return operations.observations("env", commands, o.select("env", F.when(k % 90 == 9, 2).otherwise(1).alias("lease_epoch")), messages, outbox, coverage, proposals, publications, correlated)
+
+
+@query("SELECT env, coalesce(depth, 0) AS queue_depth, oldest AS oldest_queued, retries, dead AS dead_letters, steals AS lease_steals, manifests, incomplete, joined, approval AS oldest_approval, publishing AS publishing_since, tracked, lost AS uncorrelated FROM observed", CONTROL)
+def a16_operational_observations(spark, d):
+    return _control(spark, d).drop("baseline", "published")
+
+
+@query("""SELECT *, CASE WHEN publication = 'OUT_OF_SYNC' THEN 'OUT_OF_SYNC' WHEN list_has_any([queue, coverage, runtime, baseline, review, publication, watermark, correlation], ['DEGRADED', 'INCOMPLETE', 'STALE']) THEN 'DEGRADED' ELSE 'HEALTHY' END AS overall FROM (
+    SELECT env, CASE WHEN retries > 0 OR dead > 0 OR steals > 0 OR epoch(now) - epoch(oldest) > 60 THEN 'DEGRADED' ELSE 'HEALTHY' END AS queue, CASE WHEN incomplete > 0 THEN 'INCOMPLETE' ELSE 'COMPLETE' END AS coverage, CASE WHEN joined = manifests THEN 'COMPLETE' ELSE 'INCOMPLETE' END AS runtime,
+    CASE WHEN base_at IS NULL THEN 'NOT_AVAILABLE' WHEN NOT base_ok THEN 'INCOMPLETE' WHEN epoch(now) - epoch(base_at) > 86400 THEN 'STALE' ELSE 'CURRENT' END AS baseline, CASE WHEN epoch(now) - epoch(approval) > 300 THEN 'DEGRADED' ELSE 'HEALTHY' END AS review,
+    CASE WHEN env % 10 = 0 THEN 'OUT_OF_SYNC' WHEN l IS NULL THEN 'NOT_AVAILABLE' WHEN l > 60 THEN 'DEGRADED' ELSE 'HEALTHY' END AS publication, CASE WHEN env % 3 = 0 THEN 'NOT_AVAILABLE' WHEN env % 3 = 1 THEN 'CURRENT' ELSE 'STALE' END AS watermark,
+    CASE WHEN lost > 0 THEN 'INCOMPLETE' ELSE 'COMPLETE' END AS correlation, l AS publish_lag_s, joined / manifests AS runtime_rate
+    FROM (SELECT *, CASE WHEN publishing IS NOT NULL THEN greatest(0, epoch(now) - epoch(publishing))::BIGINT ELSE lag END AS l FROM observed))""", CONTROL)
 def c9_resilience(spark, d):
-    g = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("env")).agg(F.bool_or(F.col("o_orderstatus") == "P").alias("p"), F.max(F.col("o_orderkey") % 10).alias("m"))
-    ok = lambda n: F.lit("HEALTHY").alias(n)
-    parts = g.select("env", F.when(F.col("m") > 7, "DEGRADED").otherwise("HEALTHY").alias("queue"), F.lit("COMPLETE").alias("coverage"), F.lit("CURRENT").alias("baseline"), ok("review"), F.when(F.col("p"), "OUT_OF_SYNC").otherwise("HEALTHY").alias("publication"), ok("watermark"), ok("correlation"))
-    return publication.resilience(parts).select("env", "overall")
+    now, k = F.lit("1998-08-02").cast("timestamp"), F.col("c_custkey")
+    projection = table(spark, d, "customer").select(k.alias("env"), F.when(k % 10 == 0, "OUT_OF_SYNC").otherwise("IN_SYNC").alias("sync"), F.when(k % 3 == 1, now).when(k % 3 == 2, F.timestamp_micros(F.unix_micros(now) - 301_000_000)).alias("watermark_at"))
+    return operations.resilience(_control(spark, d), projection, "env", now)
 
 
 @query("SELECT user_id AS key, CASE WHEN user_id % 4 = 0 THEN 'MISSING' WHEN user_id % 4 = 1 THEN 'SUPERSEDED' WHEN user_id % 4 = 2 THEN 'DUPLICATE' ELSE 'INVALIDATED' END AS disposition FROM events GROUP BY user_id")
@@ -171,11 +221,15 @@ def x2_union_all(spark, d):
     return m.unionByName(inputs.observations(spark, d).select(F.lit("observation").alias("kind"))).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("SELECT c.c_custkey AS run_id, o.o_orderkey AS proposal FROM customer c JOIN (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY (o_orderstatus = 'O')::INT DESC, o_orderkey) AS nth FROM orders) o ON o.o_custkey = c.c_custkey AND nth = 1")
+@query("""SELECT run_id, arg_min(proposal, (state <> 'IN_REVIEW', proposal)) AS proposal FROM (SELECT 'r' || c_custkey AS run_id, 'c' || c_nationkey AS correlation FROM customer) r JOIN (
+    SELECT o_orderkey AS proposal, 'r' || o_custkey AS command, CASE WHEN o_orderkey % 100 = 0 THEN 'c' || (o_orderkey // 100 % 25) ELSE 'unavailable' END AS correlation, CASE WHEN o_orderstatus = 'O' THEN 'IN_REVIEW' ELSE 'FINALIZED' END AS state FROM orders) p
+    ON p.command = r.run_id OR (p.correlation = r.correlation AND r.correlation <> 'unavailable') GROUP BY run_id""")
 def j14_run_proposal(spark, d):
-    o = table(spark, d, "orders")
-    best = o.groupBy("o_custkey").agg(F.min_by("o_orderkey", F.struct((F.col("o_orderstatus") != "O").cast("int"), F.col("o_orderkey"))).alias("proposal"))
-    return table(spark, d, "customer").join(best, F.col("c_custkey") == F.col("o_custkey")).select(F.col("c_custkey").alias("run_id"), "proposal")
+    text = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    k = F.col("o_orderkey")
+    runs = table(spark, d, "customer").select(text("r", F.col("c_custkey")).alias("run_id"), text("c", F.col("c_nationkey")).alias("correlation_id"))
+    proposals = table(spark, d, "orders").select(k.alias("proposal"), text("r", F.col("o_custkey")).alias("command_id"), F.when(k % 100 == 0, text("c", F.floor(k / 100) % 25)).otherwise("unavailable").alias("correlation_id"), F.when(F.col("o_orderstatus") == "O", "IN_REVIEW").otherwise("FINALIZED").alias("state"))
+    return operations.run_proposals(runs, proposals)
 
 
 @query("SELECT s_nationkey AS system, arg_max(s_suppkey, s_suppkey) AS document FROM supplier GROUP BY s_nationkey")
@@ -185,13 +239,91 @@ def u14_u15_latest_document(spark, d):
 
 @query("SELECT l_partkey, l_suppkey, count(DISTINCT l_returnflag) AS n FROM lineitem GROUP BY ALL HAVING count(DISTINCT l_returnflag) > 1")
 def v9_identity_conflicts(spark, d):
-    from weftline.operators import validation
-
     return validation.identity_conflicts(table(spark, d, "lineitem"), ["l_partkey", "l_suppkey"], "l_returnflag")
 
 
-@query("SELECT o_orderkey, CASE o_orderpriority[1] WHEN '1' THEN 0 WHEN '2' THEN 1 WHEN '3' THEN 1 ELSE 2 END AS lane_rank FROM orders WHERE o_orderstatus = 'O' ORDER BY lane_rank, o_orderkey LIMIT 30")
+@query("SELECT sequence AS o_orderkey, CASE lane WHEN 'interactive' THEN 0 WHEN 'events' THEN 1 ELSE 2 END AS lane_rank FROM messages WHERE status = 'AVAILABLE' AND available_at <= TIMESTAMP '1999-01-01' ORDER BY lane_rank, o_orderkey LIMIT 30", SQL_MESSAGES)
 def l4_c8_next_claims(spark, d):
-    m = queues.claimable(inputs.messages(spark, d).withColumn("group_id", F.col("sequence")))
+    m = queues.claimable(inputs.messages(spark, d).withColumn("group_id", F.col("sequence")), F.lit("1999-01-01").cast("timestamp"))
     rank = F.when(F.col("lane") == "interactive", 0).when(F.col("lane") == "events", 1).otherwise(2)
     return m.select(F.col("sequence").alias("o_orderkey"), rank.alias("lane_rank")).orderBy("lane_rank", "o_orderkey").limit(30)
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 6")
+def l2_l7_newest_runs(spark, d):
+    return operations.newest(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey", 6)
+
+
+@query("SELECT p_partkey FROM part WHERE (p_size % 2 = 0 OR p_size % 5 = 0) AND p_size % 3 = 0")
+def x5_written_and_removed(spark, d):
+    p = table(spark, d, "part")
+    pick = lambda n: p.where(F.col("p_size") % n == 0)
+    return validation.written_and_removed(pick(2), pick(5), pick(3), "p_partkey")
+
+
+@query("""SELECT o_orderkey AS event_id, CASE WHEN o_orderkey % 11 = 0 THEN 'IDENTITY' WHEN o_orderkey % 13 = 0 THEN 'ORDER' WHEN o_orderkey % 7 = 0 THEN 'EVENT_TYPE' WHEN o_orderstatus = 'O' AND o_orderkey % 5 = 0 THEN 'OUTCOME' WHEN o_orderkey % 3 = 0 AND o_orderstatus = 'P' THEN 'ROLLBACK_OUTCOME'
+    WHEN o_orderkey % 17 = 0 AND o_orderstatus <> 'P' THEN 'ARTIFACT_DIGEST' WHEN o_orderkey % 19 = 0 THEN 'OCCURRED_AT' END AS error FROM orders""")
+def v13_deployment_events(spark, d):
+    k = F.col("o_orderkey")
+    events = table(spark, d, "orders").select(
+        k.alias("event_id"), F.lit("ci").alias("provider"), F.when(k % 11 == 0, "").otherwise("sys").alias("system"), F.lit("staging").alias("environment"), F.lit("c").alias("correlation_id"), F.lit("a").alias("audit_ref"),
+        F.when(k % 13 == 0, 0).otherwise(1).alias("provider_sequence"), F.lit(1).alias("attempt"), F.when(k % 7 == 0, "PUSH").when(k % 3 == 0, "ROLLBACK").otherwise("DEPLOYMENT").alias("event_type"),
+        F.when(F.col("o_orderstatus") == "P", "FAILED").when((F.col("o_orderstatus") == "O") & (k % 5 == 0), "MAYBE").otherwise("SUCCEEDED").alias("outcome"), F.when(k % 17 != 0, "sha256:x").alias("artifact_digest"),
+        F.when(k % 19 == 0, "2024-01-01T00:00:00").otherwise("2024-01-01T00:00:00Z").alias("occurred_at"),
+    )
+    return validation.deployment_event_error(events)
+
+
+@query("""SELECT p_partkey AS profile_id, CASE WHEN p_size % 11 = 0 THEN 'MECHANISM' WHEN p_size % 7 = 0 THEN 'PROFILE_VERSION' WHEN p_size % 5 = 0 THEN 'DATASETS' WHEN p_size % 13 = 0 THEN 'GRANULARITY' WHEN p_size % 3 = 0 THEN 'BUFFER_BUDGET' WHEN p_partkey % 4 = 0 THEN 'OVERHEAD_BUDGET' WHEN p_partkey % 9 = 0 THEN 'CANARY' END AS error FROM part""")
+def v14_profiles(spark, d):
+    n, k = F.col("p_size"), F.col("p_partkey")
+    words = lambda *w: F.array(*map(F.lit, w))
+    named = {"schema_version": "1.0.0", "environment_class": "NON_PRODUCTION", "identity_strategy": "DIGEST", "owner": "o", "workload": "w", "repo": "r", "environment": "staging", "package_digest": "sha256:" + "0" * 64, "install_mode": "SIDECAR", "criticality": "OPTIONAL"}
+    profiles = table(spark, d, "part").select(
+        k.alias("profile_id"), *[F.lit(v).alias(c) for c, v in named.items()], F.when(n % 11 == 0, "EBPF").otherwise("OTEL").alias("mechanism"), F.when(n % 7 == 0, "1.0").otherwise("1.0.0").alias("profile_version"),
+        F.struct(F.lit("spring").alias("name"), F.lit("3.x").alias("version_range")).alias("framework"), F.when(n % 5 == 0, words("a", "a")).otherwise(words("a", "b")).alias("datasets"), F.array().cast("array<string>").alias("attributes"), F.array().cast("array<string>").alias("parsers"),
+        F.when(n % 13 == 0, words("ROW")).otherwise(words("ELEMENT", "DATASET")).alias("granularities"),
+        F.struct(F.when(n % 3 == 0, 0).otherwise(1).alias("max_records"), F.lit(1).alias("max_bytes"), F.lit(1).alias("drain_timeout_s"), F.lit(0).alias("enqueue_timeout_ms"), F.lit(0).alias("max_retries")).alias("buffer"),
+        F.struct(F.when(k % 4 == 0, 101.0).otherwise(5.0).alias("cpu_percent"), F.lit(1).alias("memory_bytes"), F.lit(0.0).alias("p95_ms")).alias("overhead"), F.when(k % 9 == 0, 101).otherwise(10).alias("canary"),
+    )
+    return validation.profile_error(profiles)
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity < 3 THEN 'SOURCES' WHEN l_returnflag = 'R' AND l_linenumber = 2 THEN 'URN' WHEN l_linenumber = 3 THEN 'EDGE_TYPE' WHEN l_linenumber = 4 THEN 'MECHANISM' WHEN l_tax = 0 THEN 'FLAGS' WHEN l_linenumber = 5 THEN 'RUNTIME_SCOPE' WHEN l_linestatus = 'F' AND l_linenumber = 1 THEN 'CITATION' END AS error FROM lineitem""")
+def v6_assertions(spark, d):
+    line = F.col("l_linenumber")
+    rows = table(spark, d, "lineitem").select(
+        F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("row"), F.lit("p").alias("provenance_id"), F.when(F.col("l_quantity") < 3, F.array().cast("array<string>")).otherwise(F.array(F.lit("urn:ldp:e:p:s:d#x"))).alias("sources"),
+        F.when((F.col("l_returnflag") == "R") & (line == 2), "urn:ldp:e:p").otherwise("urn:ldp:e:p:s:d").alias("target"), F.when(line == 3, "COPIES").otherwise("READS").alias("edge_type"), F.when(line == 4, "GUESS").when(line == 5, "RUNTIME").otherwise("SCA").alias("mechanism"),
+        F.lit(True).alias("exact"), F.when(F.col("l_tax") != 0, F.lit(True)).alias("session_complete"), F.lit(None).cast("string").alias("scope"), F.lit(None).cast("string").alias("transform"), F.when((F.col("l_linestatus") == "F") & (line == 1), 0).otherwise(7).alias("line"),
+    )
+    return validation.assertion_error(rows, "row").select("row.*", "error")
+
+
+@query("""SELECT o_orderkey AS manifest_id, concat_ws(',', CASE WHEN o_orderstatus <> 'O' AND o_orderkey % 4 = 0 THEN 'UNACCOUNTED' END, CASE WHEN o_orderstatus = 'F' AND o_orderkey % 3 = 0 THEN 'UNFINISHED' END) AS errors FROM orders""")
+def v2_v3_coverage(spark, d):
+    k, none = F.col("o_orderkey"), F.array().cast("array<string>")
+    some = lambda *w: F.array(*map(F.lit, w))
+    manifests = table(spark, d, "orders").select(
+        k.alias("manifest_id"), F.when(F.col("o_orderstatus") == "F", "COMPLETE").when(F.col("o_orderstatus") == "O", "PLANNED").otherwise("INCOMPLETE").alias("state"), F.when(k % 4 == 0, some("a", "b", "c", "c")).otherwise(some("a", "b", "c")).alias("expectedScope"),
+        F.when(k % 3 == 0, some("a")).otherwise(some("a", "c")).alias("completedScope"), some("b").alias("reusedScope"), none.alias("skippedScope"), F.when(k % 3 == 0, some("c")).otherwise(none).alias("unsupportedScope"), none.alias("quarantinedScope"), none.alias("failedScope"),
+    )
+    return validation.coverage_errors(manifests).select("manifest_id", F.array_join("errors", ",").alias("errors"))
+
+
+@query("""SELECT kind, stages, total_s, timeout_s, first, last FROM (VALUES ('BASELINE', 10, 14970, 43200, 'ACCEPT_AND_DEDUPLICATE_INTENT', 'STAGE_VERIFY_FENCE_AND_ACTIVATE'), ('INCREMENTAL', 10, 1800, 1800, 'DEDUPLICATE_AND_PIN_ACTIVE_BASE', 'PUBLISH_WITH_FENCED_PROTOCOL'),
+    ('PR_GATE', 8, 110, 120, 'PIN_SIGNED_PR_HEAD_AND_POLICY', 'UPSERT_STABLE_GITHUB_CHECK'), ('DEPLOYMENT', 6, 600, 600, 'AUTHENTICATE_AND_DEDUPLICATE_OUTCOME', 'READ_BACK_AND_VERIFY_CORRELATION'), ('NIGHTLY', 6, 13800, 14400, 'RECONCILE_EVENTS_RECEIPTS_AND_ARCHIVES', 'EMIT_PROPOSALS_ALERTS_AND_EVIDENCE')) t(kind, stages, total_s, timeout_s, first, last)""")
+def c16_workflows(spark, d):
+    stages, kinds = workflows.stages(spark), workflows.definitions(spark)
+    g = stages.groupBy("kind").agg(F.count("*").alias("stages"), F.sum("timeout_s").alias("total_s"), F.min_by("name", "nth").alias("first"), F.max_by("name", "nth").alias("last"))
+    return g.join(kinds.select("kind", "timeout_s"), "kind")
+
+
+@query("""SELECT kind, stage, error FROM (VALUES ('BAD', 'X2', 'UNKNOWN_STAGE'), ('BAD', 'X2', 'SUCCESS_WITHOUT_TERMINAL'), ('BAD', 'X3', 'UNREACHABLE'), ('BAD', 'X3', 'ATTEMPTS'), ('BAD', 'X3', 'UNDECLARED_TERMINAL'), ('BAD', 'X3', 'ERROR_WITHOUT_TERMINAL'), ('BAD', NULL, 'CRITICAL_PATH'), ('BAD', 'X3', 'STAGE_TIMEOUT')) t(kind, stage, error)""")
+def t8_workflow_errors(spark, d):
+    """The engine's own workflows, which have no errors, and one made to have many."""
+    bad = [("BAD", "X1", 5, 1, "NONE", "PURE", ["X2"], ["terminal:DONE"]), ("BAD", "X2", 4, 1, "NONE", "PURE", ["X9"], ["X1"]), ("BAD", "X3", 30, 9, "NONE", "PURE", ["X1"], ["terminal:LOST"])]
+    columns = ["kind", "stage", "timeout_s", "max_attempts", "retry_class", "side_effect", "on_success", "on_error"]
+    stages = workflows.stages(spark).select(columns).unionByName(spark.createDataFrame(bad, "kind string, stage string, timeout_s int, max_attempts int, retry_class string, side_effect string, on_success array<string>, on_error array<string>"))
+    kinds = workflows.definitions(spark).unionByName(spark.createDataFrame([("BAD", "X1", 20, ["DONE"])], "kind string, entry string, timeout_s int, terminals array<string>"))
+    return graph.workflow_errors(stages, kinds)

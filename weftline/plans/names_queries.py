@@ -78,11 +78,15 @@ def f10_f11_service_urls(spark, d):
     return table(spark, d, "pages").select("page_id", s["host"].alias("host"), s["route"].alias("route"), names.join_route(F.lit("api//"), s["route"]).alias("joined"))
 
 
-@query("""SELECT p_partkey, 'CASE ' AS x, replace('case' || 'when' || p_name_ || '>' || p_size || 'then' || '''A  AND b''' || 'else' || 'null' || 'end', ' ', ' ') AS transform
-    FROM (SELECT p_partkey, p_size, 'P' || p_partkey || '.size' AS p_name_ FROM part)""")
+#: Spellings of a transform, one for each remainder of the part's key, and what they all must come to.
+SPELT = ["SUM( p_size )", "sum(p_size)", "CASE  When p_size >\n1.50 THEN 'A  AND b' else NULL END", "a AND b", "a and b", "cast(p_size As DATE)", "p_size+0.5*avg(x)", ""]
+NORMAL = ["sum(p_size)", "sum(p_size)", "casewhenp_size>1.50then'AANDb'elseNULLend", "aANDb", "aandb", "cast(p_sizeasdate)", "p_size+0.5*avg(x)", ""]
+
+
+@query("SELECT p_partkey, [" + ", ".join("'" + n.replace("'", "''") + "'" for n in NORMAL) + "][p_partkey % 8 + 1] AS transform FROM part")
 def f12_normal_transform(spark, d):
-    text = F.concat(F.lit("CASE  When P"), F.col("p_partkey").cast("string"), F.lit(".size > "), F.col("p_size").cast("string"), F.lit("\n THEN 'A  AND b' ELSE NULL END"))
-    return table(spark, d, "part").select("p_partkey", F.lit("CASE ").alias("x"), rules.normal_transform(text).alias("transform"))
+    text = F.element_at(F.array(*map(F.lit, SPELT)), (F.col("p_partkey") % 8 + 1).cast("int"))
+    return table(spark, d, "part").select("p_partkey", rules.normal_transform(text).alias("transform"))
 
 
 @query(f"""SELECT l_orderkey, l_partkey, l_suppkey, 'edge-' || substr(sha256('{{"edgeType":"DERIVES","from":["' || least(a, b) || '","' || greatest(a, b) || '"],"to":"{BASE}orders#' || l_orderkey || '"}}'), 1, 24) AS edge_key
@@ -100,37 +104,67 @@ def f14_f15_wire_ids(spark, d):
     return table(spark, d, "customer").select("c_custkey", urn.alias("urn"), names.urn_to_wire(urn).alias("wire"))
 
 
-@query("""SELECT event_id, event_type IN ('purchase', 'view') AS matches, CASE event_type WHEN 'view' THEN 'READ' WHEN 'purchase' THEN 'WRITE' ELSE 'UNKNOWN' END AS operation,
-    CASE event_type WHEN 'view' THEN 'READS' WHEN 'purchase' THEN 'WRITES' ELSE 'CONNECTS' END AS edge_type FROM events""")
+#: Methods, and by the same remainder what they do; operations of a span, and their edge types.
+METHODS = {"findByName": "READ", "saveAll": "WRITE", "flush": "WRITE", "merge": "UNKNOWN", "write": "UNKNOWN", "streamAll": "READ", "click": "UNKNOWN", "GetOne": "READ"}
+OPERATIONS = {"select": "READS", "Insert": "WRITES", "PUT": "WRITES", "upsert": "CONNECTS", "query": "CONNECTS", "get": "READS", "": "CONNECTS"}
+
+
+def _list(values):
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+@query(f"""SELECT event_id, event_type IN ('purchase', 'view') AS matches, {_list(METHODS.values())}[event_id % 8 + 1] AS operation, {_list(OPERATIONS.values())}[event_id % 7 + 1] AS edge_type FROM events""")
 def f16_f18_operations(spark, d):
-    e = F.col("event_type")
-    method = F.when(e == "view", "findByName").when(e == "purchase", "saveAll").otherwise("click")
+    e, k = F.col("event_type"), F.col("event_id")
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
     field = F.when(e == "purchase", "LastName").when(e == "view", "last_name").otherwise("first")
-    op = F.when(e == "view", "select").when(e == "purchase", "Insert").otherwise("ping")
-    return table(spark, d, "events").select("event_id", names.column_matches(field, F.lit("last_name")).alias("matches"), rules.operation(method).alias("operation"), rules.db_edge_type(op).alias("edge_type"))
+    return table(spark, d, "events").select("event_id", names.column_matches(field, F.lit("last_name")).alias("matches"), rules.operation(pick(METHODS)).alias("operation"), rules.db_edge_type(pick(OPERATIONS)).alias("edge_type"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN c IN ('COLUMN_DROP') AND b >= 3 THEN 'BLOCK' WHEN c = 'NEW' THEN NULL WHEN b >= 2 THEN 'WARN' ELSE 'INFO' END AS severity,
     CASE WHEN b >= 3 THEN 'VERIFIED' WHEN b >= 1 THEN 'PROBABLE' ELSE 'INFERRED' END AS display, CASE b WHEN 4 THEN 96 WHEN 3 THEN 92 WHEN 2 THEN 78 WHEN 1 THEN 70 ELSE 55 END AS percent,
-    CASE h WHEN 0 THEN 'SOURCE' WHEN 1 THEN 'BREAK' ELSE 'WARN' END AS at_hop
-    FROM (SELECT o_orderkey, o_orderkey % 5 AS b, o_orderkey % 3 AS h, CASE o_orderstatus WHEN 'F' THEN 'COLUMN_DROP' WHEN 'O' THEN 'COLUMN_RENAME' ELSE 'NEW' END AS c FROM orders)""")
+    CASE h WHEN 0 THEN 'SOURCE' WHEN 1 THEN 'BREAK' ELSE 'WARN' END AS at_hop, CASE h WHEN 0 THEN 'RUNTIME,SCA' WHEN 1 THEN 'LLM' ELSE 'RUNTIME' END AS signals, CASE h WHEN 0 THEN o_orderdate WHEN 2 THEN o_orderdate END AS last_observed
+    FROM (SELECT *, o_orderkey % 5 AS b, o_orderkey % 3 AS h, CASE o_orderstatus WHEN 'F' THEN 'COLUMN_DROP' WHEN 'O' THEN 'COLUMN_RENAME' ELSE 'NEW' END AS c FROM orders)""")
 def f19_f21_severity(spark, d):
     band = rules.named(F.col("o_orderkey") % 5, rules.BANDS)
     change = F.when(F.col("o_orderstatus") == "F", "COLUMN_DROP").when(F.col("o_orderstatus") == "O", "COLUMN_RENAME").otherwise("NEW")
-    shown = rules.displayed(band, F.lit("NONE"))
-    return table(spark, d, "orders").select("o_orderkey", rules.severity(change, band).alias("severity"), shown["display"].alias("display"), shown["percent"].alias("percent"), rules.hop_severity(F.col("o_orderkey") % 3).alias("at_hop"))
-
-
-@query("""SELECT event_id, event_id % 7 = 0 AS secret, 'k' AS kept, CASE WHEN event_id % 5 = 0 THEN 'extra' ELSE '' END AS unknown FROM events""")
+    claim = lambda m, at: F.struct(F.lit(m).alias("mechanism"), at.alias("observed_at"))
+    day, before = F.col("o_orderdate"), F.col("o_orderdate") - F.make_dt_interval(F.lit(3))
+    h = F.col("o_orderkey") % 3
+    provenance = F.when(h == 0, F.array(claim("SCA", day), claim("RUNTIME", before), claim("RUNTIME", day))).when(h == 1, F.array(claim("LLM", day), claim("LLM", before))).otherwise(F.array(claim("RUNTIME", day), claim("", before)))
+    shown = rules.displayed(band, provenance)
+    return table(spark, d, "orders").select(
+        "o_orderkey", rules.severity(change, band).alias("severity"), shown["display"].alias("display"), shown["percent"].alias("percent"), rules.hop_severity(h).alias("at_hop"),
+        F.array_join(shown["signals"], ",").alias("signals"), shown["last_observed"].alias("last_observed"),
+    )
+
+
+#: Payloads, one for each remainder of the event's key, and what is wrong with them.
+PAYLOADS = {
+    '{"k": 1, "name": "x"}': None,
+    '{"k": 1, "extra": 2}': None,
+    '{"k": {"a": [{"DB.Statement": "select 1"}]}}': "PROHIBITED_FIELD",
+    '{"k": ["Bearer abc"]}': "SECRET_VALUE",
+    '{"k": {"values": []}}': "PROHIBITED_FIELD",
+    '{"k": "payload", "body": "tokens"}': None,
+    '{"k": "a password=1"}': "SECRET_VALUE",
+    '{"k": "say \\"token\\": x"}': None,
+    "{": "MALFORMED",
+}
+
+
+@query("""SELECT event_id, [""" + ", ".join("NULL" if v is None else f"'{v}'" for v in PAYLOADS.values()) + """][event_id % 9 + 1] AS problem, 'k' AS kept, ['name', 'extra', '', '', '', 'body', '', '', NULL][event_id % 9 + 1] AS unknown,
+    event_id % 4 IN (0, 1) AS span_prohibited FROM events""")
 def f22_f24_metadata(spark, d):
-    e = table(spark, d, "events")
-    value = F.when(F.col("event_id") % 7 == 0, "Bearer abc").otherwise(F.col("event_type"))
-    attributes = F.create_map(F.lit("k"), value, F.lit("drop_me"), value)
-    body = F.when(F.col("event_id") % 5 == 0, '{"k": 1, "extra": 2}').otherwise('{"k": 1}')
-    return e.select("event_id", rules.holds_secret(value).alias("secret"), F.array_join(F.map_keys(rules.only_allowed(attributes, ("k",))), ",").alias("kept"), F.array_join(rules.unknown_fields(body, ("k",)), ",").alias("unknown"))
+    e, k = table(spark, d, "events"), F.col("event_id")
+    body = F.element_at(F.array(*map(F.lit, PAYLOADS)), (k % len(PAYLOADS) + 1).cast("int"))
+    attributes = F.create_map(F.lit("k"), body, F.lit("drop_me"), body)
+    span_key = F.when(k % 4 == 0, "http.request.Header.x").otherwise("http.route")
+    span_value = F.when(k % 4 == 1, "TOKEN=1").otherwise(F.col("event_type"))
+    return e.select("event_id", rules.prohibited(body).alias("problem"), F.array_join(F.map_keys(rules.only_allowed(attributes, ("k",))), ",").alias("kept"), F.array_join(rules.unknown_fields(body, ("k",)), ",").alias("unknown"), rules.span_prohibited(span_key, span_value).alias("span_prohibited"))
 
 
-@query("""SELECT o_orderkey, greatest(0, CAST(epoch(TIMESTAMP '1996-01-01') - epoch(o_orderdate) AS BIGINT)) AS age_s, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'review' ELSE 'failed' END AS category,
+@query("""SELECT o_orderkey, greatest(0, CAST(epoch(TIMESTAMP '1996-01-01') - epoch(o_orderdate) AS BIGINT)) AS age_s, CASE o_orderstatus WHEN 'F' THEN 'published' WHEN 'O' THEN 'awaiting' ELSE 'failed' END AS category,
     o_orderkey % 10 AS stage, CASE WHEN o_orderkey % 3 = 0 THEN 'runtime' WHEN o_orderkey % 3 = 1 THEN 'llm' ELSE 'static' END AS evidence FROM orders""")
 def f25_f30_run_states(spark, d):
     state = F.when(F.col("o_orderstatus") == "F", "PUBLISHED").when(F.col("o_orderstatus") == "O", "IN_REVIEW").otherwise("FAILED_TERMINAL")

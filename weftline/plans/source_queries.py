@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from weftline.operators import runtime, validation
+from weftline.operators.checkpoints import shared_folder
+from weftline.plans.control_queries import JUDGED, MANIFEST
 from weftline.plans.registry import query
 from weftline.sources import extractors, inputs, sql_lineage
-from weftline.sources.inputs import table
+from weftline.sources.inputs import SQL_CLOSINGS, SQL_MESSAGES, SQL_OBSERVATIONS, table
 
 SCRIPTS = [
     ("sql/revenue.sql", "-- nightly; once\nINSERT INTO mart.daily (customer, gross, day)\nSELECT customer, SUM(amount), CAST(ts AS DATE) FROM raw.tx WHERE ok GROUP BY 1, 3;\nDELETE FROM raw.tx;"),
@@ -114,21 +116,51 @@ def s14_openlineage(spark, d):
     return runtime.from_openlineage(table(spark, d, "events").select(body.alias("body"))).drop("transform")
 
 
-@query("""SELECT event_id::VARCHAR AS span_id, CASE event_type WHEN 'view' THEN 'DATASET' WHEN 'click' THEN 'INTERACTION' WHEN 'purchase' THEN 'ELEMENT' WHEN 'error' THEN 'CONNECTIVITY' ELSE 'NOT_MAPPABLE' END AS plane,
-    CASE event_type WHEN 'click' THEN 'REST' END AS channel, CASE event_type WHEN 'view' THEN 'READS' WHEN 'purchase' THEN 'DERIVES' END AS edge_type,
-    CASE event_type WHEN 'view' THEN 'pg/db/t' || user_id WHEN 'purchase' THEN 'out#f' END AS target, event_type = 'signup' AS holds_prohibited FROM events""")
+@query("""SELECT event_id::VARCHAR AS span_id, CASE WHEN event_type = 'signup' THEN 'REFUSED' WHEN event_type = 'view' THEN 'DATASET' WHEN event_type = 'purchase' THEN CASE event_id % 3 WHEN 0 THEN 'ELEMENT' ELSE 'REFUSED' END WHEN event_type = 'click' THEN CASE WHEN event_id % 4 = 0 THEN 'REFUSED' ELSE 'INTERACTION' END ELSE 'CONNECTIVITY' END AS plane,
+    CASE WHEN event_type = 'signup' THEN 'OTEL_LINEAGE_NOT_MAPPABLE' WHEN event_type = 'purchase' AND event_id % 3 = 1 THEN 'OTEL_PROFILE_VERSION_UNSUPPORTED' WHEN event_type = 'purchase' AND event_id % 3 = 2 THEN 'OTEL_ATTRIBUTE_CONTRACT_UNAPPROVED' WHEN event_type = 'click' AND event_id % 4 = 0 THEN 'OTEL_INTERACTION_TARGET_UNKNOWN' END AS reason,
+    CASE WHEN event_type = 'click' AND event_id % 4 <> 0 THEN 'REST' END AS channel, CASE WHEN event_type = 'click' AND event_id % 4 <> 0 THEN 'GET /u/{id}' END AS operation,
+    CASE WHEN event_type = 'view' THEN CASE WHEN event_id % 2 = 0 THEN 'READS' ELSE 'CONNECTS' END WHEN event_type = 'purchase' AND event_id % 3 = 0 THEN 'DERIVES' WHEN event_type NOT IN ('signup', 'purchase', 'click') THEN 'CONNECTS' END AS edge_type,
+    CASE WHEN event_type = 'view' THEN 'pg://db/t' || user_id WHEN event_type = 'purchase' AND event_id % 3 = 0 THEN 'out#f' WHEN event_type = 'click' AND event_id % 4 <> 0 THEN 'peer' WHEN event_type NOT IN ('signup', 'purchase', 'click') THEN 'https://h' END AS target, event_type = 'signup' AS holds_prohibited FROM events""")
 def s15_otlp_spans(spark, d):
-    a = lambda k, v: F.concat(F.lit(f'{{"key":"{k}","value":{{"stringValue":"'), v, F.lit('"}}'))
-    u, e = F.concat(F.lit("t"), F.col("user_id").cast("string")), F.col("event_type")
+    a = lambda k, v: F.concat(F.lit(f'{{"key":"{k}","value":{{"stringValue":"'), v if not isinstance(v, str) else F.lit(v), F.lit('"}}'))
+    listed = lambda *xs: F.concat_ws(",", *xs)
+    u, e, k = F.concat(F.lit("t"), F.col("user_id").cast("string")), F.col("event_type"), F.col("event_id")
+    lineage = listed(a("lineage.source.dataset", "in"), a("lineage.source.field", "g"), a("lineage.target.dataset", "out"), a("lineage.target.field", "f"), a("lineage.profile.version", F.when(k % 3 == 1, "0").otherwise("1")), a("lineage.contract.schema_url", F.when(k % 3 == 2, "x").otherwise("u")))
     attributes = (
-        F.when(e == "view", F.concat_ws(",", a("db.system.name", F.lit("pg")), a("db.namespace", F.lit("db")), a("db.collection.name", u), a("db.operation.name", F.lit("select"))))
-        .when(e == "click", a("http.request.method", F.lit("GET")))
-        .when(e == "purchase", F.concat_ws(",", a("lineage.source.dataset", F.lit("in")), a("lineage.source.field", F.lit("g")), a("lineage.target.dataset", F.lit("out")), a("lineage.target.field", F.lit("f"))))
-        .when(e == "error", a("server.address", F.lit("h")))
-        .otherwise(a("http.authorization", F.lit("x")))
+        # a key that comes twice: the last one counts
+        F.when(e == "view", listed(a("db.system.name", "old"), a("db.system.name", "pg"), a("db.namespace", "db"), a("db.collection.name", u), a("db.operation.name", F.when(k % 2 == 0, "select").otherwise("vacuum"))))
+        .when(e == "click", listed(a("http.request.method", "GET"), a("http.route", "/u/{id}"), F.when(k % 4 != 0, a("peer.service", "peer"))))
+        .when(e == "purchase", lineage)
+        .when(e == "signup", listed(a("http.authorization", "x"), a("server.address", "Bearer y")))
+        .otherwise(a("server.address", "h"))
     )
-    body = F.concat(F.lit('{"resourceSpans":[{"scopeSpans":[{"spans":[{"traceId":"t","spanId":"'), F.col("event_id").cast("string"), F.lit('","startTimeUnixNano":"soon","attributes":['), attributes, F.lit("]}]}]}]}"))
-    return runtime.classify_spans(runtime.spans(table(spark, d, "events").select(body.alias("body")))).drop("trace_id", "observed_at")
+    body = F.concat(F.lit('{"resourceSpans":[{"scopeSpans":[{"spans":[{"traceId":"t","spanId":"'), k.cast("string"), F.lit('","startTimeUnixNano":"soon","attributes":['), attributes, F.lit("]}]}]}]}"))
+    return runtime.classify_spans(runtime.spans(table(spark, d, "events").select(body.alias("body"))), ("u", "1")).drop("trace_id", "observed_at")
+
+
+@query("""SELECT event_id::VARCHAR AS span_id, CASE event_id % 5 WHEN 1 THEN 'OTEL_PARSER_NOT_APPROVED' WHEN 2 THEN 'OTEL_SHAPE_INVALID' WHEN 3 THEN 'OTEL_SHAPE_INVALID' END AS reason, CASE event_id % 5 WHEN 0 THEN 'ELEMENT' WHEN 4 THEN 'CONNECTIVITY' END AS granularity,
+    CASE WHEN event_id % 5 IN (0, 4) THEN event_type END AS source_dataset, CASE WHEN event_id % 5 = 0 THEN 'a' END AS source_field, CASE WHEN event_id % 5 IN (0, 4) THEN 'out' END AS target_dataset, CASE WHEN event_id % 5 = 0 THEN 'b' END AS target_field,
+    CASE event_id % 5 WHEN 0 THEN 'DERIVES' WHEN 4 THEN 'CONNECTS' END AS edge_type, CASE WHEN event_id % 5 IN (0, 4) THEN event_id % 5 = 0 END AS exact FROM events""")
+def s15b_legacy_spans(spark, d):
+    k = F.col("event_id")
+    attributes = F.when(k % 5 == 2, "").otherwise(F.concat(F.lit('"attributes":{"lineage.source.dataset":"'), F.col("event_type"), F.lit('","lineage.target.dataset":"out"},')))
+    parser = F.when(k % 5 == 4, "").otherwise(F.concat(F.lit('"parserContract":"'), F.when(k % 5 == 1, "other").otherwise("p"), F.lit('",')))
+    mapping = F.when(k % 5 == 3, "").otherwise('"fieldMapping":{"sourceField":"a","targetField":"b"},')
+    body = F.concat(F.lit("{"), attributes, parser, mapping, F.lit('"spanId":"'), k.cast("string"), F.lit('"}'))
+    return runtime.from_legacy_spans(table(spark, d, "events").select(body.alias("body")), ("p",))
+
+
+@query("""SELECT event_id::VARCHAR AS observation_id, CASE event_id % 7 WHEN 2 THEN 'RUNTIME_SHAPE_INVALID' WHEN 3 THEN 'RUNTIME_SHAPE_INVALID' WHEN 4 THEN 'RUNTIME_UNKNOWN_FIELD' WHEN 5 THEN 'RUNTIME_UNKNOWN_FIELD' WHEN 6 THEN 'RUNTIME_PROHIBITED_FIELD' END AS reason,
+    CASE WHEN event_id % 7 < 2 THEN 'pg://s/' || event_type END AS source_dataset, CASE WHEN event_id % 7 < 2 THEN 'f' END AS source_field, CASE event_id % 7 WHEN 0 THEN 'pg://s/out' WHEN 1 THEN 'pg://s/' || event_type END AS target_dataset, CASE event_id % 7 WHEN 0 THEN 'g' WHEN 1 THEN 'f' END AS target_field,
+    CASE event_id % 7 WHEN 1 THEN 'service://repo/T#m' END AS endpoint, CASE WHEN event_id % 7 < 2 THEN 'DERIVES' END AS edge_type FROM events""")
+def s16_sdk_observations(spark, d):
+    k = F.col("event_id")
+    target, endpoint = '"target":{"dataset":"pg://s/out","field":"g"},', '"endpoint":{"service":"service://repo/T#m"},'
+    ends = F.when(k % 7 == 1, endpoint).when(k % 7 == 2, "").when(k % 7 == 3, target + endpoint).otherwise(target)
+    extra = F.when(k % 7 == 4, '"note":1,').when(k % 7 == 6, '"transform":"password=x",').otherwise('"transform":"x",')
+    inner = F.when(k % 7 == 5, ',"row":1').otherwise("")
+    body = F.concat(F.lit('{"schemaVersion":"1.0.0","sequence":1,"artifactDigest":"d","observedAt":"t","edgeType":"DERIVES","source":{"dataset":"pg://s/'), F.col("event_type"), F.lit('","field":"f"'), inner, F.lit("},"), ends, extra, F.lit('"observationId":"'), k.cast("string"), F.lit('"}'))
+    return runtime.from_sdk(table(spark, d, "events").select(body.alias("body")))
 
 
 @query("SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'selected' WHEN 1 THEN 'skipped' WHEN 2 THEN 'selected' WHEN 3 THEN 'skipped' WHEN 4 THEN 'unsupported' ELSE 'selected' END AS disposition FROM pages")
@@ -140,13 +172,7 @@ def s28_source_scope(spark, d):
 @query("SELECT r_name AS name, count(*) AS n FROM region GROUP BY r_name")
 def s1_s22_file_round_trip(spark, d):
     """Files written once and scanned back whole."""
-    folder = tempfile.mkdtemp(prefix="weftline-")
-    if spark.conf.get("spark.checkpoint.dir", None):
-        import uuid
-
-        folder = f"{spark.conf.get('spark.checkpoint.dir')}/files-{uuid.uuid4().hex}"
-    else:
-        folder += "/files"
+    folder = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
     table(spark, d, "region").select("r_name").write.mode("errorifexists").text(folder)
     files = spark.read.option("wholetext", True).text(folder)
     return files.select(F.explode(F.split(F.trim(F.regexp_replace("value", r"\n+$", "")), "\n")).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
@@ -158,16 +184,55 @@ def s26_table_snapshot(spark, d):
     return r.orderBy(*r.columns)
 
 
-@query()
+@query("SELECT * FROM manifest", SQL_OBSERVATIONS, SQL_CLOSINGS, JUDGED, MANIFEST)
 def z1_z4_streamed_sessions(spark, d):
-    """The stream of observations, closed by its last events, as manifests."""
-    from weftline.streaming.sessions import manifests
-
-    folder = tempfile.mkdtemp(prefix="weftline-") if not spark.conf.get("spark.checkpoint.dir", None) else f"{spark.conf.get('spark.checkpoint.dir')}/stream-{abs(hash(d)) % 10**9}"
-    rows = inputs.observations(spark, d).drop("value").withColumn("observed_at", F.col("observed_at").cast("timestamp"))
-    ends = rows.groupBy("session_id").agg(F.max("observed_at").alias("observed_at")).select("session_id", F.lit(1 << 60).cast("bigint").alias("sequence"), F.lit("CLOSE").alias("dataset"), F.lit("close").alias("observation_id"), F.lit("").alias("checksum"), "observed_at")
-    rows.unionByName(ends).write.mode("overwrite").parquet(f"{folder}/in")
-    stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
-    q = manifests(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+    """The stream of observations, closed by their producers, as manifests."""
+    from weftline.streaming import sessions
+
+    rows = inputs.observations(spark, d).drop("value").withColumn("observed_at", F.col("observed_at").cast("timestamp")).withColumn("closing", F.lit(None).cast(sessions.CLOSING))
+    ends = rows.groupBy("session_id").agg(F.max("observed_at").alias("observed_at"), F.max("arrival").alias("arrival")).join(inputs.closings(spark, d), "session_id")
+    none = F.lit(None)
+    closes = ends.select("session_id", "arrival", none.cast("bigint").alias("sequence"), none.cast("string").alias("dataset"), none.cast("string").alias("observation_id"), none.cast("string").alias("checksum"), "observed_at", F.struct(F.col("expected").cast("bigint"), "drained", F.col("buffered").cast("bigint"), F.col("dropped").cast("bigint")).cast(sessions.CLOSING).alias("closing"))
+    return sessions.replay(rows.unionByName(closes))
+
+
+@query("SELECT c_custkey AS env, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_custkey * 3 END AS age_s, CASE WHEN c_custkey % 5 = 0 THEN 'NOT_AVAILABLE' WHEN c_custkey > 100 THEN 'STALE' ELSE 'CURRENT' END AS watermark FROM customer")
+def z5_watermark(spark, d):
+    now, k = F.lit("2024-01-01").cast("timestamp"), F.col("c_custkey")
+    return runtime.watermark(table(spark, d, "customer").select(k.alias("env"), F.when(k % 5 != 0, F.timestamp_micros(F.unix_micros(now) - k * 3_000_000)).alias("updated_at")), now)
+
+
+@query("""SELECT o_orderkey AS window_id, CASE WHEN o_orderstatus = 'P' THEN 'REVOKED' WHEN o_orderdate <= TIMESTAMP '1993-01-01' THEN 'EXPIRED' WHEN o_orderkey % 11 = 0 THEN 'REVOKED' WHEN o_orderkey % 6 = 0 OR o_orderkey % 13 = 0 THEN 'INCOMPLETE' ELSE 'COMPLETE' END AS outcome FROM orders""")
+def z7_window_close(spark, d):
+    k, zero = F.col("o_orderkey"), F.lit(0)
+    lost = {c: zero for c in runtime.LOSSES} | {"retry_exhausted": F.when(k % 13 == 0, 2).otherwise(0)}
+    windows = table(spark, d, "orders").select(
+        k.alias("window_id"), F.when(F.col("o_orderstatus") == "P", "REVOKED").otherwise("ACTIVE").alias("lease_state"), F.lit("l").alias("lease_id"), F.when(k % 11 == 0, "m").otherwise("l").alias("held_lease_id"),
+        F.col("o_orderdate").alias("expires_at"), F.lit(5).alias("accepted"), F.when(k % 6 == 0, 4).otherwise(5).alias("drained"), *[v.alias(c) for c, v in lost.items()],
+    )
+    return runtime.window_close(windows, F.lit("1993-01-01").cast("timestamp"))
+
+
+@query("SELECT lane, group_id, list(sequence ORDER BY sequence)[1] AS first, count(*) AS n FROM messages GROUP BY lane, group_id", SQL_MESSAGES)
+def z8_group_order(spark, d):
+    """What an ordered consumer sees of each group: the rows of one task, in order."""
+
+    def consume(frames):
+        import pyarrow as pa
+
+        held, n = None, 0
+        for batch in frames:
+            out = []
+            for lane, group, sequence in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held is None or held[:2] != (lane, group):
+                    if held is not None:
+                        out.append((*held, n))
+                    held, n, before = (lane, group, sequence), 0, sequence
+                assert sequence >= before
+                n, before = n + 1, sequence
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["lane", "group_id", "first", "n"])
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (*held, n)], names=["lane", "group_id", "first", "n"])
+
+    return runtime.in_group_order(inputs.messages(spark, d).select("lane", "group_id", "sequence"), ["lane", "group_id"], "sequence").mapInArrow(consume, "lane string, group_id bigint, first bigint, n bigint")

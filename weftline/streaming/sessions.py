@@ -1,69 +1,107 @@
 """The runtime plane as a stream (Z1-Z4): sessions with duplicates, conflicts, sequences and an explicit close.
 
-State is kept for each session by applyInPandasWithState: the checksum of each observation_id, the highest sequence of each
-dataset, and the counters. A session is closed by an observation of type CLOSE, or, with event time, when its watermark
-passes its last event by ``ttl``; closing gives its manifest and frees its state.
+State is kept for each session in maps of the state store: the checksum of each accepted observation_id and the highest sequence of each dataset,
+which are read and written one by one, and the counters. A session ends by a row with ``closing``, or, by event time, when the watermark passes its first
+event by its time to live; either gives its manifest and frees its state.
 """
 
 from __future__ import annotations
 
-import json
+import uuid
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-OUT = "session_id bigint, outcome string, attempted bigint, accepted bigint, duplicates bigint, rejected bigint, last_sequence bigint"
-STATE = "seen string, high string, counters string"
-
-
-def _judge(rows: pd.DataFrame, seen: dict, high: dict, counters: dict) -> bool:
-    """Takes rows in order of sequence; True if one of them closes the session."""
-    closed = False
-    floor = dict(high)  # rows of one batch are held against what was there before it
-    for r in rows.sort_values("sequence").itertuples(index=False):
-        if r.dataset == "CLOSE":
-            closed = True
-            continue
-        counters["attempted"] += 1
-        counters["last"] = max(counters["last"], int(r.sequence))
-        if r.observation_id in seen:
-            counters["duplicates" if seen[r.observation_id] == r.checksum else "rejected"] += 1
-        elif int(r.sequence) <= floor.get(r.dataset, -1):
-            counters["rejected"] += 1
-        else:
-            seen[r.observation_id] = r.checksum
-            high[r.dataset] = max(high.get(r.dataset, -1), int(r.sequence))
-            counters["accepted"] += 1
-    return closed
-
-
-def manifests(observations: DataFrame, delay: str = "1 hour", ttl_ms: int = 3_600_000) -> DataFrame:
-    """A manifest for each session of a stream (session_id, sequence, dataset, observation_id, checksum, observed_at).
-
-    outcome is COMPLETE or INCOMPLETE on a close, EXPIRED when the watermark ends the session.
-    """
+from pyspark.sql import DataFrame, Row
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from weftline.operators.checkpoints import shared_folder
+
+CLOSING = "struct<expected:bigint,drained:boolean,buffered:bigint,dropped:bigint>"
+OUT = "session_id bigint, attempted bigint, accepted bigint, duplicates bigint, rejected bigint, last_sequence bigint, outcome string"
+COUNTERS = "attempted bigint, accepted bigint, duplicates bigint, rejected bigint, last bigint, expires bigint"
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Session(StatefulProcessor):
+    """One session's rule; the same as ``operators.runtime.Judge``, against the state store."""
+
+    def __init__(self, ttl_s: int) -> None:
+        self.ttl_ms = ttl_s * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getMapState("seen", "observation_id string", "checksum string")
+        self.high = handle.getMapState("high", "dataset string", "sequence bigint")
+        self.counters = handle.getValueState("counters", COUNTERS)
+
+    def _take(self, r: Row) -> int:
+        """1 accepted, 2 duplicate, 3 rejected."""
+        known = self.seen.getValue((r.observation_id,))
+        if known is not None:
+            return 2 if known[0] == r.checksum else 3
+        high = self.high.getValue((r.dataset,))
+        if high is not None and r.sequence <= high[0]:
+            return 3
+        self.seen.updateValue((r.observation_id,), (r.checksum,))
+        self.high.updateValue((r.dataset,), (r.sequence,))
+        return 1
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, high, counters = {}, {}, {"attempted": 0, "accepted": 0, "duplicates": 0, "rejected": 0, "last": -1}
-        if state.exists:
-            seen, high, counters = map(json.loads, state.get)
-        expired = state.hasTimedOut
-        closed = False
-        if not expired:
-            rows = pd.concat(list(frames))
-            closed = _judge(rows, seen, high, counters)
-        if closed or expired:
-            state.remove()
-            outcome = "EXPIRED" if expired else "COMPLETE" if counters["rejected"] == 0 else "INCOMPLETE"
-            yield pd.DataFrame([(key[0], outcome, counters["attempted"], counters["accepted"], counters["duplicates"], counters["rejected"], counters["last"])], columns=[c.split()[0] for c in OUT.split(", ")])
-            return
-        state.update((json.dumps(seen), json.dumps(high), json.dumps(counters)))
-        state.setTimeoutTimestamp(max(int(rows["observed_at"].max().timestamp() * 1000) + ttl_ms, state.getCurrentWatermarkMs() + 1))
+    def _end(self, key: tuple, c: list, outcome: str) -> Iterator[Row]:
+        if c[5] >= 0:
+            self.handle.deleteTimer(c[5])
+        for state in (self.seen, self.high, self.counters):
+            state.clear()
+        yield Row(session_id=key[0], attempted=c[0], accepted=c[1], duplicates=c[2], rejected=c[3], last_sequence=c[4], outcome=outcome)
 
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        c = list(self.counters.get()) if self.counters.exists() else [0, 0, 0, 0, -1, -1]
+        for r in sorted(rows, key=lambda r: (r.closing is not None, r.arrival)):
+            if r.closing is not None:
+                e = r.closing
+                whole = e["drained"] and c[1] == e["expected"] and not c[3] and not e["buffered"] and not e["dropped"]
+                yield from self._end(key, c, "COMPLETE" if whole else "INCOMPLETE")
+                return
+            if c[5] < 0:
+                c[5] = max(int(r.observed_at.timestamp() * 1000) + self.ttl_ms, timerValues.getCurrentWatermarkInMs() + 1)
+                self.handle.registerTimer(c[5])
+            c[0] += 1
+            c[self._take(r)] += 1
+            c[4] = max(c[4], r.sequence)
+        self.counters.update(tuple(c))
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if self.counters.exists():
+            c = list(self.counters.get())
+            c[5] = -1  # this timer has gone off
+            yield from self._end(key, c, "EXPIRED")
+
+    def close(self) -> None:
+        pass
+
+
+def manifests(observations: DataFrame, delay: str = "1 hour", ttl_s: int = 3600) -> DataFrame:
+    """A manifest for each session of a stream (session_id, arrival, sequence, dataset, observation_id, checksum, observed_at, closing).
+
+    outcome is COMPLETE or INCOMPLETE on a close, EXPIRED when the watermark ends the session. The session must keep state in RocksDB.
+    """
+    if not 1 <= ttl_s <= 3600:
+        raise ValueError("a session lives from 1 to 3600 seconds")
     marked = observations.withWatermark("observed_at", delay)
-    return marked.groupBy("session_id").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return marked.groupBy("session_id").transformWithState(Session(ttl_s), OUT, "append", "eventTime")
+
+
+def replay(rows: DataFrame) -> DataFrame:
+    """Streams a table of observations and closings once through ``manifests``, in a folder of its own."""
+    spark = rows.sparkSession
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{folder}/in")
+    own = spark.newSession()  # so that the provider of state is set for this stream only
+    for name in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):
+        own.conf.set(name, spark.conf.get(name))
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    stream = own.readStream.schema(rows.schema).parquet(f"{folder}/in")
+    q = manifests(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(OUT).parquet(f"{folder}/out")
 
 
 def deduplicated(observations: DataFrame, delay: str = "1 hour") -> DataFrame:
