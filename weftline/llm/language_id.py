@@ -36,19 +36,29 @@ class Alphabet:
                 low = s.lower()
                 self.small[c] = ord(low) if len(low) == 1 else c
 
-    def letters(self, text: str) -> np.ndarray:
-        """Code points of the letters, 0 for each run of others, with a 0 at both ends."""
+    def codes(self, text: str) -> np.ndarray:
+        """The lower-cased code point of each letter, 0 for anything else."""
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        if len(codes) and codes.max() >= 1 << 16:
-            big = codes >= 1 << 16
-            out = np.zeros(len(codes), np.uint32)
-            out[~big] = self.small[codes[~big]]
-            values, where = np.unique(codes[big], return_inverse=True)
-            out[big] = np.array([ord(chr(v).lower()) if chr(v).isalpha() and len(chr(v).lower()) == 1 else 0 for v in values.tolist()], np.uint32)[where]
-        else:
-            out = self.small[codes]
-        out = np.concatenate([[0], out, [0]]).astype(np.uint32)
-        return out[np.concatenate([[True], (out[1:] != 0) | (out[:-1] != 0)])]
+        if not len(codes) or codes.max() < 1 << 16:
+            return self.small[codes]
+        big = codes >= 1 << 16
+        out = np.zeros(len(codes), np.uint32)
+        out[~big] = self.small[codes[~big]]
+        values, where = np.unique(codes[big], return_inverse=True)
+        out[big] = np.array([ord(chr(v).lower()) if chr(v).isalpha() and len(chr(v).lower()) == 1 else 0 for v in values.tolist()], np.uint32)[where]
+        return out
+
+    def blocks(self, text: str) -> Iterator[np.ndarray]:
+        """A text's letters in blocks: 0 for each run of others and at both ends of the text, and at a block's head the last two of the block before.
+
+        So every trigram of the text is in one block, once, wherever the blocks are cut.
+        """
+        tail = np.zeros(1, np.uint32)
+        for i in range(0, max(1, len(text)), BLOCK):
+            out = np.concatenate([tail, self.codes(text[i : i + BLOCK]), np.zeros(int(i + BLOCK >= len(text)), np.uint32)])
+            out = out[np.concatenate([[True], (out[1:] != 0) | (out[:-1] != 0)])]
+            yield out
+            tail = out[-2:]
 
 
 class Vectors:
@@ -82,6 +92,8 @@ class Vectors:
 
 def trigram_counts(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct trigrams of some texts' letters, as rows of three, and a row of counts for each text."""
+    if sum(map(len, texts)) < 3:
+        return np.empty((0, 3), np.uint32), np.zeros((len(texts), 0), np.int64)
     codes = np.concatenate(texts)
     letters, rank = np.unique(codes, return_inverse=True)
     k, rank = len(letters), rank.astype(np.int64)
@@ -103,12 +115,6 @@ def trigram_counts(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return letters[np.stack([grams // (k * k), grams // k % k, grams % k], 1)], counts
 
 
-def blocks(text: str) -> Iterator[str]:
-    """A text in blocks that share two code points, so that no trigram is lost or counted twice."""
-    for i in range(0, max(1, len(text)), BLOCK):
-        yield text[max(0, i - 2) : i + BLOCK] if i else text[:BLOCK]
-
-
 class Bundler:
     """Bundles texts into hyperdimensional vectors, many at a time."""
 
@@ -123,8 +129,7 @@ class Bundler:
         held: list[np.ndarray] = []
         size = 0
         for i, text in enumerate(texts):
-            for block in blocks(text or ""):
-                codes = self.alphabet.letters(block)
+            for codes in self.alphabet.blocks(text or ""):
                 if codes.any():
                     letter[i] = True
                     owners.append(i)
@@ -184,31 +189,55 @@ def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", order:
     return languages, bundles
 
 
-def identify(docs: DataFrame, languages: list[str], bundles: np.ndarray, *, text: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] = (), dimensions: int = DIMENSIONS, seed: int = SEED) -> DataFrame:
+class _Labels:
+    """What a worker needs to label texts."""
+
+    def __init__(self, languages: list[str], bundles: np.ndarray, dimensions: int, seed: int) -> None:
+        lengths = np.linalg.norm(bundles, axis=1, keepdims=True)
+        self.languages, self.unit = languages, (bundles / np.where(lengths > 0, lengths, 1)).astype(np.float32)
+        self.dimensions, self.seed = dimensions, seed
+
+    def of(self, bundler: Bundler, texts: list[str | None]) -> tuple[pa.Array, pa.Array]:
+        vectors, letter = bundler.bundle(texts)
+        norm = np.linalg.norm(vectors, axis=1, keepdims=True)
+        found, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+        if self.languages:
+            cosine = vectors @ self.unit.T / np.where(norm > 0, norm, 1)
+            best = cosine.argmax(1)
+            score = np.where(letter, np.clip(cosine[np.arange(len(best)), best], 0, 1), 0).astype(np.float64)
+            found = [self.languages[b] if has else UNKNOWN for b, has in zip(best, letter, strict=True)]
+        return pa.array(found, pa.string()), pa.array(score, pa.float64())
+
+
+def identify(docs: DataFrame, languages: list[str], bundles: np.ndarray, *, text: str = "text", id_col: str = "doc_id", dimensions: int = DIMENSIONS, seed: int = SEED) -> DataFrame:
     """The language of every whole text.
 
-    Returns (id_col, *keep, lang_pred, score): the language of the prototype with the largest
+    Returns (id_col, lang_pred, score): the language of the prototype with the largest
     cosine (ties: the first by name) and that cosine, 0 if negative. ``und`` with score 0 for a null text, one
     without a letter, or if no language was learned. One row for each row of docs; an empty
     table gives an empty one; other columns are not read, whatever their names.
     """
-    lengths = np.linalg.norm(bundles, axis=1, keepdims=True)
-    unit = (bundles / np.where(lengths > 0, lengths, 1)).astype(np.float32)
+    labels = _Labels(languages, bundles, dimensions, seed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bundler = Bundler(dimensions, seed)
+        for batch in batches:
+            for rows in _rows(batch):
+                yield pa.RecordBatch.from_arrays([rows.column(0), *labels.of(bundler, rows.column(1).to_pylist())], names=[id_col, "lang_pred", "score"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
+
+
+def labelled_rows(docs: DataFrame, languages: list[str], bundles: np.ndarray, *, text: str = "text", dimensions: int = DIMENSIONS, seed: int = SEED) -> DataFrame:
+    """(row, lang_pred, score): as ``identify``, with each row of docs, whole, as a struct: so its columns may have any names."""
+    labels = _Labels(languages, bundles, dimensions, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bundler = Bundler(dimensions, seed)
         for batch in batches:
             for rows in _rows(batch):
-                vectors, letter = bundler.bundle(rows.column(rows.num_columns - 1).to_pylist())
-                norm = np.linalg.norm(vectors, axis=1, keepdims=True)
-                found, score = [UNKNOWN] * rows.num_rows, np.zeros(rows.num_rows)
-                if languages:
-                    cosine = vectors @ unit.T / np.where(norm > 0, norm, 1)
-                    best = cosine.argmax(1)
-                    score = np.where(letter, np.clip(cosine[np.arange(len(best)), best], 0, 1), 0).astype(np.float64)
-                    found = [languages[b] if has else UNKNOWN for b, has in zip(best, letter, strict=True)]
-                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(found, pa.string()), pa.array(score, pa.float64())], names=[*rows.schema.names[:-1], "lang_pred", "score"])
-
-    chosen = docs.select(id_col, *keep, text)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-    return chosen.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+                yield pa.RecordBatch.from_arrays([rows.column(0), *labels.of(bundler, rows.column(0).field(text).to_pylist())], names=["row", "lang_pred", "score"])
+
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, lang_pred string, score double")
