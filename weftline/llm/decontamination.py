@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.shared import kept
+
 Q = 12
 #: Edits allowed, as a share of a window's length.
 EDITS = 0.05
@@ -28,8 +30,12 @@ WINDOW = 60
 SHORTEST = 40
 #: Windows that are aligned at once.
 ALIGNED = 2048
-#: Code points of a text that are searched at once, and bytes of benchmark that are indexed at once.
-BLOCK, INDEX_BYTES = 1 << 18, 16 << 20
+#: Code points of a text that are searched at once, and of the benchmark that are indexed at once.
+BLOCK, INDEX_CHARS = 1 << 18, 4 << 20
+#: Parts of the benchmark that one plan searches for; after so many the lists found so far are checkpointed.
+PARTS = 8
+#: Pairs of equal q-grams that are counted at once, and beyond which a text is searched in smaller blocks.
+PAIRS, MANY_PAIRS = 1 << 18, 1 << 23
 _MARKS = re.compile(r"[\W_]+")
 #: Thai, Lao, Burmese, Khmer, kana and Han set no spaces between words.
 _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
@@ -97,47 +103,48 @@ def stands_alone(text: str, at: int, end: int) -> bool:
 
 
 class Index:
-    """The q-grams of some benchmark items, and the items too short for them."""
+    """The q-grams of some benchmark items, and the items too short for them. Items of one normalised text are one entry."""
 
     def __init__(self, items: list[tuple[int, str]], q: int, edits: float, window: int) -> None:
         self.q = q
-        # item, code points, characters of a window, edits, q-grams to share
-        self.windows: list[tuple[int, np.ndarray, int, int, int]] = []
-        self.short: dict[int, dict[str, set[int]]] = {}
-        hashes = []
+        texts: dict[str, set[int]] = {}
         for item, text in items:
-            text = normalise(text)
+            texts.setdefault(normalise(text), set()).add(item)
+        # items, code points, q-gram hashes, characters of a window, edits, q-grams to share
+        self.windows: list[tuple[set[int], np.ndarray, np.ndarray, int, int, int]] = []
+        self.short: dict[int, dict[str, set[int]]] = {}
+        for text, own in texts.items():
             if len(text) < SHORTEST:
                 if text:
-                    self.short.setdefault(len(text), {}).setdefault(text, set()).add(item)
+                    self.short.setdefault(len(text), {})[text] = own
                 continue
-            lengths = {min(window, len(text))} | ({len(text)} if len(text) < 2 * window else set())
-            for length in sorted(lengths):
+            hashes, points = grams(text, q), codes(text)
+            for length in sorted({min(window, len(text))} | ({len(text)} if len(text) < 2 * window else set())):
                 most = int(edits * length)
                 while most and length + 1 - q * (most + 1) < 1:
                     most -= 1
-                self.windows.append((item, codes(text), length, most, length + 1 - q * (most + 1)))
-                hashes.append(grams(text, q))
-        flat = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-        owner = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
-        place = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.empty(0, np.int64)
+                self.windows.append((own, points, hashes, length, most, length + 1 - q * (most + 1)))
+        each = [w[2] for w in self.windows]
+        flat = np.concatenate(each) if each else np.empty(0, np.uint64)
+        owner = np.repeat(np.arange(len(each), dtype=np.int32), [len(h) for h in each])
+        place = np.concatenate([np.arange(len(h), dtype=np.int32) for h in each]) if each else np.empty(0, np.int32)
         order = np.argsort(flat, kind="stable")
         self.hashes, self.owner, self.place = flat[order], owner[order], place[order]
         self.bits = 22
         self.maybe = np.zeros(1 << self.bits, bool)
         self.maybe[self.hashes >> np.uint64(64 - self.bits)] = True
         self.longest = max((len(w[1]) for w in self.windows), default=0)
-        self.length = np.array([w[2] for w in self.windows], np.int64)
-        self.band = np.array([w[3] for w in self.windows], np.int64)
-        self.bound = np.array([w[4] for w in self.windows], np.int64)
+        self.length = np.array([w[3] for w in self.windows], np.int64)
+        self.band = np.array([w[4] for w in self.windows], np.int64)
+        self.bound = np.array([w[5] for w in self.windows], np.int64)
+        self.over = int((self.length + 2 * self.band).max()) + q if self.windows else 0
         self.short_hashes = {n: np.unique(np.concatenate([grams(t, n) for t in known])) for n, known in self.short.items()}
 
     def hits(self, text: str) -> set[int]:
         """Items of which a window is within its edits of a part of this normalised text, and short ones that it holds."""
         found: set[int] = set()
-        over = int((self.length + 2 * self.band).max()) + self.q if self.windows else 0
         for at in range(0, len(text), BLOCK) if self.windows else ():
-            found |= self._block(text[at : at + BLOCK + over], found)
+            self._block(text[at : at + BLOCK + self.over], found)
         for n, known in self.short.items():
             for at in range(0, len(text), BLOCK):
                 h = grams(text[at : at + BLOCK + n - 1], n)
@@ -147,50 +154,68 @@ class Index:
                         found |= same
         return found
 
-    def _block(self, text: str, known: set[int]) -> set[int]:
+    def _block(self, text: str, found: set[int]) -> None:
         h = grams(text, self.q)
         at = np.flatnonzero(self.maybe[h >> np.uint64(64 - self.bits)])
         if not len(at):
-            return set()
+            return
         low = np.searchsorted(self.hashes, h[at], "left")
         n = np.searchsorted(self.hashes, h[at], "right") - low
         at, low, n = at[n > 0], low[n > 0], n[n > 0]
-        out: set[int] = set()
-        # rows of one text place times one window place; a common q-gram has many, so they are taken in parts
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(np.cumsum(n) >> 20)) + 1, [len(n)]])
-        keys = []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if b > a:
-                rows = np.repeat(low[a:b], n[a:b]) + np.arange(n[a:b].sum()) - np.repeat(np.cumsum(n[a:b]) - n[a:b], n[a:b])
-                w, diagonal = self.owner[rows], np.repeat(at[a:b], n[a:b]) - self.place[rows]
-                keys.append(np.stack([w, diagonal + self.longest, self.place[rows]], 1))
-        if not keys:
-            return out
-        pairs = np.concatenate(keys)
-        w, d, place = pairs[:, 0], pairs[:, 1], pairs[:, 2]
-        width = self.band[w] + 1
+        if not len(at):
+            return
+        if n.sum() > MANY_PAIRS and len(text) > 8 * self.over:
+            half = len(text) // 2
+            self._block(text[: half + self.over], found)
+            self._block(text[half:], found)
+            return
         part = codes(text)
         # bands of 2 e + 2 diagonals that overlap by half hold any e + 1 neighbours
         for half in (0, 1):
-            band = (d + half * width) // (2 * width)
-            code = w.astype(np.int64) << 40 | band
-            values, first, of, count = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
-            rows = np.flatnonzero((count >= self.bound[w[first]])[of])
-            rows = rows[np.lexsort((place[rows], code[rows]))]
-            begins = np.flatnonzero(np.diff(code[rows], prepend=-1))
-            for r in np.split(rows, begins[1:]) if len(rows) else ():
-                i = int(w[r[0]])
-                item, whole, length, most, bound = self.windows[i]
-                if item in known or item in out:
+            for code in self._bands(at, low, n, half).tolist():
+                i, band = code >> 40, code & (1 << 40) - 1
+                items, whole, hashes, length, most, bound = self.windows[i]
+                if items <= found:
                     continue
-                starts = self._starts(place[r], len(whole), length, bound)
-                shift = int(band[r[0]]) * 2 * (most + 1) - half * (most + 1) - self.longest + most
+                first = (2 * band - half) * (most + 1) - self.longest
+                places = self._places(h, hashes, first, 2 * (most + 1))
+                starts = self._starts(places, len(whole), length, bound) if len(places) >= bound else places[:0]
+                shift = first + most
                 # one from the middle first: where much is quoted it is enough
                 for some in [starts[len(starts) // 2 :][:1], *[starts[k : k + ALIGNED] for k in range(0, len(starts), ALIGNED)]]:
                     if len(some) and distances(whole[some[:, None] + np.arange(length)], part, 2 * most + 1, some + shift).min() <= most:
-                        out.add(item)
+                        found |= items
                         break
-        return out
+
+    def _bands(self, at: np.ndarray, low: np.ndarray, n: np.ndarray, half: int) -> np.ndarray:
+        """window << 40 | band of each band with hits enough. Pairs of equal q-grams are counted in parts; only counts are held, one for each band."""
+        values, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(np.cumsum(n) // PAIRS)) + 1, [len(n)]])
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b == a:
+                continue
+            rows = np.repeat(low[a:b], n[a:b]) + np.arange(n[a:b].sum()) - np.repeat(np.cumsum(n[a:b]) - n[a:b], n[a:b])
+            w = self.owner[rows].astype(np.int64)
+            diagonal = np.repeat(at[a:b], n[a:b]) - self.place[rows] + self.longest
+            width = self.band[w] + 1
+            own, k = np.unique(w << 40 | (diagonal + half * width) // (2 * width), return_counts=True)
+            if not len(values):
+                values, counts = own, k
+                continue
+            both = np.concatenate([values, own])
+            values, of = np.unique(both, return_inverse=True)
+            counts = np.bincount(of, np.concatenate([counts, k]), len(values)).astype(np.int64)
+        return values[counts >= self.bound[values >> 40]]
+
+    @staticmethod
+    def _places(h: np.ndarray, hashes: np.ndarray, first: int, width: int) -> np.ndarray:
+        """Places of an item, ascending, whose q-gram the text has on one of these diagonals."""
+        same = np.zeros(len(hashes), bool)
+        for d in range(first, first + width):
+            a, b = max(0, -d), min(len(hashes), len(h) - d)
+            if a < b:
+                same[a:b] |= hashes[a:b] == h[a + d : b + d]
+        return np.flatnonzero(same)
 
     def _starts(self, places: np.ndarray, whole: int, length: int, bound: int) -> np.ndarray:
         """Where a window of an item can begin so that it holds bound of these ascending places' q-grams."""
@@ -206,39 +231,59 @@ class Index:
         return np.flatnonzero(np.cumsum(steps)) + base
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] = (), item_text: str = "text", item_id: str = "item_id", q: int = Q, edits: float = EDITS, window: int = WINDOW) -> DataFrame:
-    """(id_col, *keep, items): for every whole text the ids, ascending, of the items it holds a window of.
+def _parts(benchmark: DataFrame, item_text: str, item_id: str) -> Iterator[list[tuple[int, str]]]:
+    """The benchmark in parts of at most INDEX_CHARS (or one item); one part is held at a time."""
+    part: list[tuple[int, str]] = []
+    size = 0
+    for r in benchmark.where(F.col(item_text).isNotNull()).select(item_id, item_text).orderBy(item_id, item_text).toLocalIterator():
+        if part and size + len(r[1]) > INDEX_CHARS:
+            yield part
+            part, size = [], 0
+        part.append((r[0], r[1]))
+        size += len(r[1])
+    if part:
+        yield part
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", id_col: str = "doc_id", item_text: str = "text", item_id: str = "item_id", q: int = Q, edits: float = EDITS, window: int = WINDOW) -> DataFrame:
+    """(id_col, items): for every whole text the ids, ascending, of the items it holds a window of.
 
     One row for each row of docs, with an empty list for a clean text, a null or an empty one. A null item, or one
-    without a letter or digit, matches nothing; one under SHORTEST characters matches as a whole, exactly. The items go to the executors in parts of at most
-    INDEX_BYTES; more parts mean more passes, whose lists are put together. Empty tables give
+    without a letter or digit, matches nothing; one under SHORTEST characters matches as a whole, exactly. Empty tables give
     empty lists or no rows; other columns are not read, whatever their names.
+
+    The benchmark goes to the executors in parts of INDEX_CHARS, and each part is a pass over the texts. After PARTS of them the lists are
+    checkpointed, so neither the driver nor a plan ever holds more of it, however large it is.
     """
-    parts: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    for r in benchmark.where(F.col(item_text).isNotNull()).select(item_id, item_text).orderBy(item_id, item_text).toLocalIterator():
-        if size + len(r[1]) > INDEX_BYTES and parts[-1]:
-            parts.append([])
-            size = 0
-        parts[-1].append((r[0], r[1]))
-        size += len(r[1])
-    # the text to search and the list so far stand first; the columns asked for follow
-    found = docs.select(F.col(text).alias("searched"), F.lit(None).cast("array<bigint>").alias("items"), id_col, *keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields)
-    for items in parts:
-        found = found.mapInArrow(_search(items, q, edits, window), schema)
-    return found.select(id_col, *keep, F.coalesce("items", F.array().cast("array<bigint>")).alias("items"))
+    packed = docs.select(F.struct(F.col(id_col).alias("id"), F.col(text).alias("text")).alias("row"))
+    found = _searched(packed, "text", _parts(benchmark, item_text, item_id), q, edits, window)
+    return found.select(F.col("row.id").alias(id_col), "items")
+
+
+def contaminated_rows(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_text: str = "text", item_id: str = "item_id", q: int = Q, edits: float = EDITS, window: int = WINDOW) -> DataFrame:
+    """(row, items): as ``contamination``, with each row of docs, whole, as a struct: so its columns may have any names."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return _searched(packed, text, _parts(benchmark, item_text, item_id), q, edits, window)
+
+
+def _searched(packed: DataFrame, text: str, parts: Iterator[list[tuple[int, str]]], q: int, edits: float, window: int) -> DataFrame:
+    found = packed.withColumn("items", F.array().cast("array<bigint>"))
+    schema = f"row {packed.schema['row'].dataType.simpleString()}, items array<bigint>"
+    for i, items in enumerate(parts, 1):
+        found = found.mapInArrow(_search(items, text, q, edits, window), schema)
+        if i % PARTS == 0:
+            found = kept(found)
+    return found
 
 
-def _search(items: list[tuple[int, str]], q: int, edits: float, window: int):
+def _search(items: list[tuple[int, str]], text: str, q: int, edits: float, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = None
         for batch in batches:
             index = index or Index(items, q, edits, window)
             lists = []
-            for value, before in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                found = index.hits(normalise(value.as_py()))
-                lists.append(sorted(found.union(before or ())))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64())), *batch.columns[2:]], names=batch.schema.names)
+            for value, before in zip(batch.column(0).field(text), batch.column(1).to_pylist(), strict=True):
+                lists.append(sorted(index.hits(normalise(value.as_py())).union(before)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64()))], names=["row", "items"])
 
     return run
