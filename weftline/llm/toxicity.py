@@ -3,17 +3,18 @@
 Features are the words of a text and the first bytes of longer words, by presence. The
 most telling ones are chosen by chi-squared on the training sample; on these a logistic regression is
 fitted with two penalties: the usual one on the weights, and one on the change of a score when an
-identity term of a labelled text is swapped for others of its kind (or for a plain word for a person).
+identity term of a labelled sentence is swapped for others of its kind (or for a plain word for a person).
 So mentioning a group, and which one, moves no score, and neutral mentions aren't held against a text.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm import textblocks as tb
@@ -32,6 +33,8 @@ PREFIXES = (4, 5, 6, 7, 8)
 #: Labelled texts of each class at most that are fitted on; features kept; lowest count in a class.
 TRAIN_TEXTS, FEATURES, LEAST = 2500, 3000, 4
 L2, SWAP_PENALTY = 5e-4, 1.0
+#: Labelled sentences of each term that are swapped at most, and swaps that are fitted on at most, in even shares of the kinds.
+SWAP_SENTENCES, SWAPS = 20, 6000
 
 _GAP = np.ones(256, bool)
 _GAP[[*range(97, 123), *range(65, 91), *range(128, 256)]] = False
@@ -73,6 +76,24 @@ def term_features(term: str) -> np.ndarray:
     return np.unique(_hashes(np.frombuffer(term.encode(), np.uint8))[0])
 
 
+_SENTENCE, _WORD = re.compile(r"[.!?\n]+"), re.compile(r"[^\W\d_]+")
+_KIND_OF: dict[str, list[int]] = {}
+for _i, _kind in enumerate(IDENTITY_TERMS):
+    for _term in _kind:
+        _KIND_OF.setdefault(_term, []).append(_i)
+
+
+def mentions(text: str) -> Iterator[tuple[str, str]]:
+    """(term, sentence) for each identity term of each sentence of a text, in small letters."""
+    for sentence in _SENTENCE.split(text.lower()):
+        for term in sorted(_KIND_OF.keys() & set(_WORD.findall(sentence))):
+            yield term, sentence.strip()
+
+
+def swapped(sentence: str, term: str, other: str) -> str:
+    return re.sub(rf"(?<![^\W\d_]){re.escape(term)}(?![^\W\d_])", other, sentence)
+
+
 def _blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
     """(first text, end, bytes) with a break between texts; a long text comes in several blocks."""
     data, off = tb.utf8(column)
@@ -123,34 +144,46 @@ class Model:
         return i[self.features[i] == hashes]
 
 
-def _largest(x: np.ndarray, steps: int = 30) -> float:
-    """An upper estimate of the squared spectral norm, by power iteration."""
-    v = np.ones(x.shape[1]) / max(1, x.shape[1]) ** 0.5
-    size = 0.0
-    for _ in range(steps):
-        v = x.T @ (x @ v)
-        size = float(np.linalg.norm(v))
-        if not size:
-            return 0.0
-        v /= size
-    return 1.1 * size
+class Rows:
+    """A sparse matrix by rows, each a list of columns with their values."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], width: int) -> None:
+        self.width, self.n = width, len(rows)
+        self.columns = np.concatenate([c for c, _ in rows]).astype(np.int64) if rows else np.empty(0, np.int64)
+        self.values = np.concatenate([v for _, v in rows]).astype(np.float64) if rows else np.empty(0)
+        self.owner = np.repeat(np.arange(self.n), [len(c) for c, _ in rows])
 
+    def times(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.owner, self.values * v[self.columns], self.n)
 
-def _fit(x: np.ndarray, y: np.ndarray, swaps: np.ndarray, l2: float, swap_penalty: float, steps: int = 250) -> tuple[np.ndarray, float]:
+    def back(self, r: np.ndarray) -> np.ndarray:
+        """The transpose times r."""
+        return np.bincount(self.columns, self.values * r[self.owner], self.width)
+
+    def largest(self, weight: np.ndarray, steps: int = 30) -> float:
+        """An upper estimate of the squared spectral norm of the rows, each times the root of its weight, by power iteration."""
+        v = np.ones(self.width) / max(1, self.width) ** 0.5
+        size = 0.0
+        for _ in range(steps):
+            v = self.back(weight * self.times(v))
+            size = float(np.linalg.norm(v))
+            if not size:
+                return 0.0
+            v /= size
+        return 1.1 * size
+
+
+def _fit(x: Rows, y: np.ndarray, swaps: Rows, l2: float, swap_penalty: float, steps: int = 250) -> tuple[np.ndarray, float]:
     """Logistic regression by Nesterov's gradient steps. swaps: rows of feature changes."""
-    x, swaps = x.astype(np.float32), swaps.astype(np.float32)
-    w, b = np.zeros(x.shape[1], np.float32), 0.0
+    w, b = np.zeros(x.width), 0.0
     v, c = w.copy(), b
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
-    top = float(_largest(x * np.sqrt(weight)[:, None]) / 4 + 0.25 + l2)
-    if len(swaps):
-        top += 2 * swap_penalty * _largest(swaps) / len(swaps)
+    each = 2 * swap_penalty / max(1, swaps.n)
+    top = x.largest(weight) / 4 + 0.25 + l2 + each * swaps.largest(np.ones(swaps.n))
     for k in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ v + c, -40, 40)))
+        p = 1 / (1 + np.exp(-np.clip(x.times(v) + c, -40, 40)))
         r = weight * (p - y)
-        g = x.T @ r + l2 * v
-        if len(swaps):
-            g += 2 * swap_penalty * swaps.T @ (swaps @ v) / len(swaps)
+        g = x.back(r) + l2 * v + each * swaps.back(swaps.times(v))
         w2, b2 = v - g / top, c - r.sum() / top
         m = k / (k + 3)
         v, c = w2 + m * (w2 - w), b2 + m * (b2 - b)
@@ -173,11 +206,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, *, text: str = "text", l
     return kept(docs.where(F.col(text).isNotNull()).select(id_col, text).join(chosen, id_col).select("label", text))
 
 
-def train(sample: DataFrame, *, text: str = "text", features: int = FEATURES, l2: float = L2, swap_penalty: float = SWAP_PENALTY) -> Model:
+def train(sample: DataFrame, *, text: str = "text", features: int = FEATURES, l2: float = L2, swap_penalty: float = SWAP_PENALTY, swap_sentences: int = SWAP_SENTENCES, most_swaps: int = SWAPS) -> Model:
     """Fits on a bounded sample (label, text), see labelled_sample.
 
     Counts and feature lists are made on the executors; the driver gets at most ``features``
-    hashes and the sample's places in them. With one class, or none, that class is always given (none: 0).
+    hashes, the sample's places in them, and swap_sentences sentences for each identity term. Of their swaps at most most_swaps are fitted on, even
+    shares of every kind of terms. With one class, or none, that class is always given (none: 0).
     """
     size = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
     if len(size) < 2:
@@ -214,45 +248,54 @@ def train(sample: DataFrame, *, text: str = "text", features: int = FEATURES, l2
                 rows[i].update(model.places(h).tolist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted(r) for r in rows], pa.list_(pa.int32()))], names=["label", "places"])
 
+    def said(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [m for t in batch.column(1).to_pylist() for m in mentions(t)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*found, strict=True)], names=["term", "sentence"])
+
     table = sample.mapInArrow(places, "label int, places array<int>").toArrow()
-    x = np.zeros((table.num_rows, len(chosen)), np.float32)
-    for i, p in enumerate(table.column(1).to_pylist()):
-        x[i, p] = 1
+    x = Rows([(np.array(p, np.int64), np.ones(len(p))) for p in table.column(1).to_pylist()], len(chosen))
     y = np.array(table.column(0).to_pylist())
-    weights, offset = _fit(x, y, _swaps(model, x), l2, swap_penalty)
+    order = Window.partitionBy("term").orderBy(F.xxhash64("sentence"), "sentence")
+    some = sample.mapInArrow(said, "term string, sentence string").distinct().withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= swap_sentences)
+    sentences = [(r["term"], r["sentence"]) for r in some.orderBy("term", "nth").collect()]
+    weights, offset = _fit(x, y, _swaps(model, sentences, most_swaps), l2, swap_penalty)
     return Model(chosen, weights, offset)
 
 
-def _swaps(model: Model, x: np.ndarray, most: int = 4000) -> np.ndarray:
-    """Changes of features when an identity term of a labelled text is swapped for each other of its kind.
+def _swaps(model: Model, sentences: list[tuple[str, str]], most: int = SWAPS, seed: int = 3) -> Rows:
+    """Changes of features when an identity term of a labelled sentence is swapped for each other of its kind.
 
-    Terms that no labelled text mentions are swapped in an otherwise empty sentence, so a
-    shared prefix with a telling word can't mark them.
+    Every term is also swapped on its own, whether a labelled text mentions it or not, so a shared prefix with a telling word
+    can't mark it; and the plain word of each kind is held against none.
     """
-    out: dict[bytes, np.ndarray] = {}
-    for kind in IDENTITY_TERMS:
-        vectors = []
-        for term in kind:
-            v = np.zeros(len(model.features), np.float32)
-            v[model.places(term_features(term))] = 1
-            vectors.append(v)
-        full = [model.places(term_features(t)) for t in kind]
-        for i in range(len(kind)):
-            texts = x[x[:, full[i]].all(1)][:20] if len(full[i]) else x[:0]
-            for base in [*texts, vectors[i]]:
-                for j in range(len(kind)):
-                    if i != j:
-                        changed = np.maximum(np.where(vectors[i] > 0, 0, base), vectors[j])
-                        out[(changed - base).tobytes()] = changed - base
-        plain = np.zeros(len(model.features), np.float32)
-        out[plain.tobytes() + kind[0].encode()] = vectors[0]
-    return np.array(list(out.values())[:most], np.float32)
-
-
-def score(docs: DataFrame, model: Model, *, text: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    own = lambda text: set(model.places(np.unique(_hashes(np.frombuffer(text.encode(), np.uint8))[0])).tolist())
+    rng = np.random.default_rng(seed)
+    kinds: list[list[tuple[tuple[int, ...], tuple[int, ...]]]] = []
+    for i, kind in enumerate(IDENTITY_TERMS):
+        found = {((), tuple(sorted(own(kind[0]))))}
+        said = [*((t, t) for t in kind), *((t, s) for t, s in sentences if i in _KIND_OF[t])]
+        for term, sentence in said:
+            before = own(sentence)
+            for other in kind:
+                if other != term:
+                    after = own(swapped(sentence, term, other))
+                    found.add((tuple(sorted(before - after)), tuple(sorted(after - before))))
+        changes = sorted(found)
+        kinds.append([changes[k] for k in rng.permutation(len(changes))])
+    left, rows = most, []
+    for n, changes in enumerate(sorted(kinds, key=len)):
+        some = changes[: max(1, left // (len(kinds) - n))]
+        left -= len(some)
+        rows += [(np.array(gone + come, np.int64), np.array([-1.0] * len(gone) + [1.0] * len(come))) for gone, come in some]
+    return Rows(rows, len(model.features))
+
+
+def score(docs: DataFrame, model: Model, *, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The toxicity of every whole text.
 
-    Returns (id_col, *keep, score, predicted): score from 0 to 1, predicted 1 from 0.5 on. A null
+    Returns (id_col, score, predicted): score from 0 to 1, predicted 1 from 0.5 on. A null
     text scores as the empty one, by the offset alone. One row for each row of docs; an empty
     table gives an empty one; other columns are not read, whatever their names.
     """
@@ -261,7 +304,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", id_col: str = "d
         for batch in batches:
             total = np.full(batch.num_rows, model.offset)
             part: tuple[int, set] = (-1, set())
-            for i, h in text_features(batch.column(batch.num_columns - 1)):
+            for i, h in text_features(batch.column(1)):
                 p = model.places(h)
                 if part[0] == i:  # a further block of a long text: what was seen counts once
                     p = p[~np.isin(p, list(part[1]))]
@@ -270,8 +313,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", id_col: str = "d
                     part = (i, set(p.tolist()))
                 total[i] += model.weights[p].sum()
             value = 1 / (1 + np.exp(-np.clip(total, -40, 40)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(value), pa.array((value >= 0.5).astype(np.int32))], names=[*batch.schema.names[:-1], "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value), pa.array((value >= 0.5).astype(np.int32))], names=[id_col, "score", "predicted"])
 
-    chosen = docs.select(id_col, *keep, text)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-    return chosen.mapInArrow(run, f"{kinds}, score double, predicted int")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text).mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int")
