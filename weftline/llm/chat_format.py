@@ -5,9 +5,10 @@ A turn is written as ``<|im_start|>role\\ntext<|im_end|>\\n``. Inside roles and
 them, and taking one backslash away gives the original back. A line break in a role, which
 would end the header, is written as a backslash and ``n``, a backslash in a role as two.
 
-The output bytes are put together per block of rows: segment lengths give offsets by a
+The output bytes are put together per batch of rows: segment lengths give offsets by a
 cumulative sum, and headers, contents and trailers are scattered into one preallocated
-buffer that becomes the Arrow column.
+buffer. That buffer is the data of the Arrow column: the rows of a batch are its turns in order, so every
+piece of a conversation is a stretch of it, and only the column's offsets are made.
 """
 
 from __future__ import annotations
@@ -61,19 +62,26 @@ def scatter(out: np.ndarray, at: np.ndarray, data: np.ndarray, begin: np.ndarray
         out[np.repeat(at, length) + step] = data[np.repeat(begin, length) + step]
 
 
-def _escaped(data: np.ndarray, off: np.ndarray, how=escape) -> tuple[np.ndarray, np.ndarray]:
-    """The segments with their control strings escaped; untouched where nothing asks for it."""
-    if not len(data) or not (data[off[0] : off[-1]] == 0x3C).any() and how is escape:
+def _escaped(data: np.ndarray, off: np.ndarray, how=escape, marks: bytes = b"<") -> tuple[np.ndarray, np.ndarray]:
+    """The segments with their control strings escaped; only those that hold one of the marks are looked at."""
+    asked = np.zeros(256, bool)
+    asked[list(marks)] = True
+    at = np.flatnonzero(asked[data[off[0] : off[-1]]]) + off[0] if len(data) else np.empty(0, np.int64)
+    if not len(at):
         return data, off
-    parts = [how(data[a:b].tobytes()) for a, b in zip(off[:-1], off[1:], strict=True)]
-    lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-    return np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum(lengths)])
+    own = np.unique(np.searchsorted(off, at, "right") - 1).tolist()
+    lengths, pieces, last = np.diff(off), [], int(off[0])
+    for i in own:
+        new = how(data[off[i] : off[i + 1]].tobytes())
+        pieces += [data[last : off[i]], np.frombuffer(new, np.uint8)]
+        lengths[i], last = len(new), int(off[i + 1])
+    return np.concatenate([*pieces, data[last : off[-1]]]), np.concatenate([[0], np.cumsum(lengths)])
 
 
 def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Formatted bytes of some turns, where each turn starts (one more: the end), and where
     its text starts and ends. A null role or text is empty."""
-    role, role_off = _escaped(*utf8(roles), escape_role)
+    role, role_off = _escaped(*utf8(roles), escape_role, b"<\\\n")
     text, text_off = _escaped(*utf8(texts))
     n_role, n_text = np.diff(role_off), np.diff(text_off)
     head, tail = np.frombuffer(START, np.uint8), np.frombuffer(END, np.uint8)
@@ -96,68 +104,53 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
     return out, turn, begin, begin + n_text
 
 
+def _columns(out: np.ndarray, turn_at: np.ndarray, begin: np.ndarray, end: np.ndarray, learn: np.ndarray, firsts: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """The buffer as a string column of pieces, which begin at these turns, and the spans of each piece that are learned."""
+    starts = turn_at[firsts]
+    offsets = np.append(starts, turn_at[-1])
+    if offsets[-1] > np.iinfo(np.int32).max:
+        raise ValueError("a batch of turns is larger than a string column can be")
+    formatted = pa.StringArray.from_buffers(len(firsts), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out))
+    turns = np.flatnonzero(learn)
+    own = np.searchsorted(firsts, turns, "right") - 1
+    lists = pa.array(np.searchsorted(own, np.arange(len(firsts) + 1)).astype(np.int32))
+    return formatted, pa.ListArray.from_arrays(lists, pa.array(begin[turns] - starts[own])), pa.ListArray.from_arrays(lists, pa.array(end[turns] - starts[own]))
+
+
 def format_chats(turns: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", learned: str = LEARNED, piece_bytes: int = PIECE) -> DataFrame:
     """Formats every conversation, its rows by turn (nulls first, ties by role, then text).
 
     Returns (conv_id, piece, formatted, loss_starts, loss_ends): pieces are numbered from 0 in
-    each conversation, whole turns stay together, and a piece ends once it has piece_bytes, so
+    each conversation, whole turns stay together, and a piece ends once it has piece_bytes, or where a batch of rows does, so
     a conversation of any length is streamed. formatted is UTF-8 in a string column; the loss
     mask is given as byte spans of it, one for each text whose role is ``learned``. A null
     role or text is empty; null conv_ids are one conversation; repeated rows are turns of their
     own; an empty table gives an empty one. Other columns are not read, whatever their names.
     """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, piece, held, starts, ends, size, begun = None, 0, [], [], [], 0, False
-
-        def flush() -> tuple:
-            return key, piece, b"".join(held), starts, ends
 
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True))
-            offsets = np.cumsum([0, *map(len, cols[2])], dtype=np.int64)
-            formatted = pa.LargeStringArray.from_buffers(len(rows), pa.py_buffer(offsets), pa.py_buffer(b"".join(cols[2])))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], kind), pa.array(cols[1], pa.int64()), formatted.cast(pa.string()), pa.array(cols[3], pa.list_(pa.int64())), pa.array(cols[4], pa.list_(pa.int64()))], names=[conv_id, "piece", "formatted", "loss_starts", "loss_ends"])
-
-        rows: list[tuple] = []
-        waiting = 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, piece = None, -1  # the conversation at hand, and the last of its pieces
         for batch in batches:
-            kind = batch.schema.field(0).type
-            roles, texts = batch.column(1), batch.column(2)
-            ids = batch.column(0).to_pylist()
-            learn = [r == learned for r in roles.to_pylist()]
-            data, turn_at, begin, end = assemble(roles, texts)
-            view = memoryview(data)
+            if not batch.num_rows:
+                continue
+            ids, roles = batch.column(0).to_pylist(), batch.column(1)
+            out, turn_at, begin, end = assemble(roles, batch.column(2))
+            learn = np.fromiter((r == learned for r in roles.to_pylist()), bool, len(ids))
+            keys, numbers, firsts = [], [], []
             a = 0
             while a < len(ids):
-                b = a
+                b = a + 1
                 while b < len(ids) and ids[b] == ids[a]:
                     b += 1
-                if begun and ids[a] != key:
-                    rows.append(flush())
-                    waiting += size
-                    piece, held, starts, ends, size = 0, [], [], [], 0
-                key, begun = ids[a], True
-                while a < b:
-                    if size >= piece_bytes:
-                        rows.append(flush())
-                        waiting += size
-                        piece, held, starts, ends, size = piece + 1, [], [], [], 0
-                    c = max(a + 1, int(np.searchsorted(turn_at[: b + 1], turn_at[a] + piece_bytes - size, "right")) - 1)
-                    c = min(c, b)
-                    for i in range(a, c):
-                        if learn[i]:
-                            starts.append(int(begin[i] - turn_at[a]) + size)
-                            ends.append(int(end[i] - turn_at[a]) + size)
-                    held.append(bytes(view[turn_at[a] : turn_at[c]]))
-                    size += int(turn_at[c] - turn_at[a])
-                    a = c
-                if waiting >= piece_bytes:
-                    yield out(rows)
-                    rows, waiting = [], 0
-        if begun:
-            rows.append(flush())
-        if rows:
-            yield out(rows)
+                if piece < 0 or ids[a] != key:
+                    key, piece = ids[a], -1
+                while a < b:  # a piece takes turns until it has piece_bytes
+                    piece += 1
+                    keys.append(key)
+                    numbers.append(piece)
+                    firsts.append(a)
+                    a = min(b, max(a + 1, int(np.searchsorted(turn_at, turn_at[a] + piece_bytes, "left"))))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(numbers, pa.int64()), *_columns(out, turn_at, begin, end, learn, np.array(firsts))], names=[conv_id, "piece", "formatted", "loss_starts", "loss_ends"])
 
     one = turns.select(conv_id, role, text, turn)
     kind = one.schema[0].dataType.simpleString()
@@ -167,12 +160,15 @@ def format_chats(turns: DataFrame, *, conv_id: str = "conv_id", turn: str = "tur
 _TURN = re.compile(re.escape(START) + rb"([^\n]*)\n(.*?)" + re.escape(END), re.S)
 
 
-def read_back(formatted: DataFrame, *, conv_id: str = "conv_id") -> DataFrame:
-    """Digests of each conversation, read from what format_chats returns.
+def read_back(formatted: DataFrame, *, conv_id: str = "conv_id", in_order: bool = False) -> DataFrame:
+    """Digests of each conversation, read from what format_chats returned, be it written and shuffled since.
 
     Returns (conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars).
-    Pieces are streamed in order; the state of a conversation is two hash states.
+    Pieces are streamed in order; the state of a conversation is two hash states. in_order: the rows still lie as
+    format_chats gave them, so they need not be dealt and sorted again. A piece that is missing or comes twice is an error.
     """
+    if not in_order:
+        formatted = formatted.repartition(F.col(conv_id)).sortWithinPartitions(conv_id, "piece")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: list | None = None
@@ -184,12 +180,15 @@ def read_back(formatted: DataFrame, *, conv_id: str = "conv_id") -> DataFrame:
         for batch in batches:
             kind = batch.schema.field(0).type
             done = []
-            for key, data, starts, ends in zip(batch.column(0), batch.column(1), batch.column(2), batch.column(3), strict=True):
+            for key, data, starts, ends, piece in zip(*batch.columns, strict=True):
                 key, data = key.as_py(), data.as_py().encode()
                 if state is None or state[0] != key:
                     if state is not None:
                         done.append(state)
-                    state = [key, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                    state = [key, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
+                if piece.as_py() != state[6]:
+                    raise ValueError("a formatted conversation lacks a piece, or has one twice")
+                state[6] += 1
                 state[5] += len(data.decode())
                 at = 0
                 for m in _TURN.finditer(data):
@@ -210,4 +209,4 @@ def read_back(formatted: DataFrame, *, conv_id: str = "conv_id") -> DataFrame:
             yield out([state])
 
     kind_name = formatted.schema[conv_id].dataType.simpleString()
-    return formatted.select(conv_id, "formatted", "loss_starts", "loss_ends").mapInArrow(run, f"`{conv_id}` {kind_name}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    return formatted.select(conv_id, "formatted", "loss_starts", "loss_ends", "piece").mapInArrow(run, f"`{conv_id}` {kind_name}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
