@@ -7,19 +7,22 @@ cascade for each verdict encodes which are rules: level 1 holds the listed keys,
 universe's keys that level 1 takes in wrongly, level 3 the listed keys that level 2 takes in,
 and so on until nothing is taken in wrongly. Walking the levels is then exact for every key of the
 universe, so a url is judged by bit probes, without a join.
+
+Rules of any number are dealt by a hash of their key to cascades of a bounded size, one pass over the urls for each.
 """
 
 from __future__ import annotations
 
+import json
 import math
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.shared import kept
 
-#: Bytes of bit words that may be put into a plan; above it candidates are joined instead.
+#: Bytes of bit words that may be put into a plan; more rules are judged in more passes.
 MAX_FILTER_BYTES = 8 << 20
 #: Levels after the first let this share of the other side through.
 RATE = 0.5
@@ -73,9 +76,10 @@ class Level:
         return cls(held, probes, seed)
 
     def has(self, key: Column) -> Column:
-        held = F.array(*[F.lit(w).cast("bigint") for w in self.words]) if len(self.words) < 64 else F.from_json(F.lit(str(self.words)), "array<bigint>")
-        tests = [F.getbit(F.get(held, F.floor(b / 64).cast("int")), (b % 64).cast("int")) == 1 for b in self.bits(key, len(self.words), self.probes, self.seed)]
-        return reduce(lambda a, b: a & b, tests)
+        # the words stand in the plan once, whatever the number of probes; the optimiser turns them into an array
+        held = F.from_json(F.lit(json.dumps(self.words)), "array<bigint>")
+        places = F.array(*self.bits(key, len(self.words), self.probes, self.seed))
+        return F.forall(places, lambda b: F.getbit(F.get(held, F.floor(b / 64).cast("int")), (b % 64).cast("int")) == 1)
 
 
 class Cascade:
@@ -112,6 +116,15 @@ class Cascade:
         return sum(8 * len(x.words) for x in self.levels)
 
 
+def _those(keys: Column, shard_of: Callable[[Column], Column], shard: int) -> Column:
+    return F.filter(keys, lambda k: shard_of(k) == shard)
+
+
+def _hits(keys: Column, verdict: str, kind: str) -> Column:
+    """Keys as structs that order them: the longest, then that with the longest host."""
+    return F.transform(keys, lambda k: F.struct(F.length(k).alias("all"), F.instr(k, "\x00").alias("host"), F.lit(verdict).alias("verdict"), k.alias("key")).cast(kind))
+
+
 def judge_urls(pages: DataFrame, rules: DataFrame, *, url: str = "url", id_col: str = "page_id", default: str = "allow", max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
     """Judges every url by the longest rule that fits it.
 
@@ -122,40 +135,34 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, url: str = "url", id_col:
     A null url, or one without ``://``, has an empty host and path and fits no rule. Repeated
     rows are judged one by one; an empty table gives an empty one; other columns are not read.
 
-    The filters' size grows with the rules, not with the corpus. Beyond max_filter_bytes the
-    candidates are joined with the rules, which any number of rules allows.
+    The filters' size grows with the rules, not with the corpus. Beyond max_filter_bytes the rules are dealt by a hash of their
+    key to as many sets of cascades as are needed; each is a pass that keeps the better of its own and the earlier finds.
     """
     lower = F.translate(F.coalesce(F.col("host"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    listed = rules.select(F.concat(lower, F.lit("\x00"), F.coalesce(F.col("path"), F.lit(""))).alias("key"), F.length(F.coalesce(F.col("path"), F.lit(""))).alias("n"), F.col("verdict")).groupBy("key").agg(F.max("n").alias("n"), F.max("verdict").alias("verdict"))
+    listed = kept(rules.select(F.concat(lower, F.lit("\x00"), F.coalesce(F.col("path"), F.lit(""))).alias("key"), F.length(F.coalesce(F.col("path"), F.lit(""))).alias("n"), F.col("verdict")).groupBy("key").agg(F.max("n").alias("n"), F.max("verdict").alias("verdict")))
     lengths = sorted(r["n"] for r in listed.select("n").distinct().collect())
     host, path = split_url(F.col(url))
     split = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
     if not lengths:
         return split.select(id_col, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     keys = candidates(F.col("host"), F.col("path"), lengths)
-    per_verdict = {r["verdict"]: r["count"] for r in listed.groupBy("verdict").count().collect()}
-    rate_bits = -math.log(1e-6) / math.log(2) ** 2
-    if sum(per_verdict.values()) * (rate_bits + 8) / 8 > max_filter_bytes:
-        return _joined(split, keys, listed, id_col, default)
-    universe = kept(split.select(F.explode(keys).alias("key")).distinct())
-    n_universe = universe.count()
-    found = {}
-    for k, verdict in enumerate(sorted(per_verdict)):
-        own = listed.where(F.col("verdict") == verdict).select("key")
-        found[verdict] = Cascade.build(own, universe, per_verdict[verdict], n_universe, 1000 * (k + 1))
-    rank = lambda k: F.struct(F.length(k).alias("all"), F.instr(k, "\x00").alias("host"), k.alias("key"))
-    best = {v: F.array_max(F.transform(F.filter(keys, c.has), rank)) for v, c in found.items()}
-    judged = split.withColumns({f"best_{v}": b for v, b in best.items()})
-    both = F.array_max(F.array_compact(F.array(*[F.when(F.col(f"best_{v}").isNotNull(), F.struct(F.col(f"best_{v}.all").alias("all"), F.col(f"best_{v}.host").alias("host"), F.lit(v).alias("verdict"), F.col(f"best_{v}.key").alias("key"))) for v in best])))
-    judged = judged.withColumn("best", both)
+    total = listed.count()
+    # some 29 bits a key in the first level and 8 in those that follow
+    shards = max(1, math.ceil(total * (-math.log(1e-6) / math.log(2) ** 2 + 8) / 8 / max(1, max_filter_bytes)))
+    shard_of = lambda k: F.pmod(F.xxhash64(F.lit("shard"), k), F.lit(shards)).cast("int")
+    universe = kept(split.select(F.explode(keys).alias("key")).distinct().withColumn("shard", shard_of(F.col("key"))))
+    sizes = {r["shard"]: r["count"] for r in universe.groupBy("shard").count().collect()}
+    counts = {(r["shard"], r["verdict"]): r["count"] for r in listed.groupBy(shard_of(F.col("key")).alias("shard"), "verdict").count().collect()}
+    found = "struct<all:int,host:int,verdict:string,key:string>"
+    judged = split.withColumn("best", F.lit(None).cast(found))
+    for shard in range(shards):
+        own_keys = keys if shards == 1 else _those(keys, shard_of, shard)
+        best = [F.col("best")]
+        for k, verdict in enumerate(sorted({v for s, v in counts if s == shard})):
+            own = listed.where((F.col("verdict") == verdict) & (shard_of(F.col("key")) == shard)).select("key")
+            c = Cascade.build(own, universe.where(F.col("shard") == shard).select("key"), counts[shard, verdict], sizes.get(shard, 0), 1000 * (k + 1))
+            best.append(F.array_max(_hits(F.filter(own_keys, c.has), verdict, found)))
+        judged = judged.withColumn("best", F.array_max(F.array_compact(F.array(*best))))
+        if shards > 1:
+            judged = kept(judged)
     return judged.select(id_col, "host", "path", F.translate("best.key", "\x00", "").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
-
-
-def _joined(split: DataFrame, keys: Column, listed: DataFrame, id_col: str, default: str) -> DataFrame:
-    """The way without filters: candidates joined with the rules, their best put back by row."""
-    rows = split.withColumn("row", F.struct(F.monotonically_increasing_id().alias("i"), F.col(id_col).alias("id"), "host", "path"))
-    hits = rows.select("row", F.explode_outer(keys).alias("key")).join(listed, "key", "left")
-    best = F.max(F.when(F.col("verdict").isNotNull(), F.struct(F.length("key").alias("all"), F.instr("key", "\x00").alias("at"), F.col("verdict"), F.col("key")))).alias("best")
-    out = hits.groupBy("row").agg(best)
-    return out.select(F.col("row.id").alias(id_col), F.col("row.host").alias("host"), F.col("row.path").alias("path"), F.translate("best.key", "\x00", "").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
-
