@@ -5,10 +5,10 @@ bisected, either so that the weights have a wanted entropy, or to be the smalles
 mixture) by which no source is repeated more often than allowed. Weights times the token budget are
 each source's tokens; they are realised as whole passes over the source, each in a permutation of its own,
 and a last pass that its budget cuts short. Each row also gets the block of the mixed output it belongs to,
-so that every block holds the sources in their weights, and a place in its block's permutation.
+so that every block holds the sources in their weights, and a place in its block's permutation; ``laid_out`` puts the rows in that order.
 
 Rows are placed by hashes of their ids: nothing but the cut of the last pass needs sums, and those are made over
-hash buckets, then inside one bucket of each source.
+hash buckets, then over finer and finer buckets inside the one that holds the cut.
 """
 
 from __future__ import annotations
@@ -16,10 +16,13 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
+from weftline.llm.shared import kept
+
+#: Bits of a place, and those that one round of sums tells apart.
+BITS, STEP = 62, 10
 #: Tokens of one block of the mixed output.
 BLOCK_TOKENS = 1_000_000
 SEED = 17
@@ -103,7 +106,8 @@ def plan(rows: DataFrame, budget: int | None = None, *, whole: bool = False, ent
     budget: tokens to give; the default is as many as there are, or with ``whole`` the fewest by which every
     source is given at least once as a whole. With entropy_share the weights get that share of the entropy of
     even weights; else max_repeats (4 by default) limits how often a source is repeated. The driver gets a row for each source.
-    A null source is a source of its own. Without rows the plan is empty.
+    A null source is a source of its own. A source whose texts have no tokens takes up no budget: it is given whole, once, as it costs nothing. Without
+    rows the plan is empty.
     """
     rows = rows.select(F.col(id_col).alias("id"), F.col(source).alias("source"), F.coalesce(F.col(tokens), F.lit(0)).cast("bigint").alias("n"))
     totals = sorted(((r["source"], r["n"]) for r in rows.groupBy("source").agg(F.sum("n").alias("n")).collect()), key=lambda x: (x[0] is not None, x[0] or ""))
@@ -119,7 +123,7 @@ def plan(rows: DataFrame, budget: int | None = None, *, whole: bool = False, ent
     shares = []
     for (name, n), w in zip(totals, weights(counts, a), strict=True):
         own = math.floor(w * budget)
-        shares.append(Share(name, n, w, own, own // n if n else 0, None))
+        shares.append(Share(name, n, w, own, own // n if n else 1, None))
     rest = [(i, s.source, s.passes, s.budget - s.passes * s.tokens) for i, s in enumerate(shares) if s.tokens and s.budget % s.tokens]
     if rest:
         cuts = _cuts(rows, rest, seed)
@@ -128,34 +132,60 @@ def plan(rows: DataFrame, budget: int | None = None, *, whole: bool = False, ent
 
 
 def _cuts(rows: DataFrame, rest: list[tuple], seed: int) -> dict[int, int]:
-    """For each source, the first place in its last pass at which its rest is used up."""
-    table = rows.sparkSession.createDataFrame(rest, "i int, name string, pass bigint, rest bigint")
-    own = rows.join(F.broadcast(table), rows["source"].eqNullSafe(table["name"])).select("i", "rest", "n", _place(F.col("pass"), F.col("id"), seed).alias("place"))
-    own = own.withColumn("bucket", F.shiftright("place", 52).cast("int"))
-    sums = own.groupBy("i", "rest", "bucket").agg(F.sum("n").alias("n"))
-    order = Window.partitionBy("i").orderBy("bucket")
-    sums = sums.withColumn("upto", F.sum("n").over(order)).where((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("n") <= F.col("rest")))
-    hit = F.broadcast(sums.where(F.col("n") > 0).select("i", "bucket", (F.col("rest") - (F.col("upto") - F.col("n"))).alias("left")))
-    inside = own.join(hit, ["i", "bucket"]).withColumn("upto", F.sum("n").over(Window.partitionBy("i").orderBy("place")))
-    found = inside.where(F.col("upto") > F.col("left")).groupBy("i").agg(F.min("place").alias("cut"))
-    return {r["i"]: r["cut"] for r in found.collect()}
+    """For each source, the first place in its last pass at which its rest is used up.
+
+    Each round sums the buckets of STEP bits inside the bucket that the last one found for each source: the driver gets that bucket only, so no row is
+    sorted and nothing grows with the input.
+    """
+    spark = rows.sparkSession
+    table = spark.createDataFrame([(i, name, number) for i, name, number, _ in rest], "i int, name string, pass bigint")
+    own = kept(rows.join(F.broadcast(table), rows["source"].eqNullSafe(table["name"])).where(F.col("n") > 0).select("i", "n", _place(F.col("pass"), F.col("id"), seed).alias("place")))
+    at, left = {i: 0 for i, *_ in rest}, {i: r for i, _, _, r in rest}
+    for below in range(BITS, 0, -STEP):
+        step = min(STEP, below)
+        here = spark.createDataFrame([(i, p) for i, p in at.items()], "i int, upper bigint")
+        if below < BITS:  # of each source the bucket found before is left, and no more is read again
+            own = kept(own.join(F.broadcast(here), "i").where(F.shiftright("place", below) == F.col("upper")).drop("upper"))
+        sums = own.groupBy("i", F.shiftright("place", below - step).alias("bucket")).agg(F.sum("n").alias("n"))
+        for i, got in _grouped(sums.collect()).items():
+            for bucket, n in sorted(got):
+                if n > left[i]:
+                    at[i] = bucket
+                    break
+                left[i] -= n
+    return at
+
+
+def _grouped(rows: list) -> dict[int, list[tuple[int, int]]]:
+    out: dict[int, list[tuple[int, int]]] = {}
+    for r in rows:
+        out.setdefault(r["i"], []).append((r["bucket"], r["n"]))
+    return out
 
 
 def realise(docs: DataFrame, mix: Mix, *, id_col: str = "doc_id", source: str = "source") -> DataFrame:
-    """Every row as often as its source's passes take it, with ``mix_pass``, ``mix_block`` and ``mix_place``.
+    """(row, mix_pass, mix_block, mix_place): every row of docs, whole, as a struct, as often as its source's passes take it.
 
     No shuffle: a row's places depend on its id and its source's share. Rows with equal ids go
-    together. mix_place orders a block's rows by a hash. All columns of docs are kept.
+    together. mix_place orders a block's rows by a hash. The columns of docs may have any names.
     """
     table = docs.sparkSession.createDataFrame([(s.source, s.passes, s.cut) for s in mix.shares], "mix_source string, mix_whole bigint, mix_cut bigint")
     whole, cut = F.col("mix_whole"), F.col("mix_cut")
-    out = docs.join(F.broadcast(table), docs[source].eqNullSafe(table["mix_source"]))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    own_id = F.col("row").getField(id_col)
+    # one row for each source: as many as the plan holds
+    out = packed.join(F.broadcast(table), F.col("row").getField(source).eqNullSafe(F.col("mix_source")))
     out = out.withColumn("mix_pass", F.explode(F.sequence(F.lit(0).cast("bigint"), whole)))
-    out = out.withColumn("mix_place", _place(F.col("mix_pass"), F.col(id_col), mix.seed))
+    out = out.withColumn("mix_place", _place(F.col("mix_pass"), own_id, mix.seed))
     out = out.where((F.col("mix_pass") < whole) | (F.col("mix_place") < F.coalesce(cut, F.lit(0))))
-    share = 1.0 / (1 << 62)
+    share = 1.0 / (1 << BITS)
     length = whole + F.coalesce(cut, F.lit(0)) * share
     block = F.floor((F.col("mix_pass") + F.col("mix_place") * share) / length * mix.blocks)
     out = out.withColumn("mix_block", F.least(block, F.lit(mix.blocks - 1)).cast("int"))
-    out = out.withColumn("mix_place", F.xxhash64(F.lit(mix.seed), F.lit("block"), "mix_pass", F.col(id_col)))
-    return out.drop("mix_source", "mix_whole", "mix_cut")
+    out = out.withColumn("mix_place", F.xxhash64(F.lit(mix.seed), F.lit("block"), "mix_pass", own_id))
+    return out.select("row", "mix_pass", "mix_block", "mix_place")
+
+
+def laid_out(mixed: DataFrame) -> DataFrame:
+    """The rows of ``realise`` in the order of blocks and of places in them, with their own columns: written, they are the permuted blocks one after another."""
+    return mixed.repartitionByRange("mix_block", "mix_place").sortWithinPartitions("mix_block", "mix_place").select("row.*")

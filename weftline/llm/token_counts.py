@@ -47,7 +47,7 @@ class WholeTokenCounter:
             joined = {p[0] for p in pairs if p[0] in self.letters and p[1] not in self.letters}
         mark_inside = any(p[1] == MARK and p[0] != MARK for p in pairs)
         break_alone = not any("\n" in p for p in pieces) and len(self._plain("\n")) == 2 and len(self._plain("a\n")) == 2
-        self.shortcut = bool(self.letters) and not mark_inside and break_alone and self._identity()
+        self.shortcut = bool(self.letters) and not mark_inside and break_alone and self._identity(model_file)
         self.word = re.compile(f"{MARK}+[{''.join(map(re.escape, sorted(self.letters)))}]+") if self.shortcut else None
         # the proof for each string: the library gives it as one token when it stands alone
         self.single = frozenset(p for p in pieces if self.word and self.word.fullmatch(p) and len(self._plain(p[1:])) == 1)
@@ -57,10 +57,16 @@ class WholeTokenCounter:
     def _plain(self, text: str) -> list[int]:
         return self.model.encode(text, num_threads=1)
 
-    def _identity(self) -> bool:
-        """Whether the model leaves texts as they are but for word marks."""
-        probes = ["A  b\tc ﬁ é Å", " x ", "▁y"]
-        return all(self.model.normalize(p) == MARK + p.replace(" ", MARK) for p in probes)
+    @staticmethod
+    def _identity(model_file: str) -> bool:
+        """Whether the model's normaliser, by its own specification, changes nothing but spaces into word marks and puts one in front."""
+        from sentencepiece import sentencepiece_model_pb2
+
+        spec = sentencepiece_model_pb2.ModelProto()
+        with open(model_file, "rb") as f:
+            spec.ParseFromString(f.read())
+        n, suffix = spec.normalizer_spec, spec.trainer_spec.treat_whitespace_as_suffix
+        return not n.precompiled_charsmap and not n.normalization_rule_tsv and n.add_dummy_prefix and n.escape_whitespaces and not n.remove_extra_whitespaces and not suffix
 
     def _new(self, words: list[str]) -> int:
         """Tokens of words that are not remembered; those met while there is room then are."""
