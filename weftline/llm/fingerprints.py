@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -111,7 +112,12 @@ def in_order(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text") ->
     bounds = sorted(set(rows.approxQuantile("id", [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
     place = F.lit(0)
     if bounds:
-        place = F.size(F.filter(F.array(*[F.lit(b).cast(kind) for b in bounds]), lambda b: b <= F.col("id")))
+        # in two steps of about the root of the number of bounds each
+        width = math.isqrt(len(bounds) - 1) + 1
+        listed = lambda bs: F.array(*[F.lit(b).cast(kind) for b in bs])
+        upto = lambda bs: F.size(F.filter(bs, lambda b: b <= F.col("id")))
+        coarse = upto(listed(bounds[width - 1 :: width])) if len(bounds) >= width else F.lit(0)
+        place = coarse * width + upto(F.slice(listed(bounds), coarse * width + 1, F.lit(width)))
     rows = rows.withColumn("range", F.when(F.col("id").isNull(), 0).otherwise(place).cast("int")).withColumn("hash", F.xxhash64("text"))
     key = F.struct(F.col("id").isNotNull().alias("has"), "id", "hash")
     least = {r["range"]: r["least"] for r in rows.groupBy("range").agg(F.min(key).alias("least")).collect()}

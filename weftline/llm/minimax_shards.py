@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from weftline.llm.shared import kept
 
 BITS, FIRST, STEP = 60, 16, 12
-#: Rows of a shard are numbered in this many independent parts.
-SLOT_PARTS = 256
+#: Rows of a shard are numbered in independent parts of about so many rows, and at least in so many parts.
+PART_ROWS, SLOT_PARTS = 100_000, 64
 
 
 class Ranges:
@@ -118,8 +118,9 @@ def shard(docs: DataFrame, n_shards: int = 8, *, id_col: str = "doc_id", text: s
     number = F.lit(0)
     for first in firsts:
         number = number + (F.col("key") >= first).cast("int")
-    placed = rows.withColumn("shard", number).withColumn("part", F.pmod(F.xxhash64(id_col, "key"), F.lit(SLOT_PARTS)).cast("int"))
-    # at most n_shards * SLOT_PARTS counts, whatever the input
+    parts = max(SLOT_PARTS, -(-rows.count() // PART_ROWS))
+    placed = rows.withColumn("shard", number).withColumn("part", F.pmod(F.xxhash64(id_col, "key"), F.lit(parts)).cast("int"))
+    # n_shards * parts counts: one for each PART_ROWS rows
     counts = {(r["shard"], r["part"]): r["count"] for r in placed.groupBy("shard", "part").count().collect()}
     before, offsets = dict.fromkeys(range(n_shards), 0), []
     for (s, p), n in sorted(counts.items()):
