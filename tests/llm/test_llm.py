@@ -87,29 +87,49 @@ def test_mixing_weights():
 def test_mixing_realises_budgets(spark, docs, odd):
     rows = docs.select("doc_id", F.when(F.col("doc_id") % 10 < 7, "big").when(F.col("doc_id") % 10 < 9, "mid").alias("source"), mixing.words(F.col("text")).alias("tokens"))
     mix = mixing.plan(rows, 100_000, max_repeats=2.0)
-    given = mixing.realise(rows, mix).collect()
-    used, longest = collections.Counter(), {}
-    for r in given:
-        used[r["source"]] += r["tokens"]
-        longest[r["source"]] = max(longest.get(r["source"], 0), r["tokens"])
+    given = [(r["row"], r["mix_pass"], r["mix_block"]) for r in mixing.realise(rows, mix).collect()]
+    # by brute force: whole passes, and of the next one the rows by place while their running tokens are within what is left
+    places = {(r["source"], r["doc_id"], k): r["p"] for k in range(4) for r in rows.select("*", mixing._place(F.lit(k), F.col("doc_id"), mix.seed).alias("p")).collect()}
+    every, want = rows.collect(), collections.Counter()
     for s in mix.shares:
-        assert s.budget - max(6000, longest.get(s.source, 0)) <= used[s.source] <= s.budget
-        assert s.budget <= 2.0 * s.tokens + 1
-    each = collections.Counter((r["doc_id"], r["mix_pass"]) for r in given)
-    assert max(each.values()) == 1
+        own = [r for r in every if r["source"] == s.source]
+        assert s.tokens == sum(r["tokens"] for r in own) and s.budget <= 2.0 * s.tokens + 1 and s.passes == s.budget // s.tokens
+        for k in range(s.passes):
+            want.update((r["doc_id"], k) for r in own)
+        left = s.budget - s.passes * s.tokens
+        for r in sorted(own, key=lambda r: places[s.source, r["doc_id"], s.passes]):
+            left -= r["tokens"]
+            if left < 0:
+                break
+            want[r["doc_id"], s.passes] += 1
+    assert collections.Counter((r["doc_id"], k) for r, k, _ in given) == want
+    # every block holds the sources about in their weights
+    assert {b for *_, b in given} == set(range(mix.blocks))
     whole = mixing.plan(rows, whole=True, entropy_share=0.9)
-    assert {r["doc_id"] for r in mixing.realise(rows, whole).collect()} == {r["doc_id"] for r in rows.collect()}
-    clash = odd.withColumn("source", F.lit(None).cast("string"))
+    assert {r["row"]["doc_id"] for r in mixing.realise(rows, whole).collect()} == {r["doc_id"] for r in every}
+    clash = odd.withColumn("source", F.lit(None).cast("string")).withColumn("mix_pass", F.lit(-7)).withColumn("row", F.lit("r"))
     few = mixing.plan(clash.withColumn("tokens", mixing.words(F.col("text"))), max_repeats=1.0)
-    assert mixing.realise(clash, few).count() <= len(ODD)
+    laid = mixing.laid_out(mixing.realise(clash, few))
+    assert laid.columns == clash.columns and {(r["mix_pass"], r["row"]) for r in laid.collect()} == {(-7, "r")} and laid.count() <= len(ODD)
+    empty = mixing.plan(clash.withColumn("tokens", F.lit(0)))
+    assert mixing.realise(clash, empty).count() == len(ODD)
     assert mixing.plan(clash.where("false").withColumn("tokens", F.lit(1))).shares == []
 
 
+def test_mixing_lays_blocks_out_in_order(spark, docs):
+    rows = docs.select("doc_id", "source", mixing.words(F.col("text")).alias("tokens"))
+    mix = mixing.plan(rows, whole=True, entropy_share=0.95, block_tokens=20_000)
+    mixed = mixing.realise(rows, mix)
+    want = [(r["mix_block"], r["mix_place"], r["row"]["doc_id"]) for r in mixed.collect()]
+    assert mix.blocks > 3 and [r["doc_id"] for r in mixing.laid_out(mixed).collect()] == [i for *_, i in sorted(want)]
+
+
 def test_language_id(docs, odd, nothing):
     held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
     languages, bundles = language_id.train(docs.where(~held))
-    found = language_id.identify(docs.where(held), languages, bundles, keep=("lang",)).collect()
-    assert np.mean([r["lang"] == r["lang_pred"] for r in found]) > 0.97
+    found = language_id.identify(docs.where(held), languages, bundles).collect()
+    truth = dict(docs.select("doc_id", "lang").collect())
+    assert np.mean([truth[r["doc_id"]] == r["lang_pred"] for r in found]) > 0.97
     assert all(0 <= r["score"] <= 1 for r in found)
     got = language_id.identify(odd, languages, bundles).collect()
     assert len(got) == len(ODD) and {r["lang_pred"] for r in got if r["doc_id"] in (1, 2, 3)} == {"und"}
@@ -129,12 +149,31 @@ def sign(b, c):
     return b.vectors.table[b.vectors.row(ord(c)), 2].astype(int)
 
 
-def test_language_blocks(monkeypatch):
-    text = "The quick brown fox, jumped. " * 40
+@pytest.mark.parametrize("text", ["The quick brown fox, jumped. " * 40, "abcdef", "a b", "... ab", "é!" * 30 + "字" * 7, "", "x"])
+def test_language_blocks(monkeypatch, text):
     whole, _ = language_id.Bundler(256).bundle([text])
-    monkeypatch.setattr(language_id, "BLOCK", 100)
-    cut, _ = language_id.Bundler(256).bundle([text])
-    assert np.dot(whole[0], cut[0]) / np.linalg.norm(whole[0]) / np.linalg.norm(cut[0]) > 0.97
+    for size in (1, 2, 3, 7, 100):
+        monkeypatch.setattr(language_id, "BLOCK", size)
+        cut, _ = language_id.Bundler(256).bundle([text])
+        assert cut[0].tolist() == whole[0].tolist()
+
+
+def test_languages_by_brute_force():
+    """Cosines of counted trigrams' vectors, added one by one, against those of the operator."""
+    b = language_id.Bundler(512)
+
+    def vector(text):
+        letters = [c.lower() if c.isalpha() else "\0" for c in f"\0{text}\0"]
+        letters = [c for i, c in enumerate(letters) if c != "\0" or i == 0 or letters[i - 1] != "\0"]
+        return sum((np.roll(sign(b, letters[i]), 2) * np.roll(sign(b, letters[i + 1]), 1) * sign(b, letters[i + 2]) for i in range(len(letters) - 2)), np.zeros(512, int))
+
+    learned = {"a": "the cat and the dog sat on the mat", "b": "el gato y el perro en la casa"}
+    bundles = np.array([vector(t) for t in learned.values()], float)
+    for text in ("the dog", "un perro y la gata!", "12 the 34", "zzz"):
+        v = vector(text)
+        cosine = bundles @ v / np.linalg.norm(bundles, axis=1) / np.linalg.norm(v)
+        found, score = language_id._Labels(list(learned), bundles, 512, language_id.SEED).of(b, [text])
+        assert found[0].as_py() == "ab"[int(cosine.argmax())] and score[0].as_py() == pytest.approx(max(0.0, cosine.max()), abs=1e-5)
 
 
 def edits(a, b):
@@ -173,30 +212,22 @@ def test_decontamination(spark, docs, small, odd, nothing):
         held = {k for k, v in items.items() if v in decontamination.normalise(text)}
         assert held <= got[i]
     assert 3 in got[1001] and 3 in got[1002] and not got[1003] and not got[1004] and not got[1005]
-    assert decontamination.contamination(odd, benchmark, keep=("label", "score")).count() == len(ODD)
+    assert decontamination.contamination(odd, benchmark).count() == len(ODD)
     assert decontamination.contamination(nothing, benchmark).count() == 0
     assert {tuple(r["items"]) for r in decontamination.contamination(odd, benchmark.where("false")).collect()} == {()}
 
 
-def test_decontamination_in_parts(spark, small, monkeypatch):
-    benchmark = spark.read.parquet(f"{small}/benchmark.parquet")
-    rows = benchmark.select(F.col("item_id").alias("doc_id"), "text")
-    whole = sorted(map(str, decontamination.contamination(rows, benchmark).collect()))
-    monkeypatch.setattr(decontamination, "INDEX_BYTES", 3000)
-    assert sorted(map(str, decontamination.contamination(rows, benchmark).collect())) == whole
-
-
 def test_toxicity(spark, small, docs, odd, nothing):
-    plain = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    plain = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     model = toxicity.train(toxicity.labelled_sample(plain, labels.where(~held)))
     scored = {r["doc_id"]: r for r in toxicity.score(plain, model).collect()}
     truth = labels.where(held).collect()
     clean = [scored[r["doc_id"]]["predicted"] for r in truth if r["toxic"] == 0]
     toxic = [scored[r["doc_id"]]["score"] for r in truth if r["toxic"] == 1]
-    assert np.mean(clean) < 0.05
-    assert np.mean([s > np.median([scored[r["doc_id"]]["score"] for r in truth if r["toxic"] == 0]) for s in toxic]) > 0.7
+    assert np.mean(clean) < 0.02 and np.mean([x >= 0.5 for x in toxic]) >= 0.9
+    assert np.mean([s > np.median([scored[r["doc_id"]]["score"] for r in truth if r["toxic"] == 0]) for s in toxic]) > 0.95
     # naming a group, and which one, moves a score next to nothing
     said = ["people", "women", "muslims", "gays", "immigrants"]
     got = toxicity.score(spark.createDataFrame([(i, f"We met some {w} today") for i, w in enumerate(said)], "doc_id bigint, text string"), model).collect()
@@ -208,6 +239,26 @@ def test_toxicity(spark, small, docs, odd, nothing):
     assert {r["predicted"] for r in toxicity.score(odd, one).collect()} == {0}
 
 
+def test_the_penalty_takes_a_group_out_of_the_score(spark):
+    """A term that the labels hold against a text: with the penalty naming the group says little, without it says much."""
+    rng = random.Random(9)
+    plain = [f"we met {rng.choice(['some', 'many', 'few'])} friends by the {rng.choice(['lake', 'mill', 'road'])}" for _ in range(120)]
+    rows = [(0, p) for p in plain[:60]] + [(1, f"{p}. those muslims are vile scum") for p in plain[60:]] + [(0, f"{p}. people are kind") for p in plain[:60]]
+    sample = spark.createDataFrame(rows, "label int, text string")
+    said = spark.createDataFrame([(0, "we met some people by the lake"), (1, "we met some muslims by the lake"), (2, "they are vile scum")], "doc_id bigint, text string")
+    scores = lambda m: [r["score"] for r in sorted(toxicity.score(said, m).collect())]
+    on, off = scores(toxicity.train(sample)), scores(toxicity.train(sample, swap_penalty=0.0))
+    assert abs(on[1] - on[0]) < 0.1 < abs(off[1] - off[0]) and on[2] > 0.5
+    few = toxicity._swaps(toxicity.train(sample), [("muslims", "those muslims are vile scum")], 300)
+    assert few.n <= 300
+
+
+def test_swaps_are_made_in_sentences():
+    said = list(toxicity.mentions("Old Muslims sing. No one else; Women\nand men do!"))
+    assert ("muslims", "old muslims sing") in said and ("old", "old muslims sing") in said and ("men", "and men do") in said and ("women", "no one else; women") in said
+    assert toxicity.swapped("men and women, menfolk, men", "men", "people") == "people and women, menfolk, people"
+
+
 def least_capacity(sizes, shards):
     low, high = max(sizes), sum(sizes)
     while low < high:
@@ -293,6 +344,10 @@ def test_chat_format_round_trip(spark, small):
             assert got[c]["turns_sha256"] == hashlib.sha256(whole.encode()).hexdigest()
             assert got[c]["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()
             assert (got[c]["n_turns"], got[c]["loss_chars"]) == (len(turns), len(said))
+    laid = chat_format.format_chats(df, piece_bytes=40).repartition(7, F.rand(1))
+    assert sorted(map(str, chat_format.read_back(laid).collect())) == sorted(map(str, chat_format.read_back(chat_format.format_chats(df), in_order=True).collect()))
+    with pytest.raises(Exception, match="lacks a piece"):
+        chat_format.read_back(laid.where("piece <> 0")).collect()
     text = chat_format.format_chats(df).select("formatted").collect()
     assert sum(r[0].count("<|im_start|>") for r in text) == len(rows)
     assert chat_format.read_back(chat_format.format_chats(df.where("false"))).count() == 0
@@ -359,7 +414,7 @@ def test_bound_on_differences():
             assert int(parity_join.most_different(a, b)) == (max(possible) if possible else -1)
 
 
-@pytest.mark.parametrize("limit", [url_cascade.MAX_FILTER_BYTES, 0])
+@pytest.mark.parametrize("limit", [url_cascade.MAX_FILTER_BYTES, 512])
 def test_url_filter(spark, limit):
     rules = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"), *[(f"host{i}.org", f"/p{i % 5}", "block") for i in range(300)]]
     hosts = ["example.com", "www.Example.COM", "a.net", "net", "host7.org", "x.host8.org", "host9.org:80", "com", ""]
@@ -381,16 +436,3 @@ def test_url_filter(spark, limit):
     assert {r["verdict"] for r in url_cascade.judge_urls(pages, table.where("false")).collect()} == {"allow"}
 
 
-def test_pipeline(spark, small):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{small}/documents.parquet")
-    rows = {r["doc_id"]: r for r in docs.collect()}
-    kept = corpus_pipeline.identify_language(spark, docs, small)
-    assert kept.columns == docs.columns and kept.count() >= 0.98 * len(rows)
-    single = corpus_pipeline.drop_near_copies(spark, docs, small)
-    want = brute_components([(i, r["text"]) for i, r in rows.items() if len(r["text"]) < 30_000])
-    assert {r["doc_id"] for r in single.collect()} >= {i for i, (_, c) in want.items() if i == c}
-    last = corpus_pipeline.run(spark, small)
-    assert {r["shard"] for r in last.collect()} == set(range(8))
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "jaccard_join", "decontamination", "mixing", "sharding"]
