@@ -12,64 +12,73 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import decontamination, language_id, minimax_shards, mixing, parity_join
+from weftline.llm import decontamination, language_id, minimax_shards, mixing, parity_join, token_counts
+from weftline.llm.queries import MODEL
 from weftline.llm.shared import kept, shared_folder
 
-#: A text whose best cosine is lower has hardly a trigram of any language.
-LEAST_COSINE = 0.02
+#: The least cosine with a language of a text that is long enough to tell. Cosines of texts that share nothing with any prototype are noise of
+#: 1 / sqrt(2048) = 0.022; those of whole sentences of a learned language begin at 0.24.
+LEAST_COSINE, LONG_ENOUGH = 0.12, 20
+#: The same for texts of fewer letters, whose few trigrams may be rare ones of their language.
+LEAST_OF_SHORT = 0.02
 ENTROPY_SHARE = 0.95
 SHARDS = 8
-#: Names of rows without an id begin here.
-NAMELESS = 1 << 62
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts of no language: null, without a letter, or like no prototype.
+    """Rejects texts of no learned language: null, without a letter, or like no prototype. A null lang becomes what was found.
 
-    Prototypes are learned from the stage's own input. Nothing else is rejected: a text whose
-    lang column says otherwise is kept as it is.
+    Prototypes are learned from the stage's own input. A text whose lang column says otherwise is kept as it is. Repeated rows are judged alike; extra
+    columns may have any names; an empty table, or one where no lang is given, gives an empty one.
     """
     languages, bundles = language_id.train(docs)
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    # the operator passes columns through, the text as a column of its own
-    found = language_id.identify(docs.withColumn("whole", F.col("text")), languages, bundles, keep=("text", *others), text="whole")
-    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_COSINE)).select(*docs.columns)
+    found = language_id.labelled_rows(docs, languages, bundles)
+    short = (F.col("score") >= LEAST_OF_SHORT) & (F.regexp_count("row.text", F.lit(r"\p{L}")) < LONG_ENOUGH)
+    some = found.where((F.col("lang_pred") != language_id.UNKNOWN) & ((F.col("score") >= LEAST_COSINE) | short))
+    return some.select(F.col("row").withField("lang", F.coalesce("row.lang", "lang_pred")).alias("row")).select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component of near copies: that with the smallest id.
+    """Keeps one document of each component of near copies: that with the smallest id, of several texts with that id the one of the smallest hash.
 
-    Rows without an id go by a name made from their text, above any id below NAMELESS: one of them is kept if its component has no id.
+    A row goes by its id and its text, so rows with one id and different texts are documents of their own, and a row that comes twice is
+    kept once. Rows without an id come after all others. Texts without a word are copies of nothing: each is kept. Extra columns may have any names; an
+    empty table gives an empty one.
     """
-    if docs.where(F.col("doc_id").isNull()).isEmpty():
-        found = parity_join.link_components(docs)
-        first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-        return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
-    named = docs.withColumn("own_id", F.coalesce("doc_id", F.lit(NAMELESS) + F.pmod(F.xxhash64("text"), F.lit(NAMELESS))))
-    found = parity_join.link_components(named, id_col="own_id")
-    first = found.where(F.col("own_id") == F.col("component_id")).select("own_id", "n_shingles").distinct()
-    left = kept(named.join(first, "own_id"))
-    # equal texts without an id have one name; blank ones are copies of nothing
-    nameless = F.col("doc_id").isNull() & (F.col("n_shingles") > 0)
-    return left.where(~nameless).unionByName(left.where(nameless).dropDuplicates(["own_id"])).select(*docs.columns)
+    own = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), own.alias("own"))
+    found = parity_join.link_components(docs.select(own.alias("own"), "text"), id_col="own")
+    first = found.where(F.col("own") == F.col("component_id")).select("own", "n_shingles").distinct()
+    left = packed.join(first, "own")
+    # a row that comes twice is one group; each blank row is a group of its own
+    alone = F.when(F.col("n_shingles") == 0, F.monotonically_increasing_id()).otherwise(F.lit(-1))
+    return left.withColumn("alone", alone).dropDuplicates(["own", "alone"]).select("row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a part of a benchmark item."""
+    """Drops documents that hold a part of a benchmark item.
+
+    Null and empty texts hold none; repeated rows are judged alike; extra columns may have any names; an empty table, or an empty benchmark, leaves all.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    found = decontamination.contamination(docs, benchmark, keep=("text", *others))
-    return found.where(F.size("items") == 0).select(*docs.columns)
+    return decontamination.contaminated_rows(docs, benchmark).where(F.size("items") == 0).select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Gives every source at least once as a whole, and rarer sources again, up to their weights."""
-    rows = kept(docs.select("doc_id", "source", mixing.words(F.col("text")).alias("tokens")))
+    """Gives every source at least once as a whole, and rarer sources again, up to their weights by tokens, in permuted blocks.
+
+    The columns are those of docs; the permutation is the order of the rows: what is written holds block after block, each with the sources in their
+    weights. A null source is a source of its own; null and empty texts have no tokens and go with their source; rows with one id go
+    together; an empty table gives an empty one.
+    """
+    counted = token_counts.count_tokens(docs.select(F.struct("doc_id", "source").alias("row"), "text"), MODEL, id_col="row")
+    rows = kept(counted.select("row.doc_id", "row.source", F.col("n_tokens").alias("tokens")))
     mix = mixing.plan(rows, whole=True, entropy_share=ENTROPY_SHARE)
-    return mixing.realise(docs, mix).select(*docs.columns)
+    return mixing.laid_out(mixing.realise(docs, mix))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Eight shards of near-equal bytes, equal texts together; nulls, repeats and empty tables as the operator has them."""
     return minimax_shards.shard(docs, SHARDS)
 
 
