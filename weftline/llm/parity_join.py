@@ -10,8 +10,10 @@ sketch, one is the same in the other (pigeonhole).
 1. ``sized`` hashes every text once: its set's size and 64-bit identity. Equal sets are one set from here on.
 2. ``_places`` gives each set's first d + 1 filled places as keys, in the bands that a partner can share. They travel as
    packed blocks, one for each task and target, not as rows.
-3. ``_groups`` sorts the keys of a target: sets that share one are a candidate group. Equal groups are merged, large
-   ones are cut into blocks which are paired.
+3. ``_groups`` sorts the keys of a target: sets that share one are a candidate group. Equal groups are merged. A key that more than HOT sets
+   share, as those of a common line or passage are, makes no group at first: all keys are given once more, with such places last in
+   everyone's order (the pigeonhole holds for any order that all share), so texts meet by what is rare in them. Only what is mostly common
+   still meets in a large group, which is cut into blocks that are paired.
 4. ``_routed`` sends groups to tasks by their smallest member, and there each of their sets once. ``_near`` does so with
    sketches of 4 to 8 bits a shingle and leaves in a group the members that have a pair in it whose distance is not above
    d. ``_links`` does so with the exact sets of what is left: a pair of sets not yet in one component is tested by sketches,
@@ -39,8 +41,10 @@ WORDS = 5
 GROWTH, SMALL = 1.6, 24
 #: Keys that a task holds before it hands its blocks on; sets of a group that are compared at once.
 HELD_KEYS, GROUP = 1 << 21, 1024
-#: Groups of one hub for each task; ids of documents that may be broadcast, 16 bytes each.
-HUB_GROUPS, BROADCAST_IDS = 2048, 2_000_000
+#: Sets of a key that is put last; rounds of keys at most; keys that may be put last, 8 bytes each (more of them are cut into blocks at once).
+HOT, ROUNDS, MOST_HOT = 2048, 3, 1 << 20
+#: Groups of one hub for each task; ids of documents that may be broadcast, 16 to 32 bytes each.
+HUB_GROUPS, BROADCAST_IDS = 2048, 400_000
 
 
 def most_different(a: np.ndarray | int, b: np.ndarray | int, up: int = UP, down: int = DOWN) -> np.ndarray | int:
@@ -96,19 +100,28 @@ def identity(hashes: np.ndarray) -> int:
     return (value or 1) - (1 << 64 if value >= 1 << 63 else 0)
 
 
-def place_keys(hashes: np.ndarray, band: int, places: int, d: int) -> np.ndarray | None:
-    """Keys of the first d + 1 filled places; None if fewer are filled."""
+def place_keys(hashes: np.ndarray, band: int, places: int, d: int, hot: np.ndarray | None = None) -> np.ndarray | None:
+    """Keys of the first d + 1 filled places, those that are hot (ascending keys) coming last; None if fewer are filled."""
     salt = np.uint64((band + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    wanted = d + 1 if hot is None or not len(hot) else len(hashes)
     if not places:
-        return tb.mix(hashes[: d + 1] + salt) if len(hashes) > d else None
-    place = ((hashes >> np.uint64(32)) * np.uint64(places)) >> np.uint64(32)  # ascending, as the hashes are
-    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    # a place's sketch has 2**32 bits, a shingle's bit is its hash's low half; the key is the XOR of its odd bits' hashes
-    word = np.bitwise_xor.reduceat(tb.mix((hashes & np.uint64(0xFFFFFFFF)) + np.uint64(0x9E37)), first)
-    filled = np.flatnonzero(word)[: d + 1]
-    if len(filled) <= d:
-        return None
-    return tb.mix(tb.mix(word[filled]) + place[first[filled]] * np.uint64(0xD6E8FEB86659FD93) + salt)
+        if len(hashes) <= d:
+            return None
+        keys = tb.mix(hashes[:wanted] + salt)
+    else:
+        place = ((hashes >> np.uint64(32)) * np.uint64(places)) >> np.uint64(32)  # ascending, as the hashes are
+        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        # a place's sketch has 2**32 bits, a shingle's bit is its hash's low half; the key is the XOR of its odd bits' hashes
+        word = np.bitwise_xor.reduceat(tb.mix((hashes & np.uint64(0xFFFFFFFF)) + np.uint64(0x9E37)), first)
+        filled = np.flatnonzero(word)[:wanted]
+        if len(filled) <= d:
+            return None
+        keys = tb.mix(tb.mix(word[filled]) + place[first[filled]] * np.uint64(0xD6E8FEB86659FD93) + salt)
+    if len(keys) > d + 1:
+        at = np.searchsorted(hot, keys)
+        at[at == len(hot)] = 0
+        keys = keys[np.argsort(hot[at] == keys, kind="stable")][: d + 1]
+    return keys
 
 
 def sketch_words(n: int) -> int:
@@ -149,8 +162,8 @@ def sized(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id") -> Dat
     return docs.select(id_col, text).mapInArrow(run, f"id {kind}, n bigint, set_id bigint")
 
 
-def _places(docs: DataFrame, targets: int, text: str) -> DataFrame:
-    """(target, keys, sets): packed blocks of keys and the sets that have them. Without keys: a set with too
+def _places(docs: DataFrame, targets: int, text: str, hot: np.ndarray) -> DataFrame:
+    """(target, keys, sets): packed blocks of keys and the sets that have them, hot keys last. Without keys: a set with too
     few filled places, see _short."""
     bands = Bands()
 
@@ -178,7 +191,7 @@ def _places(docs: DataFrame, targets: int, text: str) -> DataFrame:
                 if len(seen) < 1 << 20:
                     seen.add(own)
                 for band, places, d in bands.of(len(hashes)):
-                    found = place_keys(hashes, band, places, d)
+                    found = place_keys(hashes, band, places, d, hot)
                     if found is None:
                         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([b""], pa.binary()), pa.array([np.array([own], np.int64).tobytes()], pa.binary())], names=["target", "keys", "sets"])
                         continue
@@ -194,10 +207,10 @@ def _places(docs: DataFrame, targets: int, text: str) -> DataFrame:
     return docs.select(text).mapInArrow(run, "target int, keys binary, sets binary")
 
 
-def _groups(blocks: DataFrame, targets: int) -> DataFrame:
+def _groups(blocks: DataFrame, targets: int, defer: bool = False) -> DataFrame:
     """(gid, members): the distinct groups of sets that share a key, members ascending, at most 2 * GROUP.
 
-    A group of one is a set with too few filled places."""
+    A group of one is a set with too few filled places. With defer a key of more than HOT sets gives no group but a row without members, whose gid is the key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ids = [], []
@@ -229,6 +242,9 @@ def _groups(blocks: DataFrame, targets: int) -> DataFrame:
         out: list[np.ndarray] = []
         for a, n in zip(first[size > 1].tolist(), size[size > 1].tolist(), strict=True):
             members = s[a : a + n]
+            if defer and n > HOT:
+                yield pa.RecordBatch.from_arrays([pa.array(k[a : a + 1].view(np.int64)), pa.array([[]], pa.list_(pa.int64()))], names=["gid", "members"])
+                continue
             pieces = [members] if n <= 2 * GROUP else [np.concatenate([members[i : i + GROUP], members[j : j + GROUP]]) for i in range(0, n, GROUP) for j in range(i + GROUP, n, GROUP)]
             for m in pieces:
                 if (g := identity(m.view(np.uint64))) not in done:
@@ -409,8 +425,8 @@ def _links(groups: DataFrame, sets: DataFrame, targets: int, whole: bool = False
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) of every node of links (a, b): root is the smallest node reachable.
 
-    First each task joins its own links; then large and small stars by turns: each round is two grouped minima and joins, and a node's many links are
-    never gathered in one place.
+    First each task joins its own links; then large and small stars by turns: each round is two grouped minima, made before the shuffle, and joins, through
+    which the links of a node are streamed, never held.
     """
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -515,6 +531,18 @@ def _short(docs: DataFrame, short: DataFrame, text: str, block: int = 4096) -> D
     return links
 
 
+def _all_groups(docs: DataFrame, targets: int, text: str) -> DataFrame:
+    """The candidate groups; in each round but the last, keys that prove hot are put last in the next one."""
+    hot = np.empty(0, np.uint64)
+    for left in range(ROUNDS - 1, -1, -1):
+        groups = kept(_groups(_places(docs, targets, text, hot), targets, defer=left > 0))
+        found = [r["gid"] for r in groups.where(F.size("members") == 0).select("gid").limit(MOST_HOT).collect()] if left else []
+        if not found:
+            break
+        hot = np.union1d(hot, np.array(found, np.int64).view(np.uint64))
+    return groups
+
+
 def link_components(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", count_links: bool = False) -> DataFrame:
     """(id_col, n_shingles, component_id): the components of the links between near documents.
 
@@ -532,7 +560,7 @@ def link_components(docs: DataFrame, *, text: str = "text", id_col: str = "doc_i
     rows = kept(sized(docs, text=text, id_col=id_col))
     filled = rows.where(F.col("n") > 0)
     each = kept(filled.groupBy("set_id").agg(F.min("id").alias("rep")))
-    groups = kept(_groups(_places(docs, targets, text), targets))
+    groups = _all_groups(docs, targets, text)
     short = groups.where(F.size("members") == 1).select(F.explode("members").alias("set_id")).distinct()
     groups = groups.where(F.size("members") > 1)
 
