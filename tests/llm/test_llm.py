@@ -121,7 +121,13 @@ def test_mixing_lays_blocks_out_in_order(spark, docs):
     mix = mixing.plan(rows, whole=True, entropy_share=0.95, block_tokens=20_000)
     mixed = mixing.realise(rows, mix)
     want = [(r["mix_block"], r["mix_place"], r["row"]["doc_id"]) for r in mixed.collect()]
-    assert mix.blocks > 3 and [r["doc_id"] for r in mixing.laid_out(mixed).collect()] == [i for *_, i in sorted(want)]
+    assert mix.blocks > 3 and [r["doc_id"] for r in mixing.laid_out(mixed, shuffle=True).collect()] == [i for *_, i in sorted(want)]
+    place = collections.defaultdict(list)
+    for b, p, i in sorted(want):
+        place[i].append((b, p))
+    for part in mixing.laid_out(mixed).rdd.map(lambda r: r["doc_id"]).glom().collect():  # each task's rows are in that order too
+        own = [place[i].pop(0) for i in part]
+        assert own == sorted(own)
 
 
 def test_language_id(docs, odd, nothing):

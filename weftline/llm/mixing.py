@@ -186,6 +186,12 @@ def realise(docs: DataFrame, mix: Mix, *, id_col: str = "doc_id", source: str =
     return out.select("row", "mix_pass", "mix_block", "mix_place")
 
 
-def laid_out(mixed: DataFrame) -> DataFrame:
-    """The rows of ``realise`` in the order of blocks and of places in them, with their own columns: written, they are the permuted blocks one after another."""
-    return mixed.repartitionByRange("mix_block", "mix_place").sortWithinPartitions("mix_block", "mix_place").select("row.*")
+def laid_out(mixed: DataFrame, *, shuffle: bool = False) -> DataFrame:
+    """The rows of ``realise`` in the order of blocks and of places in them, with their own columns.
+
+    Each task's rows are put in that order where they are, so every file that is written holds its part of block after block, in the block's
+    permutation, and a reader that merges the files by block has the mixture; rows do not move. With shuffle the files themselves follow one another in that order, at the
+    price of moving every text.
+    """
+    dealt = mixed.repartitionByRange("mix_block", "mix_place") if shuffle else mixed
+    return dealt.sortWithinPartitions("mix_block", "mix_place").select("row.*")
