@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.textblocks import utf8
+from weftline.llm.shared import hold_batches
 
 START, END = b"<|im_start|>", b"<|im_end|>\n"
 LEARNED = "assistant"
@@ -127,6 +128,7 @@ def format_chats(turns: DataFrame, *, conv_id: str = "conv_id", turn: str = "tur
     role or text is empty; null conv_ids are one conversation; repeated rows are turns of their
     own; an empty table gives an empty one. Other columns are not read, whatever their names.
     """
+    hold_batches(turns.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, piece = None, -1  # the conversation at hand, and the last of its pieces
@@ -167,6 +169,7 @@ def read_back(formatted: DataFrame, *, conv_id: str = "conv_id", in_order: bool
     Pieces are streamed in order; the state of a conversation is two hash states. in_order: the rows still lie as
     format_chats gave them, so they need not be dealt and sorted again. A piece that is missing or comes twice is an error.
     """
+    hold_batches(formatted.sparkSession)
     if not in_order:
         formatted = formatted.repartition(F.col(conv_id)).sortWithinPartitions(conv_id, "piece")
 

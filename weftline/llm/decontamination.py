@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.shared import kept
+from weftline.llm.shared import hold_batches, kept
 
 Q = 12
 #: Edits allowed, as a share of a window's length.
@@ -267,6 +267,7 @@ def contaminated_rows(docs: DataFrame, benchmark: DataFrame, *, text: str = "tex
 
 
 def _searched(packed: DataFrame, text: str, parts: Iterator[list[tuple[int, str]]], q: int, edits: float, window: int) -> DataFrame:
+    hold_batches(packed.sparkSession)
     found = packed.withColumn("items", F.array().cast("array<bigint>"))
     schema = f"row {packed.schema['row'].dataType.simpleString()}, items array<bigint>"
     for i, items in enumerate(parts, 1):

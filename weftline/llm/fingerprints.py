@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import textblocks as tb
-from weftline.llm.shared import parts
+from weftline.llm.shared import hold_batches, parts
 
 FRACTION = 1 / 16
 KEEP = 64
@@ -88,6 +88,7 @@ def fingerprint(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
     Equal texts have equal fingerprints. One row for each row of docs; an empty table gives an
     empty one; other columns are not read, whatever their names.
     """
+    hold_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,6 +140,7 @@ def compare_with_edits(docs: DataFrame, *, text: str = "text", id_col: str = "do
     fingerprint, edited_fingerprint, near_edited, near_next). A null text is an empty one; rows with equal ids follow
     one another, each a row of the result; an empty table gives an empty one; a lone row follows itself.
     """
+    hold_batches(docs.sparkSession)
     step = 128
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

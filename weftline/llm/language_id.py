@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.shared import hold_batches
+
 DIMENSIONS = 2048
 SEED = 20240
 #: Training texts for each language at most; more would not change a prototype's direction.
@@ -161,6 +163,7 @@ def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", order:
     ``order``; a language with fewer is used whole. The sums are made on the executors; the driver
     gets one vector for each language.
     """
+    hold_batches(labelled.sparkSession)
     known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     totals = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}
     languages = sorted(totals)
@@ -217,6 +220,7 @@ def identify(docs: DataFrame, languages: list[str], bundles: np.ndarray, *, text
     without a letter, or if no language was learned. One row for each row of docs; an empty
     table gives an empty one; other columns are not read, whatever their names.
     """
+    hold_batches(docs.sparkSession)
     labels = _Labels(languages, bundles, dimensions, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,6 +235,7 @@ def identify(docs: DataFrame, languages: list[str], bundles: np.ndarray, *, text
 
 def labelled_rows(docs: DataFrame, languages: list[str], bundles: np.ndarray, *, text: str = "text", dimensions: int = DIMENSIONS, seed: int = SEED) -> DataFrame:
     """(row, lang_pred, score): as ``identify``, with each row of docs, whole, as a struct: so its columns may have any names."""
+    hold_batches(docs.sparkSession)
     labels = _Labels(languages, bundles, dimensions, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

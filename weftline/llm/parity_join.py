@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import textblocks as tb
-from weftline.llm.shared import kept, parts
+from weftline.llm.shared import hold_batches, kept, parts
 
 #: Likeness as a fraction: intersection * DOWN >= UP * union.
 UP, DOWN = 80, 100
@@ -555,6 +555,7 @@ def link_components(docs: DataFrame, *, text: str = "text", id_col: str = "doc_i
     With count_links there is one more column, n_links: the number of other rows that a row is linked with, equal sets
     among them. All links are then verified, not a spanning forest; they are as many as the pairs of a cluster.
     """
+    hold_batches(docs.sparkSession)
     spark = docs.sparkSession
     targets = parts(spark)
     rows = kept(sized(docs, text=text, id_col=id_col))

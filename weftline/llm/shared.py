@@ -18,6 +18,17 @@ def shared_folder(spark: SparkSession) -> str:
     return named or context.getCheckpointDir()
 
 
+#: Rows of an Arrow batch: texts are long, and both sides of a Python worker hold whole batches, outside the JVM's heap.
+BATCH_ROWS = 512
+
+
+def hold_batches(spark: SparkSession) -> None:
+    """Holds the session's Arrow batches to BATCH_ROWS rows, unless it has asked for fewer."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df as a reliable checkpoint: it survives lost executors and cuts the lineage."""
     shared_folder(df.sparkSession)

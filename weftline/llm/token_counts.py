@@ -17,6 +17,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from weftline.llm.shared import hold_batches
+
 MARK = "▁"
 TOKEN_LIMIT = 4096
 #: Code points given to the library at once, so that its memory does not grow with a text.
@@ -132,6 +134,7 @@ def count_tokens(docs: DataFrame, model: str, *, text: str = "text", id_col: str
     empty text has 0 bytes and 0 tokens; repeated rows give repeated results; an empty table
     gives an empty one. Other columns of docs are not read, whatever their names.
     """
+    hold_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = model

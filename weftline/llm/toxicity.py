@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm import textblocks as tb
-from weftline.llm.shared import kept
+from weftline.llm.shared import hold_batches, kept
 
 #: Kinds of words that may stand for each other. The first of each kind is the plain word.
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
@@ -213,6 +213,7 @@ def train(sample: DataFrame, *, text: str = "text", features: int = FEATURES, l2
     hashes, the sample's places in them, and swap_sentences sentences for each identity term. Of their swaps at most most_swaps are fitted on, even
     shares of every kind of terms. With one class, or none, that class is always given (none: 0).
     """
+    hold_batches(sample.sparkSession)
     size = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
     if len(size) < 2:
         return Model(np.empty(0, np.uint64), np.empty(0), 40.0 if size.get(1) else -40.0)
@@ -299,6 +300,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", id_col: str = "d
     text scores as the empty one, by the offset alone. One row for each row of docs; an empty
     table gives an empty one; other columns are not read, whatever their names.
     """
+    hold_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
