@@ -62,11 +62,11 @@ def lineage(edges: DataFrame, subject: str, direction: str = "down", depth: int
             frontier = None
             break
         keys = met.select(key).distinct()
-        found = met.select(F.col("b").alias("node")).distinct().join(nodes, "node", "left_anti")
-        fresh = ends.join(keys, key, "left_semi").select("node").distinct().join(nodes, "node", "left_anti").withColumn("hops", F.lit(hop))
+        walked = met.select(F.col("b").alias("node"), F.lit(True).alias("walked")).distinct()
+        fresh = cut(ends.join(keys, key, "left_semi").select("node").distinct().join(nodes, "node", "left_anti").join(walked, "node", "left"))
         touched = keys if touched is None else touched.unionByName(keys)
-        frontier = cut(found)
-        nodes = cut(nodes.unionByName(fresh))
+        frontier = fresh.where("walked").select("node")
+        nodes = nodes.unionByName(fresh.select("node", F.lit(hop).alias("hops")))
         if frontier.isEmpty():
             frontier = None
             break

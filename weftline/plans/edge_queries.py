@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftline.functions import rules
 from weftline.operators import consolidate as c
 from weftline.operators import graph, queues, resolver, validation
+from weftline.operators.checkpoints import cut
 from weftline.operators.ordered import numbered
 from weftline.plans.registry import query
 from weftline.sources import inputs
@@ -162,32 +163,37 @@ def _levels(subject: str, direction: str, depth: int) -> str:
     return ", ".join(parts)
 
 
+def _joined(spark, d):
+    """A stored graph: made once, not at each level."""
+    return cut(inputs.joined_edges(spark, d))
+
+
 DOWN, UP, BOTH = (_levels(SUBJECT, "down", 4), _levels(f"{BASE}orders#1", "up", 5), _levels(f"{BASE}part#1", "both", 2))
 
 
 @query("SELECT node, hops FROM n4", SQL_EDGES, SQL_JOINED, DOWN)
 def t1_lineage_down(spark, d):
-    return graph.lineage(inputs.joined_edges(spark, d), SUBJECT, "down", 4).nodes
+    return graph.lineage(_joined(spark, d), SUBJECT, "down", 4).nodes
 
 
 @query("SELECT DISTINCT edge_key FROM (SELECT edge_key FROM m1 UNION ALL SELECT edge_key FROM m2 UNION ALL SELECT edge_key FROM m3 UNION ALL SELECT edge_key FROM m4)", SQL_EDGES, SQL_JOINED, DOWN)
 def t1_lineage_edges(spark, d):
-    return graph.lineage(inputs.joined_edges(spark, d), SUBJECT, "down", 4).edges.select("edge_key")
+    return graph.lineage(_joined(spark, d), SUBJECT, "down", 4).edges.select("edge_key")
 
 
 @query("SELECT node, hops FROM n5", SQL_EDGES, SQL_JOINED, UP)
 def t1_lineage_up(spark, d):
-    return graph.lineage(inputs.joined_edges(spark, d), f"{BASE}orders#1", "up", 5).nodes
+    return graph.lineage(_joined(spark, d), f"{BASE}orders#1", "up", 5).nodes
 
 
 @query("SELECT node, hops FROM n2", SQL_EDGES, SQL_JOINED, BOTH)
 def t1_lineage_both(spark, d):
-    return graph.lineage(inputs.joined_edges(spark, d), f"{BASE}part#1", "both", 2).nodes
+    return graph.lineage(_joined(spark, d), f"{BASE}part#1", "both", 2).nodes
 
 
 @query(" UNION ALL ".join(f"SELECT {k} AS depth, EXISTS (SELECT 1 FROM f{k} JOIN steps ON a = node) AS truncated" for k in range(1, 5)), SQL_EDGES, SQL_JOINED, DOWN)
 def t2_truncated(spark, d):
-    edges = inputs.joined_edges(spark, d)
+    edges = _joined(spark, d)
     rows = [(k, graph.lineage(edges, SUBJECT, "down", k).truncated) for k in range(1, 5)]
     return spark.createDataFrame(rows, "depth int, truncated boolean")
 

@@ -10,7 +10,7 @@ from weftline.operators import runtime, validation
 from weftline.operators.checkpoints import shared_folder
 from weftline.plans.control_queries import JUDGED, MANIFEST
 from weftline.plans.registry import query
-from weftline.sources import extractors, inputs, sql_lineage
+from weftline.sources import extractors, inputs, java_source, sql_lineage
 from weftline.sources.inputs import SQL_CLOSINGS, SQL_MESSAGES, SQL_OBSERVATIONS, table
 
 SCRIPTS = [
@@ -169,6 +169,90 @@ def s28_source_scope(spark, d):
     return table(spark, d, "pages").select("page_id", validation.disposition(F.element_at(paths, (F.col("page_id") % 6 + 1).cast("int"))).alias("disposition"))
 
 
+#: The shared files of a code base, and the class of one part: its calls follow from its size.
+SHARED = [
+    ("Owner.java", '@Entity @Table(name = "owners") class Owner { @Column(name = "city") String city; }'),
+    ("Pet.java", "@Entity class HousePet { }"),
+    ("Owners.java", 'interface Owners extends JpaRepository<Owner, Integer> { List<Owner> findByCity(String city); @Query("delete from Owner o") void clear(); void twice(int a); void twice(String a); }'),
+    ("Pets.java", "interface Pets extends Repository<HousePet, Long> { long countByAge(int age); }"),
+]
+CLASS = """// owners.delete(x) is not a call, nor is "pets.save(1)"
+@RequestMapping("/p%d") class C%d {
+  private final Owners owners; Pets pets; String note = "owners.save(o);";
+  @%sMapping("/x") void run(Owner o) { %s }
+  @KafkaListener(topics = "t%d") void heard() { new StreamsBuilder().stream("in%d").to(%s); }
+}
+"""
+BODIES = ["owners.save(o);", 'owners.findByCity("a, b");', "this.owners.clear();", "pets.save(o);", "pets.countByAge(f(1, 2));", "owners.twice(3);", "owners.flush(); other.go();"]
+
+
+def _sources(spark, d):
+    k, n = F.col("p_partkey"), F.col("p_size")
+    body = F.element_at(F.array(*map(F.lit, BODIES)), (n % len(BODIES) + 1).cast("int"))
+    verb = F.when(n % 2 == 0, "Get").otherwise("Post")
+    text = F.concat(F.when(k % 3 != 0, "import org.apache.kafka.streams.StreamsBuilder;\n").otherwise(""), F.format_string(CLASS, k, k, verb, body, k, k, F.when(n % 3 == 0, "name").otherwise('"out"')))
+    made = table(spark, d, "part").select(F.concat(F.lit("C"), k.cast("string"), F.lit(".java")).alias("path"), text.alias("content"))
+    return java_source.facts(made.unionByName(spark.createDataFrame(SHARED, FILES)))
+
+
+@query("""SELECT 'C' || p_partkey || '#run' AS caller, ['save', 'findByCity', 'clear', 'save', 'countByAge', 'twice', 'flush'][p_size % 7 + 1] AS method, ['owners', 'owners', 'owners', NULL, 'house_pet', NULL, NULL][p_size % 7 + 1] AS "table",
+    ['WRITES', 'READS', 'WRITES', NULL, 'READS', NULL, NULL][p_size % 7 + 1] AS edge_type, [NULL, NULL, NULL, 'unsupported-operation', NULL, 'ambiguous-operation-overload', 'ignored-repository-operation'][p_size % 7 + 1] AS code FROM part""")
+def s9_spring_edges(spark, d):
+    """From Java sources to edges and residue."""
+    return java_source.spring_edges(_sources(spark, d)).drop("path", "line")
+
+
+@query("""SELECT 'REST' AS channel, CASE WHEN p_size % 2 = 0 THEN 'GET' ELSE 'POST' END || ' /p' || p_partkey || '/x' AS operation, 'C' || p_partkey || '#run' AS handler FROM part
+    UNION ALL SELECT 'ASYNC_EVENT', 't' || p_partkey, 'C' || p_partkey || '#heard' FROM part""")
+def s11_inbound(spark, d):
+    return java_source.inbound(_sources(spark, d)).select("channel", "operation", "handler")
+
+
+@query("""SELECT 'C' || p_partkey || '.java' AS path, 'stream' AS called, 'in' || p_partkey AS topic, 'READS' AS edge_type, NULL AS code FROM part WHERE p_partkey % 3 <> 0
+    UNION ALL SELECT 'C' || p_partkey || '.java', 'to', CASE WHEN p_size % 3 <> 0 THEN 'out' END, CASE WHEN p_size % 3 <> 0 THEN 'WRITES' END, CASE WHEN p_size % 3 = 0 THEN 'dynamic-destination' END FROM part WHERE p_partkey % 3 <> 0""")
+def s12a_stream_topology(spark, d):
+    return java_source.stream_topology(_sources(spark, d)).drop("line", "method")
+
+
+@query("SELECT 'catalog://' || s_suppkey AS ref, 'postgres' AS platform, 'n' || s_nationkey AS system, s_name AS dataset, 'a' || s_suppkey AS aliases, CASE WHEN s_suppkey % 2 = 0 THEN 'id,total' ELSE 'id' END AS elements, CASE WHEN s_suppkey % 3 = 0 THEN 's3://b/' || s_suppkey END AS locator FROM supplier")
+def s5_catalog_scan(spark, d):
+    """Catalog documents, one for each nation, written as JSON and scanned back as datasets."""
+    k = F.col("s_suppkey")
+    text = lambda prefix: F.concat(F.lit(prefix), k.cast("string"))
+    element = lambda n: F.struct(F.lit(n).alias("name"), F.lit("STRING").alias("type"))
+    entry = F.struct(
+        text("catalog://").alias("catalogRef"), F.lit("staging").alias("env"), F.lit("postgres").alias("platform"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("system"), F.col("s_name").alias("name"), F.array(text("a")).alias("aliases"),
+        F.lit("TABLE").alias("kind"), F.when(k % 3 == 0, text("s3://b/")).alias("locator"), F.when(k % 2 == 0, F.array(element("id"), element("total"))).otherwise(F.array(element("id"))).alias("elements"),
+    )
+    folder = f"{shared_folder(spark)}/catalog-{uuid.uuid4().hex}"
+    documents = table(spark, d, "supplier").groupBy("s_nationkey").agg(F.collect_list(entry).alias("datasets"))
+    documents.select(F.to_json(F.struct(F.lit("s1").alias("snapshotId"), F.lit("1").alias("resolverVersion"), "datasets")).alias("value")).write.text(folder)
+    found = extractors.catalog(spark, folder)
+    return found.select("ref", "platform", "system", "dataset", F.array_join("aliases", ",").alias("aliases"), F.array_join("elements", ",").alias("elements"), "locator")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_suppkey % 7 <> 0 AND l_returnflag <> 'R' THEN 'edge-' || substr(sha256('{"edgeType":"DERIVES","from":["urn:ldp:staging:postgres:src:s' || l_suppkey || '#total"],"to":"urn:ldp:staging:postgres:mart:daily#gross"}'), 1, 24) END AS edge_key,
+    CASE WHEN l_suppkey % 7 = 0 THEN 'unresolved-dataset' WHEN l_returnflag = 'R' THEN 'unresolved-element' END AS code FROM lineitem""")
+def s6f_derivation_edges(spark, d):
+    """Projection shapes of SQL, resolved against a catalog: source columns that it lacks are residue."""
+    line = F.struct("l_orderkey", "l_linenumber", "l_partkey")
+    shapes = table(spark, d, "lineitem").select(
+        line.alias("at"), F.lit("mart.daily").alias("target_table"), F.lit("gross").alias("target_column"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("source_table"), F.when(F.col("l_returnflag") == "R", "lost").otherwise("total").alias("source_column"),
+    )
+    own = table(spark, d, "supplier").where(F.col("s_suppkey") % 7 != 0).select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("name"), F.concat(F.lit("urn:ldp:staging:postgres:src:s"), F.col("s_suppkey").cast("string")).alias("urn"), F.array(F.lit("id"), F.lit("total")).alias("elements"))
+    known = own.unionByName(spark.createDataFrame([("mart.daily", "urn:ldp:staging:postgres:mart:daily", ["gross"])], "name string, urn string, elements array<string>"))
+    return extractors.derivation_edges(shapes, known).select("at.*", "edge_key", "code")
+
+
+@query("""SELECT edge_id, source, max(document) AS document FROM (SELECT l_orderkey AS edge_id, unnest(['p' || l_partkey, 's' || l_suppkey]) AS source, CASE WHEN l_linestatus = 'O' THEN 'new' ELSE 'a' END AS document FROM (
+    SELECT l_orderkey, l_partkey, l_suppkey, max(l_linestatus) AS l_linestatus FROM lineitem GROUP BY ALL)) GROUP BY edge_id, source""")
+def s25_merge_edges(spark, d):
+    """Edges of open lines merged into those of finished ones: a row for each source, and the new document where there is one."""
+    lines = table(spark, d, "lineitem")
+    rows = lambda status, document: lines.where(F.col("l_linestatus") == status).select(F.col("l_orderkey").alias("edge_id"), F.array(F.concat(F.lit("p"), F.col("l_partkey").cast("string")), F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))).alias("sources"), F.lit(document).alias("document")).distinct()
+    return extractors.merged_edges(rows("F", "a"), rows("O", "new"), ["edge_id"])
+
+
 @query("SELECT r_name AS name, count(*) AS n FROM region GROUP BY r_name")
 def s1_s22_file_round_trip(spark, d):
     """Files written once and scanned back whole."""

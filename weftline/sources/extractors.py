@@ -11,9 +11,12 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftline.functions import rules
+from weftline.operators import queues
+
 EDGE = "path string, line int, kind string, source string, source_field string, target string, target_field string, detail string"
 
 
@@ -219,3 +222,34 @@ def pair_projections(targets: DataFrame, sources: DataFrame) -> DataFrame:
     t = targets.select("statement", F.posexplode("columns").alias("i", "target"))
     s = sources.select("statement", F.posexplode("columns").alias("i", "source"))
     return t.join(s, ["statement", "i"], "full_outer").select("statement", "i", "target", "source", (F.col("target").isNull() | F.col("source").isNull()).alias("unpaired"))
+
+
+CATALOG = """snapshotId string, resolverVersion string, datasets array<struct<catalogRef:string,env:string,platform:string,system:string,name:string,aliases:array<string>,kind:string,locator:string,
+elements:array<struct<name:string,type:string>>>>"""
+
+
+def catalog(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """The datasets of catalog documents, as ``resolver.resolve`` takes them: (snapshot, ref, env, platform, system, dataset, aliases, elements, kind, locator)."""
+    d = spark.read.schema(CATALOG).option("multiLine", multi_line).json(path).select(F.col("snapshotId").alias("snapshot"), F.explode("datasets").alias("d"))
+    elements = F.transform("d.elements", lambda e: e["name"])
+    return d.select("snapshot", F.col("d.catalogRef").alias("ref"), "d.env", "d.platform", "d.system", F.col("d.name").alias("dataset"), "d.aliases", elements.alias("elements"), "d.kind", "d.locator")
+
+
+def derivation_edges(shapes: DataFrame, known: DataFrame) -> DataFrame:
+    """S6f: shapes (target_table, target_column, source_table, source_column, ...) as DERIVES edges between elements, or residue.
+
+    known: (name, urn, elements) of resolved tables. Either table unknown: unresolved-dataset; a column that its table lacks: unresolved-element.
+    """
+    side = lambda p: known.select(F.col("name").alias(f"{p}_table"), F.col("urn").alias(f"{p}_urn"), F.col("elements").alias(f"{p}_elements"))
+    j = shapes.join(side("source"), "source_table", "left").join(side("target"), "target_table", "left")
+    lacks = lambda p: ~F.array_contains(f"{p}_elements", F.col(f"{p}_column"))
+    code = F.when(F.col("source_urn").isNull() | F.col("target_urn").isNull(), "unresolved-dataset").when(lacks("source") | lacks("target"), "unresolved-element")
+    source, target = (F.concat_ws("#", f"{p}_urn", f"{p}_column") for p in ("source", "target"))
+    key = F.when(F.col("code").isNull(), rules.edge_key(F.array(source), target, F.lit("DERIVES")))
+    return j.withColumn("code", code).withColumn("edge_key", key).drop("source_urn", "target_urn", "source_elements", "target_elements")
+
+
+def merged_edges(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """(key, source, document): one row for each source of an edge; a new document replaces the old one, a null one does not."""
+    rows = lambda df: df.select(*key, F.explode("sources").alias("source"), "document").groupBy(*key, "source").agg(F.max("document").alias("document"))
+    return queues.upsert(rows(old), rows(new), [*key, "source"], ["document"])
