@@ -12,25 +12,29 @@ from weftline.plans.registry import query
 from weftline.sources import inputs
 from weftline.sources.inputs import SQL_MESSAGES, SQL_OBSERVATIONS, table
 
-FIELDS = [("Owner", "lastName", None), ("Owner", "cityName", "city"), ("Owner", "ghost", "nope"), ("Owner", "pets", None), ("Base", "id", None)]
-SUPERS = [("Owner", "Owner", "owners"), ("Owner", "Base", "owners"), ("Vet", "Base", "vets")]
-COLUMNS = [("owners", "id"), ("owners", "last_name"), ("owners", "city"), ("vets", "id")]
+#: Fields of each part's entity: what it names its column, if it does, and what its schema has. All entities share a superclass with an id.
+FIELDS = [("lastName", None), ("cityName", "city"), ("ghost", "nope"), ("pets", None)]
+COLUMNS = ("id", "last_name", "city")
 
 
-def _grounded(spark):
-    make = spark.createDataFrame
-    return java_facts.entity_columns(make(FIELDS, "owner string, field string, explicit string"), make(SUPERS, "entity string, owner string, table string"), make(COLUMNS, "table string, column string"))
+def _grounded(spark, d):
+    p, k = table(spark, d, "part"), F.col("p_partkey").cast("string")
+    entity, own = F.concat(F.lit("E"), k), F.concat(F.lit("t"), k)
+    field = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(e).cast("string").alias("explicit")) for f, e in FIELDS])).alias("f")
+    fields = p.select(entity.alias("owner"), field).select("owner", "f.*").unionByName(spark.createDataFrame([("Base", "id", None)], "owner string, field string, explicit string"))
+    supers = p.select(entity.alias("entity"), F.explode(F.array(entity, F.lit("Base"))).alias("owner"), own.alias("table"))
+    return java_facts.entity_columns(fields, supers, p.select(own.alias("table"), F.explode(F.array(*map(F.lit, COLUMNS))).alias("column")))
 
 
-@query("SELECT * FROM (VALUES ('Owner', 'owners', 'lastName', 'last_name', NULL), ('Owner', 'owners', 'cityName', 'city', NULL), ('Owner', 'owners', 'ghost', 'nope', 'unmapped-entity-column'), ('Owner', 'owners', 'id', 'id', NULL), ('Vet', 'vets', 'id', 'id', NULL)) t(entity, \"table\", field, \"column\", code)")
+@query("""SELECT 'E' || p_partkey AS entity, 't' || p_partkey AS "table", field, "column", code FROM part, (VALUES ('lastName', 'last_name', NULL), ('cityName', 'city', NULL), ('ghost', 'nope', 'unmapped-entity-column'), ('id', 'id', NULL)) t(field, "column", code)""")
 def s9b_entity_columns(spark, d):
-    return _grounded(spark)
+    return _grounded(spark, d)
 
 
-@query("SELECT * FROM (VALUES ('Owner', 'findByLastNameAndCityName', 'lastName', 'last_name', NULL), ('Owner', 'findByLastNameAndCityName', 'cityName', 'city', NULL), ('Owner', 'countByNothing', 'nothing', NULL, 'unresolved-query-property'), ('Vet', 'findById', 'id', 'id', NULL)) t(entity, method, field, \"column\", code)")
+@query("""SELECT 'E' || p_partkey AS entity, method, field, "column", code FROM part, (VALUES ('findByLastNameAndCityName', 'lastName', 'last_name', NULL), ('findByLastNameAndCityName', 'cityName', 'city', NULL), ('countByNothing', 'nothing', NULL, 'unresolved-query-property'), ('findById', 'id', 'id', NULL)) t(method, field, "column", code)""")
 def s9c_query_columns(spark, d):
-    methods = spark.createDataFrame([("Owner", "findByLastNameAndCityName"), ("Owner", "countByNothing"), ("Vet", "findById")], "entity string, method string")
-    return java_facts.query_columns(methods, _grounded(spark))
+    named = F.explode(F.array(*map(F.lit, ("findByLastNameAndCityName", "countByNothing", "findById")))).alias("method")
+    return java_facts.query_columns(table(spark, d, "part").select(F.concat(F.lit("E"), F.col("p_partkey").cast("string")).alias("entity"), named), _grounded(spark, d))
 
 
 #: Invocations on repositories; what each must come to is stated by the call alone.
@@ -88,18 +92,27 @@ def s10d_unique_facts(spark, d):
     return java_facts.unique_facts(table(spark, d, "orders"), ["o_custkey"], "o_orderstatus")
 
 
-@query("SELECT \"table\", \"column\" FROM (VALUES ('owners', 'last_name')) t(\"table\", \"column\")")
+@query("""SELECT DISTINCT 't' || l_suppkey AS "table", 'last_name' AS "column" FROM lineitem WHERE l_returnflag = 'A' AND l_suppkey IN (SELECT s_suppkey FROM supplier)""")
 def j10_witnessed(spark, d):
-    edges = spark.createDataFrame([("owners", "READ", "last_name"), ("owners", "READ", "city"), ("vets", "READ", "last_name")], "table string, operation string, column string")
-    seen = spark.createDataFrame([("owners", "READ", ["lastName", "x"]), ("owners", "WRITE", ["city"])], "table string, operation string, fields array<string>")
+    """Edges of each supplier's table, of which those of a column that some line observed (by another spelling) are witnessed."""
+    t = lambda k: F.concat(F.lit("t"), F.col(k).cast("string"))
+    edges = table(spark, d, "supplier").select(t("s_suppkey").alias("table"), F.lit("READ").alias("operation"), F.explode(F.array(F.lit("last_name"), F.lit("city"))).alias("column"))
+    flag = F.col("l_returnflag")
+    fields = F.when(flag == "A", F.array(F.lit("lastName"), F.lit("x"))).otherwise(F.array(F.lit("y")))
+    seen = table(spark, d, "lineitem").select(t("l_suppkey").alias("table"), F.when(flag == "N", "WRITE").otherwise("READ").alias("operation"), fields.alias("fields")).distinct()
     return java_facts.witnessed(edges, seen).select("table", "column")
 
 
-@query("SELECT * FROM (VALUES ('master', 1), ('a', 2), ('a1', 3), ('b', 4)) t(file, nth)")
+@query("""SELECT file, row_number() OVER (ORDER BY root, mid, low) AS nth FROM (SELECT 'r' || r_regionkey AS file, 'r' || r_regionkey AS root, '' AS mid, '' AS low FROM region
+    UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, lpad(n_nationkey::VARCHAR, 6, '0'), '' FROM nation UNION ALL SELECT 's' || s_suppkey, 'r' || n_regionkey, lpad(n_nationkey::VARCHAR, 6, '0'), lpad(s_suppkey::VARCHAR, 6, '0') FROM supplier JOIN nation ON n_nationkey = s_nationkey)""")
 def s8b_t11_changelog_order(spark, d):
-    includes = spark.createDataFrame([("master", "a", 1), ("a", "a1", 1), ("master", "b", 2), ("b", "a1", 1)], "file string, child string, position int")
-    files = spark.createDataFrame([("master",), ("a",), ("a1",), ("b",)], "file string")
-    return java_facts.changelog_order(includes, files).select("file", "nth")
+    """Changelogs of regions include those of their nations, these those of their suppliers, who also include their region's: a cycle."""
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    n, sup = table(spark, d, "nation"), table(spark, d, "supplier")
+    includes = n.select(name("r", "n_regionkey").alias("file"), name("n", "n_nationkey").alias("child"), F.col("n_nationkey").alias("position")).unionByName(sup.select(name("n", "s_nationkey").alias("file"), name("s", "s_suppkey").alias("child"), F.col("s_suppkey").alias("position")))
+    back = sup.select(name("s", "s_suppkey").alias("file"), name("n", "s_nationkey").alias("child"), F.lit(1).alias("position"))
+    files = table(spark, d, "region").select(name("r", "r_regionkey").alias("file")).unionByName(n.select(name("n", "n_nationkey").alias("file"))).unionByName(sup.select(name("s", "s_suppkey").alias("file")))
+    return java_facts.changelog_order(includes.unionByName(back), files).select("file", "nth")
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS before, CASE WHEN c_custkey % 2 = 0 THEN CASE WHEN c_custkey % 5 = 0 THEN 'X' ELSE c_mktsegment END END AS after,

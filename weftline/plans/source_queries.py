@@ -46,12 +46,19 @@ def s6b_pair_projections(spark, d):
     return extractors.pair_projections(targets, sources)
 
 
-PIPELINE = 'tx = read_dataset("raw.tx", elements=["customer", "amount", "ts"])\nwrite_dataset("mart.daily", sources=[tx], mappings={"customer": "customer", "gross": "SUM(amount)", "lost": "nothing"})\nread_dataset(name_of())\n'
+def _files(spark, d, suffix, text):
+    """One file for each part, with the part's key wherever the text has ``@``."""
+    k = F.col("p_partkey").cast("string")
+    return table(spark, d, "part").select(F.concat(k, F.lit(suffix)).alias("path"), F.replace(F.lit(text), F.lit("@"), k).alias("content"))
 
 
-@query("SELECT * FROM (VALUES (2, 'edge', 'raw.tx', 'customer', 'mart.daily', 'customer'), (2, 'edge', 'raw.tx', 'amount', 'mart.daily', 'gross'), (2, 'residue', NULL, NULL, 'mart.daily', 'lost'), (3, 'residue', NULL, NULL, NULL, NULL)) t(line, kind, source, source_field, target, target_field)")
+PIPELINE = 'tx = read_dataset("raw.t@", elements=["customer", "amount", "ts"])\nwrite_dataset("mart.d@", sources=[tx], mappings={"customer": "customer", "gross": "SUM(amount)", "lost": "nothing"})\nread_dataset(name_of())\n'
+
+
+@query("""SELECT p_partkey || '.py' AS path, line, kind, CASE WHEN kind = 'edge' THEN 'raw.t' || p_partkey END AS source, field AS source_field, CASE WHEN line = 2 THEN 'mart.d' || p_partkey END AS target, target_field
+    FROM part, (VALUES (2, 'edge', 'customer', 'customer'), (2, 'edge', 'amount', 'gross'), (2, 'residue', NULL, 'lost'), (3, 'residue', NULL, NULL)) t(line, kind, field, target_field)""")
 def s7_python_edges(spark, d):
-    return extractors.python_edges(spark.createDataFrame([("p.py", PIPELINE)], FILES)).drop("path", "detail")
+    return extractors.python_edges(_files(spark, d, ".py", PIPELINE)).drop("detail")
 
 
 MIGRATIONS = [
@@ -73,12 +80,13 @@ def s8_ambiguous_versions(spark, d):
     return extractors.ambiguous_versions(spark.createDataFrame([*MIGRATIONS, ("db/V2__more.sql", "")], FILES))
 
 
-CONFIG = "spring:\n  cloud:\n    stream:\n      bindings:\n        take-in-0:  # events\n          destination: orders\n        give-out-0:\n          destination: '${topic}'\nspring.cloud.stream.bindings.odd.destination=x\nspring.cloud.stream.bindings.output.destination=bills\n"
+CONFIG = "spring:\n  cloud:\n    stream:\n      bindings:\n        take-in-0:  # events\n          destination: orders@\n        give-out-0:\n          destination: '${topic}'\nspring.cloud.stream.bindings.odd.destination=x@\nspring.cloud.stream.bindings.output.destination=bills@\n"
 
 
-@query("SELECT * FROM (VALUES (6, 'edge', 'orders', 'READS'), (8, 'residue', '${topic}', 'dynamic-destination'), (9, 'residue', 'x', 'unrecognised-binding-name'), (10, 'edge', 'bills', 'WRITES')) t(line, kind, target, detail)")
+@query("""SELECT p_partkey || '/application.yml' AS path, line, kind, CASE WHEN line = 8 THEN target ELSE target || p_partkey END AS target, detail
+    FROM part, (VALUES (6, 'edge', 'orders', 'READS'), (8, 'residue', '${topic}', 'dynamic-destination'), (9, 'residue', 'x', 'unrecognised-binding-name'), (10, 'edge', 'bills', 'WRITES')) t(line, kind, target, detail)""")
 def s12_bindings(spark, d):
-    return extractors.binding_edges(spark.createDataFrame([("application.yml", CONFIG)], FILES)).select("line", "kind", "target", "detail")
+    return extractors.binding_edges(_files(spark, d, "/application.yml", CONFIG)).select("path", "line", "kind", "target", "detail")
 
 
 JOB = """class Curate {
@@ -94,9 +102,11 @@ JOB = """class Curate {
 }"""
 
 
-@query("SELECT * FROM (VALUES (4, 'edge', 's3a://lake/orders', NULL, 's3a://lake/curated', NULL), (4, 'edge', 's3a://lake/orders', 'price', 's3a://lake/curated', 'total'), (4, 'edge', 's3a://lake/orders', 'n', 's3a://lake/curated', 'total'), (5, 'residue', 's3a://lake/orders', NULL, NULL, NULL), (9, 'edge', 'orders', NULL, 's3://lake/landing', NULL)) t(line, kind, source, source_field, target, target_field)")
+@query("""SELECT p_partkey || '.java' AS path, line, kind, CASE WHEN line = 9 THEN source ELSE source || p_partkey END AS source, source_field, target, target_field
+    FROM part, (VALUES (4, 'edge', 's3a://lake/orders', NULL, 's3a://lake/curated', NULL), (4, 'edge', 's3a://lake/orders', 'price', 's3a://lake/curated', 'total'), (4, 'edge', 's3a://lake/orders', 'n', 's3a://lake/curated', 'total'),
+      (5, 'residue', 's3a://lake/orders', NULL, NULL, NULL), (9, 'edge', 'orders', NULL, 's3://lake/landing', NULL)) t(line, kind, source, source_field, target, target_field)""")
 def s13_spark_jobs(spark, d):
-    return extractors.spark_job_edges(spark.createDataFrame([("Curate.java", JOB)], FILES)).drop("path", "detail")
+    return extractors.spark_job_edges(_files(spark, d, ".java", JOB.replace('"s3a://lake/orders"', '"s3a://lake/orders@"'))).drop("detail")
 
 
 @query("SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host FROM pages")
