@@ -17,8 +17,8 @@ from weftline.llm.queries import MODEL
 from weftline.llm.shared import kept, shared_folder
 
 #: The least cosine with a language of a text that is long enough to tell. Cosines of texts that share nothing with any prototype are noise of
-#: 1 / sqrt(2048) = 0.022; those of whole sentences of a learned language begin at 0.24.
-LEAST_COSINE, LONG_ENOUGH = 0.12, 20
+#: 1 / sqrt(2048) = 0.022; those of texts of 40 letters or more in a learned language begin at 0.24.
+LEAST_COSINE, LONG_ENOUGH = 0.12, 40
 #: The same for texts of fewer letters, whose few trigrams may be rare ones of their language.
 LEAST_OF_SHORT = 0.02
 ENTROPY_SHARE = 0.95
