@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftline.functions import rules
 from weftline.operators import consolidate as c
 from weftline.operators import graph, queues, resolver, validation
-from weftline.operators.checkpoints import cut
+from weftline.operators.checkpoints import stored
 from weftline.operators.ordered import numbered
 from weftline.plans.registry import query
 from weftline.sources import inputs
@@ -165,7 +165,7 @@ def _levels(subject: str, direction: str, depth: int) -> str:
 
 def _joined(spark, d):
     """A stored graph: made once, not at each level."""
-    return cut(inputs.joined_edges(spark, d))
+    return stored(inputs.joined_edges(spark, d))
 
 
 DOWN, UP, BOTH = (_levels(SUBJECT, "down", 4), _levels(f"{BASE}orders#1", "up", 5), _levels(f"{BASE}part#1", "both", 2))
