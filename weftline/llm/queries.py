@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat_format, decontamination, fingerprints, language_id, minimax_shards, mixing, parity_join, token_counts, toxicity, url_cascade
+from weftline.llm import chat_format, decontamination, fingerprints, language_id, merkle, minimax_shards, mixing, parity_join, token_counts, toxicity, url_cascade
 from weftline.llm.shared import kept
 
 ENTROPY_SHARE = 0.95
@@ -82,6 +82,13 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge_urls(_table(spark, sf_dir, "pages"), rules)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all rows; where 5 divides the id's crc32 the text is tampered with: its A-Z are lower-cased."""
+    capitals = "".join(map(chr, range(65, 91)))
+    chosen = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return merkle.audit(_table(spark, sf_dir, "documents"), F.when(chosen, F.translate("text", capitals, capitals.lower())).otherwise(F.col("text")))
+
+
 OP10_SQL = """
 WITH rest AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -116,9 +123,55 @@ SELECT s.doc_id, len(s.sh) AS n_shingles, min(r.c) AS component_id FROM s JOIN r
 OP9_LINKS_SQL = f"SELECT j.*, coalesce(k.n_links, 0) AS n_links FROM ({OP9_SQL}) j LEFT JOIN (SELECT a, count(*) AS n_links FROM ({OP9_SQL[: OP9_SQL.index('), r(doc_id, c)')]}) SELECT a FROM links) GROUP BY a) k ON k.a = j.doc_id"
 
 
+def _merkle_levels(name: str, depth: int, tree: str) -> str:
+    """WITH items of the levels over {name}0 (tree, i, n, h), and of their runs; a tree of one node stays as it is."""
+    out = ""
+    for k in range(depth):
+        out += f""", {name}{k}r AS (SELECT {tree}, i // 16 AS run, n, list(h ORDER BY i) AS hs FROM {name}{k} GROUP BY {tree}, i // 16, n),
+{name}{k + 1} AS (SELECT {tree}, run AS i, (n + 15) // 16 AS n, CASE WHEN n = 1 THEN hs[1] ELSE sha256(array_to_string(hs, '')) END AS h FROM {name}{k}r)"""
+    return out
+
+
+def _merkle_folds(before: str, name: str, depth: int, at: str, join: str) -> str:
+    """WITH items that fold f, and collect the siblings p, over the levels."""
+    out = ""
+    for k in range(depth):
+        place = f"({at} // {16**k})"
+        out += f""", {name}f{k} AS (SELECT x.* EXCLUDE (f, p),
+  CASE WHEN r.n = 1 THEN f ELSE sha256(array_to_string(hs[1 : {place} % 16], '') || f || array_to_string(hs[{place} % 16 + 2 :], '')) END AS f,
+  CASE WHEN r.n = 1 THEN p ELSE p || array_to_string(hs[1 : {place} % 16], '') || array_to_string(hs[{place} % 16 + 2 :], '') END AS p
+  FROM {before if k == 0 else f"{name}f{k - 1}"} x JOIN {name}{k}r r ON {join} AND r.run = {place} // 16)"""
+    return out
+
+
+def _merkle_field(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _merkle_leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_merkle_field(f) for f in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+#: Five levels hold a million rows of a source, four so many sources. DuckDB has no crc32: its table is made here, bit by bit.
+OP11_SQL = f"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)) AS t
+), d AS (
+  SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))), lambda a, b: xor(t[xor(a % 256, b) + 1], a // 256)), 4294967295) % 5 = 0 AS bad
+  FROM documents, crc
+), l AS (
+  SELECT doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS i, count(*) OVER (PARTITION BY source) AS n,
+         {_merkle_leaf("text")} AS h, CASE WHEN bad THEN {_merkle_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE h END AS f FROM d
+), s0 AS (SELECT g, i, n, h FROM l){_merkle_levels("s", 5, "g")},
+t0 AS (SELECT 0 AS one, g AS i, count(*) OVER () AS n, h FROM s5){_merkle_levels("t", 4, "one")},
+x AS (SELECT doc_id, g, i, h AS leaf, f, '' AS p FROM l){_merkle_folds("x", "s", 5, "x.i", "r.g = x.g")}{_merkle_folds("sf4", "t", 4, "x.g", "true")}
+SELECT doc_id, leaf, s5.h AS subroot, t4.h AS root, sha256(p) AS proof_sha256, f AS folded_root, f = t4.h AS verified FROM tf3 JOIN s5 ON s5.g = tf3.g, t4
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_mixing, op3_language_id, op4_decontamination, op5_toxicity, op6_sharding, op7_token_counts, op8_chat_format, op9_jaccard_join, op9_jaccard_links, op10_url_filter)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_mixing, op3_language_id, op4_decontamination, op5_toxicity, op6_sharding, op7_token_counts, op8_chat_format, op9_jaccard_join, op9_jaccard_links, op10_url_filter, op11_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_jaccard_join": OP9_SQL, "op9_jaccard_links": OP9_LINKS_SQL, "op10_url_filter": OP10_SQL}
+    return {"op9_jaccard_join": OP9_SQL, "op9_jaccard_links": OP9_LINKS_SQL, "op10_url_filter": OP10_SQL, "op11_merkle_manifest": OP11_SQL}
