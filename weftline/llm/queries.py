@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat_format, decontamination, fingerprints, language_id, merkle, minimax_shards, mixing, parity_join, token_counts, toxicity, url_cascade
+from weftline.llm import chat_format, decontamination, fingerprints, language_id, merkle, minimax_shards, mixing, packing, parity_join, token_counts, toxicity, url_cascade
 from weftline.llm.shared import kept
 
 ENTROPY_SHARE = 0.95
-MODEL = "piece_bpe_32k.model"
+MODEL, WORD_MODEL = "piece_bpe_32k.model", "word_bpe_49k.json"
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
@@ -89,6 +89,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(_table(spark, sf_dir, "documents"), F.when(chosen, F.translate("text", capitals, capitals.lower())).otherwise(F.col("text")))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(packing.pack(_table(spark, sf_dir, "documents"), WORD_MODEL, end_id=2))
+
+
 OP10_SQL = """
 WITH rest AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -170,7 +174,7 @@ SELECT doc_id, leaf, s5.h AS subroot, t4.h AS root, sha256(p) AS proof_sha256, f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_mixing, op3_language_id, op4_decontamination, op5_toxicity, op6_sharding, op7_token_counts, op8_chat_format, op9_jaccard_join, op9_jaccard_links, op10_url_filter, op11_merkle_manifest)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_mixing, op3_language_id, op4_decontamination, op5_toxicity, op6_sharding, op7_token_counts, op8_chat_format, op9_jaccard_join, op9_jaccard_links, op10_url_filter, op11_merkle_manifest, op12_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
