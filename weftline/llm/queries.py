@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat_format, decontamination, fingerprints, language_id, merkle, minimax_shards, mixing, packing, parity_join, token_counts, toxicity, url_cascade
+from weftline.llm import chat_format, decontamination, fingerprints, language_id, lexical_search, merkle, minimax_shards, mixing, packing, parity_join, token_counts, toxicity, url_cascade
 from weftline.llm.shared import kept
 
 ENTROPY_SHARE = 0.95
@@ -93,6 +93,10 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(_table(spark, sf_dir, "documents"), WORD_MODEL, end_id=2))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(lexical_search.build_index(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"))
+
+
 OP10_SQL = """
 WITH rest AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -172,10 +176,27 @@ x AS (SELECT doc_id, g, i, h AS leaf, f, '' AS p FROM l){_merkle_folds("x", "s",
 SELECT doc_id, leaf, s5.h AS subroot, t4.h AS root, sha256(p) AS proof_sha256, f AS folded_root, f = t4.h AS verified FROM tf3 JOIN s5 ON s5.g = tf3.g, t4
 """
 
+OP13_SQL = r"""
+WITH w AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), q AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), lens AS (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id
+), total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM lens
+), tf AS (SELECT doc_id, term, count(*) AS tf FROM w WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term
+), ws AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY term, docs
+), scores AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM q JOIN tf USING (term) JOIN ws USING (term) JOIN lens USING (doc_id), total GROUP BY item_id, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM scores WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 20
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_mixing, op3_language_id, op4_decontamination, op5_toxicity, op6_sharding, op7_token_counts, op8_chat_format, op9_jaccard_join, op9_jaccard_links, op10_url_filter, op11_merkle_manifest, op12_packing)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_mixing, op3_language_id, op4_decontamination, op5_toxicity, op6_sharding, op7_token_counts, op8_chat_format, op9_jaccard_join, op9_jaccard_links, op10_url_filter, op11_merkle_manifest, op12_packing, op13_lexical_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_jaccard_join": OP9_SQL, "op9_jaccard_links": OP9_LINKS_SQL, "op10_url_filter": OP10_SQL, "op11_merkle_manifest": OP11_SQL}
+    return {"op9_jaccard_join": OP9_SQL, "op9_jaccard_links": OP9_LINKS_SQL, "op10_url_filter": OP10_SQL, "op11_merkle_manifest": OP11_SQL, "op13_lexical_search": OP13_SQL}
