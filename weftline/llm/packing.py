@@ -11,8 +11,10 @@ Documents are tokenised once, into a table of ids; pieces travel once, to their
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,79 +36,79 @@ BLOCK = 1 << 20
 BROADCAST_ROWS = 200_000
 #: Strings between blanks whose ids a worker remembers.
 REMEMBERED = 400_000
+#: Marks that may follow a word.
+MARKS = ".,;:!?"
+TYPECODES = {"<u2": "H", "<u4": "I"}
 
 
-class ChunkedTokens:
-    """Token ids by the library, remembered for each string between blanks.
+class ChunkedTokens(dict[str, bytes]):
+    """Token ids by the library, as bytes, remembered for each string between blanks.
 
     The library's own pre-tokeniser drops white space and lets no token reach over it, and its normaliser (NFC, lower case) joins nothing across a
-    blank; so the ids of a text are those of its strings between blanks and line breaks, one after another. ``splits`` proves that from the tokenizer's
-    specification; where it fails each text goes to the library whole.
+    blank; so the ids of a text are those of its strings between blanks and line breaks, one after another. ``_splits`` proves that from the tokenizer's
+    specification; where it fails each text goes to the library whole. By the same specification a word of letters below U+0250, which are letters in every version of Unicode, is one pre-token, as are the marks after it: the library's
+    merges alone give its ids. All other strings go through the whole library.
     """
 
     def __init__(self, file: str) -> None:
         from tokenizers import Tokenizer
 
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.model = Tokenizer.from_file(file)
         self.splits = self._splits()
-        self.at: dict[str, int] = {"": 0}
-        self.ids, self.used = np.empty(1 << 16, np.uint32), 0
-        self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.merges = self.model.model
+        self.kind = "<u2" if max(self.model.get_vocab().values()) < 1 << 16 else "<u4"
+        self[""] = b""
+        # the byte-level alphabet: printable bytes of Latin-1 stand for themselves, the others for what follows from 256 on
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.letters = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in printable)}
 
     def _splits(self) -> bool:
-        import json
-
         spec = json.loads(self.model.to_str())
         normal, before = spec["normalizer"] or {}, spec["pre_tokenizer"] or {}
         kinds = [n["type"] for n in normal.get("normalizers", [])]
         replace = [n for n in normal.get("normalizers", []) if n["type"] == "Replace"]
-        first = (before.get("pretokenizers") or [{}])[0]
+        first, *then = before.get("pretokenizers") or [{}]
         dropped = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and first["pattern"].get("Regex", "").endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        plain = set(kinds) <= {"NFC", "Replace", "Lowercase"} and all(r["pattern"].get("Regex") == r"\s+" and r["content"] == " " for r in replace)
+        plain = kinds == ["NFC", "Replace", "Lowercase"] and all(r["pattern"].get("Regex") == r"\s+" and r["content"] == " " for r in replace)
         alone = all(not (t["lstrip"] or t["rstrip"] or t["single_word"]) and not any(c.isspace() for c in t["content"]) for t in spec["added_tokens"])
-        return bool(dropped and plain and alone and not before["pretokenizers"][1].get("add_prefix_space") and spec["post_processor"] is None and spec["truncation"] is None)
-
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _put(self, ids: list[int], n: int) -> None:
-        """Stores the ids of string n."""
-        if n >= len(self.start):
-            self.start, self.size = np.resize(self.start, 2 * n), np.resize(self.size, 2 * n)
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * len(self.ids))
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.start[n], self.size[n] = self.used, len(ids)
-        self.used += len(ids)
-
-    def _block(self, text: str) -> np.ndarray:
-        chunks = text.replace("\n", " ").split(" ")
-        known = self.at
-        new = list({c for c in chunks if c not in known})
-        kept_n, kept_used = len(known), self.used
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            for chunk, ids in zip(some, self._encode(some), strict=True):
-                known[chunk] = n = len(known)
-                self._put(ids, n)
-        at = np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
-        size = self.size[at]
-        ends = np.cumsum(size)
-        out = self.ids[np.repeat(self.start[at] - ends + size, size) + np.arange(ends[-1])]
-        if len(known) > REMEMBERED:  # those that came last make room
-            for chunk in new:
-                del known[chunk]
-            self.used = kept_used
-            assert len(known) == kept_n
-        return out
-
-    def encode(self, text: str | None) -> np.ndarray:
+        by_bytes = [(t["type"], t.get("add_prefix_space"), t.get("use_regex")) for t in then] == [("ByteLevel", False, False)]
+        return bool(dropped and plain and alone and by_bytes and spec["post_processor"] is None and spec["truncation"] is None)
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return array(TYPECODES[self.kind], ids).tobytes()
+
+    def _library(self, text: str) -> bytes:
+        return self._packed(self.model.encode(text, add_special_tokens=False).ids)
+
+    def _word(self, word: str) -> bytes:
+        """The ids of a word of letters."""
+        low = word.lower()
+        return self._packed([t.id for t in self.merges.tokenize(low if low.isascii() else "".join([self.letters[b] for b in low.encode()]))])
+
+    def __missing__(self, chunk: str) -> bytes:
+        """The ids of a string that is not remembered; it is from now on, while there is room."""
+        word = chunk.rstrip(MARKS)
+        if word.isalpha() and max(word) <= "\u024f" and word.lower().isalpha():
+            ids = self._word(word) if len(word) == len(chunk) else self[word]
+            if len(word) < len(chunk):
+                ids += self[chunk[len(word) :]]
+        else:
+            ids = self._library(chunk)
+        if len(self) < REMEMBERED:
+            self[chunk] = ids
+        return ids
+
+    def _block(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+
+    def encode(self, text: str | None) -> bytes:
         """The ids of one text, without added special tokens; null and the empty text have none."""
         if not text:
-            return np.empty(0, np.uint32)
+            return b""
         if not self.splits:
-            return np.asarray(self._encode([text])[0], np.uint32)
+            return self._library(text)
         if len(text) <= BLOCK:
             return self._block(text)
         out, at = [], 0
@@ -117,7 +119,10 @@ class ChunkedTokens:
             stop = len(text) if stop < 0 else stop
             out.append(self._block(text[at:stop]))
             at = stop + 1
-        return np.concatenate(out)
+        return b"".join(out)
+
+    def ids(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.encode(text), self.kind).tolist()
 
 
 @lru_cache(maxsize=2)
@@ -129,11 +134,6 @@ def _tokens(model: str) -> ChunkedTokens:
     return ChunkedTokens(model)
 
 
-def packed_ids(ids: np.ndarray) -> bytes:
-    """Ids in two bytes each if they fit, else in four."""
-    return ids.astype("<u2" if not len(ids) or int(ids.max()) < 1 << 16 else "<u4").tobytes()
-
-
 def unpacked_ids(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, f"<u{len(data) // n}" if n else "<u2").astype("<u4")
 
@@ -145,14 +145,15 @@ def tokenised(docs: DataFrame, model: str, end_id: int, *, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, part, sums = _tokens(model), TaskContext.get().partitionId(), {}
+        end = tokens._packed([end_id])
         for batch in batches:
             before, n, ids = [], [], []
             for name, value in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                own = np.append(tokens.encode(value.as_py()), np.uint32(end_id))
+                own = tokens.encode(value.as_py()) + end
                 before.append(sums.get(name, 0))
-                n.append(len(own))
-                ids.append(packed_ids(own))
-                sums[name] = before[-1] + len(own)
+                n.append(len(own) // len(end))
+                ids.append(own)
+                sums[name] = before[-1] + n[-1]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([part] * len(n), pa.int64()), pa.array(before, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "source", "part", "before", "n", "ids"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source).cast("string").alias("source"), text)
