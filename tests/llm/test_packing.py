@@ -87,8 +87,10 @@ def test_ids_are_the_library_s(library, tokens, monkeypatch):
     assert all(tokens.ids(f"{w} {v}") == library(f"{w} {v}")[:-1] for w, v in zip(words, words[1:], strict=False))
     monkeypatch.setattr(packing, "BLOCK", 7)
     monkeypatch.setattr(packing, "REMEMBERED", 20)
+    latin = ["".join(rng.choices(["Ab", "É", "ß", "ÿ", "×", ". ", ", ", ".\n", "!? ", "...", ". ", "'s. ", " . ", "1. ", "ĳ. ", "Ⱥ", "Ŀ, ", "DŽ "], k=rng.randint(1, 12))) for _ in range(4000)] + ["Σ. ΑΣ. ", "<|ENDOFTEXT|>. A. ", "<|endoftext|>. A. ", "a. ", "a.", "É. b́. "]
+    assert all(tokens.ids(t) == library(t)[:-1] for t in latin)
     tokens.clear()
-    assert all(tokens.ids(t) == library(t)[:-1] for t in [*texts[:1000], *words]) and len(tokens) <= 20
+    assert all(tokens.ids(t) == library(t)[:-1] for t in [*texts[:1000], *words, *latin]) and len(tokens) <= 20
 
 
 def test_rounds_are_a_deficit_round_robin():

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 from array import array
 from collections.abc import Iterator
@@ -35,9 +36,10 @@ BLOCK = 1 << 20
 #: Rows, one for each part and source, that are broadcast; beyond it they are joined.
 BROADCAST_ROWS = 200_000
 #: Strings between blanks whose ids a worker remembers.
-REMEMBERED = 400_000
-#: Marks that may follow a word.
-MARKS = ".,;:!?"
+REMEMBERED = 600_000
+#: A mark that ends a word; the first character beyond Latin letters that are letters in every version of Unicode.
+MARK = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])[.,;:!?](?=[ \n])")
+LATIN_ENDS = "\u0250"
 TYPECODES = {"<u2": "H", "<u4": "I"}
 
 
@@ -46,7 +48,7 @@ class ChunkedTokens(dict[str, bytes]):
 
     The library's own pre-tokeniser drops white space and lets no token reach over it, and its normaliser (NFC, lower case) joins nothing across a
     blank; so the ids of a text are those of its strings between blanks and line breaks, one after another. ``_splits`` proves that from the tokenizer's
-    specification; where it fails each text goes to the library whole. By the same specification a word of letters below U+0250, which are letters in every version of Unicode, is one pre-token, as are the marks after it: the library's
+    specification; where it fails each text goes to the library whole. By the same specification a word of letters below U+0250, which are letters in every version of Unicode, is one pre-token, as is a mark between it and a blank: the library's
     merges alone give its ids. All other strings go through the whole library.
     """
 
@@ -89,19 +91,17 @@ class ChunkedTokens(dict[str, bytes]):
 
     def __missing__(self, chunk: str) -> bytes:
         """The ids of a string that is not remembered; it is from now on, while there is room."""
-        word = chunk.rstrip(MARKS)
-        if word.isalpha() and max(word) <= "\u024f" and word.lower().isalpha():
-            ids = self._word(word) if len(word) == len(chunk) else self[word]
-            if len(word) < len(chunk):
-                ids += self[chunk[len(word) :]]
-        else:
-            ids = self._library(chunk)
+        ids = self._word(chunk) if chunk.isalpha() and (chunk.isascii() or max(chunk) < LATIN_ENDS) and chunk.lower().isalpha() else self._library(chunk)
         if len(self) < REMEMBERED:
             self[chunk] = ids
         return ids
 
     def _block(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        # of Latin letters alone, lower case is taken letter by letter and NFC changes nothing; a special token's capitals would make it none
+        if (text.isascii() or max(text) < LATIN_ENDS and "İ" not in text) and "<|" not in text:
+            text = text.lower()
+        # a mark between a letter and a blank is a pre-token of its own
+        return b"".join(map(self.__getitem__, MARK.sub(r" \g<0>", text).replace("\n", " ").split(" ")))
 
     def encode(self, text: str | None) -> bytes:
         """The ids of one text, without added special tokens; null and the empty text have none."""
