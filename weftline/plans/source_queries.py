@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from weftline.operators import runtime, validation
+from weftline.operators import provenance, runtime, validation
 from weftline.operators.checkpoints import shared_folder
 from weftline.plans.control_queries import JUDGED, MANIFEST
 from weftline.plans.registry import query
-from weftline.sources import extractors, inputs, java_source, sql_lineage
+from weftline.sources import builds, changelogs, extractors, inputs, java_source, sql_lineage
 from weftline.sources.inputs import SQL_CLOSINGS, SQL_MESSAGES, SQL_OBSERVATIONS, table
 
 SCRIPTS = [
@@ -61,25 +62,6 @@ def s7_python_edges(spark, d):
     return extractors.python_edges(_files(spark, d, ".py", PIPELINE)).drop("detail")
 
 
-MIGRATIONS = [
-    ("db/V1__init.sql", "CREATE TABLE customers (id BIGINT PRIMARY KEY, last_name VARCHAR(80), price DECIMAL(10,2), CONSTRAINT u UNIQUE (id)); CREATE TABLE legacy (id INT)"),
-    ("db/V2__city.sql", "ALTER TABLE customers ADD COLUMN city TEXT"),
-    ("db/V10__drop.sql", "ALTER TABLE customers DROP COLUMN price;\nDROP TABLE legacy; INSERT INTO customers VALUES (1)"),
-    ("db/V2_1__again.sql", "DROP TABLE IF EXISTS tmp; CREATE TABLE tmp (a INT)"),
-    ("db/R__views.sql", "CREATE TABLE never (x INT)"),
-]
-
-
-@query("SELECT * FROM (VALUES ('customers', 'id', 'BIGINT'), ('customers', 'last_name', 'VARCHAR'), ('customers', 'city', 'TEXT'), ('tmp', 'a', 'INT')) t(\"table\", \"column\", data_type)")
-def s8_replay(spark, d):
-    return extractors.replay(spark.createDataFrame(MIGRATIONS, FILES))
-
-
-@query("SELECT * FROM (VALUES ('db/V2__city.sql', 'ambiguous-migration-version'), ('db/V2__more.sql', 'ambiguous-migration-version')) t(path, code)")
-def s8_ambiguous_versions(spark, d):
-    return extractors.ambiguous_versions(spark.createDataFrame([*MIGRATIONS, ("db/V2__more.sql", "")], FILES))
-
-
 CONFIG = "spring:\n  cloud:\n    stream:\n      bindings:\n        take-in-0:  # events\n          destination: orders@\n        give-out-0:\n          destination: '${topic}'\nspring.cloud.stream.bindings.odd.destination=x@\nspring.cloud.stream.bindings.output.destination=bills@\n"
 
 
@@ -330,3 +312,130 @@ def z8_group_order(spark, d):
             yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (*held, n)], names=["lane", "group_id", "first", "n"])
 
     return runtime.in_group_order(inputs.messages(spark, d).select("lane", "group_id", "sequence"), ["lane", "group_id"], "sequence").mapInArrow(consume, "lane string, group_id bigint, first bigint, n bigint")
+
+
+def _changelogs(spark, d):
+    """For each region a repository: a master that includes a changelog for each nation, and these, by prefix, one for each of its suppliers."""
+    doc = lambda *parts: F.concat(F.lit('<?xml version="1.0"?><databaseChangeLog xmlns="http://www.liquibase.org/xml/ns/dbchangelog">'), *[F.lit(p) if isinstance(p, str) else p for p in parts], F.lit("</databaseChangeLog>"))
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    nation, supplier = table(spark, d, "nation"), table(spark, d, "supplier")
+    region = lambda c="n_regionkey": text("region-", F.col(c))
+    master = nation.groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list(text('<include file="n', F.lpad(F.col("n_nationkey").cast("string"), 2, "0"), '.xml"/>'))), "").alias("all"))
+    files = master.select(region().alias("repository"), F.lit("master.xml").alias("path"), doc('<include file="gone.xml"/>', F.col("all")).alias("content"))
+    folder = text("n", F.lpad(F.col("n_nationkey").cast("string"), 2, "0"))
+    made = text('<changeSet id="1" author="a"><createTable tableName="nation_', F.col("n_nationkey"), '"><column name="id" type="bigint"><constraints primaryKey="true"/></column><column name="name" type="varchar(25)"/></createTable></changeSet><includeAll path="', folder, '/"/>')
+    dropped = text('<changeSet id="2"><sql>ALTER TABLE nation_', F.col("n_nationkey"), " DROP COLUMN name</sql></changeSet>")
+    files = files.unionByName(nation.select(region().alias("repository"), F.concat(folder, F.lit(".xml")).alias("path"), doc(made, dropped).alias("content")))
+    s = supplier.join(nation, supplier["s_nationkey"] == nation["n_nationkey"])
+    k = F.col("s_suppkey")
+    add = text('<changeSet id="1"><addColumn tableName="nation_', F.col("n_nationkey"), '"><column name="s', k, '" type="decimal(', k % 9 + 1, ',2)"/></addColumn></changeSet>')
+    drop = F.when(k % 7 == 0, text('<changeSet id="2"><dropColumn tableName="nation_', F.col("n_nationkey"), '" columnName="s', k, '"/></changeSet>')).otherwise("")
+    odd = F.when(k % 11 == 0, F.lit('<changeSet id="3"><customChange class="x"/></changeSet>')).when(k % 5 == 0, F.lit('<changeSet id="3"><loadData tableName="t"/></changeSet>')).otherwise("")
+    return files.unionByName(s.select(region().alias("repository"), F.concat(folder, F.lit("/s"), F.lpad(k.cast("string"), 9, "0"), F.lit(".xml")).alias("path"), doc(add, drop, odd).alias("content")))
+
+
+@query("""SELECT 'region-' || n_regionkey AS repository, 'nation_' || n_nationkey AS "table", row_number() OVER (PARTITION BY n_nationkey ORDER BY place) - 1 AS nth, "column", data_type, "column" = 'id' AS primary_key
+    FROM (SELECT n_regionkey, n_nationkey, -1 AS place, 'id' AS "column", 'bigint' AS data_type FROM nation
+      UNION ALL SELECT n_regionkey, n_nationkey, s_suppkey, 's' || s_suppkey, 'decimal(' || (s_suppkey % 9 + 1) || ',2)' FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE s_suppkey % 7 <> 0)""")
+def s8b_liquibase_replay(spark, d):
+    return changelogs.replay(_changelogs(spark, d))[0]
+
+
+@query("""SELECT 'region-' || n_regionkey AS repository, 'n' || lpad(n_nationkey::VARCHAR, 2, '0') || '/s' || lpad(s_suppkey::VARCHAR, 9, '0') || '.xml' AS path, CASE WHEN s_suppkey % 11 = 0 THEN 'unmodelled-changelog-change' ELSE 'ignored-changelog-change' END AS code,
+      CASE WHEN s_suppkey % 11 = 0 THEN 'customChange' ELSE 'loadData' END AS symbol FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE s_suppkey % 11 = 0 OR s_suppkey % 5 = 0
+    UNION ALL SELECT DISTINCT 'region-' || n_regionkey, 'gone.xml', 'missing-changelog-include', 'gone.xml' FROM nation""")
+def s8b_liquibase_residue(spark, d):
+    return changelogs.replay(_changelogs(spark, d))[1]
+
+
+def _migrations(spark, d):
+    """For each part a repository: a table, a column more, and for some parts a drop, a rename, or a table that is made again."""
+    k, name = F.col("p_partkey"), F.concat(F.lit("part_"), F.col("p_partkey").cast("string"))
+    sql = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    first = sql("-- parts\nCREATE TABLE ", name, " (id BIGINT PRIMARY KEY, price DECIMAL(10, 2), CONSTRAINT u UNIQUE (id));")
+    third = F.when(k % 3 == 0, sql("CREATE TABLE IF NOT EXISTS ", name, " (other INT)")).when(k % 3 == 1, sql("ALTER TABLE ", name, " DROP COLUMN price")).otherwise(sql("ALTER TABLE ", name, " RENAME COLUMN price TO cost"))
+    last = F.when(k % 5 == 0, sql("DROP TABLE ", name)).otherwise(sql("INSERT INTO ", name, " VALUES (1)"))
+    made = [("V1__first.sql", first), ("V2__more.sql", sql("/* two */ ALTER TABLE ", name, " ADD COLUMN size INT, ADD COLUMN brand VARCHAR(9)")), ("V10__third.sql", third), ("V10_1__last.sql", last), ("R__views.sql", F.lit("DROP TABLE never"))]
+    return table(spark, d, "part").select(k.cast("string").alias("repository"), F.explode(F.array(*[F.struct(F.lit(p).alias("path"), c.alias("content")) for p, c in made])).alias("f")).select("repository", "f.path", "f.content")
+
+
+@query("""SELECT p_partkey::VARCHAR AS repository, 'part_' || p_partkey AS "table", row_number() OVER (PARTITION BY p_partkey ORDER BY i) - 1 AS nth, "column", data_type, "column" = 'id' AS primary_key
+    FROM part, (VALUES (1, 'id', 'BIGINT'), (2, 'price', 'DECIMAL(10,2)'), (3, 'size', 'INT'), (4, 'brand', 'VARCHAR(9)')) t(i, "column", data_type) WHERE p_partkey % 5 <> 0 AND NOT (p_partkey % 3 = 1 AND "column" = 'price')""")
+def s8_replay(spark, d):
+    return extractors.migrated(_migrations(spark, d))[0]
+
+
+@query("SELECT p_partkey::VARCHAR AS repository, 'V10__third.sql' AS path, 'unmodelled-migration-statement' AS code, 'ALTER' AS symbol FROM part WHERE p_partkey % 3 = 2")
+def s8_replay_residue(spark, d):
+    return extractors.migrated(_migrations(spark, d))[1]
+
+
+def _ctes(spark, d):
+    """Each order is a statement, each of its lines a query that reads the one before it; even ones are unions with a branch on parts, every fifth names a column that is not there."""
+    line = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    before = F.lag("l_linenumber").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber"))  # an order has seven lines at most
+    line = line.withColumn("before", before)
+    name = lambda c: F.concat(F.lit("c"), F.col(c).cast("string"))
+    row = lambda branch, column, source, source_column, position=0: F.struct(F.lit(branch).alias("branch"), F.lit(position).alias("position"), F.lit(column).alias("column"), source.alias("source"), F.lit(source_column).alias("source_column"))
+    chained = F.when(F.col("before").isNull(), row(1, "v", F.lit("lineitem"), "l_quantity")).otherwise(row(1, "v", name("before"), "v"))
+    union = F.when(F.col("l_linenumber") % 2 == 0, row(2, "other", F.lit("part"), "p_retailprice"))
+    odd = F.when(F.col("l_linenumber") % 5 == 0, row(1, "w", F.lit("lineitem"), "l_none", 1))
+    rows = line.select(F.col("l_orderkey").alias("statement"), name("l_linenumber").alias("query"), F.explode(F.array_compact(F.array(chained, union, odd))).alias("p"))
+    columns = [(t, c) for t in ("lineitem", "part") for c in table(spark, d, t).columns]
+    return provenance.column_provenance(rows.select("statement", "query", "p.*"), spark.createDataFrame(columns, "table string, column string"))
+
+
+@query("""SELECT DISTINCT l_orderkey AS statement, 'c' || l_linenumber AS query, 'v' AS "column", 'lineitem' AS source, 'l_quantity' AS source_column FROM lineitem
+    UNION ALL SELECT DISTINCT a.l_orderkey, 'c' || a.l_linenumber, 'v', 'part', 'p_retailprice' FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber <= a.l_linenumber AND b.l_linenumber % 2 = 0""")
+def s6c_cte_provenance(spark, d):
+    return _ctes(spark, d)[0]
+
+
+@query("""SELECT DISTINCT l_orderkey AS statement, 'c' || l_linenumber AS query, 'w' AS "column", 'lineitem' AS source, 'l_none' AS source_column, 'unknown-table-column' AS code FROM lineitem WHERE l_linenumber % 5 = 0""")
+def s6c_cte_residue(spark, d):
+    return _ctes(spark, d)[1]
+
+
+@query("SELECT p_partkey::VARCHAR AS repository, path, 'ambiguous-migration-version' AS code FROM part, (VALUES ('V2__more.sql'), ('V2__again.sql')) t(path) WHERE p_partkey % 4 = 0")
+def s8_ambiguous_versions(spark, d):
+    """Of every fourth part's migrations two have one version."""
+    files = _migrations(spark, d)
+    again = table(spark, d, "part").where("p_partkey % 4 = 0").select(F.col("p_partkey").cast("string").alias("repository"), F.lit("V2__again.sql").alias("path"), F.lit("").alias("content"))
+    return extractors.ambiguous_versions(files.unionByName(again))
+
+
+def _builds(spark, d):
+    """Every five parts are a repository, each part a module whose parent is the one before, the first with Boot; some have a wrong version, a cycle, or a Gradle file beside."""
+    k = F.col("p_partkey")
+    r, i = F.floor(k / 5), k % 5
+    sql = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    boot = sql("<parent><groupId>org.springframework.boot</groupId><artifactId>spring-boot-starter-parent</artifactId><version>", F.when(r % 4 == 1, "2.7.0").otherwise(sql("3.1.", r % 2)), "</version></parent>")
+    module = lambda n: sql("<parent><groupId>g</groupId><artifactId>m", n, "</artifactId></parent>")
+    parent = F.when(i > 0, module(k - 1)).when(r % 4 == 3, module(k + 4)).otherwise(boot)
+    pom = sql("<project><groupId>g</groupId><artifactId>m", k, "</artifactId>", parent, "<dependencies><dependency><groupId>org.springframework.boot</groupId><artifactId>spring-boot-starter-data-jpa</artifactId></dependency></dependencies></project>")
+    part = table(spark, d, "part")
+    poms = part.select(r.cast("string").alias("repository"), sql("m", k, "/pom.xml").alias("path"), pom.alias("content"))
+    gradle = sql("plugins {\n id('org.springframework.boot') version '", F.when(r % 8 == 6, "3.2.0").otherwise("3.1.0"), "'\n}\ndependencies { implementation \"org.springframework.boot:spring-boot-starter-data-jpa\" }")
+    return poms.unionByName(part.where((i == 0) & (r % 4 == 2)).select(r.cast("string").alias("repository"), F.lit("build.gradle").alias("path"), gradle.alias("content")))
+
+
+_BUILDS = "r AS (SELECT p_partkey // 5 AS r, count(*) AS n, min(p_partkey) % 5 = 0 AND (p_partkey // 5) % 4 IN (0, 2) AS good FROM part GROUP BY p_partkey // 5)"
+
+
+@query("SELECT r::VARCHAR AS repository, CASE WHEN good AND r % 8 <> 6 THEN 'spring-data-jpa' END AS cell, CASE WHEN good AND r % 8 <> 6 THEN 2 * n + CASE WHEN r % 4 = 2 THEN 2 ELSE 0 END ELSE 0 END AS n FROM r", _BUILDS)
+def s9a_build_cells(spark, d):
+    return builds.classify(_builds(spark, d))[0].select("repository", "cell", F.size("evidence").alias("n"))
+
+
+@query("""SELECT (p_partkey // 5)::VARCHAR AS repository, 'm' || p_partkey || '/pom.xml' AS path, code, CASE WHEN code = 'missing-jpa-version' THEN 'org.springframework.boot:spring-boot-starter-data-jpa' ELSE 'm' || p_partkey || '/pom.xml' END AS symbol
+    FROM part JOIN r ON r = p_partkey // 5 AND NOT good, (VALUES ('missing-boot-evidence'), ('missing-jpa-version'), ('missing-jpa-dependency')) t(code)
+    UNION ALL SELECT (p_partkey // 5)::VARCHAR, 'm' || p_partkey || '/pom.xml', 'unsupported-boot-version', '2.7.0' FROM part WHERE p_partkey % 20 = 5
+    UNION ALL SELECT r::VARCHAR, NULL, 'ambiguous-framework-evidence', '3.1.0/3.2.0' FROM r WHERE good AND r % 8 = 6""", _BUILDS)
+def s9a_build_residue(spark, d):
+    return builds.classify(_builds(spark, d))[1]
+
+
+@query("""SELECT p_partkey AS key, CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_size || '.' || p_partkey % 7 || '.0' END AS version, p_size % 3 <> 0 AND p_size BETWEEN 3 AND 4 AS supported FROM part""")
+def f29_versions(spark, d):
+    p = table(spark, d, "part").withColumn("version", F.concat_ws(".", F.col("p_size").cast("string"), (F.col("p_partkey") % 7).cast("string"), F.when(F.col("p_size") % 3 == 0, "x").otherwise("0")))
+    return p.select(F.col("p_partkey").alias("key"), F.array_join(F.transform(builds.semantic_version(F.col("version")), lambda n: n.cast("string")), ".").alias("version"), builds.is_supported(F.col("version")).alias("supported"))

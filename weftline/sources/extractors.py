@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import rules
-from weftline.operators import queues
+from weftline.operators import queues, schema_history
 
 EDGE = "path string, line int, kind string, source string, source_field string, target string, target_field string, detail string"
 
@@ -178,43 +178,28 @@ def http_calls(files: DataFrame) -> DataFrame:
     return calls.select("path", "url", s["host"].alias("host"), s["route"].alias("route"))
 
 
-_DDL = r"(?is)^\s*(CREATE\s+TABLE|DROP\s+TABLE|ALTER\s+TABLE)\s+(?:IF\s+(?:NOT\s+)?EXISTS\s+)?([A-Za-z_][\w.]*)\s*(.*)$"
-
-
 def replay(files: DataFrame) -> DataFrame:
-    """The columns that versioned migrations leave: (table, column, data_type), natively.
+    """The columns that versioned migrations leave: (table, column, data_type), natively; other files are not read."""
+    return migrated(files)[0].select("table", "column", "data_type")
 
-    Statements become events in order of version and place; a table's columns are those added since it was
-    last created or dropped and not dropped since.
-    """
-    from weftline.functions.rules import version_tuple
 
+def migrated(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The tables' columns and the residue of versioned migrations (path, content), each repository by itself if files have that column."""
     name = F.element_at(F.split("path", "/"), -1)
-    each = files.withColumn("version", version_tuple(name)).where(F.col("version").isNotNull())
-    s = each.select("version", F.posexplode(F.split("content", ";")).alias("place", "sql"))
-    s = s.select("version", "place", *[F.regexp_extract("sql", _DDL, i).alias(n) for i, n in enumerate(("verb", "table", "rest"), 1)]).where(F.col("verb") != "")
-    s = s.withColumn("verb", F.upper(F.regexp_replace("verb", r"\s+", " "))).withColumn("table", F.lower("table")).withColumn("at", F.struct("version", "place"))
-    whole = s.where(F.col("verb").isin("CREATE TABLE", "DROP TABLE")).groupBy("table").agg(F.max_by(F.struct("at", "verb"), F.col("at")).alias("last"))
-    parts = F.split(F.regexp_replace(F.regexp_extract("rest", r"(?s)^\((.*)\)\s*$", 1), r"\([^()]*\)", ""), ",")
-    made = s.where(F.col("verb") == "CREATE TABLE").select("table", "at", F.explode(parts).alias("part"), F.lit("ADD").alias("what"))
-    made = made.where(~F.col("part").rlike(r"(?i)^\s*(primary|foreign|unique|constraint|check)\b"))
-    words = F.split(F.trim(F.regexp_replace("part", r"\s+", " ")), " ")
-    made = made.select("table", "at", "what", F.lower(words[0]).alias("column"), F.upper(words[1]).alias("data_type"))
-    alter = s.where(F.col("verb") == "ALTER TABLE").select("table", "at", F.upper(F.regexp_extract("rest", r"(?i)^(ADD|DROP)", 1)).alias("what"), F.split(F.trim(F.regexp_replace(F.regexp_replace("rest", r"(?i)^(ADD|DROP)\s+(COLUMN\s+)?(IF\s+(NOT\s+)?EXISTS\s+)?", ""), r"\s+", " ")), " ").alias("w"))
-    alter = alter.where(F.col("what") != "").select("table", "at", "what", F.lower(F.col("w")[0]).alias("column"), F.upper(F.get("w", F.lit(1))).alias("data_type"))
-    events = made.unionByName(alter).join(whole, "table").where((F.col("last.verb") == "CREATE TABLE") & (F.col("at") >= F.col("last.at")))
-    last = events.groupBy("table", "column").agg(F.max_by(F.struct("what", "data_type"), F.col("at")).alias("e"))
-    return last.where(F.col("e.what") == "ADD").select("table", "column", "e.data_type")
+    repository = F.col("repository") if "repository" in files.columns else F.lit("")
+    each = files.withColumn("version", rules.version_tuple(name)).where(F.col("version").isNotNull())
+    at = F.transform("version", lambda n: F.lpad(n.cast("string"), 20, "0"))
+    events, odd = schema_history.ddl(each.select(repository.alias("repository"), "path", F.array(F.array_join(at, ".")).alias("at"), F.col("content").alias("text")))
+    left, unknown = schema_history.replayed(events)
+    return left, odd.unionByName(unknown)
 
 
 def ambiguous_versions(files: DataFrame) -> DataFrame:
-    """Versions that more than one migration has."""
-    from weftline.functions.rules import version_tuple
-
-    v = version_tuple(F.element_at(F.split("path", "/"), -1))
-    w = Window.partitionBy("version")
-    rows = files.select("path", v.alias("version")).where(F.col("version").isNotNull())
-    return rows.withColumn("n", F.count("*").over(w)).where(F.col("n") > 1).select("path", F.lit("ambiguous-migration-version").alias("code"))
+    """Versions that more than one migration of a repository has."""
+    name = rules.version_tuple(F.element_at(F.split("path", "/"), -1))
+    rows = files.select("repository", "path", name.alias("version")).where(F.col("version").isNotNull())
+    several = rows.groupBy("repository", "version").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    return rows.join(several, ["repository", "version"]).select("repository", "path", F.lit("ambiguous-migration-version").alias("code"))
 
 
 def pair_projections(targets: DataFrame, sources: DataFrame) -> DataFrame:
