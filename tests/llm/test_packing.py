@@ -87,7 +87,7 @@ def test_ids_are_the_library_s(library, tokens, monkeypatch):
     assert all(tokens.ids(f"{w} {v}") == library(f"{w} {v}")[:-1] for w, v in zip(words, words[1:], strict=False))
     monkeypatch.setattr(packing, "BLOCK", 7)
     monkeypatch.setattr(packing, "REMEMBERED", 20)
-    latin = ["".join(rng.choices(["Ab", "É", "ß", "ÿ", "×", ". ", ", ", ".\n", "!? ", "...", ". ", "'s. ", " . ", "1. ", "ĳ. ", "Ⱥ", "Ŀ, ", "DŽ "], k=rng.randint(1, 12))) for _ in range(4000)] + ["Σ. ΑΣ. ", "<|ENDOFTEXT|>. A. ", "<|endoftext|>. A. ", "a. ", "a.", "É. b́. "]
+    latin = ["".join(rng.choices(["Ab", "É", "ß", "ÿ", "×", ". ", ", ", ".\n", "!? ", "...", "!! ", "&&& ", ".) ", "\". ", ". ", "'s. ", " . ", "1. ", "ĳ. ", "Ⱥ", "Ŀ, ", "DŽ "], k=rng.randint(1, 12))) for _ in range(4000)] + ["Σ. ΑΣ. ", "<|ENDOFTEXT|>. A. ", "<|endoftext|>. A. ", "a. ", "a.", "É. b́. "]
     assert all(tokens.ids(t) == library(t)[:-1] for t in latin)
     tokens.clear()
     assert all(tokens.ids(t) == library(t)[:-1] for t in [*texts[:1000], *words, *latin]) and len(tokens) <= 20
@@ -108,7 +108,9 @@ def test_rounds_are_a_deficit_round_robin():
             want += [turn] * min(grains * grain, n - sent)
             sent += grains * grain
         first = rng.randint(0, n - 1)
-        rounds, start = packing._rounds(first, n - first, quantum, phase, grain)
+        many = [np.array([x, x]) for x in (first, n - first, quantum, phase)]
+        row, rounds, start = (x[: len(x) // 2] for x in packing._rounds(*many, grain))
+        assert not row.any()
         got = np.repeat(rounds, np.diff(np.append(start, n - first)))
         assert got.tolist() == want[first:]
 
@@ -151,3 +153,24 @@ def test_sequences_are_the_ids(spark, library):
         by[r["sequence_id"]].append((r["offset"], want[r["doc_id"]][r["start"] : r["start"] + r["length"]]))
     got = {r["sequence_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in packing.sequences(pieces).collect()}
     assert got == {k: [x for _, ids in sorted(v) for x in ids] for k, v in by.items()}
+
+
+def test_ids_of_two_widths_are_cut_where_sequences_end(spark):
+    """Rows of two and of four bytes an id, over windows of 8 and a rest of 7."""
+    rows, at = [], 0
+    ids = list(range(70_000, 70_000 + 8 * 5 + 7))
+    for k, n in enumerate([3, 10, 1, 17, 6, 10]):
+        own = [i if k % 2 else i - 70_000 for i in ids[at : at + n]]
+        rows.append((k, "s", 100 * k, n, bytearray(np.array(own, "<u4" if k % 2 else "<u2").tobytes()), 1000, at))
+        at += n
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, start bigint, length bigint, ids binary, doc_tokens bigint, at bigint").coalesce(1)
+    got = packing._cut(df, at, 8, "doc_id").collect()
+    place = {0: 0, 1: 8, 2: 16, 3: 24, 4: 32, 5: 40, 6: 44, 7: 46}
+    size = collections.Counter()
+    for r in got:
+        begin = place[r["sequence_id"]] + r["offset"]
+        own = next(x for x in rows if x[0] == r["doc_id"])
+        assert begin - own[6] == r["start"] - own[2]
+        assert np.frombuffer(r["ids"], "<u4").tolist() == [i if own[0] % 2 else i - 70_000 for i in ids[begin : begin + r["length"]]]
+        size[r["sequence_id"]] += r["length"]
+    assert [size[k] for k in range(8)] == [8, 8, 8, 8, 8, 4, 2, 1]

@@ -37,18 +37,27 @@ BLOCK = 1 << 20
 BROADCAST_ROWS = 200_000
 #: Strings between blanks whose ids a worker remembers.
 REMEMBERED = 600_000
-#: A mark that ends a word; the first character beyond Latin letters that are letters in every version of Unicode.
-MARK = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])[.,;:!?](?=[ \n])")
+#: Marks that end a word, none of which can be part of a special token or a contraction; the first character beyond Latin letters that are letters in every version of Unicode.
+MARKS = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])[.,;:!?&%$#*)\]}\"]+(?=[ \n])")
 LATIN_ENDS = "\u0250"
 TYPECODES = {"<u2": "H", "<u4": "I"}
 
 
+def _is_latin(text: str) -> bool:
+    """Whether all characters are below U+0250, but for one whose lower case is two."""
+    try:
+        text.encode("latin-1")
+        return True
+    except UnicodeEncodeError:
+        return max(text) < LATIN_ENDS and "İ" not in text
+
+
 class ChunkedTokens(dict[str, bytes]):
     """Token ids by the library, as bytes, remembered for each string between blanks.
 
     The library's own pre-tokeniser drops white space and lets no token reach over it, and its normaliser (NFC, lower case) joins nothing across a
     blank; so the ids of a text are those of its strings between blanks and line breaks, one after another. ``_splits`` proves that from the tokenizer's
-    specification; where it fails each text goes to the library whole. By the same specification a word of letters below U+0250, which are letters in every version of Unicode, is one pre-token, as is a mark between it and a blank: the library's
+    specification; where it fails each text goes to the library whole. By the same specification a word of letters below U+0250, which are letters in every version of Unicode, is one pre-token, as are marks between it and a blank: the library's
     merges alone give its ids. All other strings go through the whole library.
     """
 
@@ -98,10 +107,10 @@ class ChunkedTokens(dict[str, bytes]):
 
     def _block(self, text: str) -> bytes:
         # of Latin letters alone, lower case is taken letter by letter and NFC changes nothing; a special token's capitals would make it none
-        if (text.isascii() or max(text) < LATIN_ENDS and "İ" not in text) and "<|" not in text:
+        if _is_latin(text) and "<|" not in text:
             text = text.lower()
-        # a mark between a letter and a blank is a pre-token of its own
-        return b"".join(map(self.__getitem__, MARK.sub(r" \g<0>", text).replace("\n", " ").split(" ")))
+        # marks between a letter and a blank are a pre-token of their own
+        return b"".join(map(self.__getitem__, MARKS.sub(r" \g<0>", text).replace("\n", " ").split(" ")))
 
     def encode(self, text: str | None) -> bytes:
         """The ids of one text, without added special tokens; null and the empty text have none."""
@@ -134,10 +143,6 @@ def _tokens(model: str) -> ChunkedTokens:
     return ChunkedTokens(model)
 
 
-def unpacked_ids(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, f"<u{len(data) // n}" if n else "<u2").astype("<u4")
-
-
 def tokenised(docs: DataFrame, model: str, end_id: int, *, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """A written table (doc_id, source, part, before, n, ids): each row's ids with end_id after them, and the tokens of its source before it in its part."""
     spark = docs.sparkSession
@@ -164,12 +169,28 @@ def tokenised(docs: DataFrame, model: str, end_id: int, *, id_col: str = "doc_id
     return spark.read.schema(schema).parquet(folder)
 
 
-def _rounds(first: int, n: int, quantum: float, phase: int, grain: int) -> tuple[np.ndarray, np.ndarray]:
-    """The rounds of n tokens from place ``first`` of a queue on, and at which of them each round's begin."""
-    grains = np.arange(first // grain, (first + n - 1) // grain + 1)
-    rounds = np.maximum(1, np.ceil(((grains + 1) * float(grain) - phase) / quantum)).astype(np.int64)
-    begin = np.flatnonzero(np.append(True, rounds[1:] != rounds[:-1]))
-    return rounds[begin], np.maximum(0, grains[begin] * grain - first)
+def _rounds(first: np.ndarray, n: np.ndarray, quantum: np.ndarray, phase: np.ndarray, grain: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of documents with n tokens from place ``first`` of their queue on: a row for each of their rounds, with the document's row, the round, and the token that begins it."""
+    low = first // grain
+    count = (first + n - 1) // grain - low + 1
+    row = np.repeat(np.arange(len(first)), count)
+    begin = np.cumsum(count) - count
+    grains = np.arange(len(row)) - begin[row] + low[row]
+    rounds = np.maximum(1, np.ceil(((grains + 1) * float(grain) - phase[row]) / quantum[row])).astype(np.int64)
+    new = np.append(True, (rounds[1:] != rounds[:-1]) | (row[1:] != row[:-1])) if len(row) else np.empty(0, bool)
+    return row[new], rounds[new], np.maximum(0, grains[new] * grain - first[row[new]])
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column, and where its rows begin and end."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return (np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)), at
+
+
+def _binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """A large binary column of bytes that are cut at the offsets."""
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets.astype(np.int64))), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 def _pieces(queued: DataFrame, grain: int, ids: bool) -> DataFrame:
@@ -179,23 +200,20 @@ def _pieces(queued: DataFrame, grain: int, ids: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first, n, quantum, phase = (batch.column(c).to_numpy() for c in range(4))
-            found = [_rounds(int(a), int(b), q, int(p), grain) for a, b, q, p in zip(first, n, quantum, phase, strict=True)]
-            if not found:
+            if not batch.num_rows:
                 continue
-            count = np.array([len(r) for r, _ in found])
-            rounds, start = (np.concatenate([f[i] for f in found]) for i in (0, 1))
-            row = np.repeat(np.arange(len(found)), count)
-            following = np.append(start[1:], 0)
-            last = np.cumsum(count) - 1
-            following[last] = n
-            arrays = [pa.array(rounds), pa.array(following - start)]
+            first, n, quantum, phase = (batch.column(c).to_numpy() for c in range(4))
+            row, rounds, start = _rounds(first, n, quantum, phase, grain)
+            end = np.append(start[1:], 0)
+            last = np.append(np.flatnonzero(row[1:] != row[:-1]), len(row) - 1)
+            end[last] = n
+            arrays = [pa.array(rounds), pa.array(end - start)]
             if ids:
-                width = np.array([len(v.as_buffer()) if v.is_valid else 0 for v in batch.column(6)]) // n
-                data = [v.as_buffer() for v in batch.column(6)]
-                cut = [data[k].slice(a * w, (b - a) * w).to_pybytes() for k, a, b, w in zip(row.tolist(), start.tolist(), following.tolist(), width[row].tolist(), strict=True)]
+                data, at = _flat(batch.column(6))
+                # a document's tokens follow one another, so do its pieces: the same bytes are cut in more places
+                begin = at[row] + start * ((at[1:] - at[:-1]) // n)[row]
                 index = pa.array(row)
-                arrays += [batch.column(4).take(index), batch.column(5).take(index), pa.array(first[row] + start), pa.array(start), pa.array(n[row]), pa.array(cut, pa.binary())]
+                arrays += [batch.column(4).take(index), batch.column(5).take(index), pa.array(first[row] + start), pa.array(start), pa.array(n[row]), _binary(data, np.append(begin, at[-1])).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
     schema = "round bigint, length bigint" + (f", doc_id {kind}, source string, place bigint, start bigint, doc_tokens bigint, ids binary" if ids else "")
@@ -249,32 +267,35 @@ def pack(docs: DataFrame, model: str, *, end_id: int, targets: dict[str | None,
 
 def _cut(placed: DataFrame, total: int, window: int, id_col: str) -> DataFrame:
     """Cuts pieces where sequences end."""
-    full, ends = _bounds(total, window)
+    full, rest = _bounds(total, window)
+    n_full = full // window
     kind = placed.schema["doc_id"].dataType.simpleString()
 
+    def number(at: np.ndarray) -> np.ndarray:
+        return np.where(at < full, at // window, n_full + np.searchsorted(np.array(rest, np.int64), at, "right"))
+
+    def end(sequence: np.ndarray) -> np.ndarray:
+        own = np.append(np.array(rest, np.int64), np.int64(1) << 62)
+        return np.where(sequence < n_full, (sequence + 1) * window, own[np.clip(sequence - n_full, 0, len(rest))])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            rest = zip(*(batch.column(c).to_pylist() for c in ("start", "length", "at", "ids")), strict=True)
-            for row, (start, length, at, data) in enumerate(rest):
-                ids = unpacked_ids(data, length)
-                done = 0
-                while done < length:
-                    here = at + done
-                    if here < full:
-                        number, first, end = here // window, here // window * window, (here // window + 1) * window
-                    else:
-                        k = next(i for i, e in enumerate(ends) if here < e)
-                        number, first, end = full // window + k, ends[k - 1] if k else full, ends[k]
-                    n = min(length - done, end - here)
-                    out.append((row, start + done, n, ids[done : done + n].tobytes(), number, here - first))
-                    done += n
-            if not out:
+            if not batch.num_rows:
                 continue
-            row, start, length, ids, number, offset = zip(*out, strict=True)
-            index = pa.array(row, pa.int64())
+            start, length, at = (batch.column(c).to_numpy() for c in ("start", "length", "at"))
+            first = number(at)
+            count = number(at + length - 1) - first + 1
+            row = np.repeat(np.arange(len(at)), count)
+            sequence = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            begin = np.maximum(at[row], np.where(sequence > 0, end(sequence - 1), 0))
+            size = np.minimum(at[row] + length[row], end(sequence)) - begin
+            data, bounds = _flat(batch.column("ids"))
+            width = (bounds[1:] - bounds[:-1]) // length
+            parts = [data[a:b].view(f"<u{w}").astype("<u4") for w, a, b in _runs(width, bounds)]
+            words = np.concatenate(parts).view(np.uint8)
+            index = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(index), batch.column("source").take(index), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary()), batch.column("doc_tokens").take(index), pa.array(number, pa.int64()), pa.array(offset, pa.int64())],
+                [batch.column("doc_id").take(index), batch.column("source").take(index), pa.array(start[row] + begin - at[row]), pa.array(size), _binary(words, np.append(0, np.cumsum(size) * 4)).cast(pa.binary()), batch.column("doc_tokens").take(index), pa.array(sequence), pa.array(begin - np.where(sequence > 0, end(sequence - 1), 0))],
                 names=[id_col, "source", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
             )
 
@@ -282,6 +303,13 @@ def _cut(placed: DataFrame, total: int, window: int, id_col: str) -> DataFrame:
     return placed.select("doc_id", "source", "start", "length", "ids", "doc_tokens", "at").mapInArrow(run, schema)
 
 
+def _runs(width: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(width, first byte, last byte) of neighbouring rows whose ids are as wide."""
+    new = np.append(np.flatnonzero(np.append(True, width[1:] != width[:-1])), len(width))
+    for a, b in zip(new[:-1].tolist(), new[1:].tolist(), strict=True):
+        yield int(width[a]), int(bounds[a]), int(bounds[b])
+
+
 def sequences(pieces: DataFrame) -> DataFrame:
     """(sequence_id, n_tokens, ids) of the pieces of ``pack``: the ids of each sequence, four little-endian bytes each."""
     own = F.array_sort(F.collect_list(F.struct("offset", "ids")))  # at most a window of tokens
