@@ -65,9 +65,28 @@ def canonical_key(key: Column) -> Column:
     return F.nullif(F.regexp_replace(F.regexp_replace(F.concat(F.lit("/"), joined), PARTITION_TAIL, ""), "^/", ""), F.lit(""))
 
 
+_URL = r"(?is)^(jdbc:)?([a-z][a-z0-9+.-]*)://([^/?#]*)([^?#]*)"
+_HOST = r"^(\[[^\[\]]*\]|[^:\[\]]*)(?::([0-9]*))?$"
+
+
+def _authority(url: Column) -> tuple[Column, Column, Column]:
+    """Host, port and whether they are one, of a url's authority: what follows the last @ of it."""
+    place = F.regexp_replace(F.regexp_extract(url, _URL, 3), "(?s)^.*@", "")
+    port = F.regexp_extract(place, _HOST, 2)
+    host = F.lower(F.regexp_replace(F.regexp_extract(place, _HOST, 1), r"[\[\]]", ""))
+    return host, port, place.rlike(_HOST) & ((port == "") | (port.try_cast("bigint") <= 65535))
+
+
 def without_credentials(url: Column) -> Column:
-    """F8: no user info, query or fragment; ``jdbc:`` urls as well."""
-    return F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), r"//[^/@]*@", "//")
+    """F8: scheme, host, port and path alone; ``jdbc:`` urls as well. A text that is no url with an authority stays as it is.
+
+    User info goes up to the last @ of the authority. Where what is left is no host and port, as after a password with a slash, it is null: no part of it can be told from a secret.
+    """
+    host, port, valid = _authority(url)
+    jdbc = F.when(F.regexp_extract(url, _URL, 1) != "", "jdbc:").otherwise("")
+    number = F.when(port != "", F.concat(F.lit(":"), port.try_cast("bigint").cast("string"))).otherwise("")
+    plain = F.concat(jdbc, F.lower(F.regexp_extract(url, _URL, 2)), F.lit("://"), host, number, F.regexp_extract(url, _URL, 4))
+    return F.when(F.regexp_extract(url, _URL, 3) == "", url).when(valid, plain)
 
 
 def config_keys(text: Column) -> Column:
@@ -83,8 +102,10 @@ def substitute(text: Column, config: Column) -> Column:
 
 
 def service_url(url: Column) -> Column:
-    """(host, route) of a service url, without query."""
-    return F.struct(F.regexp_extract(url, r"^[a-z]+://([^/?#:]+)", 1).alias("host"), F.coalesce(F.nullif(F.regexp_extract(url, r"^[a-z]+://[^/?#]+([^?#]*)", 1), F.lit("")), F.lit("/")).alias("route"))
+    """(host, route) of a service url, without user info, port and query; the scheme in any case. host is empty where the authority is none."""
+    host, _, valid = _authority(url)
+    route = F.nullif(F.regexp_extract(url, _URL, 4), F.lit(""))
+    return F.struct(F.when(valid, host).otherwise("").alias("host"), F.coalesce(route, F.lit("/")).alias("route"))
 
 
 def join_route(prefix: Column, suffix: Column) -> Column:

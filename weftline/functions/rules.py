@@ -45,10 +45,24 @@ def normal_transform(text: Column) -> Column:
     return F.array_join(F.transform(tokens, lambda t: F.when(F.upper(t).isin(*KEYWORDS), F.lower(t)).otherwise(t)), "")
 
 
+def json_text(text: Column) -> Column:
+    """The inside of a JSON string in ASCII: quotes, backslashes, control characters and all beyond ASCII are escaped, those beyond 16 bits as two halves."""
+    unit = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+    short = {'"': '\\"', "\\": "\\\\", "\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
+
+    def escaped(c: Column) -> Column:
+        n = F.ascii(c).cast("bigint")
+        own = F.when((n < 32) | (n.between(127, 65535)), unit(n)).when(n > 65535, F.concat(unit(F.lit(0xD800) + F.shiftright(n - 65536, 10)), unit(F.lit(0xDC00) + (n - 65536) % 1024)))
+        return F.coalesce(*[F.when(c == k, v) for k, v in short.items()], own, c)
+
+    characters = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(text, i, F.lit(1)))
+    return F.when(~text.rlike(r'[^ !#-\[\]-~]'), text).otherwise(F.array_join(F.transform(characters, escaped), ""))
+
+
 def edge_key(sources: Column, target: Column, edge_type: Column) -> Column:
-    """identity of an edge, from its canonical JSON (ASCII names)."""
-    listed = F.concat(F.lit('["'), F.array_join(F.array_sort(sources), '","'), F.lit('"]'))
-    body = F.concat(F.lit('{"edgeType":"'), edge_type, F.lit('","from":'), listed, F.lit(',"to":"'), target, F.lit('"}'))
+    """identity of an edge, from its canonical JSON."""
+    listed = F.concat(F.lit('["'), F.array_join(F.transform(F.array_sort(sources), json_text), '","'), F.lit('"]'))
+    body = F.concat(F.lit('{"edgeType":"'), json_text(edge_type), F.lit('","from":'), listed, F.lit(',"to":"'), json_text(target), F.lit('"}'))
     return F.concat(F.lit("edge-"), F.substring(F.sha2(body, 256), 1, 24))
 
 
@@ -134,10 +148,18 @@ def stage_number(stage: Column) -> Column:
 
 def cursor(*values: Column) -> Column:
     """F32: base64url of a canonical JSON array, without padding."""
-    body = F.concat(F.lit("["), F.concat_ws(",", *[F.concat(F.lit('"'), v.cast("string"), F.lit('"')) for v in values]), F.lit("]"))
+    body = F.concat(F.lit("["), F.concat_ws(",", *[F.concat(F.lit('"'), json_text(v.cast("string")), F.lit('"')) for v in values]), F.lit("]"))
     return F.rtrim(F.translate(F.base64(body.cast("binary")), "+/=\r\n", "-_"))
 
 
+def cursor_values(text: Column, n: int) -> Column:
+    """F32: the n texts that a cursor was made of; null for what no cursor of n texts is."""
+    plain = F.translate(text, "-_", "+/")
+    body = F.try_to_binary(F.rpad(plain, F.length(plain) + F.pmod(-F.length(plain), F.lit(4)), F.lit("=")), F.lit("base64"))
+    values = F.from_json(F.when(text.rlike("^[A-Za-z0-9_-]+$"), F.try_validate_utf8(body)), "array<string>")
+    return F.when((F.size(values) == n) & ~F.exists(values, lambda v: v.isNull()), values)
+
+
 #: Final states of a run that need nothing more.
 SETTLED = ("NO_LINEAGE_IMPACT", "NO_LINEAGE", "BLOCK", "PASS", "WARN", "REJECTED", "RECONCILED", "PROPOSALS_RAISED")
 

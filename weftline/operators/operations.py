@@ -115,11 +115,11 @@ def newest(rows: DataFrame, at: str, key: str, n: int | None = None) -> DataFram
 def run_proposals(runs: DataFrame, proposals: DataFrame) -> DataFrame:
     """The proposal of each run: its command is the run, or its correlation is the run's; one in review goes first, then the smallest id.
 
-    runs: (run_id, correlation_id); proposals: (proposal, command_id, correlation_id, state). Two equi-joins, no OR.
+    runs: (run_id, correlation_id); proposals: (proposal, command_id, correlation_id, state). The best proposal of each command and of each correlation is found before the joins, so a run
+    meets two at most.
     """
-    p = proposals.select("proposal", "command_id", F.col("correlation_id").alias("p_correlation"), "state")
-    by_command = runs.join(p, F.col("run_id") == F.col("command_id"))
-    shared = runs.where(~F.col("correlation_id").isin("", "unavailable"))
-    by_correlation = shared.join(p, F.col("correlation_id") == F.col("p_correlation"))
-    rank = F.struct((F.col("state") != "IN_REVIEW").cast("int").alias("later"), F.col("proposal"))
-    return by_command.unionByName(by_correlation).groupBy("run_id").agg(F.min_by("proposal", rank).alias("proposal"))
+    p = proposals.select(F.struct((F.col("state") != "IN_REVIEW").cast("int").alias("later"), "proposal").alias("p"), "command_id", F.col("correlation_id").alias("p_correlation"))
+    by_command = p.groupBy(F.col("command_id").alias("run_id")).agg(F.min("p").alias("by_command"))
+    by_correlation = p.where(~F.col("p_correlation").isin("", "unavailable")).groupBy(F.col("p_correlation").alias("correlation_id")).agg(F.min("p").alias("by_correlation"))
+    found = runs.join(by_command, "run_id", "left").join(by_correlation, "correlation_id", "left")
+    return found.groupBy("run_id").agg(F.min(F.least("by_command", "by_correlation")).alias("p")).where(F.col("p").isNotNull()).select("run_id", "p.proposal")

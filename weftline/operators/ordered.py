@@ -1,4 +1,4 @@
-"""Numbering and running totals over a whole order, without putting all rows into one task.
+"""Numbering, running totals, and what comes before and after each row, over a whole order, without putting all rows into one task.
 
 Rows are dealt into ranges of the order; each range is numbered by itself, and the totals of the ranges before it are added. Only one row for each
 range (and group) is ever put into one place.
@@ -29,3 +29,27 @@ def numbered(rows: DataFrame, order: list[str], by: list[str] | None = None, val
     inside = F.sum(each).over(Window.partitionBy(*by, "range_").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     same: Column = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in by], F.col("range_") == F.col("range_of"))
     return dealt.withColumn("inside_", inside).join(before, same).withColumn(name, F.col("before_") + F.col("inside_")).select(*rows.columns, name)
+
+
+def scanned(rows: DataFrame, order: list[str], by: list[str], wanted: dict[str, tuple[str, Column]]) -> DataFrame:
+    """rows with a column for each of ``wanted``: name: (kind, value), over the order of each group of ``by``.
+
+    kind: lag or lead, the value of the row before or after, null where there is none; high, the greatest value of all rows before, nulls aside. order must tell any two
+    rows of a group apart. A group of any size is as many tasks as it has ranges: each range is scanned by itself, and gets from the others one row.
+    """
+    values = {name: f"{name}_of_" for name in wanted}
+    dealt = cut(rows.withColumns({values[name]: F.struct(v.alias("v")) for name, (_, v) in wanted.items()}).repartitionByRange(*by, *order).withColumn("range_", F.spark_partition_id()))
+    place = F.struct(*order)
+    whole = {"lag": lambda v: F.max_by(v, place), "lead": lambda v: F.min_by(v, place), "high": lambda v: F.max(F.when(v["v"].isNotNull(), v))}
+    totals = dealt.groupBy(*by, "range_").agg(*[whole[kind](F.col(values[name])).alias(f"{name}_all_") for name, (kind, _) in wanted.items()])
+    # as many rows as there are ranges, and at most two more for each group
+    ranges, inside = Window.partitionBy(*by).orderBy("range_"), Window.partitionBy(*by, "range_").orderBy(*order)
+    step = {"lag": lambda c, w: F.lag(c).over(w), "lead": lambda c, w: F.lead(c).over(w), "high": lambda c, w: F.max(c).over(w.rowsBetween(Window.unboundedPreceding, -1))}
+    carried = totals.select(*[F.col(c).alias(f"{c}_of") for c in by], F.col("range_").alias("range_of"), *[step[kind](F.col(f"{name}_all_"), ranges).alias(f"{name}_far_") for name, (kind, _) in wanted.items()])
+    value = lambda name, kind: F.when(F.col(f"{values[name]}.v").isNotNull(), F.col(values[name])) if kind == "high" else F.col(values[name])
+    near = dealt.withColumns({f"{name}_near_": step[kind](value(name, kind), inside) for name, (kind, _) in wanted.items()})
+    same: Column = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in by], F.col("range_") == F.col("range_of"))
+    joined = near.join(carried, same)
+    take = {"high": lambda n: F.greatest(f"{n}_near_", f"{n}_far_")}
+    both = lambda n: F.coalesce(f"{n}_near_", f"{n}_far_")
+    return joined.select(*rows.columns, *[take.get(kind, both)(name)["v"].alias(name) for name, (kind, _) in wanted.items()])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import rules
-from weftline.operators.ordered import numbered
+from weftline.operators.ordered import numbered, scanned
 
 #: Event type, lane, workflow, deadline in seconds, attempts.
 LANES = (
@@ -34,9 +34,11 @@ def intake(deliveries: DataFrame) -> DataFrame:
     known = [x[0] for x in LANES]
     reason = F.when(~F.col("signed"), "BAD_SIGNATURE").when(F.coalesce("event_id", F.lit("")) == "", "MISSING_IDENTITY").when(~F.coalesce(F.col("event_type").isin(*known), F.lit(False)), "UNKNOWN_EVENT_TYPE").when(~F.coalesce(F.col("repository").rlike("^[a-z0-9-]+/[a-z0-9-]+$"), F.lit(False)), "INVALID_REPOSITORY_SOURCE").when(F.try_to_timestamp("sent_at").isNull(), "INVALID_TIMESTAMP")
     judged = deliveries.withColumn("reason", reason)
-    nth = F.row_number().over(Window.partitionBy("event_id", F.col("reason").isNull()).orderBy("delivery_id"))
-    status = F.when(F.col("reason").isNotNull(), "QUARANTINED").when(F.col("nth") > 1, "DUPLICATE").otherwise("ACCEPTED")
-    return judged.withColumn("nth", nth).select("delivery_id", "event_id", status.alias("status"), "reason")
+    good = judged.where(F.col("reason").isNull())
+    first = good.groupBy("event_id").agg(F.min("delivery_id").alias("first"))
+    status = F.when(F.col("delivery_id") > F.col("first"), "DUPLICATE").otherwise("ACCEPTED")
+    told = good.join(first, "event_id").select("delivery_id", "event_id", status.alias("status"), "reason")
+    return told.unionByName(judged.where(F.col("reason").isNotNull()).select("delivery_id", "event_id", F.lit("QUARANTINED").alias("status"), "reason"))
 
 
 #: States of a message; those in BLOCKING hold up the younger messages of their group.
@@ -68,8 +70,7 @@ def fair_order(messages: DataFrame) -> DataFrame:
 
 def superseded(messages: DataFrame, key: str) -> DataFrame:
     """Available messages with a newer message of the same key in the lane, whatever became of that one."""
-    w = Window.partitionBy("lane", key).orderBy("sequence")
-    newer = messages.withColumn("by", F.lead("sequence").over(w))
+    newer = scanned(messages, ["sequence"], ["lane", key], {"by": ("lead", F.col("sequence"))})
     return newer.where((F.col("status") == "AVAILABLE") & F.col("by").isNotNull()).select("lane", key, "sequence", "by")
 
 
@@ -137,12 +138,12 @@ def judged_deployments(events: DataFrame, packages: DataFrame, pointers: DataFra
     """
     key = ["system", "environment"]
     counts = F.col("authentic") & (F.col("event_type") != "MERGE")
-    w = Window.partitionBy(*key).orderBy("arrival")
     place = F.when(F.col("counts"), F.struct("provider_sequence", "attempt"))
-    again = F.row_number().over(Window.partitionBy(*key, "event_id", "counts").orderBy("arrival")) > 1
-    e = events.withColumn("counts", counts).withColumn("again", again & F.col("counts"))
-    high = F.max(F.when(~F.col("again"), place)).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    e = e.withColumn("stale", F.coalesce(place <= high, F.lit(False)) & ~F.col("again"))
+    counted = events.withColumn("counts", counts)
+    first = counted.where("counts").groupBy(*key, "event_id").agg(F.min("arrival").alias("first"))
+    e = counted.join(first, [*key, "event_id"], "left").withColumn("again", F.col("counts") & (F.col("arrival") > F.col("first"))).drop("first")
+    e = scanned(e, ["arrival"], key, {"high": ("high", F.when(~F.col("again"), place))})
+    e = e.withColumn("stale", F.coalesce(place <= F.col("high"), F.lit(False)) & ~F.col("again"))
     p = packages.where("approved").select(*key, "artifact_digest", "graph_version", "graph_checksum", F.lit(True).alias("packed"))
     g = pointers.select("environment", "graph_version", F.col("checksum").alias("there"))
     j = e.join(p, [*key, "artifact_digest"], "left").join(g, ["environment", "graph_version"], "left")
@@ -166,8 +167,7 @@ def current_deployment(events: DataFrame) -> DataFrame:
 
 def chain(rows: DataFrame, key: str, version: str) -> DataFrame:
     """What each version supersedes and is superseded by."""
-    w = Window.partitionBy(key).orderBy(version)
-    return rows.select(key, version, F.lag(version).over(w).alias("supersedes"), F.lead(version).over(w).alias("superseded_by"))
+    return scanned(rows.select(key, version), [version], [key], {"supersedes": ("lag", F.col(version)), "superseded_by": ("lead", F.col(version))})
 
 
 def fenced(reservations: DataFrame) -> DataFrame:
@@ -179,8 +179,7 @@ def fenced(reservations: DataFrame) -> DataFrame:
 
 def lease_steals(attempts: DataFrame) -> DataFrame:
     """Per command, attempts beyond the first epoch and those that followed an expired lease."""
-    w = Window.partitionBy("command_id").orderBy("epoch")
-    r = attempts.withColumn("before", F.lag("status").over(w))
+    r = scanned(attempts, ["epoch"], ["command_id"], {"before": ("lag", F.col("status"))})
     return r.groupBy("command_id").agg(F.count_if(F.col("epoch") > 1).alias("steals"), F.count_if(F.col("before") == "LEASE_EXPIRED").alias("after_expiry"))
 
 
@@ -214,7 +213,7 @@ def projected(base: DataFrame, removed: DataFrame, added: DataFrame, changed: Da
 
 def checksum(rows: DataFrame, by: str, text: str) -> DataFrame:
     """A digest of a namespace's rows that no order changes: row hashes are summed, nothing is gathered."""
-    part = lambda i: F.sum(F.conv(F.substring(F.sha2(F.col(text), 256), i, 8), 16, 10).cast("bigint")).alias(f"s{i}")
+    part = lambda i: F.sum(F.conv(F.substring(F.sha2(F.col(text), 256), i, 8), 16, 10).cast("decimal(38,0)")).cast("decimal(38,0)").alias(f"s{i}")
     return rows.groupBy(by).agg(F.count("*").alias("n"), part(1), part(9), part(17), part(25)).select(by, F.sha2(F.concat_ws("-", "n", "s1", "s9", "s17", "s25"), 256).alias("checksum"), "n")
 
 

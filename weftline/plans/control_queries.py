@@ -399,3 +399,19 @@ def j18_kill_switches(spark, d):
     )
     rows = [("GLOBAL", "*", False), ("ENVIRONMENT", "P", True), ("WORKLOAD", "w3", True), ("MECHANISM", "1-URGENT", True), ("PROFILE", "p1@1.0.0", True), ("PROFILE", "p2@1.0.0", False), ("DATASET", "d2", True), ("DATASET", "x2", True)]
     return validation.stopped(leases, spark.createDataFrame(rows, "scope string, value string, active boolean"), "o_orderkey")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 17 = 3 THEN 'PROFILE_NOT_FOUND' WHEN o_orderkey % 8 = 5 THEN 'PROFILE_DISABLED' WHEN o_orderstatus = 'P' THEN 'PRODUCTION' WHEN o_custkey % 4 = 1 OR o_orderdate <= TIMESTAMP '1992-06-01' THEN 'ATTESTATION_MISSING'
+    WHEN o_orderkey % 6 = 4 THEN 'SCOPE' WHEN o_orderpriority = '1-URGENT' THEN 'COLLECTION_DISABLED' END AS error FROM orders""")
+def j18_lease_error(spark, d):
+    """Requests of orders: their profile, the attestation of their own artifact, the datasets they ask for, and one mechanism that is switched off."""
+    k = F.col("o_orderkey")
+    text = lambda prefix, n: F.concat(F.lit(prefix), n.cast("string"))
+    requests = table(spark, d, "orders").select(
+        k, F.when(k % 17 == 3, "none@1.0.0").otherwise(F.concat(text("p", k % 8), F.lit("@1.0.0"))).alias("profile"), text("sha-", k).alias("artifact_digest"), F.when(F.col("o_orderstatus") == "P", "Production").otherwise("staging").alias("environment"), F.lit("w").alias("workload"),
+        F.col("o_orderpriority").alias("mechanism"), F.array(F.lit("d0"), text("d", k % 6)).alias("datasets"), "o_custkey", "o_orderdate",
+    )
+    profiles = spark.createDataFrame([(f"p{i}@1.0.0", "DISABLED" if i == 5 else "ENABLED", ["d0", "d1", "d2", "d3", "d5"]) for i in range(8)], "profile string, state string, datasets array<string>")
+    attestations = requests.select("profile", "artifact_digest", F.when(F.col("o_custkey") % 4 == 1, "REVOKED").otherwise("APPROVED").alias("state"), F.col("o_orderdate").alias("expires_at"))
+    switches = spark.createDataFrame([("MECHANISM", "1-URGENT", True), ("GLOBAL", "*", False)], "scope string, value string, active boolean")
+    return validation.lease_error(requests, profiles, attestations, switches, F.lit("1992-06-01").cast("timestamp"), "o_orderkey")

@@ -75,14 +75,19 @@ LATE = f"""seen AS (SELECT DISTINCT l_orderkey AS session_id, CASE WHEN l_return
 late AS (SELECT 'runtime:' || session_id || ':o' || l_linenumber AS provenance_id, edge_key, 'ELEMENT' AS scope FROM seen JOIN consolidated ON source = '{BASE}part#' || l_partkey AND target = '{BASE}supplier#' || l_suppkey WHERE outcome = 'COMPLETE' AND edge_type = 'DERIVES')"""
 
 
-@query("SELECT DISTINCT * FROM late", *BY_PART, LATE)
-def c15_z6_late_claims(spark, d):
+def late_observations(spark, d):
+    """What late sessions observed, and the edges that there are."""
     lines = table(spark, d, "lineitem").where(F.col("l_linestatus") == "O").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag").distinct()
     observed = lines.select(
         F.col("l_orderkey").alias("session_id"), F.concat(F.lit("o"), F.col("l_linenumber").cast("string")).alias("observation_id"), F.when(F.col("l_returnflag") == "R", "INCOMPLETE").otherwise("COMPLETE").alias("outcome"), F.lit("ELEMENT").alias("granularity"),
         F.array(entity("part", F.col("l_partkey"))).alias("sources"), entity("supplier", F.col("l_suppkey")).alias("target"), F.lit(None).cast("string").alias("endpoint"), F.lit("DERIVES").alias("edge_type"), F.lit(None).cast("string").alias("transform"), F.lit(True).alias("exact"),
     )
-    return c.late_claims(observed, _edges(spark, d)).select("provenance_id", "edge_key", "scope")
+    return observed, _edges(spark, d)
+
+
+@query("SELECT DISTINCT * FROM late", *BY_PART, LATE)
+def c15_z6_late_claims(spark, d):
+    return c.late_claims(*late_observations(spark, d)).select("provenance_id", "edge_key", "scope")
 
 
 @query("""SELECT source, target, array_to_string(list_sort(list(DISTINCT repository)), ',') AS contributed_by, array_to_string(list_sort(list(DISTINCT transform) FILTER (WHERE transform IS NOT NULL)), ',') AS transforms,
@@ -427,8 +432,10 @@ def q10_quarantined_edges(spark, d):
     return _edges(spark, d).where(F.col("band").isNull()).select("edge_key", F.lit("NO_ELEMENT_MECHANISM").alias("reason"))
 
 
-@query("SELECT k.provenance_id, k.edge_key AS identity, k.edge_key <> 'edge-' || substr(sha256('{\"edgeType\":\"READS\",\"from\":[\"' || source || '\"],\"to\":\"' || target || '\"}'), 1, 24) AS moved FROM keyed k", SQL_ASSERTIONS, KEYED)
+@query("""SELECT provenance_id, edge_key AS identity, scope = 'DATASET' AS moved, CASE WHEN scope = 'DATASET' THEN 'edge-' || substr(sha256('{"edgeType":"READS","from":["' || source || '"],"to":"' || target || '"}'), 1, 24) ELSE edge_key END AS corrected FROM keyed""", SQL_ASSERTIONS, KEYED)
 def v11_recomputed_identity(spark, d):
+    """A correction makes edges of datasets reads: their identity moves, that of elements stays."""
     a = inputs.assertions(spark, d)
-    own, other = (rules.edge_key(F.col("sources"), F.col("target"), F.lit(t)) for t in ("DERIVES", "READS"))
-    return a.select("provenance_id", own.alias("identity"), (own != other).alias("moved"))
+    kind = F.when(F.col("scope") == "DATASET", "READS").otherwise("DERIVES")
+    own, corrected = (rules.edge_key(F.col("sources"), F.col("target"), t) for t in (F.lit("DERIVES"), kind))
+    return a.select("provenance_id", own.alias("identity"), (own != corrected).alias("moved"), corrected.alias("corrected"))

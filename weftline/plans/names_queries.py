@@ -56,10 +56,23 @@ def f6_f7_object_keys(spark, d):
     return table(spark, d, "pages").select("page_id", names.canonical_scheme(scheme).alias("scheme"), names.canonical_key(key).alias("key"))
 
 
-@query("SELECT page_id, regexp_replace(regexp_replace('jdbc:' || replace(url, '://', '://u' || page_id || ':pw@'), '[?#].*$', ''), '//[^/@]*@', '//') AS url FROM pages")
+#: A url is made of parts, so what it must come to is known from them: passwords with @, :, ? and /, hosts in capitals, ports.
+SECRETS = ["pw", "p@ss@", "a:b", "é%20", "p/w", ""]
+MADE = "made AS (SELECT c_custkey AS k, 'h' || c_nationkey || '.Example' AS host, CASE WHEN c_custkey % 2 = 0 THEN ':' || (1000 + c_nationkey) ELSE '' END AS port, '/db' || c_custkey AS path, c_custkey % 6 AS kind FROM customer)"
+
+
+def _made(spark, d, scheme):
+    k = F.col("c_custkey")
+    secret = F.element_at(F.array(*map(F.lit, SECRETS)), (k % 6 + 1).cast("int"))
+    user = F.when(k % 6 == 5, "").otherwise(F.concat(F.lit("user:"), secret, F.lit("@")))
+    port = F.when(k % 2 == 0, F.concat(F.lit(":"), (F.lit(1000) + F.col("c_nationkey")).cast("string"))).otherwise("")
+    return table(spark, d, "customer").select(k, F.concat(F.lit(scheme), user, F.lit("h"), F.col("c_nationkey").cast("string"), F.lit(".Example"), port, F.lit("/db"), k.cast("string"), F.lit("?password=x#y")).alias("url"))
+
+
+@query("SELECT k AS c_custkey, CASE WHEN kind <> 4 THEN 'jdbc:postgresql://' || lower(host) || port || path END AS url FROM made", MADE)
 def f8_strip_credentials(spark, d):
-    url = F.concat(F.lit("jdbc:"), F.replace("url", F.lit("://"), F.concat(F.lit("://u"), F.col("page_id").cast("string"), F.lit(":pw@"))))
-    return table(spark, d, "pages").select("page_id", names.without_credentials(url).alias("url"))
+    """Of a password with a slash no part is told from the host: null."""
+    return _made(spark, d, "jdbc:PostgreSQL://").select("c_custkey", names.without_credentials(F.col("url")).alias("url"))
 
 
 @query("""SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 'lake/' || s_nationkey || '/' || s_suppkey || '/' || s_nationkey END AS path,
@@ -71,11 +84,10 @@ def f9_substitution(spark, d):
     return s.select("s_suppkey", names.substitute(text, config).alias("path"), F.array_join(F.array_except(names.config_keys(text), F.map_keys(config)), ",").alias("missing"))
 
 
-@query("""SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host, coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), ''), '/') AS route,
-    'api/' || regexp_replace(coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), ''), '/'), '^/+', '') AS joined FROM pages""")
+@query("""SELECT k AS c_custkey, CASE WHEN kind <> 4 THEN lower(host) ELSE '' END AS host, CASE WHEN kind = 4 THEN '/w@' || host || port || path ELSE path END AS route, CASE WHEN kind = 4 THEN 'api/w@' || host || port || path ELSE 'api' || path END AS joined FROM made""", MADE)
 def f10_f11_service_urls(spark, d):
     s = names.service_url(F.col("url"))
-    return table(spark, d, "pages").select("page_id", s["host"].alias("host"), s["route"].alias("route"), names.join_route(F.lit("api//"), s["route"]).alias("joined"))
+    return _made(spark, d, "HTTP://").select("c_custkey", s["host"].alias("host"), s["route"].alias("route"), names.join_route(F.lit("api//"), s["route"]).alias("joined"))
 
 
 #: Spellings of a transform, one for each remainder of the part's key, and what they all must come to.
@@ -96,6 +108,17 @@ def f13_edge_keys(spark, d):
     return rows.select("*", rules.edge_key(F.array(entity("supplier", F.col("l_suppkey")), entity("part", F.col("l_partkey"))), entity("orders", F.col("l_orderkey")), F.lit("DERIVES")).alias("edge_key"))
 
 
+#: Names with what JSON escapes, and how that is written.
+ODD_NAMES = ['say "x"', "back\\\\slash", "é-ß", "tab\t", "😀", "plain"]
+ODD_JSON = ['say \\"x\\"', "back\\\\\\\\slash", "\\u00e9-\\u00df", "tab\\t", "\\ud83d\\ude00", "plain"]
+
+
+@query("SELECT c_custkey, 'edge-' || substr(sha256('{\"edgeType\":\"READS\",\"from\":[\"' || [" + ", ".join(f"'{n}'" for n in ODD_JSON) + "][c_custkey % 6 + 1] || '\"],\"to\":\"t' || c_custkey || '\"}'), 1, 24) AS edge_key FROM customer")
+def f13_escaped_names(spark, d):
+    name = F.element_at(F.array(*map(F.lit, ODD_NAMES)), (F.col("c_custkey") % 6 + 1).cast("int"))
+    return table(spark, d, "customer").select("c_custkey", rules.edge_key(F.array(name), F.concat(F.lit("t"), F.col("c_custkey").cast("string")), F.lit("READS")).alias("edge_key"))
+
+
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 'urn:ldp:staging:kafka:sys-' || c_nationkey || ':' || c_mktsegment END AS urn,
     CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 'kafka://sys-' || c_nationkey || '/' || c_mktsegment END AS wire FROM customer""")
 def f14_f15_wire_ids(spark, d):
@@ -186,3 +209,14 @@ def f31_f32_versions(spark, d):
     name = F.when(F.col("p_partkey") % 3 == 0, "R__views.sql").otherwise(F.concat(F.lit("V"), F.col("p_size").cast("string"), F.lit("_"), (F.col("p_partkey") % 9).cast("string"), F.lit("__x.sql")))
     version = rules.version_tuple(name)
     return table(spark, d, "part").select("p_partkey", F.when(version.isNotNull(), F.array_join(F.transform(version, lambda v: v.cast("string")), ".")).alias("version"), rules.cursor(F.col("p_partkey"), F.col("p_size")).alias("cursor"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 4 < 2 THEN [p_name || CASE WHEN p_partkey % 4 = 0 THEN ' "é"' ELSE '' END, p_partkey::VARCHAR][1] END AS first, CASE WHEN p_partkey % 4 < 2 THEN p_partkey::VARCHAR END AS second FROM part""")
+def f32_cursors_read(spark, d):
+    """Cursors of a name and a key, read again; some are cut short, some hold one text more."""
+    k = F.col("p_partkey")
+    name = F.concat("p_name", F.when(k % 4 == 0, ' "é"').otherwise(""))
+    whole = F.when(k % 4 == 3, rules.cursor(name, k, k)).otherwise(rules.cursor(name, k))
+    text = F.when(k % 4 == 2, F.substring(whole, F.lit(1), F.length(whole) - 6)).otherwise(whole)
+    read = rules.cursor_values(text, 2)
+    return table(spark, d, "part").select("p_partkey", read[0].alias("first"), read[1].alias("second"))

@@ -11,7 +11,7 @@ from weftline.operators import provenance, runtime, validation
 from weftline.operators.checkpoints import shared_folder
 from weftline.plans.control_queries import JUDGED, MANIFEST
 from weftline.plans.registry import query
-from weftline.sources import builds, changelogs, extractors, inputs, java_source, sql_lineage
+from weftline.sources import builds, changelogs, extractors, inputs, java_source, objects, sql_lineage
 from weftline.sources.inputs import SQL_CLOSINGS, SQL_MESSAGES, SQL_OBSERVATIONS, table
 
 SCRIPTS = [
@@ -439,3 +439,62 @@ def s9a_build_residue(spark, d):
 def f29_versions(spark, d):
     p = table(spark, d, "part").withColumn("version", F.concat_ws(".", F.col("p_size").cast("string"), (F.col("p_partkey") % 7).cast("string"), F.when(F.col("p_size") % 3 == 0, "x").otherwise("0")))
     return p.select(F.col("p_partkey").alias("key"), F.array_join(F.transform(builds.semantic_version(F.col("version")), lambda n: n.cast("string")), ".").alias("version"), builds.is_supported(F.col("version")).alias("supported"))
+
+
+def _new(spark, name):
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _map_runs(spark, d):
+    """A folder with a run for each customer whose shards are its orders, and a manifest; some runs have a shard too few, too many, torn, failed, or no manifest."""
+    folder, k = _new(spark, "runs"), F.col("c_custkey")
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("key"))
+    shard = o.select("c_custkey", F.concat(F.lit("SUCCEEDED_"), F.col("key").cast("string"), F.lit(".json")).alias("name"), F.concat(F.lit('[{"order":'), F.col("key").cast("string"), F.lit('},{"order":null}]')).alias("content"))
+    last = shard.groupBy("c_custkey").agg(F.max("name").alias("last"))
+    listed = shard.groupBy("c_custkey").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit('{"Key":"p/'), "name", F.lit('","Size":'), (F.octet_length("content") + 1).cast("string"), F.lit("}")))), ",").alias("all"))  # the orders of one customer
+    manifest = listed.where(k % 7 != 6).select("c_custkey", F.lit("manifest.json").alias("name"), F.concat(F.lit('{"ResultFiles":{"SUCCEEDED":['), "all", F.lit("]}}")).alias("content"))
+    kept = shard.join(last, "c_custkey").where(~((k % 7 == 1) & (F.col("name") == F.col("last"))))
+    kept = kept.select("c_custkey", "name", F.when((k % 7 == 3) & (F.col("name") == F.col("last")), F.concat(F.expr("substring(content, 1, length(content) - 1)"), F.lit(" "))).otherwise(F.col("content")).alias("content"))
+    more = listed.where(k % 7 == 2).select("c_custkey", F.lit("SUCCEEDED_0.json").alias("name"), F.lit("[]").alias("content")).unionByName(listed.where(k % 7 == 4).select("c_custkey", F.lit("FAILED_0.json").alias("name"), F.lit("[]").alias("content")))
+    rows = kept.unionByName(manifest).unionByName(more)
+    # Spark names the files, so an object is a folder here
+    rows.select(F.concat(F.lit("c"), k.cast("string")).alias("run"), "name", "content").repartition("run").sortWithinPartitions("run", "name").write.partitionBy("run", "name").text(folder)
+    return objects.run_objects(spark, folder, r"()run=([^/]+)/name=([^/]+)/part-[^/]*$")
+
+
+_RUNS = "o AS (SELECT o_custkey AS k, o_orderkey AS key, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)"
+
+
+@query("""SELECT DISTINCT 'c' || k AS run, CASE k % 7 WHEN 1 THEN 'missing-shard' WHEN 2 THEN 'extra-shard' WHEN 3 THEN 'torn-shard' WHEN 4 THEN 'failed-or-pending' WHEN 6 THEN 'no-manifest' END AS code FROM o""", _RUNS)
+def s21_map_runs(spark, d):
+    return objects.map_results(_map_runs(spark, d), "struct<order: bigint>")[1].select("run", "code")
+
+
+@query("SELECT 'c' || k AS run, 'SUCCEEDED_' || key || '.json' AS shard, nth, CASE WHEN nth = 0 THEN key END AS \"order\" FROM o, (VALUES (0), (1)) t(nth) WHERE k % 7 IN (0, 5)", _RUNS)
+def s21_map_children(spark, d):
+    return objects.map_results(_map_runs(spark, d), "struct<order: bigint>")[0].select("run", "shard", "nth", "child.order")
+
+
+@query("""SELECT doc_id::VARCHAR AS key, sha256(d.text) AS checksum, CASE WHEN a.text IS NOT NULL THEN 'CHECKSUM_MISMATCH' END AS code, CASE WHEN a.text IS NULL THEN strlen(d.text) END AS size
+    FROM documents d LEFT JOIN (SELECT DISTINCT text FROM documents WHERE doc_id % 50 = 7) a ON a.text = d.text""")
+def s1_s22_evidence(spark, d):
+    """Texts as evidence, put twice; then the objects of some are altered where they lie."""
+    store = objects.Evidence(spark, _new(spark, "evidence"))
+    rows = table(spark, d, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").cast("string").alias("key"), F.col("text").alias("content"))
+    store.put(rows)
+    store.put(rows)
+    altered = table(spark, d, "documents").where("doc_id % 50 = 7").select(F.sha2("text", 256).alias("checksum"), F.lit("altered").alias("content")).distinct()
+    store._write(altered, "overwrite")
+    return store.get("document").select("key", "checksum", "code", F.octet_length("content").alias("size"))
+
+
+@query("SELECT 'p' || p_partkey AS edge_key, p_name AS payload, CASE WHEN version = 2 THEN 'two' ELSE 'one' END AS version FROM part, (VALUES (1), (2)) t(version) WHERE version = 2 OR p_partkey % 3 = 0")
+def s24_namespaces(spark, d):
+    """Two versions; the second is cut short in the middle of a batch, and done again."""
+    store = objects.Namespaces(spark, _new(spark, "graph"))
+    edges = table(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("edge_key"), F.col("p_name").alias("payload"))
+    store.write("staging", 1, edges.where("cast(substring(edge_key, 2) as bigint) % 3 = 0"))
+    store.write("staging", 2, edges.withColumn("batch", store.batch()).where("batch < 7 AND (batch < 6 OR cast(substring(edge_key, 2) as bigint) % 2 = 0)"))
+    store.write("staging", 2, edges)
+    read = lambda v, name: store.read("staging", v).select("edge_key", "payload", F.lit(name).alias("version"))
+    return read(1, "one").unionByName(read(2, "two"))
