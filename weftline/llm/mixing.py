@@ -25,6 +25,8 @@ from weftline.llm.shared import kept
 BITS, STEP = 62, 10
 #: Tokens of one block of the mixed output.
 BLOCK_TOKENS = 1_000_000
+#: How often a source is given at most.
+MAX_REPEATS = 4.0
 SEED = 17
 
 
@@ -60,18 +62,20 @@ def exponent_for_entropy(tokens: list[int], target: float, steps: int = 100) ->
     return high
 
 
-def exponent_for_repeats(tokens: list[int], budget: int, repeats: float, steps: int = 100) -> float:
-    """The smallest exponent from 0 to 1 by which no source is repeated more often; 1 if none is."""
+def repeats(tokens: list[int], exponent: float, budget: int | None) -> float:
+    """How often the most repeated source is given; without a budget as many tokens are as it takes to give each source whole."""
+    per = [w / t for w, t in zip(weights(tokens, exponent), tokens, strict=True) if t]
+    return (max(per) * budget if budget is not None else max(per) / min(per)) if per else 0.0
 
-    def most(a: float) -> float:
-        return max((w * budget / t for w, t in zip(weights(tokens, a), tokens, strict=True) if t), default=0.0)
 
-    low, high = 0.0, 1.0
-    if most(low) <= repeats or most(high) > repeats:
-        return low if most(low) <= repeats else high
+def exponent_for_repeats(tokens: list[int], budget: int | None, most: float, least: float = 0.0, steps: int = 100) -> float:
+    """The smallest exponent from ``least`` to 1 by which no source is repeated more often; 1 if none is."""
+    low, high = least, 1.0
+    if repeats(tokens, low, budget) <= most or repeats(tokens, high, budget) > most:
+        return low if repeats(tokens, low, budget) <= most else high
     for _ in range(steps):
         mid = (low + high) / 2
-        low, high = (mid, high) if most(mid) > repeats else (low, mid)
+        low, high = (mid, high) if repeats(tokens, mid, budget) > most else (low, mid)
     return high
 
 
@@ -100,12 +104,12 @@ def _place(number: Column, row_id: Column, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), number.cast("bigint"), row_id), 2)
 
 
-def plan(rows: DataFrame, budget: int | None = None, *, whole: bool = False, entropy_share: float | None = None, max_repeats: float | None = None, id_col: str = "doc_id", source: str = "source", tokens: str = "tokens", block_tokens: int = BLOCK_TOKENS, seed: int = SEED) -> Mix:
+def plan(rows: DataFrame, budget: int | None = None, *, whole: bool = False, entropy_share: float | None = None, max_repeats: float = MAX_REPEATS, id_col: str = "doc_id", source: str = "source", tokens: str = "tokens", block_tokens: int = BLOCK_TOKENS, seed: int = SEED) -> Mix:
     """The mixture for rows (id_col, source, tokens).
 
     budget: tokens to give; the default is as many as there are, or with ``whole`` the fewest by which every
     source is given at least once as a whole. With entropy_share the weights get that share of the entropy of
-    even weights; else max_repeats (4 by default) limits how often a source is repeated. The driver gets a row for each source.
+    even weights; the exponent is then raised until no source is given more than max_repeats times, by the budget that is used in the end. The driver gets a row for each source.
     A null source is a source of its own. A source whose texts have no tokens takes up no budget: it is given whole, once, as it costs nothing. Without
     rows the plan is empty.
     """
@@ -114,10 +118,8 @@ def plan(rows: DataFrame, budget: int | None = None, *, whole: bool = False, ent
     counts = [n for _, n in totals]
     budget = sum(counts) if budget is None else budget
     used = sum(n > 0 for n in counts)
-    if entropy_share is not None:
-        a = exponent_for_entropy(counts, entropy_share * math.log(max(1, used)))
-    else:
-        a = exponent_for_repeats(counts, budget, 4.0 if max_repeats is None else max_repeats)
+    a = 0.0 if entropy_share is None else exponent_for_entropy(counts, entropy_share * math.log(max(1, used)))
+    a = exponent_for_repeats(counts, None if whole else budget, max_repeats, a)
     if whole:
         budget = math.ceil(max((n / w for n, w in zip(counts, weights(counts, a), strict=True) if w), default=0) * (1 + 1e-9))
     shares = []

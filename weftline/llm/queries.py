@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from weftline.llm import chat_format, decontamination, fingerprints, language_id, lexical_search, merkle, minimax_shards, mixing, packing, parity_join, token_counts, toxicity, url_cascade
 from weftline.llm.shared import kept
 
-ENTROPY_SHARE = 0.95
+ENTROPY_SHARE, MAX_REPEATS = 0.95, 4.0
 MODEL, WORD_MODEL = "piece_bpe_32k.model", "word_bpe_49k.json"
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -28,7 +28,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     counted = token_counts.count_tokens(docs.select(F.struct("doc_id", "source").alias("row"), "text"), MODEL, id_col="row")
     rows = kept(counted.select("row.doc_id", "row.source", "n_tokens"))
-    mix = mixing.plan(rows, entropy_share=ENTROPY_SHARE, tokens="n_tokens")
+    mix = mixing.plan(rows, entropy_share=ENTROPY_SHARE, max_repeats=MAX_REPEATS, tokens="n_tokens")
     return mixing.realise(rows, mix).select("row.*", "mix_pass", "mix_block", "mix_place")
 
 
