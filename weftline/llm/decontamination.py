@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from weftline.llm.shared import hold_batches, kept
 
@@ -246,7 +248,7 @@ def _parts(benchmark: DataFrame, item_text: str, item_id: str) -> Iterator[list[
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", id_col: str = "doc_id", item_text: str = "text", item_id: str = "item_id", q: int = Q, edits: float = EDITS, window: int = WINDOW) -> DataFrame:
-    """(id_col, items): for every whole text the ids, ascending, of the items it holds a window of.
+    """(id_col, items): for every whole text the ids, ascending, null last, of the items it holds a window of; ids may be of any type.
 
     One row for each row of docs, with an empty list for a clean text, a null or an empty one. A null item, or one
     without a letter or digit, matches nothing; one under SHORTEST characters matches as a whole, exactly. Empty tables give
@@ -256,35 +258,36 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     checkpointed, so neither the driver nor a plan ever holds more of it, however large it is.
     """
     packed = docs.select(F.struct(F.col(id_col).alias("id"), F.col(text).alias("text")).alias("row"))
-    found = _searched(packed, "text", _parts(benchmark, item_text, item_id), q, edits, window)
+    found = _searched(packed, "text", _parts(benchmark, item_text, item_id), q, edits, window, benchmark.schema[item_id].dataType)
     return found.select(F.col("row.id").alias(id_col), "items")
 
 
 def contaminated_rows(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_text: str = "text", item_id: str = "item_id", q: int = Q, edits: float = EDITS, window: int = WINDOW) -> DataFrame:
     """(row, items): as ``contamination``, with each row of docs, whole, as a struct: so its columns may have any names."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return _searched(packed, text, _parts(benchmark, item_text, item_id), q, edits, window)
+    return _searched(packed, text, _parts(benchmark, item_text, item_id), q, edits, window, benchmark.schema[item_id].dataType)
 
 
-def _searched(packed: DataFrame, text: str, parts: Iterator[list[tuple[int, str]]], q: int, edits: float, window: int) -> DataFrame:
+def _searched(packed: DataFrame, text: str, parts: Iterator[list[tuple[int, str]]], q: int, edits: float, window: int, id_type: DataType) -> DataFrame:
     hold_batches(packed.sparkSession)
-    found = packed.withColumn("items", F.array().cast("array<bigint>"))
-    schema = f"row {packed.schema['row'].dataType.simpleString()}, items array<bigint>"
+    kind = f"array<{id_type.simpleString()}>"
+    found = packed.withColumn("items", F.array().cast(kind))
+    schema = f"row {packed.schema['row'].dataType.simpleString()}, items {kind}"
     for i, items in enumerate(parts, 1):
-        found = found.mapInArrow(_search(items, text, q, edits, window), schema)
+        found = found.mapInArrow(_search(items, text, q, edits, window, pa.list_(to_arrow_type(id_type))), schema)
         if i % PARTS == 0:
             found = kept(found)
     return found
 
 
-def _search(items: list[tuple[int, str]], text: str, q: int, edits: float, window: int):
+def _search(items: list[tuple], text: str, q: int, edits: float, window: int, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = None
         for batch in batches:
             index = index or Index(items, q, edits, window)
             lists = []
             for value, before in zip(batch.column(0).field(text), batch.column(1).to_pylist(), strict=True):
-                lists.append(sorted(index.hits(normalise(value.as_py())).union(before)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64()))], names=["row", "items"])
+                lists.append(sorted(index.hits(normalise(value.as_py())).union(before), key=lambda i: (i is None, i if i is not None else 0)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, kind)], names=["row", "items"])
 
     return run
