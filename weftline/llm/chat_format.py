@@ -31,6 +31,8 @@ LEARNED = "assistant"
 BLOCK = 1 << 20
 #: Longest piece of formatted text in one output row; a longer conversation has more pieces.
 PIECE = 1 << 22
+#: Bytes of roles and texts that are formatted at once: four times as many are a string column's end.
+SLICE = 1 << 29
 
 _OPEN = re.compile(rb"<(\\*)\|")
 _ESCAPED = re.compile(rb"<\\(\\*)\|")
@@ -109,8 +111,6 @@ def _columns(out: np.ndarray, turn_at: np.ndarray, begin: np.ndarray, end: np.nd
     """The buffer as a string column of pieces, which begin at these turns, and the spans of each piece that are learned."""
     starts = turn_at[firsts]
     offsets = np.append(starts, turn_at[-1])
-    if offsets[-1] > np.iinfo(np.int32).max:
-        raise ValueError("a batch of turns is larger than a string column can be")
     formatted = pa.StringArray.from_buffers(len(firsts), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out))
     turns = np.flatnonzero(learn)
     own = np.searchsorted(firsts, turns, "right") - 1
@@ -118,12 +118,23 @@ def _columns(out: np.ndarray, turn_at: np.ndarray, begin: np.ndarray, end: np.nd
     return formatted, pa.ListArray.from_arrays(lists, pa.array(begin[turns] - starts[own])), pa.ListArray.from_arrays(lists, pa.array(end[turns] - starts[own]))
 
 
-def format_chats(turns: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", learned: str = LEARNED, piece_bytes: int = PIECE) -> DataFrame:
+def _slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The batches, cut where their roles and texts come to more than ``most`` bytes; a turn stays whole. Escaping doubles them at worst."""
+    for batch in batches:
+        size = sum(np.diff(utf8(batch.column(i))[1]) for i in (1, 2))
+        at = 0
+        while at < batch.num_rows:
+            n = max(1, int(np.searchsorted(np.cumsum(size[at:]), most, "right")))
+            yield batch.slice(at, n)
+            at += n
+
+
+def format_chats(turns: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", learned: str = LEARNED, piece_bytes: int = PIECE, slice_bytes: int = SLICE) -> DataFrame:
     """Formats every conversation, its rows by turn (nulls first, ties by role, then text).
 
     Returns (conv_id, piece, formatted, loss_starts, loss_ends): pieces are numbered from 0 in
-    each conversation, whole turns stay together, and a piece ends once it has piece_bytes, or where a batch of rows does, so
-    a conversation of any length is streamed. formatted is UTF-8 in a string column; the loss
+    each conversation, whole turns stay together, and a piece ends once it has piece_bytes, or where a batch of rows does, of which
+    at most slice_bytes (or one turn) are formatted at once, so a conversation of any length is streamed. formatted is UTF-8 in a string column; the loss
     mask is given as byte spans of it, one for each text whose role is ``learned``. A null
     role or text is empty; null conv_ids are one conversation; repeated rows are turns of their
     own; an empty table gives an empty one. Other columns are not read, whatever their names.
@@ -132,9 +143,7 @@ def format_chats(turns: DataFrame, *, conv_id: str = "conv_id", turn: str = "tur
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, piece = None, -1  # the conversation at hand, and the last of its pieces
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _slices(batches, slice_bytes):
             ids, roles = batch.column(0).to_pylist(), batch.column(1)
             out, turn_at, begin, end = assemble(roles, batch.column(2))
             learn = np.fromiter((r == learned for r in roles.to_pylist()), bool, len(ids))
