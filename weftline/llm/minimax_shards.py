@@ -108,7 +108,7 @@ def shard(docs: DataFrame, n_shards: int = 8, *, id_col: str = "doc_id", text: s
     """Puts all documents into contiguous shards of least largest size; equal texts stay together.
 
     Returns (id_col, size, text_crc32, law, shard, slot, grown_shard): size is UTF-8 bytes plus 1, law is
-    ``bytes``, slot numbers the rows of a shard from 0 without gaps (by hash part, then id), grown_shard is null. A null
+    ``bytes``, slot numbers the rows of a shard from 0 without gaps, in a random order, so what a mixture repeats is spread over the shard; grown_shard is null. A null
     text is an empty one, and of one group with it; repeated rows get slots of their own; a
     null id is placed like any other; an empty table gives an empty one. Other columns are not read.
     """
@@ -119,14 +119,12 @@ def shard(docs: DataFrame, n_shards: int = 8, *, id_col: str = "doc_id", text: s
     for first in firsts:
         number = number + (F.col("key") >= first).cast("int")
     parts = max(SLOT_PARTS, -(-rows.count() // PART_ROWS))
-    placed = rows.withColumn("shard", number).withColumn("part", F.pmod(F.xxhash64(id_col, "key"), F.lit(parts)).cast("int"))
-    # n_shards * parts counts: one for each PART_ROWS rows
-    counts = {(r["shard"], r["part"]): r["count"] for r in placed.groupBy("shard", "part").count().collect()}
-    before, offsets = dict.fromkeys(range(n_shards), 0), []
-    for (s, p), n in sorted(counts.items()):
-        offsets.append((s, p, before[s]))
-        before[s] += n
-    known = docs.sparkSession.createDataFrame(offsets, "shard int, part int, before bigint")
-    order = Window.partitionBy("shard", "part").orderBy(id_col, "key")
-    out = placed.withColumn("row", F.row_number().over(order)).join(F.broadcast(known), ["shard", "part"])
+    # rows are a checkpoint, so each keeps its number; copies of a row are spread like other rows
+    place = F.xxhash64(id_col, "key", F.monotonically_increasing_id())
+    placed = rows.withColumn("shard", number).withColumn("place", place).withColumn("part", F.pmod("place", F.lit(parts)).cast("int"))
+    # one row for each PART_ROWS rows of a shard
+    earlier = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = placed.groupBy("shard", "part").count().withColumn("before", F.coalesce(F.sum("count").over(earlier), F.lit(0))).drop("count")
+    order = Window.partitionBy("shard", "part").orderBy("place")
+    out = placed.withColumn("row", F.row_number().over(order)).join(before, ["shard", "part"])
     return out.select(id_col, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("row") - 1).cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
