@@ -16,25 +16,26 @@ from weftline.llm import decontamination, language_id, minimax_shards, mixing, p
 from weftline.llm.queries import MODEL
 from weftline.llm.shared import kept, shared_folder
 
-#: The least cosine with a language of a text that is long enough to tell. Cosines of texts that share nothing with any prototype are noise of
-#: 1 / sqrt(2048) = 0.022; those of texts of 40 letters or more in a learned language begin at 0.24.
-LEAST_COSINE, LONG_ENOUGH = 0.12, 40
-#: The same for texts of fewer letters, whose few trigrams may be rare ones of their language.
-LEAST_OF_SHORT = 0.02
-ENTROPY_SHARE = 0.95
+#: The least cosine with a language of a text of n letters is LEAST_COSINE * n / (n + HALF_AT): few trigrams may all be rare ones of their language. Cosines of
+#: texts that share nothing with any prototype are noise of 1 / sqrt(2048) = 0.022 at any length, and the best of four languages is below 0.062 in 99 of 100.
+LEAST_COSINE, HALF_AT = 0.12, 24
+ENTROPY_SHARE, MAX_REPEATS = 0.95, 4.0
 SHARDS = 8
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts of no learned language: null, without a letter, or like no prototype. A null lang becomes what was found.
 
-    Prototypes are learned from the stage's own input. A text whose lang column says otherwise is kept as it is. Repeated rows are judged alike; extra
-    columns may have any names; an empty table, or one where no lang is given, gives an empty one.
+    Prototypes are learned from the stage's own input; where no row has a text and a lang, none is, and nothing is rejected. A text whose lang column says otherwise is kept as
+    it is. Repeated rows are judged alike; extra columns may have any names; an empty table gives an empty one.
     """
     languages, bundles = language_id.train(docs)
+    if not languages:
+        return docs
     found = language_id.labelled_rows(docs, languages, bundles)
-    short = (F.col("score") >= LEAST_OF_SHORT) & (F.regexp_count("row.text", F.lit(r"\p{L}")) < LONG_ENOUGH)
-    some = found.where((F.col("lang_pred") != language_id.UNKNOWN) & ((F.col("score") >= LEAST_COSINE) | short))
+    letters = F.regexp_count("row.text", F.lit(r"\p{L}"))
+    like = (F.col("score") >= LEAST_COSINE) | (F.col("score") >= letters * LEAST_COSINE / (letters + HALF_AT))
+    some = found.where((F.col("lang_pred") != language_id.UNKNOWN) & like)
     return some.select(F.col("row").withField("lang", F.coalesce("row.lang", "lang_pred")).alias("row")).select("row.*")
 
 
@@ -65,7 +66,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Gives every source at least once as a whole, and rarer sources again, up to their weights by tokens, in permuted blocks.
+    """Gives every source at least once as a whole, and rarer sources again, up to their weights by tokens and MAX_REPEATS times at most, in permuted blocks.
 
     The columns are those of docs; the permutation is the order of the rows: what is written holds block after block, each with the sources in their
     weights. A null source is a source of its own; null and empty texts have no tokens and go with their source; rows with one id go
@@ -73,12 +74,15 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     counted = token_counts.count_tokens(docs.select(F.struct("doc_id", "source").alias("row"), "text"), MODEL, id_col="row")
     rows = kept(counted.select("row.doc_id", "row.source", F.col("n_tokens").alias("tokens")))
-    mix = mixing.plan(rows, whole=True, entropy_share=ENTROPY_SHARE)
+    mix = mixing.plan(rows, whole=True, entropy_share=ENTROPY_SHARE, max_repeats=MAX_REPEATS)
     return mixing.laid_out(mixing.realise(docs, mix))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Eight shards of near-equal bytes, equal texts together; nulls, repeats and empty tables as the operator has them."""
+    """Eight shards of near-equal bytes, equal texts together; nulls, repeats and empty tables as the operator has them.
+
+    A shard's slots are a random order, so any run of them holds the sources as the shard does, and the repeats of a document are apart.
+    """
     return minimax_shards.shard(docs, SHARDS)
 
 
