@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -36,14 +37,39 @@ def _depth(depth: int) -> None:
 
 
 def _steps(edges: DataFrame, direction: str, key: str) -> DataFrame:
-    """(a, b, key): from a node over an edge to a node, in the direction asked for."""
+    """(a, b, key, sources, target): from a node over an edge to a node, in the direction asked for, and the edge's ends."""
     if direction not in ("down", "up", "both"):
         raise ValueError("direction must be up, down or both")
-    down = edges.select(F.explode("sources").alias("a"), F.col("target").alias("b"), key)
-    up = edges.select(F.col("target").alias("a"), F.explode("sources").alias("b"), key)
+    own = edges.select(key, "sources", "target")
+    down = own.select(F.explode("sources").alias("a"), F.col("target").alias("b"), key, "sources", "target")
+    up = own.select(F.col("target").alias("a"), F.explode("sources").alias("b"), key, "sources", "target")
     return {"down": down, "up": up, "both": down.unionByName(up)}[direction]
 
 
+#: Nodes of a frontier that are broadcast to the edges; a larger one is joined.
+FRONTIER = 100_000
+
+
+def _levels(edges: DataFrame, subject: str, direction: str, depth: int, key: str) -> list[tuple[DataFrame, DataFrame]]:
+    """For each hop what was met, (node, key, walked), as a checkpoint, and the nodes (node) that are walked on from; the last hop may be empty."""
+    steps = _steps(edges, direction, key)
+    frontier = edges.sparkSession.createDataFrame([(subject,)], "node string")
+    out, seen, size = [], [frontier], 1
+    for _ in range(depth):
+        on = F.broadcast(frontier) if size <= FRONTIER else frontier
+        met = steps.join(on, F.col("a") == F.col("node"), "left_semi")
+        # the edge's own row has its ends: the graph is read once a level
+        level = cut(met.select(key, "b", F.explode(F.concat("sources", F.array("target"))).alias("node")).groupBy("node", key).agg(F.max(F.col("node") == F.col("b")).alias("walked")))
+        size = level.count()  # of the edges' ends that were met: an upper bound of the next frontier
+        known = reduce(DataFrame.unionByName, seen)
+        frontier = level.where("walked").select("node").distinct().join(known, "node", "left_anti")
+        out.append((level, frontier))
+        seen.append(level.select("node"))
+        if not size:
+            break
+    return out
+
+
 def lineage(edges: DataFrame, subject: str, direction: str = "down", depth: int = 3, key: str = "edge_key") -> Lineage:
     """What lies within depth of a subject; direction down, up or both.
 
@@ -51,28 +77,27 @@ def lineage(edges: DataFrame, subject: str, direction: str = "down", depth: int
     side walked to are walked on from, unless they were nodes of an earlier level. The subject has hops 0, a node the level that it first came in.
     """
     _depth(depth)
-    spark = edges.sparkSession
-    steps = _steps(edges, direction, key)
-    ends = edges.select(key, F.explode(F.concat("sources", F.array("target"))).alias("node"))
-    nodes = spark.createDataFrame([(subject, 0)], "node string, hops int")
-    frontier, touched = nodes.select("node"), None
-    for hop in range(1, depth + 1):
-        met = cut(frontier.join(steps, frontier["node"] == steps["a"]).select("b", key).distinct())
-        if met.isEmpty():
-            frontier = None
-            break
-        keys = met.select(key).distinct()
-        walked = met.select(F.col("b").alias("node"), F.lit(True).alias("walked")).distinct()
-        fresh = cut(ends.join(keys, key, "left_semi").select("node").distinct().join(nodes, "node", "left_anti").join(walked, "node", "left"))
-        touched = keys if touched is None else touched.unionByName(keys)
-        frontier = fresh.where("walked").select("node")
-        nodes = nodes.unionByName(fresh.select("node", F.lit(hop).alias("hops")))
-        if frontier.isEmpty():
-            frontier = None
-            break
-    on = frontier is not None and not frontier.join(steps.withColumnRenamed("a", "node"), "node", "left_semi").isEmpty()
-    chosen = edges.where(F.lit(False)) if touched is None else edges.join(touched.distinct(), key, "left_semi")
-    return Lineage(nodes, chosen, on)
+    levels = _levels(edges, subject, direction, depth, key)
+    start = edges.sparkSession.createDataFrame([(subject, 0)], "node string, hops int")
+    every = reduce(DataFrame.unionByName, [start, *[level.select("node", F.lit(hop).alias("hops")) for hop, (level, _) in enumerate(levels, 1)]])
+    nodes = every.groupBy("node").agg(F.min("hops").alias("hops"))
+    touched = reduce(DataFrame.unionByName, [level.select(key) for level, _ in levels]).distinct()
+    return Lineage(nodes, edges.join(touched, key, "left_semi"), len(levels) == depth and _leads_on(edges, levels[-1][1], direction, key))
+
+
+def _leads_on(edges: DataFrame, frontier: DataFrame, direction: str, key: str) -> bool:
+    return not _steps(edges, direction, key).join(frontier, F.col("a") == F.col("node"), "left_semi").isEmpty()
+
+
+def truncated(edges: DataFrame, subject: str, direction: str = "down", depth: int = MAX_DEPTH, key: str = "edge_key") -> list[bool]:
+    """Whether a lineage of depth 1, 2, ... would be truncated, from one walk."""
+    _depth(depth)
+    levels = _levels(edges, subject, direction, depth, key)
+    sizes = [level.count() for level, _ in levels]
+    # edges lead on from a level's frontier just where the next level met some
+    inside = [n > 0 for n in sizes[1:]]
+    last = len(levels) == depth and _leads_on(edges, levels[-1][1], direction, key)
+    return (inside + [last] + [False] * depth)[:depth]
 
 
 class Paths(NamedTuple):
@@ -91,7 +116,7 @@ def paths(edges: DataFrame, subject: str, depth: int, limit: int, direction: str
     _depth(depth)
     if not 1 <= limit <= 10_000:
         raise ValueError("limit must be from 1 to 10000")
-    steps = _steps(edges, direction, key).join(edges.select(key, F.col("band_at").alias("own")), key)
+    steps = _steps(edges, direction, key).drop("sources", "target").join(edges.select(key, F.col("band_at").alias("own")), key)
     level = edges.sparkSession.createDataFrame([(subject, [], len(rules.BANDS) - 1)], "node string, via array<string>, band_at int")
     out, left, more = level.where(F.lit(False)).withColumn("path_length", F.lit(0)), limit, False
     order = ["via", "node"] if by_via else ["node", "via"]

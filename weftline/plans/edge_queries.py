@@ -168,9 +168,16 @@ def _levels(subject: str, direction: str, depth: int) -> str:
     return ", ".join(parts)
 
 
+#: Stored graphs by session and folder.
+_GRAPHS: dict = {}
+
+
 def _joined(spark, d):
-    """A stored graph: made once, not at each level."""
-    return stored(inputs.joined_edges(spark, d))
+    """A stored graph: made once for all queries of a session on the same tables."""
+    own = (spark.sparkContext.applicationId, d)
+    if own not in _GRAPHS:
+        _GRAPHS[own] = stored(inputs.joined_edges(spark, d))
+    return _GRAPHS[own]
 
 
 DOWN, UP, BOTH = (_levels(SUBJECT, "down", 4), _levels(f"{BASE}orders#1", "up", 5), _levels(f"{BASE}part#1", "both", 2))
@@ -198,8 +205,7 @@ def t1_lineage_both(spark, d):
 
 @query(" UNION ALL ".join(f"SELECT {k} AS depth, EXISTS (SELECT 1 FROM f{k} JOIN steps ON a = node) AS truncated" for k in range(1, 5)), SQL_EDGES, SQL_JOINED, DOWN)
 def t2_truncated(spark, d):
-    edges = _joined(spark, d)
-    rows = [(k, graph.lineage(edges, SUBJECT, "down", k).truncated) for k in range(1, 5)]
+    rows = list(enumerate(graph.truncated(_joined(spark, d), SUBJECT, "down", 4), 1))
     return spark.createDataFrame(rows, "depth int, truncated boolean")
 
 
