@@ -63,7 +63,9 @@ def explicit_query(statement: Column, native: Column) -> Column:
     are ``joined``; it selects a property, the root, or a tuple of properties.
     """
     text = F.trim(F.regexp_replace(F.regexp_replace(statement, r"'(?:[^']|'')*'", "''"), r"\s+", " "))
-    text = F.when(native, text).otherwise(F.regexp_replace(F.regexp_replace(text, r"(?i)\bjoin fetch\b", "join"), r"(?i)\bnew [A-Za-z_$][\w$.]* ?\(", "("))
+    # JPQL: FETCH after a join, and NEW with the name of a type before a bracket, say nothing about tables
+    silent = r"(?i)(?<=\bjoin) fetch\b|\bnew [^\s()]+ ?(?=\()"
+    text = F.when(native, text).otherwise(F.regexp_replace(text, silent, ""))
     find = lambda pattern, i=1: F.regexp_extract(text, pattern, i)
     verb = F.upper(find(r"(?i)^(select|insert|update|delete|from)\b"))
     way = F.when(verb.isin("SELECT", "FROM"), "READS").when(verb.isin("INSERT", "UPDATE", "DELETE"), "WRITES")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Of each workflow its stage prefix, timeout in seconds, final states, the one after success, the one after an error, and its
 #: stages in order: name, timeout in seconds, side effect.
@@ -58,20 +59,35 @@ WORKFLOWS = {
         ("EMIT_PROPOSALS_ALERTS_AND_EVIDENCE", 300, "IDEMPOTENT_WRITE"),
     )),
 }
-#: Attempts of a stage that may be tried again; a pure one is not.
-ATTEMPTS = 3
+#: How often a stage with a side effect is tried, and the class of its retries.
+RETRIES = (("PURE", 1, "NONE"), *((effect, 3, "BOUNDED_TRANSIENT") for effect in ("READ_ONLY", "IMMUTABLE_WRITE", "IDEMPOTENT_WRITE", "FENCED_WRITE", "CHECK_AND_AUDIT_WRITE")))
+
+
+def definitions(spark: SparkSession) -> DataFrame:
+    """(kind, prefix, entry, timeout_s, terminals, good, bad)."""
+    rows = spark.createDataFrame([(kind, *w[:5]) for kind, w in WORKFLOWS.items()], "kind string, prefix string, timeout_s int, terminals array<string>, good string, bad string")
+    return rows.select("kind", "prefix", F.concat("prefix", F.lit("1")).alias("entry"), "timeout_s", "terminals", "good", "bad")
 
 
 def stages(spark: SparkSession) -> DataFrame:
-    """(kind, stage, nth, name, timeout_s, max_attempts, retry_class, side_effect, on_success, on_error): each stage leads to the next, the last to success."""
-    rows = []
-    for kind, (prefix, _, _, good, bad, own) in WORKFLOWS.items():
-        for i, (name, timeout, effect) in enumerate(own, 1):
-            after = f"{prefix}{i + 1}" if i < len(own) else f"terminal:{good}"
-            rows.append((kind, f"{prefix}{i}", i, name, timeout, 1 if effect == "PURE" else ATTEMPTS, "NONE" if effect == "PURE" else "BOUNDED_TRANSIENT", effect, [after], [f"terminal:{bad}"]))
-    return spark.createDataFrame(rows, "kind string, stage string, nth int, name string, timeout_s int, max_attempts int, retry_class string, side_effect string, on_success array<string>, on_error array<string>")
+    """(kind, stage, nth, name, timeout_s, max_attempts, retry_class, side_effect, on_success, on_error, begins_s): what follows a stage is the next row of its workflow."""
+    named = spark.createDataFrame([(kind, w[5]) for kind, w in WORKFLOWS.items()], "kind string, own array<struct<name: string, timeout_s: int, side_effect: string>>")
+    each = named.select("kind", F.posexplode("own").alias("place", "s")).select("kind", (F.col("place") + 1).alias("nth"), "s.*")
+    rows = each.join(definitions(spark).select("kind", "prefix", "good", "bad"), "kind").join(spark.createDataFrame(RETRIES, "side_effect string, max_attempts int, retry_class string"), "side_effect")
+    order = Window.partitionBy("kind").orderBy("nth")  # ten stages at most
+    rows = rows.withColumn("stage", F.concat("prefix", F.col("nth").cast("string")))
+    follows = F.coalesce(F.lead("stage").over(order), F.concat(F.lit("terminal:"), "good"))
+    begins = F.sum("timeout_s").over(order) - F.col("timeout_s")
+    return rows.select("kind", "stage", "nth", "name", "timeout_s", "max_attempts", "retry_class", "side_effect", F.array(follows).alias("on_success"), F.array(F.concat(F.lit("terminal:"), "bad")).alias("on_error"), begins.cast("int").alias("begins_s"))
 
 
-def definitions(spark: SparkSession) -> DataFrame:
-    """(kind, entry, timeout_s, terminals)."""
-    return spark.createDataFrame([(kind, f"{w[0]}1", w[1], list(w[2])) for kind, w in WORKFLOWS.items()], "kind string, entry string, timeout_s int, terminals array<string>")
+def latest_stage(runs: DataFrame) -> DataFrame:
+    """Of runs (run_id, kind, elapsed_s) the stage whose time it is, or the state after an error where the workflow's own time is over: (run_id, kind, stage, max_attempts, state)."""
+    spark = runs.sparkSession
+    # fixed tables
+    times = F.broadcast(stages(spark).select("kind", "stage", "nth", "begins_s", "timeout_s", "max_attempts"))
+    limits = F.broadcast(definitions(spark).select("kind", F.col("timeout_s").alias("most"), "bad"))
+    met = runs.join(limits, "kind").join(times, "kind").where((F.col("begins_s") <= F.col("elapsed_s")) | (F.col("nth") == 1))
+    last = met.groupBy("run_id", "kind", "elapsed_s", "most", "bad").agg(F.max(F.struct("nth", "stage", "max_attempts")).alias("s"))
+    late = F.col("elapsed_s") > F.col("most")
+    return last.select("run_id", "kind", F.when(~late, F.col("s.stage")).alias("stage"), F.when(~late, F.col("s.max_attempts")).alias("max_attempts"), F.when(late, F.col("bad")).otherwise("RUNNING").alias("state"))

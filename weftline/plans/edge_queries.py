@@ -356,25 +356,27 @@ def j1_longest_prefix(spark, d):
     return resolver.longest_prefix(p.select("key").distinct(), locators).select("key", "locator")
 
 
-CATALOG = [
-    ("catalog://orders", "postgres", "erp", "orders", ["ord", "sales"], ["id", "total"]),
-    ("catalog://sales", "postgres", "crm", "sales", ["sales", "s2"], ["id"]),
-    ("catalog://orders2", "postgres", "crm", "orders", [], ["id", "city"]),
-    ("catalog://events", "kafka", "bus", "events", ["ev"], ["id", "ts"]),
-]
-
-
-@query("""SELECT * FROM (VALUES
-    ('catalog://orders', 'postgres', NULL, 'RESOLVED', NULL, 'urn:ldp:staging:postgres:erp:orders', 'urn:ldp:staging:postgres:erp:orders#id', NULL, NULL),
-    ('sales', 'postgres', NULL, 'QUARANTINED', 'AMBIGUOUS', NULL, NULL, 'catalog://orders,catalog://sales', NULL),
-    ('orders', 'postgres', NULL, 'QUARANTINED', 'AMBIGUOUS', NULL, NULL, 'catalog://orders,catalog://orders2', NULL),
-    ('orders', 'postgres', 'crm', 'RESOLVED', NULL, 'urn:ldp:staging:postgres:crm:orders', 'urn:ldp:staging:postgres:crm:orders#city', NULL, NULL),
-    ('ev', 'kafka', NULL, 'QUARANTINED', 'UNKNOWN_ELEMENT', NULL, NULL, NULL, 'nope'),
-    ('absent', 'hive', NULL, 'QUARANTINED', 'UNKNOWN_DATASET', NULL, NULL, NULL, NULL)) t(name, platform, system, status, reason, urn, element_urns, candidates, missing)""")
+#: A catalog of suppliers: two of each four share a name on one platform, three share an alias; and what is asked for by each of them.
+NAMED = """cat AS (SELECT s_suppkey AS k, 'catalog://s' || s_suppkey AS ref, CASE WHEN s_suppkey % 2 = 0 THEN 'kafka' ELSE 'postgres' END AS platform, 'sys' || s_nationkey AS system, 'd' || (s_suppkey // 4) AS dataset, 'a' || (s_suppkey // 3) AS alias, ['id', 'e' || (s_suppkey % 3)] AS elements FROM supplier),
+asked AS (SELECT DISTINCT * FROM (SELECT ref AS name, platform, NULL AS system, ['id'] AS elements FROM cat UNION ALL SELECT alias, platform, NULL, ['id'] FROM cat UNION ALL SELECT dataset, platform, system, ['e' || (k % 3)] FROM cat UNION ALL SELECT dataset, platform, NULL, ['id'] FROM cat
+  UNION ALL SELECT ref, platform, 'x', ['nope', 'id'] FROM cat UNION ALL SELECT 'absent' || k, platform, NULL, [] FROM cat)),
+tiers AS (SELECT a.*, c.ref, 1 AS tier FROM asked a JOIN cat c ON a.name = c.ref UNION ALL SELECT a.*, c.ref, 2 FROM asked a JOIN cat c ON a.name = c.alias UNION ALL SELECT a.*, c.ref, 3 FROM asked a JOIN cat c ON a.name = c.dataset AND a.platform = c.platform AND (a.system IS NULL OR a.system = c.system)),
+best AS (SELECT name, platform, system, elements, list_sort(list(DISTINCT ref) FILTER (tier = top)) AS refs FROM (SELECT *, min(tier) OVER (PARTITION BY name, platform, system, elements) AS top FROM tiers) GROUP BY name, platform, system, elements),
+told AS (SELECT a.*, b.refs, c.platform AS p, c.system AS s, c.dataset AS d, list_sort(list_filter(a.elements, lambda e: NOT list_contains(c.elements, e))) AS missing FROM asked a LEFT JOIN best b ON a.name = b.name AND a.platform = b.platform AND a.system IS NOT DISTINCT FROM b.system AND a.elements = b.elements
+  LEFT JOIN cat c ON len(b.refs) = 1 AND c.ref = b.refs[1]), reasons AS (SELECT *, CASE WHEN refs IS NULL THEN 'UNKNOWN_DATASET' WHEN len(refs) > 1 THEN 'AMBIGUOUS' WHEN len(missing) > 0 THEN 'UNKNOWN_ELEMENT' END AS reason, 'urn:ldp:staging:' || p || ':' || s || ':' || d AS base FROM told)"""
+
+
+@query("""SELECT name, platform, system, CASE WHEN reason IS NULL THEN 'RESOLVED' ELSE 'QUARANTINED' END AS status, reason, CASE WHEN reason IS NULL THEN base END AS urn, CASE WHEN reason IS NULL THEN array_to_string(list_transform(elements, lambda e: base || '#' || e), ',') END AS element_urns,
+    CASE WHEN reason = 'AMBIGUOUS' THEN array_to_string(refs, ',') END AS candidates, CASE WHEN reason = 'UNKNOWN_ELEMENT' THEN array_to_string(missing, ',') END AS missing FROM reasons""", NAMED)
 def j2_j4_resolve(spark, d):
-    catalog = spark.createDataFrame(CATALOG, "ref string, platform string, system string, dataset string, aliases array<string>, elements array<string>")
-    raw = [("catalog://orders", "postgres", None, ["id"]), ("sales", "postgres", None, ["id"]), ("orders", "postgres", None, ["id"]), ("orders", "postgres", "crm", ["city"]), ("ev", "kafka", None, ["id", "nope"]), ("absent", "hive", None, [])]
-    return resolver.resolve(spark.createDataFrame(raw, "name string, platform string, system string, elements array<string>"), catalog)
+    s, k = table(spark, d, "supplier"), F.col("s_suppkey")
+    text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    catalog = s.select(k, text("catalog://s", k).alias("ref"), F.when(k % 2 == 0, "kafka").otherwise("postgres").alias("platform"), text("sys", F.col("s_nationkey")).alias("system"), text("d", F.floor(k / 4)).alias("dataset"), F.array(text("a", F.floor(k / 3))).alias("aliases"), F.array(F.lit("id"), text("e", k % 3)).alias("elements"))
+    ask = lambda name, system, *elements: F.struct(name.alias("name"), system.cast("string").alias("system"), (F.array(*elements) if elements else F.array().cast("array<string>")).alias("elements"))
+    id_, none = F.lit("id"), F.lit(None)
+    asked = F.array(ask(F.col("ref"), none, id_), ask(F.col("aliases")[0], none, id_), ask(F.col("dataset"), F.col("system"), text("e", k % 3)), ask(F.col("dataset"), none, id_), ask(F.col("ref"), F.lit("x"), F.lit("nope"), id_), ask(text("absent", k), none))
+    raw = catalog.select("platform", F.explode(asked).alias("q")).select("q.name", "platform", "q.system", "q.elements")
+    return resolver.resolve(raw, catalog.drop("s_suppkey"))
 
 
 @query("SELECT s_suppkey, s_nationkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weftline.operators import consolidate, graph, java_facts, operations, publication, queues, validation, workflows
@@ -324,19 +325,41 @@ def v2_v3_coverage(spark, d):
     return validation.coverage_errors(manifests).select("manifest_id", F.array_join("errors", ",").alias("errors"))
 
 
-@query("""SELECT kind, stages, total_s, timeout_s, first, last FROM (VALUES ('BASELINE', 10, 14970, 43200, 'ACCEPT_AND_DEDUPLICATE_INTENT', 'STAGE_VERIFY_FENCE_AND_ACTIVATE'), ('INCREMENTAL', 10, 1800, 1800, 'DEDUPLICATE_AND_PIN_ACTIVE_BASE', 'PUBLISH_WITH_FENCED_PROTOCOL'),
-    ('PR_GATE', 8, 110, 120, 'PIN_SIGNED_PR_HEAD_AND_POLICY', 'UPSERT_STABLE_GITHUB_CHECK'), ('DEPLOYMENT', 6, 600, 600, 'AUTHENTICATE_AND_DEDUPLICATE_OUTCOME', 'READ_BACK_AND_VERIFY_CORRELATION'), ('NIGHTLY', 6, 13800, 14400, 'RECONCILE_EVENTS_RECEIPTS_AND_ARCHIVES', 'EMIT_PROPOSALS_ALERTS_AND_EVIDENCE')) t(kind, stages, total_s, timeout_s, first, last)""")
+#: Of each workflow its kind, prefix, timeout, state after an error, and its stages' timeouts.
+TIMES = """w(kind, prefix, most, bad, t) AS (VALUES ('BASELINE', 'B', 43200, 'FAILED_REDRIVABLE', [30, 120, 300, 120, 7200, 900, 3600, 1800, 300, 600]), ('INCREMENTAL', 'I', 1800, 'FAILED_REDRIVABLE', [30, 120, 60, 180, 600, 180, 300, 60, 120, 150]),
+  ('PR_GATE', 'P', 120, 'WARN', [5, 30, 5, 35, 15, 10, 5, 5]), ('DEPLOYMENT', 'D', 600, 'FAILED_TERMINAL', [30, 30, 60, 120, 240, 120]), ('NIGHTLY', 'N', 14400, 'FAILED_REDRIVABLE', [1800, 7200, 1800, 1800, 900, 300])),
+timed AS (SELECT kind, prefix, most, bad, i, coalesce(list_sum(t[1 : i - 1]), 0) AS begins FROM w, range(1, 11) r(i) WHERE i <= len(t)),
+runs AS (SELECT o_orderkey AS run_id, ['BASELINE', 'INCREMENTAL', 'PR_GATE', 'DEPLOYMENT', 'NIGHTLY'][o_orderkey % 5 + 1] AS kind, o_orderkey * 37 % 16000 // (CASE o_orderkey % 5 WHEN 2 THEN 100 WHEN 1 THEN 8 WHEN 3 THEN 20 ELSE 1 END) AS elapsed FROM orders)"""
+
+
+@query("""SELECT run_id, r.kind, CASE WHEN elapsed <= any_value(most) THEN any_value(prefix) || max(i) END AS stage, CASE WHEN elapsed <= any_value(most) THEN CASE WHEN any_value(prefix) || max(i) IN ('I2', 'P4', 'P6') THEN 1 ELSE 3 END END AS max_attempts,
+    CASE WHEN elapsed > any_value(most) THEN any_value(bad) ELSE 'RUNNING' END AS state FROM runs r JOIN timed t ON t.kind = r.kind AND (begins <= elapsed OR i = 1) GROUP BY run_id, r.kind, elapsed""", TIMES)
 def c16_workflows(spark, d):
-    stages, kinds = workflows.stages(spark), workflows.definitions(spark)
-    g = stages.groupBy("kind").agg(F.count("*").alias("stages"), F.sum("timeout_s").alias("total_s"), F.min_by("name", "nth").alias("first"), F.max_by("name", "nth").alias("last"))
-    return g.join(kinds.select("kind", "timeout_s"), "kind")
+    """The stage that each order, as a run, should have come to."""
+    k = F.col("o_orderkey")
+    kind = F.element_at(F.array(*map(F.lit, ("BASELINE", "INCREMENTAL", "PR_GATE", "DEPLOYMENT", "NIGHTLY"))), (k % 5 + 1).cast("int"))
+    part = F.when(k % 5 == 2, 100).when(k % 5 == 1, 8).when(k % 5 == 3, 20).otherwise(1)
+    return workflows.latest_stage(table(spark, d, "orders").select(k.alias("run_id"), kind.alias("kind"), F.floor(k * 37 % 16000 / part).alias("elapsed_s")))
 
 
-@query("""SELECT kind, stage, error FROM (VALUES ('BAD', 'X2', 'UNKNOWN_STAGE'), ('BAD', 'X2', 'SUCCESS_WITHOUT_TERMINAL'), ('BAD', 'X3', 'UNREACHABLE'), ('BAD', 'X3', 'ATTEMPTS'), ('BAD', 'X3', 'UNDECLARED_TERMINAL'), ('BAD', 'X3', 'ERROR_WITHOUT_TERMINAL'), ('BAD', NULL, 'CRITICAL_PATH'), ('BAD', 'X3', 'STAGE_TIMEOUT')) t(kind, stage, error)""")
+#: Each customer is a workflow, its orders are the stages, by key.
+STAGED = "staged AS (SELECT 'w' || o_custkey AS kind, o_custkey AS k, o_orderkey AS o, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nth, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)"
+
+
+@query("""SELECT kind, 's' || o AS stage, 'ATTEMPTS' AS error FROM staged WHERE o % 7 = 0 UNION ALL SELECT kind, 's' || o, e FROM staged, (VALUES ('UNDECLARED_TERMINAL'), ('ERROR_WITHOUT_TERMINAL')) t(e) WHERE o % 11 = 0
+    UNION ALL SELECT kind, 's' || o, 'STAGE_TIMEOUT' FROM staged WHERE o % 13 = 0 UNION ALL SELECT kind, 's' || o, 'UNREACHABLE' FROM staged WHERE k % 5 = 0 AND nth > 1
+    UNION ALL SELECT kind, NULL, 'CRITICAL_PATH' FROM staged GROUP BY kind HAVING sum(CASE WHEN o % 13 = 0 THEN 150 ELSE 10 END) > 140""", STAGED)
 def t8_workflow_errors(spark, d):
-    """The engine's own workflows, which have no errors, and one made to have many."""
-    bad = [("BAD", "X1", 5, 1, "NONE", "PURE", ["X2"], ["terminal:DONE"]), ("BAD", "X2", 4, 1, "NONE", "PURE", ["X9"], ["X1"]), ("BAD", "X3", 30, 9, "NONE", "PURE", ["X1"], ["terminal:LOST"])]
-    columns = ["kind", "stage", "timeout_s", "max_attempts", "retry_class", "side_effect", "on_success", "on_error"]
-    stages = workflows.stages(spark).select(columns).unionByName(spark.createDataFrame(bad, "kind string, stage string, timeout_s int, max_attempts int, retry_class string, side_effect string, on_success array<string>, on_error array<string>"))
-    kinds = workflows.definitions(spark).unionByName(spark.createDataFrame([("BAD", "X1", 20, ["DONE"])], "kind string, entry string, timeout_s int, terminals array<string>"))
-    return graph.workflow_errors(stages, kinds)
+    """Each customer's orders as a workflow: stages that lead to the next order; some with too many attempts, a route to no state, too long a time, or none that leads to them."""
+    o, k = F.col("o_orderkey"), F.col("o_custkey")
+    by = Window.partitionBy("o_custkey").orderBy("o_orderkey")  # the orders of one customer
+    rows = table(spark, d, "orders").select(k, o, F.lead("o_orderkey").over(by).alias("next"), F.row_number().over(by).alias("nth"))
+    name = lambda c: F.concat(F.lit("s"), c.cast("string"))
+    done = F.lit("terminal:DONE")
+    success = F.when((k % 5 == 0) & (F.col("nth") == 1), done).otherwise(F.coalesce(name(F.col("next")), done))
+    stages = rows.select(
+        F.concat(F.lit("w"), k.cast("string")).alias("kind"), name(o).alias("stage"), F.when(o % 13 == 0, 150).otherwise(10).alias("timeout_s"), F.when(o % 7 == 0, 9).otherwise(3).alias("max_attempts"), F.lit("BOUNDED_TRANSIENT").alias("retry_class"),
+        F.lit("READ_ONLY").alias("side_effect"), F.array(success).alias("on_success"), F.array(F.when(o % 11 == 0, "terminal:LOST").otherwise(done)).alias("on_error"), "nth",
+    )
+    kinds = stages.where("nth = 1").select("kind", F.col("stage").alias("entry"), F.lit(140).alias("timeout_s"), F.array(F.lit("DONE")).alias("terminals"))
+    return graph.workflow_errors(stages.drop("nth"), kinds)

@@ -9,35 +9,12 @@ from pyspark.sql import functions as F
 
 from weftline.operators import provenance, runtime, validation
 from weftline.operators.checkpoints import shared_folder
+from weftline.operators.ordered import scanned
 from weftline.plans.control_queries import JUDGED, MANIFEST
 from weftline.plans.registry import query
-from weftline.sources import builds, changelogs, extractors, inputs, java_source, objects, sql_lineage
+from weftline.sources import builds, changelogs, extractors, inputs, java_source, objects
 from weftline.sources.inputs import SQL_CLOSINGS, SQL_MESSAGES, SQL_OBSERVATIONS, table
 
-SCRIPTS = [
-    ("sql/revenue.sql", "-- nightly; once\nINSERT INTO mart.daily (customer, gross, day)\nSELECT customer, SUM(amount), CAST(ts AS DATE) FROM raw.tx WHERE ok GROUP BY 1, 3;\nDELETE FROM raw.tx;"),
-    ("sql/join.sql", "CREATE TABLE mart.named AS SELECT o.id AS oid, c.name AS who FROM orders o JOIN customers c ON o.cid = c.id"),
-    ("sql/cte.sql", "CREATE VIEW v AS WITH t AS (SELECT id, total * 2 AS dbl FROM orders) SELECT id, dbl + 1 AS more FROM t;\nINSERT INTO tgt SELECT a, b FROM s1 UNION ALL SELECT c, d FROM s2"),
-    ("sql/bad.sql", "INSERT INTO x (a) SELECT id FROM o JOIN c ON o.k = c.k;\nINSERT INTO x (a) SELECT 1 FROM o;\nSELEC 1;\nINSERT INTO star SELECT * FROM orders"),
-]
-COLUMNS = {"tgt": ["p", "q"], "orders": ["id", "total"], "star": ["id", "total"]}
-FILES = "path string, content string"
-
-
-@query("""SELECT * FROM (VALUES
-    ('sql/revenue.sql', 2, 'mart.daily', 'customer', 'raw.tx', 'customer'), ('sql/revenue.sql', 2, 'mart.daily', 'gross', 'raw.tx', 'amount'), ('sql/revenue.sql', 2, 'mart.daily', 'day', 'raw.tx', 'ts'),
-    ('sql/join.sql', 1, 'mart.named', 'oid', 'orders', 'id'), ('sql/join.sql', 1, 'mart.named', 'who', 'customers', 'name'), ('sql/cte.sql', 1, 'v', 'id', 'orders', 'id'), ('sql/cte.sql', 1, 'v', 'more', 'orders', 'total'),
-    ('sql/cte.sql', 2, 'tgt', 'p', 's1', 'a'), ('sql/cte.sql', 2, 'tgt', 'q', 's1', 'b'), ('sql/cte.sql', 2, 'tgt', 'p', 's2', 'c'), ('sql/cte.sql', 2, 'tgt', 'q', 's2', 'd'),
-    ('sql/bad.sql', 4, 'star', 'id', 'orders', 'id'), ('sql/bad.sql', 4, 'star', 'total', 'orders', 'total')) t(path, line, target_table, target_column, source_table, source_column)""")
-def s6_sql_shapes(spark, d):
-    return sql_lineage.extract(spark, SCRIPTS, COLUMNS)[0].drop("transform")
-
-
-@query("""SELECT * FROM (VALUES ('unsupported-statement', 'sql/revenue.sql', 4), ('ambiguous-join-column', 'sql/bad.sql', 1), ('constant-projection', 'sql/bad.sql', 2), ('malformed-sql', 'sql/bad.sql', 3)) t(code, path, line)""")
-def s6a_sql_residue(spark, d):
-    return sql_lineage.extract(spark, SCRIPTS, COLUMNS)[1].drop("symbol")
-
-
 @query("""SELECT r_regionkey AS statement, i, CASE WHEN i < 3 THEN 't' || i END AS target, CASE WHEN i < r_regionkey THEN 's' || i END AS source, NOT (i < 3 AND i < r_regionkey) AS unpaired
     FROM region, range(5) t(i) WHERE i < 3 OR i < r_regionkey""")
 def s6b_pair_projections(spark, d):
@@ -184,7 +161,7 @@ def _sources(spark, d):
     verb = F.when(n % 2 == 0, "Get").otherwise("Post")
     text = F.concat(F.when(k % 3 != 0, "import org.apache.kafka.streams.StreamsBuilder;\n").otherwise(""), F.format_string(CLASS, k, k, verb, body, k, k, F.when(n % 3 == 0, "name").otherwise('"out"')))
     made = table(spark, d, "part").select(F.concat(F.lit("C"), k.cast("string"), F.lit(".java")).alias("path"), text.alias("content"))
-    return java_source.facts(made.unionByName(spark.createDataFrame(SHARED, FILES)))
+    return java_source.facts(made.unionByName(spark.createDataFrame(SHARED, "path string, content string")))
 
 
 @query("""SELECT 'C' || p_partkey || '#run' AS caller, ['save', 'findByCity', 'clear', 'save', 'countByAge', 'twice', 'flush'][p_size % 7 + 1] AS method, ['owners', 'owners', 'owners', NULL, 'house_pet', NULL, NULL][p_size % 7 + 1] AS "table",
@@ -289,29 +266,12 @@ def z7_window_close(spark, d):
     return runtime.window_close(windows, F.lit("1993-01-01").cast("timestamp"))
 
 
-@query("SELECT lane, group_id, list(sequence ORDER BY sequence)[1] AS first, count(*) AS n FROM messages GROUP BY lane, group_id", SQL_MESSAGES)
+@query("SELECT lane, group_id, min(sequence) AS first, count(*) AS n, true AS in_order FROM messages GROUP BY lane, group_id", SQL_MESSAGES)
 def z8_group_order(spark, d):
-    """What an ordered consumer sees of each group: the rows of one task, in order."""
-
-    def consume(frames):
-        import pyarrow as pa
-
-        held, n = None, 0
-        for batch in frames:
-            out = []
-            for lane, group, sequence in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held is None or held[:2] != (lane, group):
-                    if held is not None:
-                        out.append((*held, n))
-                    held, n, before = (lane, group, sequence), 0, sequence
-                assert sequence >= before
-                n, before = n + 1, sequence
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["lane", "group_id", "first", "n"])
-        if held is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (*held, n)], names=["lane", "group_id", "first", "n"])
-
-    return runtime.in_group_order(inputs.messages(spark, d).select("lane", "group_id", "sequence"), ["lane", "group_id"], "sequence").mapInArrow(consume, "lane string, group_id bigint, first bigint, n bigint")
+    """What an ordered consumer sees of each group: its first message, how many there are, and whether each came after the one before."""
+    seen = runtime.in_group_order(inputs.messages(spark, d).select("lane", "group_id", "sequence"), ["lane", "group_id"], "sequence").withColumn("seen", F.monotonically_increasing_id())
+    rows = scanned(seen, ["seen"], ["lane", "group_id"], {"before": ("lag", F.col("sequence"))})
+    return rows.groupBy("lane", "group_id").agg(F.min_by("sequence", "seen").alias("first"), F.count("*").alias("n"), F.bool_and(F.col("before").isNull() | (F.col("before") < F.col("sequence"))).alias("in_order"))
 
 
 def _changelogs(spark, d):
