@@ -191,6 +191,42 @@ def command_status(commands: DataFrame, now) -> DataFrame:
     return commands.select("command_id", status.alias("result"))
 
 
+_LEASE = "struct<status: string, owner: string, epoch: bigint, lease_until: timestamp, checksum: string, results: array<struct<request_id: string, result: string>>>"
+
+
+def lease_results(commands: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What each renewal, completion and failure of a leased command comes to: (command_id, request_id, result), and the commands after them: (command_id, status, epoch, lease_until).
+
+    commands: (command_id, status, owner, epoch, lease_until, attempts, max_attempts, deadline, checksum); requests: (command_id, request_id, op, owner, epoch, at, lease_s, checksum, retryable), taken in
+    the order of at, then of request_id. STALE_LEASE: the command is not running, another holds it, its epoch has passed, or the lease has run out. A completion is REPLAYED if the command has it
+    with the same checksum, CONFLICT with another. A failure that may be tried again, within attempts and deadline, is FAILED_REDRIVABLE, else FAILED_TERMINAL. Requests of no known command are left out.
+    What is gathered are the requests of one command, which has few.
+    """
+    asked = requests.groupBy("command_id").agg(F.array_sort(F.collect_list(F.struct("at", "request_id", "op", F.col("owner").alias("by"), F.col("epoch").alias("of"), "lease_s", "checksum", "retryable"))).alias("asked"))
+    zero = F.struct("status", "owner", F.col("epoch").cast("bigint").alias("epoch"), "lease_until", "checksum", F.array().cast("array<struct<request_id: string, result: string>>").alias("results")).cast(_LEASE)
+
+    def step(s: Column, r: Column) -> Column:
+        active = (s["status"] == "RUNNING") & s["owner"].eqNullSafe(r["by"]) & s["epoch"].eqNullSafe(r["of"]) & F.coalesce(r["at"] < s["lease_until"], F.lit(False))
+        again = r["retryable"] & (F.col("attempts") < F.col("max_attempts")) & (r["at"] < F.col("deadline"))
+        completion = F.when(s["checksum"].isNotNull() & ~s["checksum"].eqNullSafe(r["checksum"]), "CONFLICT").when((s["status"] == "COMPLETED") & s["checksum"].isNotNull(), "REPLAYED").when(~active, "STALE_LEASE").otherwise("COMPLETED")
+        result = F.when(r["op"] == "complete", completion).when(~active, "STALE_LEASE").when(r["op"] == "renew", "RENEWED").when(again, "FAILED_REDRIVABLE").otherwise("FAILED_TERMINAL")
+        over = result.isin("COMPLETED", "FAILED_REDRIVABLE", "FAILED_TERMINAL")
+        until = F.when(result == "RENEWED", r["at"] + F.make_interval(secs=r["lease_s"])).when(~over, s["lease_until"])
+        return F.struct(
+            F.when(over, result).otherwise(s["status"]).alias("status"), F.when(~over, s["owner"]).alias("owner"), s["epoch"].alias("epoch"), until.alias("lease_until"), F.when(result == "COMPLETED", r["checksum"]).otherwise(s["checksum"]).alias("checksum"),
+            F.concat(s["results"], F.array(F.struct(r["request_id"].cast("string").alias("request_id"), result.alias("result")))).alias("results"),
+        )
+
+    done = commands.join(asked, "command_id").select("command_id", F.aggregate("asked", zero, step).alias("s"))
+    return done.select("command_id", F.inline("s.results")), done.select("command_id", "s.status", "s.epoch", "s.lease_until")
+
+
+def distinct_documents(rows: DataFrame, document: str) -> DataFrame:
+    """The documents, once each, as canonical JSON: keys in order, no white space; a text that is no JSON is a document of its own, as it is."""
+    canonical = F.coalesce(F.to_json(F.try_parse_json(document)), F.col(document))
+    return rows.select(canonical.alias(document)).distinct()
+
+
 def idempotent(stages: DataFrame) -> DataFrame:
     """REUSE for a stage identity recorded again with the same checksum, CONFLICT with others, else NEW."""
     g = stages.groupBy("identity").agg(F.count("*").alias("n"), F.countDistinct("checksum").alias("k"))

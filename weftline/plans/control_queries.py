@@ -415,3 +415,18 @@ def j18_lease_error(spark, d):
     attestations = requests.select("profile", "artifact_digest", F.when(F.col("o_custkey") % 4 == 1, "REVOKED").otherwise("APPROVED").alias("state"), F.col("o_orderdate").alias("expires_at"))
     switches = spark.createDataFrame([("MECHANISM", "1-URGENT", True), ("GLOBAL", "*", False)], "scope string, value string, active boolean")
     return validation.lease_error(requests, profiles, attestations, switches, F.lit("1992-06-01").cast("timestamp"), "o_orderkey")
+
+
+@query("""SELECT o_orderkey AS command_id, 'r' || i AS request_id, CASE WHEN o_orderkey % 5 = 0 THEN 'STALE_LEASE' WHEN i = 1 THEN 'RENEWED'
+    WHEN i = 2 THEN CASE o_orderkey % 3 WHEN 0 THEN 'COMPLETED' WHEN 1 THEN CASE WHEN o_orderkey % 7 < 5 THEN 'FAILED_REDRIVABLE' ELSE 'FAILED_TERMINAL' END ELSE 'RENEWED' END
+    WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'REPLAYED' ELSE 'CONFLICT' END WHEN o_orderkey % 3 = 1 THEN 'STALE_LEASE' ELSE 'COMPLETED' END AS result FROM orders, (VALUES (1), (2), (3)) t(i)""")
+def c5_lease_results(spark, d):
+    """Of each order, as a running command: a renewal, then its end or another renewal, then a completion; every fifth is held by another epoch."""
+    k, begin = F.col("o_orderkey"), F.lit("1996-01-01").cast("timestamp")
+    o = table(spark, d, "orders")
+    commands = o.select(k.alias("command_id"), F.lit("RUNNING").alias("status"), F.lit("w").alias("owner"), F.lit(2).alias("epoch"), (begin + F.expr("INTERVAL 30 SECONDS")).alias("lease_until"), (k % 7).alias("attempts"), F.lit(5).alias("max_attempts"), (begin + F.expr("INTERVAL 1 HOUR")).alias("deadline"), F.lit(None).cast("string").alias("checksum"))
+    request = lambda i, op, checksum: F.struct(F.lit(f"r{i}").alias("request_id"), op.alias("op"), (begin + F.expr(f"INTERVAL {20 * i} SECONDS")).alias("at"), checksum.cast("string").alias("checksum"))
+    second = F.when(k % 3 == 0, "complete").when(k % 3 == 1, "fail").otherwise("renew")
+    each = F.array(request(1, F.lit("renew"), F.lit(None)), request(2, second, F.lit("a")), request(3, F.lit("complete"), F.when((k % 3 != 0) | (k % 2 == 0), "a").otherwise("b")))
+    requests = o.select(k.alias("command_id"), F.lit("w").alias("owner"), F.when(k % 5 == 0, 1).otherwise(2).alias("epoch"), F.lit(30).alias("lease_s"), F.lit(True).alias("retryable"), F.explode(each).alias("r")).select("*", "r.*").drop("r")
+    return queues.lease_results(commands, requests)[0]

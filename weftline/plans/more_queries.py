@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from weftline.operators import consolidate, graph, java_facts, operations, publication, queues, validation, workflows
+from weftline.operators import consolidate, graph, interactions, java_facts, operations, publication, queues, validation, workflows
 from weftline.operators.checkpoints import shared_folder
 from weftline.plans.registry import query
 from weftline.sources import inputs
@@ -224,9 +224,14 @@ def x4_outside_scope(spark, d):
     return seen.select("session_id", F.nullif(F.array_join(F.array_sort(F.array_except("seen", F.array(F.lit("view"), F.lit("click")))), ","), F.lit("")).alias("outside"))
 
 
-@query("SELECT DISTINCT event_type, user_id FROM events")
+@query("SELECT DISTINCT CASE WHEN event_id % 7 = 0 THEN 'no JSON: ' || event_type ELSE '{\"a\":{\"k\":' || CAST(props::JSON->>'k' AS INT) || ',\"n\":[1,2]},\"t\":\"' || event_type || '\"}' END AS document FROM events")
 def x8_duplicate_documents(spark, d):
-    return table(spark, d, "events").select("event_type", "user_id").dropDuplicates()
+    """Documents that differ in the order of their keys and in white space are one."""
+    k, t = F.get_json_object("props", "$.k"), F.col("event_type")
+    one = F.concat(F.lit('{"t":"'), t, F.lit('","a":{"n":[1,2],"k":'), k, F.lit("}}"))
+    other = F.concat(F.lit('{ "a": {"k":  '), k, F.lit(', "n": [ 1, 2 ]},\n "t": "'), t, F.lit('" }'))
+    text = F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("no JSON: "), t)).when(F.col("event_id") % 2 == 0, one).otherwise(other)
+    return queues.distinct_documents(table(spark, d, "events").select(text.alias("document")), "document")
 
 
 @query("SELECT 'message' AS kind, count(*) AS n FROM messages UNION ALL SELECT 'observation', count(*) FROM observations", SQL_MESSAGES, SQL_OBSERVATIONS)
@@ -363,3 +368,21 @@ def t8_workflow_errors(spark, d):
     )
     kinds = stages.where("nth = 1").select("kind", F.col("stage").alias("entry"), F.lit(140).alias("timeout_s"), F.array(F.lit("DONE")).alias("terminals"))
     return graph.workflow_errors(stages.drop("nth"), kinds)
+
+
+#: Orders call the services of nations: a route that only a variable fits, one that a literal fits better, one that none fits, and hosts of no service.
+CALLS = """c AS (SELECT o_orderkey AS k, o_custkey % 25 AS n, o_orderkey % 5 AS kind FROM orders)"""
+
+
+@query("""SELECT k AS call_id, CASE WHEN kind = 4 THEN NULL ELSE 'service-' || n END AS service, CASE kind WHEN 0 THEN 'n' || n || '-one' WHEN 1 THEN 'n' || n || '-top' WHEN 2 THEN 'n' || n || '-lines' END AS endpoint_id,
+    CASE kind WHEN 3 THEN 'unmatched-route' WHEN 4 THEN 'unknown-service' END AS code FROM c""", CALLS)
+def s11_linked_calls(spark, d):
+    k, n = F.col("o_orderkey"), F.col("o_custkey") % 25
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    route = F.when(k % 5 == 0, text("/api/orders/", k)).when(k % 5 == 1, "/api/orders/top?limit=3").when(k % 5 == 2, text("//api/orders/", k, "/lines/")).otherwise(text("/api/orders/", k, "/lines/1/more"))
+    host = F.when(k % 5 == 4, "elsewhere").otherwise(text("Nation", n, ".local:8080"))
+    calls = table(spark, d, "orders").select(k.alias("call_id"), text("repo-", k % 100).alias("caller"), F.lit("get").alias("method"), text("http://", host, route).alias("url"))
+    nation, m = table(spark, d, "nation"), F.col("n_nationkey")
+    routes = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(method).alias("method"), F.lit(r).alias("route")) for name, method, r in (("one", "GET", "/api/orders/{id}"), ("top", "GET", "/api/orders/top"), ("lines", "GET", "/api/orders/:id/lines"), ("any", "GET", "/api/{kind}/{id}/lines"), ("put", "PUT", "/api/orders/{id}"))])
+    endpoints = nation.select(m, F.explode(routes).alias("r")).select(text("n", m, "-", F.col("r.name")).alias("endpoint_id"), text("service-", m).alias("service"), "r.method", "r.route")
+    return interactions.linked(calls, endpoints, nation.select(text("nation", m, ".local").alias("host"), text("service-", m).alias("service"))).drop("caller")
