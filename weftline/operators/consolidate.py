@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import names, rules
+from weftline.operators.checkpoints import cut
 from weftline.operators.ordered import numbered
 
 
@@ -78,12 +79,18 @@ def ledger(claims: DataFrame) -> DataFrame:
     return numbered(with_key(claims).select("edge_key", "provenance_id").distinct(), ["provenance_id"], by=["edge_key"], name="version")
 
 
+def last_versions(claims: DataFrame) -> DataFrame:
+    """J11 over ``ledger``: each edge's last row of it, by one aggregate: versions are counts, so the last is how many there are."""
+    return with_key(claims).select("edge_key", "provenance_id").distinct().groupBy("edge_key").agg(F.max("provenance_id").alias("provenance_id"), F.count("*").alias("version"))
+
+
 def merged(known: DataFrame, claims: DataFrame, order: str = "provenance_id") -> DataFrame:
     """A ledger (edge_key, provenance_id, version) after claims arrive in ``order``; rows that are new have ``fresh``.
 
     A provenance_id that its edge already has changes nothing, and among the new ones only the first of each counts; every other claim gives
     its edge the next version.
     """
+    known = cut(known.select("edge_key", "provenance_id", "version"))
     keyed = with_key(claims).groupBy("edge_key", "provenance_id").agg(F.min(order).alias("at_"))
     new = keyed.join(known.select("edge_key", "provenance_id"), ["edge_key", "provenance_id"], "left_anti")
     top = known.groupBy("edge_key").agg(F.max("version").alias("top_"))

@@ -179,9 +179,17 @@ def collapse(candidates: DataFrame) -> DataFrame:
 
 
 def witnessed(edges: DataFrame, observed: DataFrame) -> DataFrame:
-    """Edges that an observation of the same table and operation witnesses by a matching field (F16)."""
-    o = observed.select(F.col("table").alias("t"), F.col("operation").alias("o"), F.explode("fields").alias("f"))
-    return edges.join(o, (edges["table"] == o["t"]) & (edges["operation"] == o["o"]) & names.column_matches(o["f"], edges["column"]), "left_semi")
+    """Edges that an observation of the same table and operation witnesses by a matching field (F16).
+
+    A field matches a column's name, or that without underscores, in any case: two joins by equal names, no pair of them is compared.
+    """
+    each = observed.select(F.col("table").alias("t"), F.col("operation").alias("o"), F.explode("fields").alias("f"))
+    seen = each.select("t", "o", F.lower("f").alias("f")).distinct()
+    low, out = F.lower("column"), edges
+    for name, flag in ((low, "as_it_is"), (F.replace(low, F.lit("_"), F.lit("")), "plain")):
+        same = (F.col("table") == F.col("t")) & (F.col("operation") == F.col("o")) & (name == F.col("f"))
+        out = out.join(seen.withColumn(flag, F.lit(True)), same, "left").drop("t", "o", "f")
+    return out.where(F.coalesce("as_it_is", "plain", F.lit(False))).drop("as_it_is", "plain")
 
 
 def changelog_order(includes: DataFrame, files: DataFrame) -> DataFrame:
