@@ -361,3 +361,10 @@ def within_budget(affected: DataFrame, most: int) -> DataFrame:
     """changes' results in turn while their running number is within a budget shared by all."""
     counts = affected.groupBy("change_id").agg(F.count("*").alias("n"))
     return numbered(counts, ["change_id"], value="n", name="upto").select("change_id", "n", (F.col("upto") > most).alias("truncated"))
+
+
+def edge_detail(versions: DataFrame, asked: DataFrame) -> DataFrame:
+    """The row of each edge and version that is asked for, with code NOT_FOUND where there is none. versions: (edge_key, version, ...), one row each; asked: (edge_key, version, ...)."""
+    own = versions.withColumn("there", F.lit(True))
+    code = F.when(F.col("there").isNull(), "NOT_FOUND")
+    return asked.join(own, ["edge_key", "version"], "left").withColumn("code", code).drop("there")

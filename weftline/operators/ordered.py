@@ -53,3 +53,12 @@ def scanned(rows: DataFrame, order: list[str], by: list[str], wanted: dict[str,
     take = {"high": lambda n: F.greatest(f"{n}_near_", f"{n}_far_")}
     both = lambda n: F.coalesce(f"{n}_near_", f"{n}_far_")
     return joined.select(*rows.columns, *[take.get(kind, both)(name)["v"].alias(name) for name, (kind, _) in wanted.items()])
+
+
+def snapshot(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, nth, row) of named tables: their rows, as texts, numbered in the order of all columns; nulls are left out of a row's text. Equal rows follow one another."""
+    each = []
+    for name, df in tables.items():
+        rows = numbered(df, list(df.columns), name="nth_")
+        each.append(rows.select(F.lit(name).alias("name"), F.col("nth_").alias("nth"), F.concat_ws("|", *[F.col(c).cast("string") for c in df.columns]).alias("row")))
+    return reduce(DataFrame.unionByName, each)

@@ -314,6 +314,16 @@ def t7_blast_radius(spark, d):
     return out.withColumn("via", F.array_join("via", ">"))
 
 
+@query(f"""SELECT '{BASE}nation#1' AS node, '{BASE}nation' AS dataset, 0 AS hops, 'SOURCE' AS severity, '' AS via UNION ALL SELECT node, split_part(node, '#', 1), 1, 'BREAK', transform FROM one
+    UNION ALL SELECT o.node, '{BASE}orders', 2, 'WARN', arg_min(one.transform || '>' || o.transform, one.node) FROM one JOIN (SELECT '{BASE}customer#' || o_custkey AS parent, '{BASE}orders#' || o_orderkey AS node, 't' || (o_orderkey % 3) AS transform FROM orders
+      UNION ALL SELECT '{BASE}supplier#' || l_suppkey, '{BASE}orders#' || l_orderkey, 'join' FROM lineitem) o ON o.parent = one.node GROUP BY o.node""",
+    f"""one AS (SELECT '{BASE}customer#' || c_custkey AS node, 't' || (c_custkey % 3) AS transform FROM customer WHERE c_nationkey = 1 UNION ALL SELECT '{BASE}supplier#' || s_suppkey, 't' || (s_suppkey % 3) FROM supplier WHERE s_nationkey = 1)""")
+def t7_shared_targets(spark, d):
+    """Orders are reached over their customer and over several suppliers at once: that of the smallest rank counts, whatever its transforms are."""
+    out = graph.blast_radius(graph.adjacency(_joined(spark, d)), f"{BASE}nation#1")
+    return out.withColumn("via", F.array_join("via", ">"))
+
+
 LINKS = """links AS (SELECT DISTINCT 'c' || o_custkey AS a, 's' || l_suppkey AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey), pairs AS (SELECT a, b FROM links UNION SELECT DISTINCT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT DISTINCT 'm' || c_nationkey, 'c' || c_custkey FROM customer)"""
 
 
@@ -417,12 +427,17 @@ def x1_x3_reconcile(spark, d):
     return queues.reconciled(rows.where(F.col("id") % 2 == 0), rows.where(F.col("id") % 3 == 0), ["id"])
 
 
-@query("SELECT edge_key, source, target, band, status FROM consolidated WHERE target = (SELECT min(target) FROM consolidated)", *BY_PART)
+@query("""SELECT p_partkey AS ask, e.edge_key, CASE p_partkey % 3 WHEN 0 THEN v.version WHEN 1 THEN 1 ELSE 1000000 END AS version, CASE p_partkey % 3 WHEN 0 THEN last WHEN 1 THEN first END AS provenance_id, CASE WHEN p_partkey % 3 = 2 THEN 'NOT_FOUND' END AS code
+    FROM (SELECT DISTINCT p_partkey, edge_key FROM part JOIN keyed ON source = '{BASE}part#' || p_partkey) e JOIN (SELECT edge_key, count(DISTINCT provenance_id) AS version, max(provenance_id) AS last, min(provenance_id) AS first FROM keyed GROUP BY edge_key) v ON v.edge_key = e.edge_key""".replace("{BASE}", BASE), SQL_ASSERTIONS, KEYED)
 def t12_edge_detail(spark, d):
-    e = _edges(spark, d)
-    first = e.agg(F.min("target").alias("target"))
-    return e.join(F.broadcast(first), "target", "left_semi").select("edge_key", F.array_join("sources", ",").alias("source"), "target", "band", "status")
-
+    """For each part its edges at their last version, at their first, or at one that there never was."""
+    claims = c.with_key(inputs.assertions(spark, d))
+    ledger = c.ledger(claims)
+    last = ledger.groupBy("edge_key").agg(F.max("version").alias("last"))
+    part = F.regexp_extract(F.col("sources")[0], "#([0-9]+)$", 1).cast("bigint")
+    asked = claims.select(part.alias("ask"), "edge_key").distinct().join(last, "edge_key")
+    version = F.when(F.col("ask") % 3 == 0, F.col("last")).when(F.col("ask") % 3 == 1, 1).otherwise(1_000_000)
+    return graph.edge_detail(ledger, asked.select("ask", "edge_key", version.cast("bigint").alias("version")))
 
 @query("SELECT l_orderkey FROM (SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS parts FROM lineitem GROUP BY l_orderkey) WHERE parts <> list_sort(list_distinct(parts))")
 def v8_unsorted_arrays(spark, d):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from weftline.operators import consolidate, graph, interactions, java_facts, operations, publication, queues, validation, workflows
 from weftline.operators.checkpoints import shared_folder
 from weftline.plans.registry import query
-from weftline.sources import inputs
+from weftline.sources import inputs, objects
 from weftline.sources.inputs import SQL_MESSAGES, SQL_OBSERVATIONS, table
 
 #: Fields of each part's entity: what it names its column, if it does, and what its schema has. All entities share a superclass with an id.
@@ -144,9 +144,13 @@ def u6_u8_publish_rollback(spark, d):
     return store.read("staging").agg(F.count("*").alias("n")).select(F.lit(at["active"]).alias("active"), F.lit(at["prior"]).alias("prior"), F.lit(at["token"]).alias("token"), "n")
 
 
-@query("SELECT p_partkey, 7 AS version FROM part")
+@query("SELECT 'p' || p_partkey AS edge_key, p_name AS payload, version FROM part, (VALUES (6), (7)) t(version)")
 def u2_copied(spark, d):
-    return publication.copied(table(spark, d, "part").select("p_partkey"), 7)
+    """A namespace is written, copied under a new version, and both are read."""
+    store = objects.Namespaces(spark, f"{shared_folder(spark)}/copied-{uuid.uuid4().hex}")
+    store.write("staging", 6, table(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("edge_key"), F.col("p_name").alias("payload")))
+    store.copy("staging", 6, 7)
+    return store.read("staging", 6).withColumn("version", F.lit(6)).unionByName(store.read("staging", 7).withColumn("version", F.lit(7))).drop("batch")
 
 
 @query("""SELECT o_orderkey AS night, concat_ws(',', CASE WHEN o_orderkey % 5 = 0 THEN 'ARCHIVE_RECONCILIATION_DRIFT' END, CASE WHEN o_orderkey % 7 = 0 THEN 'PUBLISHED_SAMPLE_DRIFT' END, CASE WHEN o_orderkey % 11 = 0 THEN 'PROJECTION_CHECKSUM_DRIFT' END,
@@ -251,9 +255,13 @@ def j14_run_proposal(spark, d):
     return operations.run_proposals(runs, proposals)
 
 
-@query("SELECT s_nationkey AS system, arg_max(s_suppkey, s_suppkey) AS document FROM supplier GROUP BY s_nationkey")
+@query("""SELECT s_nationkey AS system, max(s_suppkey) AS document, CASE max(s_suppkey) % 3 WHEN 0 THEN 'COLLECTED' WHEN 1 THEN 'FAILED' ELSE 'RUNNING' END AS status, max(s_suppkey) FILTER (s_suppkey % 3 = 0) AS collected FROM supplier GROUP BY s_nationkey""")
 def u14_u15_latest_document(spark, d):
-    return consolidate.latest(table(spark, d, "supplier").select(F.col("s_nationkey").alias("system"), F.col("s_suppkey").alias("document"), F.col("s_suppkey").alias("version")), "system", "version").select("system", "document")
+    """Each system's last document and its status, and the last that was collected."""
+    k = F.col("s_suppkey")
+    rows = table(spark, d, "supplier").select(F.col("s_nationkey").alias("system"), k.alias("document"), k.alias("version"), F.when(k % 3 == 0, "COLLECTED").when(k % 3 == 1, "FAILED").otherwise("RUNNING").alias("status"))
+    good = rows.where("status = 'COLLECTED'").groupBy("system").agg(F.max_by("document", "version").alias("collected"))
+    return consolidate.latest(rows, "system", "version").select("system", "document", "status").join(good, "system", "left")
 
 
 @query("SELECT l_partkey, l_suppkey, count(DISTINCT l_returnflag) AS n FROM lineitem GROUP BY ALL HAVING count(DISTINCT l_returnflag) > 1")

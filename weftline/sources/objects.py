@@ -153,3 +153,12 @@ class Namespaces:
             rows = new.where(F.col("batch").isin(*open_)).repartition("batch").select("edge_key", "payload", F.lit(env).alias("env"), F.lit(version).alias("version"), "batch")
             rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("env", "version", "batch").parquet(self.folder)
         return len(open_)
+
+    def copy(self, env: str, version: int, to: int) -> int:
+        """A version under a new number, resumed like any write; refused unless both are equal in the end."""
+        wrote = self.write(env, to, self.read(env, version).drop("batch"))
+        mark = lambda v, name: self._sums(self.read(env, v)).select("batch", F.col("n").alias(f"n_{name}"), F.col("total").alias(f"total_{name}"))
+        both = mark(version, "old").join(mark(to, "new"), "batch", "full_outer").where("NOT (n_old <=> n_new AND total_old <=> total_new)")
+        if not both.isEmpty():
+            raise Refused(f"NAMESPACE_CONFLICT: version {to} holds more than version {version}")
+        return wrote
