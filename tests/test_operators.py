@@ -210,7 +210,6 @@ def test_statements():
 
 
 def test_bindings_and_python_residue():
-    assert extractors.read_bindings("p", "a.b=1\n- x: y\n") == []
     assert extractors.read_python("p", "def (")[0][5 + 1] == "malformed-python"
 
 

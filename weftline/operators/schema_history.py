@@ -106,3 +106,23 @@ def replayed(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     columns = done.where("s.there").select("repository", "table", F.posexplode("s.columns").alias("nth", "c"))
     residue = done.select("repository", F.explode("s.residue").alias("r")).select("repository", "r.path", "r.code", "r.symbol")
     return columns.select("repository", "table", "nth", F.col("c.name").alias("column"), F.col("c.type").alias("data_type"), F.col("c.primary").alias("primary_key")), residue
+
+
+def ddl_facts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """S9e: what schema files (repository, path, at, text) declare: (repository, path, statement, table, nth, column, data_type, primary_key), and residue (repository, path, statement, code, symbol).
+
+    Only CREATE TABLE of a plain name declares columns. Indexes and session statements are ignored-schema-statement; a name with a placeholder is dynamic-sql-identifier; all else is unsupported-sql. A
+    primary key may be a column's own, or the table's.
+    """
+    s = statements(texts).withColumn("statement", F.element_at("at", -1).cast("int"))
+    create = rf"(?is)^create\s+(?:temp\w*\s+|unlogged\s+)?table\s+(?:if\s+not\s+exists\s+)?{_TABLE}\s*\((.*)\)[^)]*$"
+    constraint = r"(?i)^\s*(?:primary|foreign|unique|constraint|check|exclude|key|index|like)\b"
+    parts = F.split(F.regexp_extract("sql", create, 2), _COMMA)
+    keys = F.flatten(F.transform(F.filter(parts, lambda x: x.rlike(r"(?i)^\s*(?:constraint\s+\S+\s+)?primary\s+key\b")), lambda x: F.transform(F.split(F.regexp_extract(x, r"\(([^)]*)\)", 1), ","), bare)))
+    columns = F.transform(F.filter(parts, lambda x: ~x.rlike(constraint)), lambda x: _definition("add", x))
+    made = s.where(F.col("sql").rlike(create)).select("repository", "path", "statement", bare(F.regexp_extract("sql", create, 1)).alias("table"), keys.alias("keys"), F.posexplode(columns).alias("nth", "c"))
+    facts = made.select("repository", "path", "statement", "table", "nth", F.col("c.name").alias("column"), F.col("c.type").alias("data_type"), (F.col("c.primary") | F.array_contains("keys", F.col("c.name"))).alias("primary_key"))
+    dynamic = F.col("sql").rlike(r"(?is)^create\s+table\s+[^(]*(\$\{|:\w|#\{)")
+    code = F.when(dynamic, "dynamic-sql-identifier").when(F.col("sql").rlike(r"(?is)^(?:create\s+(?:unique\s+)?index\b.*\bon\b.*\(.*\)|create\s+(?:database|schema)\b|use\b)"), "ignored-schema-statement").otherwise("unsupported-sql")
+    residue = s.where(~F.col("sql").rlike(create)).select("repository", "path", "statement", code.alias("code"), F.upper(F.regexp_extract("sql", r"^(\w*)", 1)).alias("symbol"))
+    return facts, residue

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from weftline.operators import provenance, runtime, validation
+from weftline.operators import provenance, runtime, schema_history, validation
 from weftline.operators.checkpoints import shared_folder
 from weftline.operators.ordered import scanned, snapshot
 from weftline.plans.control_queries import JUDGED, MANIFEST
@@ -459,3 +459,21 @@ def s24_namespaces(spark, d):
     store.write("staging", 2, edges)
     read = lambda v, name: store.read("staging", v).select("edge_key", "payload", F.lit(name).alias("version"))
     return read(1, "one").unionByName(read(2, "two"))
+
+
+def _schemas(spark, d):
+    k = F.col("p_partkey").cast("string")
+    sql = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    text = sql("USE shop;\n-- parts\nCREATE TABLE shop.part_", k, " (\n id BIGINT, price DECIMAL(10, 2) NOT NULL, \"name\" VARCHAR(9), CONSTRAINT pk PRIMARY KEY (id));\nCREATE INDEX i ON part_", k, " (id);\n", F.when(F.col("p_partkey") % 3 == 0, "CREATE TABLE ${name} (a INT)").otherwise("DROP TABLE old"), ";")
+    return table(spark, d, "part").select(k.alias("repository"), F.lit("schema.sql").alias("path"), F.array(F.lit("0")).alias("at"), text.alias("text"))
+
+
+@query("""SELECT p_partkey::VARCHAR AS repository, 'schema.sql' AS path, 1 AS statement, 'part_' || p_partkey AS "table", nth, "column", data_type, nth = 0 AS primary_key FROM part, (VALUES (0, 'id', 'BIGINT'), (1, 'price', 'DECIMAL(10,2)'), (2, 'name', 'VARCHAR(9)')) t(nth, "column", data_type)""")
+def s9e_ddl_facts(spark, d):
+    return schema_history.ddl_facts(_schemas(spark, d))[0]
+
+
+@query("""SELECT p_partkey::VARCHAR AS repository, statement, CASE WHEN statement = 3 THEN CASE WHEN p_partkey % 3 = 0 THEN 'dynamic-sql-identifier' ELSE 'unsupported-sql' END ELSE 'ignored-schema-statement' END AS code,
+    CASE WHEN statement = 3 THEN CASE WHEN p_partkey % 3 = 0 THEN 'CREATE' ELSE 'DROP' END ELSE symbol END AS symbol FROM part, (VALUES (0, 'USE'), (2, 'CREATE'), (3, '')) t(statement, symbol)""")
+def s9e_ddl_residue(spark, d):
+    return schema_history.ddl_facts(_schemas(spark, d))[1].drop("path")

@@ -11,7 +11,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import rules
@@ -81,44 +81,45 @@ def python_edges(files: DataFrame) -> DataFrame:
     return _over(files, read_python)
 
 
-def read_bindings(path: str, text: str) -> list[tuple]:
-    """Stream bindings of properties and YAML, flat or nested: ``-in-N`` reads, ``-out-N`` writes."""
-    flat: list[tuple[int, str, str]] = []
-    stack: list[tuple[int, str]] = []
-    for number, raw in enumerate(text.split("\n"), 1):
-        line = raw.split("#", 1)[0].rstrip()
-        bare = line.strip()
-        if not bare or bare.startswith("-"):
-            continue
-        if "=" in bare:
-            key, value = bare.split("=", 1)
-            flat.append((number, key.strip(), value.strip()))
-        elif ":" in bare:
-            key, value = (x.strip() for x in bare.split(":", 1))
-            indent = len(line) - len(line.lstrip())
-            while stack and stack[-1][0] >= indent:
-                stack.pop()
-            if value:
-                flat.append((number, ".".join([*(k for _, k in stack), key]), value.strip("'\"")))
-            else:
-                stack.append((indent, key))
-    out = []
-    for number, key, value in flat:
-        found = re.fullmatch(r"spring\.cloud\.stream\.bindings\.([^.]+)\.destination", key)
-        if not found:
-            continue
-        way = "READS" if re.search(r"(-in-\d+|^input)$", found[1]) else "WRITES" if re.search(r"(-out-\d+|^output)$", found[1]) else None
-        if way is None:
-            out.append((number, "residue", None, None, value, None, "unrecognised-binding-name"))
-        elif "${" in value:
-            out.append((number, "residue", None, None, value, None, "dynamic-destination"))
-        else:
-            out.append((number, "edge", found[1], None, value, None, way))
-    return out
+_FLAT = "struct<line: int, key: string, value: string>"
+
+
+def flattened(content: Column) -> Column:
+    """The settings of a properties or YAML file, flat or nested: (line, key, value) each, keys joined by dots. Comments, blank lines and list items are left out.
+
+    A fold over the file's own lines: what stands open above a line are the keys without a value that are less indented.
+    """
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    text = F.transform(F.split(content, "\n"), lambda raw, i: F.struct((i + 1).alias("line"), F.regexp_replace(F.substring_index(raw, "#", 1), r"\s+$", "").alias("text")))
+    kept = F.filter(text, lambda x: (strip(x["text"]) != "") & ~strip(x["text"]).startswith("-"))
+    none = F.array().cast(f"array<{_FLAT}>")
+    zero = F.struct(F.array().cast("array<struct<indent: int, key: string>>").alias("open"), none.alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        bare = strip(x["text"])
+        mark = F.when(bare.contains("="), "=").when(bare.contains(":"), ":")
+        place = F.when(mark == "=", F.instr(bare, "=")).otherwise(F.instr(bare, ":"))
+        key, value = strip(F.substring(bare, F.lit(1), place - 1)), strip(F.substring(bare, place + 1, F.length(bare)))
+        indent = F.length(x["text"]) - F.length(F.regexp_replace(x["text"], r"^\s+", ""))
+        above = F.filter(s["open"], lambda o: o["indent"] < indent)
+        path = F.array_join(F.concat(F.transform(above, lambda o: o["key"]), F.array(key)), ".")
+        row = lambda k, v: F.array(F.struct(x["line"].cast("int").alias("line"), k.alias("key"), v.alias("value")))
+        nested = mark == ":"
+        open_ = F.when(nested & (value == ""), F.concat(above, F.array(F.struct(indent.alias("indent"), key.alias("key"))))).when(nested, above).otherwise(s["open"])
+        out = F.when(mark == "=", F.concat(s["out"], row(key, value))).when(nested & (value != ""), F.concat(s["out"], row(path, F.regexp_replace(value, "^['\"]+|['\"]+$", "")))).otherwise(s["out"])
+        return F.struct(open_.alias("open"), out.alias("out"))
+
+    return F.aggregate(kept, zero, step, lambda s: s["out"])
 
 
 def binding_edges(files: DataFrame) -> DataFrame:
-    return _over(files, read_bindings)
+    """Stream bindings of properties and YAML: ``-in-N`` reads, ``-out-N`` writes; (path, line, kind, source, target, detail), natively."""
+    rows = files.select("path", F.explode(flattened(F.col("content"))).alias("s")).select("path", "s.line", "s.key", "s.value")
+    name = F.regexp_extract("key", r"^spring\.cloud\.stream\.bindings\.([^.]+)\.destination$", 1)
+    way = F.when(name.rlike(r"-in-\d+|^input$"), "READS").when(name.rlike(r"-out-\d+|^output$"), "WRITES")
+    odd = F.when(way.isNull(), "unrecognised-binding-name").when(F.col("value").contains("${"), "dynamic-destination")
+    found = rows.where(name != "")
+    return found.select("path", "line", F.when(odd.isNull(), "edge").otherwise("residue").alias("kind"), F.when(odd.isNull(), name).alias("source"), F.col("value").alias("target"), F.coalesce(odd, way).alias("detail"))
 
 
 _METHOD = re.compile(r"(?:public|private|protected|static|\s)+[\w<>\[\]]+\s+(\w+)\s*\([^)]*\)\s*(?:throws [\w, ]+)?\{")
