@@ -33,6 +33,8 @@ from weftline.llm.shared import hold_batches, shared_folder
 TOP = 20
 #: Characters of texts in a shard, unless one text is longer.
 SHARD_CHARS = 16 << 20
+#: Shards that a task searches, about.
+SHARDS_PER_TASK = 4
 #: Characters of queries that are searched in one pass: what a task holds of them is bounded.
 PASS_CHARS = 1 << 20
 #: Bytes of a text that are split at once.
@@ -242,7 +244,7 @@ def _passes(items: Iterable[Row], chars: int) -> Iterator[list[tuple]]:
         yield out
 
 
-def search(index: DataFrame, items: DataFrame, *, top: int = TOP, item_col: str = "item_id", text: str = "text", id_col: str = "doc_id", pass_chars: int = PASS_CHARS) -> DataFrame:
+def search(index: DataFrame, items: DataFrame, *, top: int = TOP, item_col: str = "item_id", text: str = "text", id_col: str = "doc_id", pass_chars: int = PASS_CHARS, shards_per_task: int = SHARDS_PER_TASK) -> DataFrame:
     """The ``top`` documents of the index for each row of items: (item_col, rank, id_col, score).
 
     Items go through the driver, and to tasks, in passes of at most pass_chars characters, or one item. Of equal scores the smaller id ranks
@@ -252,7 +254,7 @@ def search(index: DataFrame, items: DataFrame, *, top: int = TOP, item_col: str
     spark = index.sparkSession
     id_kind = index.schema["ids"].dataType.elementType.simpleString()
     item_kind = items.schema[item_col].dataType.simpleString()
-    whole = index.where(F.col("term").isNull()).agg(F.sum("df").alias("docs"), F.sum(F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, b: a + b)).alias("terms")).first()
+    whole = index.where(F.col("term").isNull()).agg(F.sum("df").alias("docs"), F.sum(F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, b: a + b)).alias("terms"), F.count("*").alias("shards")).first()
     n_docs, n_terms = whole["docs"] or 0, whole["terms"] or 0
     item_type = to_arrow_type(items.schema[item_col].dataType)
     schema = f"item bigint, item_id {item_kind}, own_id {id_kind}, score bigint"
@@ -266,6 +268,8 @@ def search(index: DataFrame, items: DataFrame, *, top: int = TOP, item_col: str
         asked = [(number, item, [(numbers[t], times) for t, times in own.items() if numbers[t] in df]) for number, item, own in some]
         own = index.where(F.col("term").isNull()).select("shard", F.lit(None).cast("bigint").alias("number"), F.lit(None).cast("binary").alias("postings"), "ids", "lengths")
         parts = lists.select("shard", "number", "postings").unionByName(own, allowMissingColumns=True)
+        # a shard's lists are few bytes and much work, so tasks are told by the number of shards
+        parts = parts.repartition(max(1, -(-whole["shards"] // shards_per_task)), "shard")
         found.append(parts.groupBy("shard").applyInArrow(_searcher(asked, {k: weight(n_docs, n) for k, n in df.items()}, n_docs, n_terms, top, item_type), schema))
     if not found:
         return spark.createDataFrame([], f"`{item_col}` {item_kind}, rank int, `{id_col}` {id_kind}, score bigint")
