@@ -24,31 +24,41 @@ def of(artifact):
 GRADLE = "// build\nplugins { id 'java'; id(\"org.springframework.boot\") version '3.2.1' }\ndependencies { /* x */ implementation('org.springframework.boot:spring-boot-starter-data-jpa') }\n"
 
 
-@pytest.mark.parametrize(
-    ("files", "cell", "codes"),
-    [
-        ({"pom.xml": pom(parent=boot("3.1.4"))}, "pom.xml:boot-parent:org.springframework.boot:spring-boot-starter-parent:3.1.4 pom.xml:data-jpa:org.springframework.boot:spring-boot-starter-data-jpa:3.1.4:inherited", []),
-        ({"build.gradle": GRADLE}, "build.gradle:boot-plugin:org.springframework.boot:3.2.1 build.gradle:data-jpa:org.springframework.boot:spring-boot-starter-data-jpa:3.2.1:inherited", []),
-        ({"pom.xml": pom(parent=boot("3.1.4"), jpa="")}, None, ["missing-jpa-dependency pom.xml"]),
-        ({"pom.xml": pom(parent=boot("3.1.4"), jpa=JPA.format("<scope>test</scope>"))}, None, ["missing-jpa-dependency pom.xml"]),
-        ({"pom.xml": pom(parent=boot("${v}"))}, None, ["dynamic-framework-evidence ${v}", "missing-boot-evidence pom.xml", "missing-jpa-dependency pom.xml", "missing-jpa-version org.springframework.boot:spring-boot-starter-data-jpa"]),
-        ({"pom.xml": pom(parent=boot("10.0.0"))}, None, ["missing-boot-evidence pom.xml", "missing-jpa-dependency pom.xml", "missing-jpa-version org.springframework.boot:spring-boot-starter-data-jpa", "unsupported-boot-version 10.0.0"]),
-        ({"pom.xml": pom(parent=boot("3.1.4"), jpa=JPA.format("<version>4.0.0</version>"))}, None, ["incompatible-framework-cell boot=3.1.4;jpa=4.0.0"]),
-        ({"pom.xml": "<project>"}, None, ["malformed-build-file pom.xml", "missing-boot-evidence pom.xml", "missing-jpa-dependency pom.xml"]),
-        ({"pom.xml": "<!DOCTYPE x><project/>"}, None, ["dynamic-framework-evidence DOCTYPE/ENTITY", "missing-boot-evidence pom.xml", "missing-jpa-dependency pom.xml"]),
-        ({"pom.xml": pom(), "x.txt": ""}, None, ["missing-boot-evidence pom.xml", "missing-jpa-dependency pom.xml", "missing-jpa-version org.springframework.boot:spring-boot-starter-data-jpa"]),
-        ({"x.txt": ""}, None, ["unknown-framework spring-data-jpa"]),
-        ({"build.gradle": GRADLE.replace("dependencies", "a { dependencies") + "}"}, None, ["malformed-build-file build.gradle", "missing-boot-evidence build.gradle", "missing-jpa-dependency build.gradle"]),
-        ({"build.gradle": GRADLE + "'"}, None, ["malformed-build-file build.gradle", "missing-boot-evidence build.gradle", "missing-jpa-dependency build.gradle"]),
-        ({"build.gradle.kts": GRADLE.replace(" version '3.2.1'", "")}, None, ["missing-boot-evidence build.gradle.kts", "missing-boot-version org.springframework.boot", "missing-jpa-dependency build.gradle.kts", "missing-jpa-version org.springframework.boot:spring-boot-starter-data-jpa"]),
-        ({"a/pom.xml": pom("a", boot("3.1.4")), "b/build.gradle": GRADLE}, None, ["ambiguous-framework-evidence 3.1.4/3.2.1"]),
-    ],
-)
-def test_cells(spark, files, cell, codes):
-    cells, residue = builds.classify(spark.createDataFrame([("r", p, c) for p, c in files.items()], FILES))
-    (row,) = cells.collect()
+#: Files of a repository, the evidence of its cell if it has one, and what is residue.
+CASES = [
+    ({"pom.xml": pom(parent=boot("3.1.4"))}, "pom.xml:boot-parent:org.springframework.boot:spring-boot-starter-parent:3.1.4 pom.xml:data-jpa:org.springframework.boot:spring-boot-starter-data-jpa:3.1.4:inherited", []),
+    ({"build.gradle": GRADLE}, "build.gradle:boot-plugin:org.springframework.boot:3.2.1 build.gradle:data-jpa:org.springframework.boot:spring-boot-starter-data-jpa:3.2.1:inherited", []),
+    ({"pom.xml": pom(parent=boot("3.1.4"), jpa="")}, None, ["missing-jpa-dependency pom.xml"]),
+    ({"pom.xml": pom(parent=boot("3.1.4"), jpa=JPA.format("<scope>test</scope>"))}, None, ["missing-jpa-dependency pom.xml"]),
+    ({"pom.xml": pom(parent=boot("${v}"))}, None, ["dynamic-framework-evidence ${v}", "missing-boot-evidence pom.xml", "missing-jpa-dependency pom.xml", "missing-jpa-version org.springframework.boot:spring-boot-starter-data-jpa"]),
+    ({"pom.xml": pom(parent=boot("10.0.0"))}, None, ["missing-boot-evidence pom.xml", "missing-jpa-dependency pom.xml", "missing-jpa-version org.springframework.boot:spring-boot-starter-data-jpa", "unsupported-boot-version 10.0.0"]),
+    ({"pom.xml": pom(parent=boot("3.1.4"), jpa=JPA.format("<version>4.0.0</version>"))}, None, ["incompatible-framework-cell boot=3.1.4;jpa=4.0.0"]),
+    ({"pom.xml": "<project>"}, None, ["malformed-build-file pom.xml", "missing-boot-evidence pom.xml", "missing-jpa-dependency pom.xml"]),
+    ({"pom.xml": "<!DOCTYPE x><project/>"}, None, ["dynamic-framework-evidence DOCTYPE/ENTITY", "missing-boot-evidence pom.xml", "missing-jpa-dependency pom.xml"]),
+    ({"pom.xml": pom(), "x.txt": ""}, None, ["missing-boot-evidence pom.xml", "missing-jpa-dependency pom.xml", "missing-jpa-version org.springframework.boot:spring-boot-starter-data-jpa"]),
+    ({"x.txt": ""}, None, ["unknown-framework spring-data-jpa"]),
+    ({"build.gradle": GRADLE.replace("dependencies", "a { dependencies") + "}"}, None, ["malformed-build-file build.gradle", "missing-boot-evidence build.gradle", "missing-jpa-dependency build.gradle"]),
+    ({"build.gradle": GRADLE + "'"}, None, ["malformed-build-file build.gradle", "missing-boot-evidence build.gradle", "missing-jpa-dependency build.gradle"]),
+    ({"build.gradle.kts": GRADLE.replace(" version '3.2.1'", "")}, None, ["missing-boot-evidence build.gradle.kts", "missing-boot-version org.springframework.boot", "missing-jpa-dependency build.gradle.kts", "missing-jpa-version org.springframework.boot:spring-boot-starter-data-jpa"]),
+    ({"a/pom.xml": pom("a", boot("3.1.4")), "b/build.gradle": GRADLE}, None, ["ambiguous-framework-evidence 3.1.4/3.2.1"]),
+]
+
+
+@pytest.fixture(scope="module")
+def classified(spark):
+    """All cases as repositories of one table."""
+    files = spark.createDataFrame([(str(i), p, c) for i, (own, _, _) in enumerate(CASES) for p, c in own.items()], FILES)
+    cells, residue = builds.classify(files)
+    return {r["repository"]: r for r in cells.collect()}, residue.collect()
+
+
+@pytest.mark.parametrize("i", range(len(CASES)))
+def test_cells(classified, i):
+    _, cell, codes = CASES[i]
+    cells, residue = classified
+    row = cells[str(i)]
     assert (row["cell"], " ".join(row["evidence"])) == (("spring-data-jpa", cell) if cell else (None, ""))
-    assert sorted(f"{r['code']} {r['symbol']}" for r in residue.collect()) == codes
+    assert sorted(f"{r['code']} {r['symbol']}" for r in residue if r["repository"] == str(i)) == codes
 
 
 def test_parents_at_any_distance_and_cycles(spark):
