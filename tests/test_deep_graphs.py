@@ -16,3 +16,11 @@ def test_changelog_of_deep_includes(spark):
     includes = spark.createDataFrame([(f"f{k:02}", f"f{k + 1:02}", 1) for k in range(n)], "file string, child string, position int")
     got = {r["file"]: r["nth"] for r in java_facts.changelog_order(includes, files).collect()}
     assert got == {f"f{k:02}": k + 1 for k in range(n + 1)}
+
+
+def test_pairs_are_reached_over_cycles_and_chains(spark):
+    steps = [(f"n{i}", f"n{i + 1}") for i in range(20)] + [("a", "b"), ("b", "c"), ("c", "a"), ("b", "n18")]
+    pairs = [("n0", "n20"), ("n5", "n4"), ("a", "c"), ("c", "n20"), ("a", "a"), ("x", "y"), ("n0", "n20")]
+    got = graph.reaches(spark.createDataFrame(steps, "node string, parent string"), spark.createDataFrame(pairs, "node string, ancestor string"))
+    assert sorted((r["node"], r["ancestor"], r["hops"]) for r in got.collect() if r["hops"]) == [("a", "a", 3), ("a", "c", 2), ("c", "n20", 5), ("n0", "n20", 20)]
+    assert got.count() == 6 and got.where("hops IS NULL").count() == 2

@@ -236,6 +236,30 @@ def closure(steps: DataFrame) -> DataFrame:
         reached = cut(reached.unionByName(longer).groupBy("node", "ancestor").agg(F.min("hops").alias("hops")))
 
 
+def reaches(steps: DataFrame, pairs: DataFrame) -> DataFrame:
+    """T10 for given pairs (node, ancestor): (node, ancestor, hops), hops null where the ancestor is not reached over (node, parent).
+
+    Each pair walks up by itself, one join a level, never twice over one node, and ends where it is found: nothing is made of pairs that nobody asks for.
+    """
+    asked = pairs.select("node", "ancestor").distinct()
+    front = asked.withColumn("at", F.col("node"))
+    visited, found = front.limit(0), None  # a pair may lead back to its own node
+    for hop in itertools.count(1):
+        up = steps.select(F.col("node").alias("at"), F.col("parent").alias("next"))
+        met = front.join(up, "at").select("node", "ancestor", F.col("next").alias("at")).distinct()
+        level = cut(met.join(visited, ["node", "ancestor", "at"], "left_anti").withColumn("hops", F.lit(hop)))
+        if level.isEmpty():
+            break
+        hit = level.where(F.col("at") == F.col("ancestor")).select("node", "ancestor", "hops")
+        found = hit if found is None else found.unionByName(hit)
+        visited = visited.unionByName(level.drop("hops"))
+        front = level.drop("hops").join(hit, ["node", "ancestor"], "left_anti")
+        if hop % CUT_LEVELS == 0:
+            visited, found = cut(visited), cut(found)
+    none = asked.withColumn("hops", F.lit(None).cast("int"))
+    return none if found is None else asked.join(found, ["node", "ancestor"], "left").select("node", "ancestor", "hops")
+
+
 def distances(pairs: DataFrame, subject: str, name: str) -> DataFrame:
     """(node, name): the fewest steps from a subject over (a, b), to the fixpoint."""
     reached = pairs.sparkSession.createDataFrame([(subject, 0)], f"node string, {name} int")

@@ -463,3 +463,11 @@ def v11_recomputed_identity(spark, d):
     kind = F.when(F.col("scope") == "DATASET", "READS").otherwise("DERIVES")
     own, corrected = (rules.edge_key(F.col("sources"), F.col("target"), t) for t in (F.lit("DERIVES"), kind))
     return a.select("provenance_id", own.alias("identity"), (own != corrected).alias("moved"), corrected.alias("corrected"))
+
+
+@query(f"""SELECT '{BASE}orders#' || o_orderkey AS node, '{BASE}region#' || (o_orderkey % 5) AS ancestor, CASE WHEN n_regionkey = o_orderkey % 5 THEN 3 END AS hops FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey""")
+def t10_reachable(spark, d):
+    """Whether each order comes from a region, which is asked for it alone."""
+    steps = graph.adjacency(inputs.entity_edges(spark, d)).select(F.col("target").alias("node"), F.col("source").alias("parent"))
+    k = F.col("o_orderkey")
+    return graph.reaches(steps, table(spark, d, "orders").select(entity("orders", k).alias("node"), entity("region", k % 5).alias("ancestor")))
