@@ -141,7 +141,7 @@ class Namespaces:
         ended, with no row twice. An edge that is there with another payload, or twice with two payloads among the new ones, is a conflict: nothing is written.
         """
         new = cut(edges.select("edge_key", "payload").distinct().withColumn("batch", self.batch()))
-        self.spark.createDataFrame([], "edge_key string, payload string, env string, version int, batch int").write.mode("append").parquet(self.folder)
+        self.spark.createDataFrame([], "edge_key string, payload string, env string, version int, batch int").write.mode("append").partitionBy("env", "version", "batch").parquet(self.folder)
         old = cut(self.read(env, version))
         conflict = new.unionByName(old).groupBy("edge_key").agg(F.min("payload").alias("a"), F.max("payload").alias("b")).where("a <> b").limit(1).collect()
         if conflict:
