@@ -407,33 +407,34 @@ def _new(spark, name):
 
 
 def _map_runs(spark, d):
-    """A folder with a run for each customer whose shards are its orders, and a manifest; some runs have a shard too few, too many, torn, failed, or no manifest."""
-    folder, k = _new(spark, "runs"), F.col("c_custkey")
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("key"))
-    shard = o.select("c_custkey", F.concat(F.lit("SUCCEEDED_"), F.col("key").cast("string"), F.lit(".json")).alias("name"), F.concat(F.lit('[{"order":'), F.col("key").cast("string"), F.lit('},{"order":null}]')).alias("content"))
-    last = shard.groupBy("c_custkey").agg(F.max("name").alias("last"))
-    listed = shard.groupBy("c_custkey").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit('{"Key":"p/'), "name", F.lit('","Size":'), (F.octet_length("content") + 1).cast("string"), F.lit("}")))), ",").alias("all"))  # the orders of one customer
-    manifest = listed.where(k % 7 != 6).select("c_custkey", F.lit("manifest.json").alias("name"), F.concat(F.lit('{"ResultFiles":{"SUCCEEDED":['), "all", F.lit("]}}")).alias("content"))
-    kept = shard.join(last, "c_custkey").where(~((k % 7 == 1) & (F.col("name") == F.col("last"))))
-    kept = kept.select("c_custkey", "name", F.when((k % 7 == 3) & (F.col("name") == F.col("last")), F.concat(F.expr("substring(content, 1, length(content) - 1)"), F.lit(" "))).otherwise(F.col("content")).alias("content"))
-    more = listed.where(k % 7 == 2).select("c_custkey", F.lit("SUCCEEDED_0.json").alias("name"), F.lit("[]").alias("content")).unionByName(listed.where(k % 7 == 4).select("c_custkey", F.lit("FAILED_0.json").alias("name"), F.lit("[]").alias("content")))
+    """A folder with a hundred runs over the orders, four for each nation, each of three shards and a manifest; some have a shard too few, too many, torn, failed, or no manifest."""
+    folder, k = _new(spark, "runs"), F.col("k")
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select((F.col("c_nationkey") * 4 + F.col("c_custkey") % 4).alias("k"), F.concat(F.lit("SUCCEEDED_"), (F.col("o_orderkey") % 3).cast("string"), F.lit(".json")).alias("name"), F.col("o_orderkey").alias("key"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list("key")), lambda x: F.concat(F.lit('{"order":'), x.cast("string"), F.lit("}"))), ",")
+    shard = o.groupBy("k", "name").agg(F.concat(F.lit("["), listed, F.lit("]")).alias("content"))
+    last = shard.groupBy("k").agg(F.max("name").alias("last"))
+    named = shard.groupBy("k").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit('{"Key":"p/'), "name", F.lit('","Size":'), (F.octet_length("content") + 1).cast("string"), F.lit("}")))), ",").alias("all"))
+    manifest = named.where(k % 7 != 6).select("k", F.lit("manifest.json").alias("name"), F.concat(F.lit('{"ResultFiles":{"SUCCEEDED":['), "all", F.lit("]}}")).alias("content"))
+    kept = shard.join(last, "k").where(~((k % 7 == 1) & (F.col("name") == F.col("last"))))
+    kept = kept.select("k", "name", F.when((k % 7 == 3) & (F.col("name") == F.col("last")), F.concat(F.expr("substring(content, 1, length(content) - 1)"), F.lit(" "))).otherwise(F.col("content")).alias("content"))
+    more = named.where(k % 7 == 2).select("k", F.lit("SUCCEEDED_9.json").alias("name"), F.lit("[]").alias("content")).unionByName(named.where(k % 7 == 4).select("k", F.lit("FAILED_0.json").alias("name"), F.lit("[]").alias("content")))
     rows = kept.unionByName(manifest).unionByName(more)
     # Spark names the files, so an object is a folder here
     rows.select(F.concat(F.lit("c"), k.cast("string")).alias("run"), "name", "content").repartition("run").sortWithinPartitions("run", "name").write.partitionBy("run", "name").text(folder)
-    return objects.run_objects(spark, folder, r"()run=([^/]+)/name=([^/]+)/part-[^/]*$")
+    return objects.map_results(objects.run_objects(spark, folder, r"()run=([^/]+)/name=([^/]+)/part-[^/]*$"), "struct<order: bigint>", max_children=1 << 31)
 
 
-_RUNS = "o AS (SELECT o_custkey AS k, o_orderkey AS key, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)"
+_RUNS = "o AS (SELECT c_nationkey * 4 + c_custkey % 4 AS k, o_orderkey AS key, 'SUCCEEDED_' || (o_orderkey % 3) || '.json' AS shard FROM orders JOIN customer ON c_custkey = o_custkey)"
 
 
 @query("""SELECT DISTINCT 'c' || k AS run, CASE k % 7 WHEN 1 THEN 'missing-shard' WHEN 2 THEN 'extra-shard' WHEN 3 THEN 'torn-shard' WHEN 4 THEN 'failed-or-pending' WHEN 6 THEN 'no-manifest' END AS code FROM o""", _RUNS)
 def s21_map_runs(spark, d):
-    return objects.map_results(_map_runs(spark, d), "struct<order: bigint>")[1].select("run", "code")
+    return _map_runs(spark, d)[1].select("run", "code")
 
 
-@query("SELECT 'c' || k AS run, 'SUCCEEDED_' || key || '.json' AS shard, nth, CASE WHEN nth = 0 THEN key END AS \"order\" FROM o, (VALUES (0), (1)) t(nth) WHERE k % 7 IN (0, 5)", _RUNS)
+@query("SELECT 'c' || k AS run, shard, row_number() OVER (PARTITION BY k, shard ORDER BY key) - 1 AS nth, key AS \"order\" FROM o WHERE k % 7 IN (0, 5)", _RUNS)
 def s21_map_children(spark, d):
-    return objects.map_results(_map_runs(spark, d), "struct<order: bigint>")[0].select("run", "shard", "nth", "child.order")
+    return _map_runs(spark, d)[0].select("run", "shard", "nth", "child.order")
 
 
 @query("""SELECT doc_id::VARCHAR AS key, sha256(d.text) AS checksum, CASE WHEN a.text IS NOT NULL THEN 'CHECKSUM_MISMATCH' END AS code, CASE WHEN a.text IS NULL THEN strlen(d.text) END AS size
