@@ -248,9 +248,15 @@ def projected(base: DataFrame, removed: DataFrame, added: DataFrame, changed: Da
 
 
 def checksum(rows: DataFrame, by: str, text: str) -> DataFrame:
-    """A digest of a namespace's rows that no order changes: row hashes are summed, nothing is gathered."""
-    part = lambda i: F.sum(F.conv(F.substring(F.sha2(F.col(text), 256), i, 8), 16, 10).cast("decimal(38,0)")).cast("decimal(38,0)").alias(f"s{i}")
-    return rows.groupBy(by).agg(F.count("*").alias("n"), part(1), part(9), part(17), part(25)).select(by, F.sha2(F.concat_ws("-", "n", "s1", "s9", "s17", "s25"), 256).alias("checksum"), "n")
+    """A digest of a namespace's rows that no order changes: row hashes are summed, nothing is gathered.
+
+    Sums are made in 256 parts of a namespace as whole numbers, and of these as decimals, so that no sum passes its type.
+    """
+    hashed = rows.select(by, F.sha2(F.col(text), 256).alias("h"))
+    part = lambda i: F.sum(F.conv(F.substring("h", i, 8), 16, 10).cast("bigint")).alias(f"s{i}")
+    parts = hashed.groupBy(by, F.substring("h", 33, 2).alias("part")).agg(F.count("*").alias("n"), part(1), part(9), part(17), part(25))
+    whole = [F.sum(F.col(f"s{i}").cast("decimal(38,0)")).cast("decimal(38,0)").alias(f"s{i}") for i in (1, 9, 17, 25)]
+    return parts.groupBy(by).agg(F.sum("n").alias("n"), *whole).select(by, F.sha2(F.concat_ws("-", "n", "s1", "s9", "s17", "s25"), 256).alias("checksum"), "n")
 
 
 def reconciled(expected: DataFrame, actual: DataFrame, key: list[str]) -> DataFrame:
