@@ -240,3 +240,10 @@ def test_sessions_that_nobody_closes_expire(spark):
     got = {r["session_id"]: r for r in sessions.replay(df).collect()}
     # the watermark reaches the third day less an hour: the first session is over, the second is not
     assert {k: (r["outcome"], r["accepted"], r["rejected"]) for k, r in got.items()} == {1: ("EXPIRED", 1, 0)}
+
+
+def test_hours_are_told_by_parts_of_a_second(spark):
+    rows = spark.createDataFrame([("2024-01-19 23:00:00",), ("2024-01-19 22:59:59.999999",), ("2024-01-19 23:00:00.000001",), ("2024-01-20 00:00:00.5",), ("2024-01-19 00:00:00",), ("2024-01-19 00:00:00.5",)], "at string")
+    for kind in ("timestamp", "timestamp_ntz"):
+        got = queues.hourly(rows.select(F.col("at").cast(kind).alias("at")), "at", F.lit("2024-01-20").cast("timestamp")).where("n > 0")
+        assert sorted(tuple(r) for r in got.collect()) == [(0, 1), (1, 2), (23, 1)]

@@ -372,7 +372,8 @@ def guarded(proposals: DataFrame, budget: int) -> DataFrame:
 def hourly(events: DataFrame, at: str, now) -> DataFrame:
     """Events in each of the last 24 hours before now, zero-filled."""
     hours = events.sparkSession.range(24).select(F.col("id").cast("int").alias("hours_ago"))
-    age = F.floor((F.unix_timestamp(now) - F.unix_timestamp(at)) / 3600).cast("int")
+    # by microseconds: seconds would put what came just after a full hour into the one before it
+    age = F.floor((F.unix_micros(now) - F.unix_micros(F.col(at).cast("timestamp"))) / 3_600_000_000).cast("int")
     counts = events.select(age.alias("hours_ago")).where(F.col("hours_ago").between(0, 23)).groupBy("hours_ago").agg(F.count("*").alias("n"))
     return hours.join(counts, "hours_ago", "left").select("hours_ago", F.coalesce("n", F.lit(0)).alias("n"))
 
