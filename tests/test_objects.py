@@ -98,3 +98,22 @@ def test_namespaces_are_resumed(spark, tmp_path):
     assert len(plan.inputFiles()) >= 8 and "PartitionFilters" in plan._jdf.queryExecution().executedPlan().toString()
     scanned = plan._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
     assert "env" in scanned and "version" in scanned
+
+
+def test_packed_evidence_takes_a_file_for_each_prefix(spark, tmp_path):
+    store = objects.Evidence(spark, f"file://{tmp_path}/e", packed=True)
+    rows = lambda n, p="c": spark.range(n).select(F.lit("k").alias("kind"), F.col("id").cast("string").alias("key"), F.concat(F.lit(p), (F.col("id") % 2000).cast("string")).alias("content"))
+    assert store.put(rows(2500)).where("code IS NULL").count() == 2500
+    # a run that was cut short left objects that the index does not name yet
+    store._write(spark.createDataFrame([("k", "x", "y")], "kind string, key string, content string").withColumn("checksum", F.sha2("content", 256)), "append")
+    assert store.put(rows(2600).unionByName(spark.createDataFrame([("k", "x", "y")], "kind string, key string, content string"))).where("code IS NULL").count() == 2601
+    assert store.objects().count() == 2001 and store.index().count() == 2601
+    assert len(list((tmp_path / "e/objects").glob("prefix=*/part-*.parquet"))) <= 256 + 1
+    assert {r["code"] for r in store.put(rows(3, "d")).collect()} == {"OVERWRITE_ATTEMPT"}
+    some = store.get("k").where("key = '7'").first()["checksum"]
+    assert [r["content"] for r in store.objects([some]).collect()] == ["c7"]
+    store._alter(spark.createDataFrame([(some, "altered")], "checksum string, content string"))
+    told = store.get("k").where("code IS NOT NULL").collect()
+    assert {(r["key"], r["content"], r["code"]) for r in told} == {("7", None, "CHECKSUM_MISMATCH"), ("2007", None, "CHECKSUM_MISMATCH")} and store.get().count() == 2601 and store.objects().count() == 2001
+    shutil.rmtree(tmp_path / "e/objects" / f"prefix=h{some[:2]}")
+    assert {r["code"] for r in store.get("k").where("key = '7'").collect()} == {"MISSING_OBJECT"}

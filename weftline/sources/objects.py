@@ -62,10 +62,14 @@ def map_results(objects: DataFrame, child: str, *, max_shards: int = 100, max_by
 
 
 class Evidence:
-    """Write-once objects under a folder, laid out by the SHA-256 of their content, and an index of (kind, key, checksum)."""
+    """Write-once objects under a folder, laid out by the SHA-256 of their content, and an index of (kind, key, checksum).
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder.rstrip("/")
+    An object is a text file in a folder of its own, so that other tools find it by its checksum. A million small ones are a million folders, which a store
+    creates, renames and lists one by one: ``packed``, objects are rows (checksum, content) of Parquet files, a folder for each of the 256 prefixes.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, packed: bool = False) -> None:
+        self.spark, self.folder, self.packed = spark, folder.rstrip("/"), packed
 
     def index(self) -> DataFrame:
         schema = "kind string, key string, checksum string"
@@ -78,9 +82,27 @@ class Evidence:
         return [F.concat(F.lit("h"), F.substring(checksum, 1, 2)).alias("prefix"), F.concat(F.lit("h"), checksum).alias("object")]
 
     def _write(self, objects: DataFrame, mode: str) -> None:
-        """One file for each (checksum, content)."""
+        """One file for each (checksum, content); packed, a row, and the files of a prefix are replaced (overwrite) or added to (append)."""
         placed = objects.select("content", *self._place(F.col("checksum"))).repartition("prefix")
-        placed.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("prefix", "object").text(f"{self.folder}/objects")
+        if self.packed:
+            write = placed.sortWithinPartitions("prefix", "object").write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("prefix")
+            write.parquet(f"{self.folder}/objects")
+        else:
+            placed.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("prefix", "object").text(f"{self.folder}/objects")
+
+    def _rows(self) -> DataFrame:
+        """Packed objects (content, prefix, object), be there none."""
+        self.spark.createDataFrame([], "content string, prefix string, object string").write.mode("append").partitionBy("prefix").parquet(f"{self.folder}/objects")
+        return self.spark.read.schema("content string, object string, prefix string").parquet(f"{self.folder}/objects")
+
+    def _alter(self, objects: DataFrame) -> None:
+        """Other contents for (checksum, content), where those objects lie: what a write-once store must tell."""
+        if not self.packed:
+            return self._write(objects, "overwrite")
+        new = objects.select(F.col("content").alias("other"), *self._place(F.col("checksum")))
+        # the prefixes that hold one are written anew, beside what is read, and then take its place
+        held = self._rows().join(F.broadcast(new.select("prefix").distinct()), "prefix", "left_semi").join(new.drop("prefix"), "object", "left")
+        self._write(held.select(F.coalesce("other", "content").alias("content"), F.substring("object", 2, 64).alias("checksum")), "overwrite")
 
     def put(self, rows: DataFrame) -> DataFrame:
         """Stores (kind, key, content) and returns (kind, key, checksum, code).
@@ -94,18 +116,19 @@ class Evidence:
         several = claims.groupBy("kind", "key").agg(F.min("checksum").alias("a"), F.max("checksum").alias("b"), F.max("new").alias("asked"), (~F.min("new")).alias("known")).where("asked")
         told = cut(own.select("kind", "key", "checksum").distinct().join(several, ["kind", "key"]).select("kind", "key", "checksum", F.when(F.col("a") != F.col("b"), "OVERWRITE_ATTEMPT").alias("code"), "known"))
         fresh = told.where("code IS NULL AND NOT known")
-        stored = had.select("checksum").distinct()
+        # packed, files are added: what lies there counts, be it named or not, so that a repeated run adds no object twice
+        stored = self._rows().select(F.substring("object", 2, 64).alias("checksum")) if self.packed else had.select("checksum").distinct()
         contents = own.join(fresh.select("checksum").distinct().join(stored, "checksum", "left_anti"), "checksum").groupBy("checksum").agg(F.first("content").alias("content"))
-        self._write(contents, "overwrite")
+        self._write(contents, "append" if self.packed else "overwrite")
         fresh.select("kind", "key", "checksum").write.mode("append").parquet(f"{self.folder}/index")
         return told.select("kind", "key", "checksum", "code")
 
     def objects(self, checksums: list[str] | None = None) -> DataFrame:
         """(checksum, content, verified): the objects as they lie there, all or some; only the folders of those are read."""
-        read = self.spark.read.format("binaryFile").load(f"{self.folder}/objects")
+        read = self._rows() if self.packed else self.spark.read.format("binaryFile").load(f"{self.folder}/objects")
         if checksums is not None:
             read = read.where(F.col("prefix").isin(*{f"h{c[:2]}" for c in checksums}) & F.col("object").isin(*[f"h{c}" for c in checksums]))
-        body = F.expr("substring(content, 1, length(content) - 1)")  # the text source ends each row with a break
+        body = F.col("content") if self.packed else F.expr("substring(content, 1, length(content) - 1)")  # the text source ends each row with a break
         checksum = F.substring("object", 2, 64)
         return read.select(checksum.alias("checksum"), body.cast("string").alias("content"), (F.sha2(body, 256) == checksum).alias("verified"))
 
