@@ -30,3 +30,16 @@ def test_recursion_shadowing_and_unknown_names(spark):
     assert reach == ["a.n < t.a", "b.n < t.a", "c.n < t.a", "d.p < t.a", "d.p < t.b", "u.a < t.b"]
     assert residue == ["d.q unknown-table-column", "d.r unknown-table"]
     assert found(spark, []) == ([], [])
+
+
+def test_chains_keep_no_ways_between_queries(spark, monkeypatch):
+    n, held = 40, []
+    rows = [("q0", 0, 0, "v", "t", "a"), ("q0", 0, 1, "w", "t", "none"), *[(f"q{i}", 0, 0, "v", f"q{i - 1}", "v") for i in range(1, n)]]
+    monkeypatch.setattr(provenance, "cut", lambda df: (held.append((made := df.checkpoint()).count()), made)[1])
+    reach, residue = found(spark, rows)
+    assert reach == sorted(f"q{i}.v < t.a" for i in range(n)) and residue == ["q0.w unknown-table-column"]
+    # all ways would be n * (n + 1) / 2
+    assert max(held) <= 2 * n and len(held) <= 16
+    held.clear()
+    told = provenance.residue(spark.createDataFrame([("s", *r) for r in rows], SCHEMA), spark.createDataFrame([("t", "a")], "table string, column string"))
+    assert [(r["query"], r["column"], r["code"]) for r in told.collect()] == [("q0", "w", "unknown-table-column")] and len(held) == 1

@@ -1,7 +1,7 @@
 """What the columns of a statement's common table expressions come from, by joins over projection rows.
 
 A projection row says that output ``position`` of a query (of a branch of it, where it is a union), called ``column``, reads ``source_column`` of ``source``: a table, or another
-query of the same statement. What a column comes from is the closure of that relation, ended where tables begin; its paths double each round, so a chain of any depth takes as many
+query of the same statement. What a column comes from is the closure of that relation, ended where tables begin; its steps double each round, so a chain of any depth takes as many
 rounds as its length has binary digits.
 """
 
@@ -16,11 +16,36 @@ _OWN, _FROM = ["statement", "query", "column"], ["source", "source_column"]
 
 
 def _named(projections: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Projections under their output's name, which a union has from its first branch; and those beyond that branch's width."""
-    first = projections.groupBy("statement", "query").agg(F.min("branch").alias("first"))
-    names = projections.join(first, ["statement", "query"]).where(F.col("branch") == F.col("first")).select("statement", "query", "position", F.col("column").alias("name")).distinct()
-    named = projections.join(names, ["statement", "query", "position"], "left").select("statement", "query", F.col("name").alias("column"), F.col("column").alias("own"), *_FROM)
-    return named.where(F.col("column").isNotNull()).drop("own").distinct(), named.where(F.col("column").isNull()).select("statement", "query", F.col("own").alias("column"), *_FROM)
+    """Projections under their output's name, which a union has from its first branch; and those beyond that branch's width.
+
+    A query's own outputs, as many as it has columns, come to its projections by one join.
+    """
+    outputs = projections.groupBy("statement", "query").agg(F.min("branch").alias("first"), F.collect_set(F.struct("branch", "position", "column")).alias("outputs"))
+    names = outputs.select("statement", "query", F.filter("outputs", lambda o: o["branch"] == F.col("first")).alias("outputs"))
+    own = projections.join(names, ["statement", "query"], "left").withColumn("names", F.transform(F.filter("outputs", lambda o: o["position"] == F.col("position")), lambda o: o["column"]))
+    named = own.select("statement", "query", F.explode("names").alias("column"), *_FROM).where(F.col("column").isNotNull())
+    return named.distinct(), own.where((F.coalesce(F.size("names"), F.lit(0)) <= 0) | F.exists("names", lambda n: n.isNull())).select(*_OWN, *_FROM)
+
+
+def _judged(projections: DataFrame, columns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Named projections with inner, whether they read a query, and code; and those beyond a union's width."""
+    named, wide = _named(projections)
+    named = cut(named)
+    queries = named.groupBy("statement", F.col("query").alias("source")).agg(F.collect_set("column").alias("outputs"))
+    tables = columns.groupBy(F.col("table").alias("source")).agg(F.collect_set("column").alias("held"))
+    judged = named.join(queries, ["statement", "source"], "left").join(tables, "source", "left")
+    inner, lacks = F.col("outputs").isNotNull(), lambda c: ~F.coalesce(F.array_contains(c, F.col("source_column")), F.lit(False))
+    code = F.when(inner & lacks("outputs"), "unknown-query-column").when(~inner & F.col("held").isNull(), "unknown-table").when(~inner & lacks("held"), "unknown-table-column")
+    return judged.select(*_OWN, *_FROM, inner.alias("inner"), code.alias("code")), wide
+
+
+def _told(judged: DataFrame, wide: DataFrame) -> DataFrame:
+    return judged.where("code IS NOT NULL").select(*_OWN, *_FROM, "code").unionByName(wide.withColumn("code", F.lit("union-width")))
+
+
+def residue(projections: DataFrame, columns: DataFrame) -> DataFrame:
+    """The residue of ``column_provenance`` alone: it is told where it is written, so nothing is walked."""
+    return _told(*_judged(projections, columns))
 
 
 def column_provenance(projections: DataFrame, columns: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -30,23 +55,19 @@ def column_provenance(projections: DataFrame, columns: DataFrame) -> tuple[DataF
     statement hides a table's. Residue is told where it is written: unknown-query-column, unknown-table, unknown-table-column, union-width (a branch has more
     columns than the first). A column that has only residue under it has no row; a query that reads itself ends by itself.
     """
-    named, wide = _named(projections)
-    named = cut(named)
-    queries = named.select("statement", F.col("query").alias("source")).distinct().withColumn("is_query", F.lit(True))
-    outputs = named.select("statement", F.col("query").alias("source"), F.col("column").alias("source_column")).distinct().withColumn("is_output", F.lit(True))
-    tables = columns.select(F.col("table").alias("source")).distinct().withColumn("is_table", F.lit(True))
-    known = columns.select(F.col("table").alias("source"), F.col("column").alias("source_column")).distinct().withColumn("is_column", F.lit(True))
-    judged = named.join(queries, ["statement", "source"], "left").join(outputs, ["statement", *_FROM], "left").join(tables, "source", "left").join(known, _FROM, "left")
-    code = F.when(F.col("is_query") & F.col("is_output").isNull(), "unknown-query-column").when(F.col("is_query").isNull() & F.col("is_table").isNull(), "unknown-table").when(F.col("is_query").isNull() & F.col("is_column").isNull(), "unknown-table-column")
-    judged = cut(judged.select(*_OWN, *_FROM, F.coalesce("is_query", F.lit(False)).alias("inner"), code.alias("code")))
-    reach = judged.where("code IS NULL").drop("code")
+    judged, wide = _judged(projections, columns)
+    judged = cut(judged)
+    good = judged.where("code IS NULL")
+    # reach: what is read over fewer than 2**k queries; steps: the ways over just 2**k, so ways between queries are not kept
+    reach, steps = good.where("NOT inner").select(*_OWN, *_FROM), good.where("inner").select(*_OWN, *_FROM)
     size = reach.count()
-    while True:
-        further = reach.select("statement", F.col("query").alias("source"), F.col("column").alias("source_column"), F.col("source").alias("next"), F.col("source_column").alias("next_column"), F.col("inner").alias("next_inner"))
-        longer = reach.where("inner").join(further, ["statement", *_FROM]).select(*_OWN, F.col("next").alias("source"), F.col("next_column").alias("source_column"), F.col("next_inner").alias("inner"))
-        reach = cut(reach.unionByName(longer).distinct())
+    on = lambda further: steps.join(further.select("statement", F.col("query").alias("source"), F.col("column").alias("source_column"), F.col("source").alias("next"), F.col("source_column").alias("next_column")), ["statement", *_FROM])
+    longer = lambda further: on(further).select(*_OWN, F.col("next").alias("source"), F.col("next_column").alias("source_column"))
+    while not steps.isEmpty():
+        reach = cut(reach.unionByName(longer(reach)).distinct())
         before, size = size, reach.count()
+        # what is not reached yet ends in a way over just 2**k that would be new
         if size == before:
             break
-    residue = judged.where("code IS NOT NULL").select(*_OWN, *_FROM, "code").unionByName(wide.withColumn("code", F.lit("union-width")))
-    return reach.where("NOT inner").select(*_OWN, *_FROM), residue
+        steps = cut(longer(steps).distinct())
+    return reach, _told(judged, wide)
