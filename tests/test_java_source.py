@@ -65,3 +65,12 @@ def test_handlers_clients_and_topics(spark):
     assert {(r["channel"], r["operation"], r["handler"], r["line"]) for r in j.inbound(f).collect()} == {("REST", "GET /api/owners/{id}", "OwnerController#one", 6), ("REST", "POST /api/owners", "OwnerController#add", 7), ("ASYNC_EVENT", "moves", "OwnerController#heard", 8)}
     assert [(r["to_service"], r["operation"], r["handler"]) for r in j.outbound(f).collect()] == [("visits", "GET /visits", "Visits#all")]
     assert {(r["path"], r["called"], r["topic"], r["edge_type"], r["code"], r["method"]) for r in j.stream_topology(f).collect()} == {("T.java", "stream", "in", "READS", None, "build"), ("T.java", "to", "out", "WRITES", None, "build"), ("T.java", "table", None, None, "dynamic-destination", "build")}
+
+
+def test_made_files_are_spread_and_read_once(spark, small):
+    from weftline.plans import source_queries as q
+
+    for df in (q._files(spark, small, ".yml", "x: @"), q._migrations(spark, small), q._builds(spark, small), q._schemas(spark, small)):
+        assert df.rdd.getNumPartitions() >= 4  # the table itself is one task
+    for made in (q.s9_spring_edges, q.s11_inbound, q.s12a_stream_topology):
+        assert "MapInArrow" not in made(spark, small)._jdf.queryExecution().executedPlan().toString()

@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt over all tasks: for a table of few bytes, so few read tasks, of whose rows much is made. Their number is given, so that no small one is joined to others again."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
 def entity(kind: str, key: Column) -> Column:
     """The URN of one row of a table, as an element."""
     return F.concat(F.lit(f"{BASE}{kind}#"), key.cast("string"))
