@@ -1,5 +1,7 @@
 """Chains deeper than any registered table's."""
 
+from pyspark.sql import functions as F
+
 from weftline.operators import graph, java_facts
 
 
@@ -24,3 +26,14 @@ def test_pairs_are_reached_over_cycles_and_chains(spark):
     got = graph.reaches(spark.createDataFrame(steps, "node string, parent string"), spark.createDataFrame(pairs, "node string, ancestor string"))
     assert sorted((r["node"], r["ancestor"], r["hops"]) for r in got.collect() if r["hops"]) == [("a", "a", 3), ("a", "c", 2), ("c", "n20", 5), ("n0", "n20", 20)]
     assert got.count() == 6 and got.where("hops IS NULL").count() == 2
+
+
+def test_both_ways_keeps_no_pairs(spark, monkeypatch):
+    n, held = 50, []
+    monkeypatch.setattr(graph, "cut", lambda df: (held.append((made := df.checkpoint()).count()), made)[1])
+    chain = spark.range(n).select(F.col("id").cast("string").alias("node"), (F.col("id") + 1).cast("string").alias("parent")).union(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "7")], "node string, parent string"))
+    one = lambda x: spark.createDataFrame([(x,)], "node string")
+    ahead, back = graph.both_ways(chain, one("a"), one("20"))
+    assert {r["node"] for r in ahead.collect()} == {"a", "b", "c", *map(str, range(7, n + 1))}
+    assert {r["node"] for r in back.collect()} == {"a", "b", "c", *map(str, range(21))}
+    assert max(held) <= 3 * n

@@ -236,6 +236,25 @@ def closure(steps: DataFrame) -> DataFrame:
         reached = cut(reached.unionByName(longer).groupBy("node", "ancestor").agg(F.min("hops").alias("hops")))
 
 
+def both_ways(steps: DataFrame, ahead: DataFrame, back: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node) that the nodes of ``ahead`` lead to over (node, parent), and (node) that lead to those of ``back``; these themselves included.
+
+    Steps double each round, so a chain of n takes log n; only ways of just 2**k steps are kept, not all pairs.
+    """
+    steps = cut(steps.select("node", "parent").distinct())
+    met = cut(ahead.select(F.lit(0).alias("side"), "node").unionByName(back.select(F.lit(1).alias("side"), "node")).distinct())
+    size = met.count()
+    while not steps.isEmpty():
+        ways = steps.select(F.lit(0).alias("side"), "node", F.col("parent").alias("to")).unionByName(steps.select(F.lit(1).alias("side"), F.col("parent").alias("node"), F.col("node").alias("to")))
+        met = cut(met.unionByName(met.join(ways, ["side", "node"]).select("side", F.col("to").alias("node"))).distinct())
+        before, size = size, met.count()
+        # a node further on would have one before it that just so many steps lead to, which is new
+        if size == before:
+            break
+        steps = cut(steps.join(steps.select(F.col("node").alias("parent"), F.col("parent").alias("next")), "parent").select("node", F.col("next").alias("parent")).distinct())
+    return met.where("side = 0").select("node"), met.where("side = 1").select("node")
+
+
 def reaches(steps: DataFrame, pairs: DataFrame) -> DataFrame:
     """T10 for given pairs (node, ancestor): (node, ancestor, hops), hops null where the ancestor is not reached over (node, parent).
 
@@ -325,22 +344,20 @@ def workflow_errors(stages: DataFrame, workflows: DataFrame) -> DataFrame:
     timeout_s, terminals array<string>). A route goes to a stage of its workflow or to ``terminal:`` and a declared state.
     """
     whole = F.lit(None).cast("string")
-    key = lambda c: F.concat_ws("/", "kind", c)
+    key = lambda c: F.concat_ws("\0", "kind", c)
     routes = stages.select("kind", "stage", F.inline(F.array(F.struct(F.lit("success").alias("way"), F.col("on_success").alias("to")), F.struct(F.lit("error").alias("way"), F.col("on_error").alias("to")))))
     each = routes.select("kind", "stage", "way", F.explode("to").alias("to")).join(workflows.select("kind", "terminals"), "kind")
     ends = F.col("to").startswith("terminal:")
     declared = F.array_contains("terminals", F.regexp_replace("to", "^terminal:", ""))
     known = stages.select("kind", F.col("stage").alias("to"), F.lit(True).alias("known")).distinct()
     each = cut(each.join(known, ["kind", "to"], "left").select("kind", "stage", "way", "to", ends.alias("ends"), (ends & declared).alias("declared"), F.coalesce("known", F.lit(False)).alias("known")))
-    hops = each.where("known")
-    ahead = closure(hops.select(key("stage").alias("node"), key("to").alias("parent"))) if not hops.isEmpty() else hops.select(key("stage").alias("node"), key("to").alias("ancestor"))
+    at_once = each.where("declared").select(key("stage").alias("node"))
+    entry = workflows.select(key("entry").alias("node"))
+    inside, ends_well = both_ways(each.where("known").select(key("stage").alias("node"), key("to").alias("parent")), entry, at_once)
     # stages from which some declared terminal is reached, at once or over others
-    at_once = each.where("declared").select(key("stage").alias("ancestor")).distinct()
-    good = at_once.unionByName(ahead.join(at_once, "ancestor", "left_semi").select(F.col("node").alias("ancestor"))).distinct().select(F.col("ancestor").alias("to_key"), F.lit(True).alias("good"))
+    good = ends_well.select(F.col("node").alias("to_key"), F.lit(True).alias("good"))
     led = each.withColumn("to_key", key("to")).join(good, "to_key", "left").groupBy("kind", "stage", "way").agg(F.bool_or(F.col("declared") | F.coalesce("good", F.lit(False))).alias("ok"))
-    entry = workflows.select("kind", F.concat_ws("/", "kind", "entry").alias("e"))
-    inside = ahead.join(entry, F.col("node") == F.col("e")).select("kind", F.col("ancestor").alias("s")).unionByName(entry.select("kind", F.col("e").alias("s"))).distinct()
-    unreached = stages.select("kind", "stage", key("stage").alias("s")).join(inside, ["kind", "s"], "left_anti")
+    unreached = stages.select("kind", "stage", key("stage").alias("node")).join(inside, "node", "left_anti")
     sums = stages.groupBy("kind").agg(F.sum("timeout_s").alias("path_s"), F.count("*").alias("n"), F.countDistinct("stage").alias("k"))
     w = workflows.join(sums, "kind", "left").join(stages.select("kind", F.col("stage").alias("entry"), F.lit(True).alias("there")).distinct(), ["kind", "entry"], "left")
     of_workflow = [
