@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,12 +101,18 @@ def merged(known: DataFrame, claims: DataFrame, order: str = "provenance_id") ->
     return known.select("edge_key", "provenance_id", F.col("version").cast("bigint"), F.lit(False).alias("fresh")).unionByName(added)
 
 
-def late_claims(observed: DataFrame, edges: DataFrame) -> DataFrame:
+def late_shapes(observed: DataFrame) -> set[str]:
+    """Which of the joins of ``late_claims`` complete observations need: direct, end, coarse; at most three rows."""
+    shape = F.when(F.col("granularity") == "DATASET", "coarse").when(F.col("granularity") == "ELEMENT", F.when(F.col("endpoint").isNull(), "direct").otherwise("end"))
+    return {r["shape"] for r in observed.where(F.col("outcome") == "COMPLETE").select(shape.alias("shape")).distinct().collect()}
+
+
+def late_claims(observed: DataFrame, edges: DataFrame, shapes: set[str] | None = None) -> DataFrame:
     """Runtime claims that complete sessions, whenever they came, make on edges that are there.
 
     observed: (session_id, observation_id, outcome, granularity, sources, target, endpoint, edge_type, transform, exact), sources and target as
     URNs: elements, or datasets for DATASET. Nothing observed makes an edge of its own, and sessions that are not complete claim nothing.
-    Claims have the columns that ``consolidate`` takes, and edge_key.
+    Claims have the columns that ``consolidate`` takes, and edge_key. shapes: as ``late_shapes`` has them, if known: the edges are not shuffled for joins that none needs.
     """
     o = observed.where(F.col("outcome") == "COMPLETE").withColumn("k", F.array_sort("sources"))
     e = edges.select("edge_key", F.col("sources").alias("edge_sources"), F.col("target").alias("edge_target"), "edge_type")
@@ -125,7 +133,9 @@ def late_claims(observed: DataFrame, edges: DataFrame) -> DataFrame:
             "exact", F.col("granularity").alias("scope"), F.lit(True).alias("session_complete"),
         )
 
-    return claim(direct, name).unionByName(claim(out, name)).unionByName(claim(back, name)).unionByName(claim(coarse, F.concat_ws(":", name, "edge_key"))).distinct()
+    found = [("direct", claim(direct, name)), ("end", claim(out, name)), ("end", claim(back, name)), ("coarse", claim(coarse, F.concat_ws(":", name, "edge_key")))]
+    wanted = [df for shape, df in found if shapes is None or shape in shapes]
+    return reduce(DataFrame.unionByName, wanted or [claim(direct, name).limit(0)]).distinct()
 
 
 def latest(rows: DataFrame, key: str, version: str) -> DataFrame:

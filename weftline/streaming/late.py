@@ -16,14 +16,14 @@ from weftline.operators.checkpoints import shared_folder
 
 
 class LateClaims:
-    """For foreachBatch. edges: as ``late_claims`` takes them, read anew for each batch."""
+    """For foreachBatch. edges: as ``late_claims`` takes them, read anew for each batch: so a table, not what is made of one."""
 
     def __init__(self, edges: DataFrame, folder: str) -> None:
         self.edges, self.folder = edges, folder
         self.columns = ["provenance_id", "edge_key", "sources", "target", "edge_type", "mechanism", "transform", "exact", "scope", "session_complete"]
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        claims = consolidate.late_claims(batch, self.edges).select(*self.columns, F.lit(number).alias("batch"))
+        claims = consolidate.late_claims(batch, self.edges, consolidate.late_shapes(batch)).select(*self.columns, F.lit(number).alias("batch"))
         claims.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(self.folder)
 
     def claims(self) -> DataFrame:
