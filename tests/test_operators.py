@@ -247,3 +247,59 @@ def test_hours_are_told_by_parts_of_a_second(spark):
     for kind in ("timestamp", "timestamp_ntz"):
         got = queues.hourly(rows.select(F.col("at").cast(kind).alias("at")), "at", F.lit("2024-01-20").cast("timestamp")).where("n > 0")
         assert sorted(tuple(r) for r in got.collect()) == [(0, 1), (1, 2), (23, 1)]
+
+
+def test_late_claims_join_only_what_observations_need(spark):
+    o = "session_id bigint, observation_id string, outcome string, granularity string, sources array<string>, target string, endpoint string, edge_type string, transform string, exact boolean"
+    rows = spark.createDataFrame([(1, "a", "COMPLETE", "ELEMENT", ["urn:ldp:x#1"], "urn:ldp:y#1", None, "DERIVES", None, True), (1, "b", "INCOMPLETE", "DATASET", ["urn:ldp:x"], "urn:ldp:y", None, "DERIVES", None, True)], o)
+    edges = spark.createDataFrame([("k", ["urn:ldp:x#1"], "urn:ldp:y#1", "DERIVES")], "edge_key string, sources array<string>, target string, edge_type string")
+    assert consolidate.late_shapes(rows) == {"direct"}
+    some, all_ = consolidate.late_claims(rows, edges, {"direct"}), consolidate.late_claims(rows, edges)
+    assert [r["provenance_id"] for r in some.collect()] == [r["provenance_id"] for r in all_.collect()] == ["runtime:1:a"]
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join")
+    assert joins(some) < joins(all_) and consolidate.late_claims(rows, edges, set()).count() == 0
+
+
+def test_a_session_within_one_batch_touches_no_state():
+    from datetime import datetime
+
+    from pyspark.sql import Row
+
+    from weftline.streaming.sessions import Session
+
+    class Counters:
+        value = None
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value
+        update = lambda self, v: setattr(self, "value", v)
+        clear = lambda self: setattr(self, "value", None)
+
+    class Map(dict):
+        calls = 0
+
+        def getValue(self, k):  # noqa: N802
+            Map.calls += 1
+            return self.get(k)
+
+        def updateValue(self, k, v):  # noqa: N802
+            Map.calls += 1
+            self[k] = v
+
+    class Handle:
+        timers: set = set()
+        registerTimer = lambda self, t: self.timers.add(t)
+        deleteTimer = lambda self, t: self.timers.remove(t)
+
+    class Time:
+        getCurrentWatermarkInMs = lambda self: 0
+
+    s = Session(3600)
+    s.handle, s.seen, s.high, s.counters = Handle(), Map(), Map(), Counters()
+    row = lambda n, i, c="x", closing=None: Row(session_id=1, arrival=n, sequence=n, dataset="d", observation_id=i, checksum=c, observed_at=datetime(2024, 1, 1), closing=closing)
+    close = {"drained": True, "expected": 2, "buffered": 0, "dropped": 0}
+    (end,) = s.handleInputRows((1,), iter([row(1, "a"), row(2, "b"), row(3, "a"), row(9, None, None, close)]), Time())
+    assert (end.accepted, end.duplicates, end.rejected, end.outcome) == (2, 1, 0, "COMPLETE") and Map.calls == 0 and not s.handle.timers
+    # over two batches what the first one took is known to the second
+    assert list(s.handleInputRows((1,), iter([row(1, "a"), row(3, "b")]), Time())) == [] and len(s.handle.timers) == 1
+    (end,) = s.handleInputRows((1,), iter([row(2, "c"), row(4, "a"), row(5, "b", "y"), row(6, "e"), row(9, None, None, close)]), Time())
+    assert (end.attempted, end.accepted, end.duplicates, end.rejected, end.outcome) == (6, 3, 1, 2, "INCOMPLETE") and not s.handle.timers and not s.seen and not s.counters.exists()

@@ -33,39 +33,51 @@ class Session(StatefulProcessor):
         self.high = handle.getMapState("high", "dataset string", "sequence bigint")
         self.counters = handle.getValueState("counters", COUNTERS)
 
-    def _take(self, r: Row) -> int:
-        """1 accepted, 2 duplicate, 3 rejected."""
-        known = self.seen.getValue((r.observation_id,))
+    def _take(self, r: Row, old: bool, seen: dict, high: dict) -> int:
+        """1 accepted, 2 duplicate, 3 rejected. seen, high: what these rows added, which the store gets at their end; old: whether it may know more."""
+        known = seen.get(r.observation_id)
+        if known is None and old:
+            known = self.seen.getValue((r.observation_id,))
         if known is not None:
             return 2 if known[0] == r.checksum else 3
-        high = self.high.getValue((r.dataset,))
-        if high is not None and r.sequence <= high[0]:
+        last = high.get(r.dataset)
+        if last is None and old:
+            last = self.high.getValue((r.dataset,))
+        if last is not None and r.sequence <= last[0]:
             return 3
-        self.seen.updateValue((r.observation_id,), (r.checksum,))
-        self.high.updateValue((r.dataset,), (r.sequence,))
+        seen[r.observation_id], high[r.dataset] = (r.checksum,), (r.sequence,)
         return 1
 
-    def _end(self, key: tuple, c: list, outcome: str) -> Iterator[Row]:
-        if c[5] >= 0:
-            self.handle.deleteTimer(c[5])
-        for state in (self.seen, self.high, self.counters):
-            state.clear()
+    def _end(self, key: tuple, c: list, outcome: str, old: bool = True) -> Iterator[Row]:
+        if old:
+            if c[5] >= 0:
+                self.handle.deleteTimer(c[5])
+            for state in (self.seen, self.high, self.counters):
+                state.clear()
         yield Row(session_id=key[0], attempted=c[0], accepted=c[1], duplicates=c[2], rejected=c[3], last_sequence=c[4], outcome=outcome)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        c = list(self.counters.get()) if self.counters.exists() else [0, 0, 0, 0, -1, -1]
+        old = self.counters.exists()
+        c = list(self.counters.get()) if old else [0, 0, 0, 0, -1, -1]
+        seen: dict = {}
+        high: dict = {}
         for r in sorted(rows, key=lambda r: (r.closing is not None, r.arrival)):
             if r.closing is not None:
                 e = r.closing
                 whole = e["drained"] and c[1] == e["expected"] and not c[3] and not e["buffered"] and not e["dropped"]
-                yield from self._end(key, c, "COMPLETE" if whole else "INCOMPLETE")
+                yield from self._end(key, c, "COMPLETE" if whole else "INCOMPLETE", old)
                 return
             if c[5] < 0:
                 c[5] = max(int(r.observed_at.timestamp() * 1000) + self.ttl_ms, timerValues.getCurrentWatermarkInMs() + 1)
-                self.handle.registerTimer(c[5])
             c[0] += 1
-            c[self._take(r)] += 1
+            c[self._take(r, old, seen, high)] += 1
             c[4] = max(c[4], r.sequence)
+        # what the session goes on with; one that began and ended in these rows has touched no state
+        if not old and c[5] >= 0:
+            self.handle.registerTimer(c[5])
+        for state, added in ((self.seen, seen), (self.high, high)):
+            for name, value in added.items():
+                state.updateValue((name,), value)
         self.counters.update(tuple(c))
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
