@@ -303,3 +303,32 @@ def test_a_session_within_one_batch_touches_no_state():
     assert list(s.handleInputRows((1,), iter([row(1, "a"), row(3, "b")]), Time())) == [] and len(s.handle.timers) == 1
     (end,) = s.handleInputRows((1,), iter([row(2, "c"), row(4, "a"), row(5, "b", "y"), row(6, "e"), row(9, None, None, close)]), Time())
     assert (end.attempted, end.accepted, end.duplicates, end.rejected, end.outcome) == (6, 3, 1, 2, "INCOMPLETE") and not s.handle.timers and not s.seen and not s.counters.exists()
+
+
+def test_a_joined_frontier_sifts_the_edges(spark, monkeypatch):
+    rows = spark.range(100_000).select(F.concat(F.lit("n"), F.col("id")).alias("a"), "id")
+    nodes = spark.range(0, 100_000, 1000).select(F.concat(F.lit("n"), F.col("id")).alias("node"))
+    passed = {r["id"] for r in graph.sifted(rows, "a", nodes, 100).select("id").collect()}
+    assert passed >= set(range(0, 100_000, 1000)) and len(passed) < 2000
+    # a bitmap that is too small loses nothing
+    monkeypatch.setattr(graph, "BITS", 1 << 15)
+    assert graph.sifted(rows, "a", nodes, 10**9).where("id % 1000 = 0").count() == 100
+    # only what passes is shuffled: the plan has the bitmap's join below the exchange
+    plan = graph.among(rows, "a", nodes, graph.FRONTIER + 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("node_") < plan.index("map_")
+
+
+def test_walks_are_alike_with_and_without_broadcasts(spark, monkeypatch):
+    edges = [(f"e{i}", [f"n{i % 37}", f"n{(i * 7) % 41}"], f"n{(i * 13 + 5) % 97}", f"t{i % 3}") for i in range(150)]
+    s = spark.createDataFrame(edges, "edge_key string, sources array<string>, target string, transform string")
+
+    def walked():
+        out = []
+        for direction in ("down", "both"):
+            got = graph.lineage(s, "n5", direction, 2)
+            out.append((sorted(map(tuple, got.nodes.collect())), sorted(r["edge_key"] for r in got.edges.collect()), got.truncated))
+        return out, sorted((r["node"], r["hops"], r["via"]) for r in graph.blast_radius(graph.adjacency(s), "n5").collect())
+
+    few = walked()
+    monkeypatch.setattr(graph, "FRONTIER", 0)
+    assert walked() == few and len(few[1]) > 20

@@ -29,5 +29,5 @@ def stored(df: DataFrame) -> DataFrame:
     """df as a table written in the shared folder: for what is read again and again by a few of its columns."""
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    df.write.option("compression", "zstd").parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)

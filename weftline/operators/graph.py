@@ -6,11 +6,11 @@ import itertools
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import names, rules
-from weftline.operators.checkpoints import cut
+from weftline.operators.checkpoints import cut, stored
 from weftline.operators.ordered import numbered
 
 MAX_DEPTH = 5
@@ -37,34 +37,74 @@ def _depth(depth: int) -> None:
 
 
 def _steps(edges: DataFrame, direction: str, key: str) -> DataFrame:
-    """(a, b, key, sources, target): from a node over an edge to a node, in the direction asked for, and the edge's ends."""
+    """(a, down, key, sources, target): from a node over an edge, in the direction asked for, to the ends that ``_ahead`` gives; one row for each node and edge."""
     if direction not in ("down", "up", "both"):
         raise ValueError("direction must be up, down or both")
     own = edges.select(key, "sources", "target")
-    down = own.select(F.explode("sources").alias("a"), F.col("target").alias("b"), key, "sources", "target")
-    up = own.select(F.col("target").alias("a"), F.explode("sources").alias("b"), key, "sources", "target")
+    down = own.select(F.explode("sources").alias("a"), F.lit(True).alias("down"), key, "sources", "target")
+    up = own.select(F.col("target").alias("a"), F.lit(False).alias("down"), key, "sources", "target")
     return {"down": down, "up": up, "both": down.unionByName(up)}[direction]
 
 
-#: Nodes of a frontier that are broadcast to the edges; a larger one is joined.
+def _ahead() -> Column:
+    """The ends that a step of ``_steps`` leads to."""
+    return F.when(F.col("down"), F.array("target")).otherwise(F.col("sources"))
+
+
+#: Nodes of a frontier that are broadcast to the edges; of a larger one a bitmap is broadcast, and what passes is joined.
 FRONTIER = 100_000
+#: Most bits of such a bitmap: 32 MB.
+BITS = 1 << 28
+
+
+def sifted(rows: DataFrame, on: str, nodes: DataFrame, size: int) -> DataFrame:
+    """All rows whose ``on`` is one of nodes (node), and few others: those whose hash has the place of a node's in a bitmap, which is broadcast. size: about how many nodes there are.
+
+    What a join would drop is not shuffled to it. A bitmap for many more nodes than it has bits for lets more rows pass, it loses none.
+    """
+    bits = min(BITS, max(1 << 15, 1 << (16 * size).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    # as functions of SQL make and number them: 2**15 bits a row
+    maps = nodes.select(place("node").alias("p")).groupBy(F.shiftright("p", 15).alias("part_")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(32767)).alias("map_"))
+    found = rows.withColumn("p_", place(on)).withColumn("part_", F.shiftright("p_", 15)).join(F.broadcast(maps), "part_")
+    bit = F.col("p_").bitwiseAND(32767).cast("int")
+    byte = F.conv(F.hex(F.substring("map_", F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return found.where(F.getbit(byte, bit.bitwiseAND(7)) == 1).select(*rows.columns)
+
+
+def among(rows: DataFrame, on: str, nodes: DataFrame, size: int) -> DataFrame:
+    """The rows whose ``on`` is one of nodes (node), each once, of which there are about ``size``."""
+    if size <= FRONTIER:
+        return rows.join(F.broadcast(nodes), F.col(on) == F.col("node"), "left_semi")
+    # an inner join: the optimizer would put a semi join before the bitmap's
+    return sifted(rows, on, nodes, size).join(nodes.select(F.col("node").alias("node_")), F.col(on) == F.col("node_")).select(*rows.columns)
+
+
+class Level(NamedTuple):
+    """met: (key, down, sources, target) of the steps of one hop, stored; frontier: (node) that are walked on from; size: how many ends they lead to at most."""
+
+    met: DataFrame
+    frontier: DataFrame
+    size: int
+
+
+def _nodes(level: Level) -> DataFrame:
+    return level.met.select(F.explode(F.concat("sources", F.array("target"))).alias("node"))
 
 
-def _levels(edges: DataFrame, subject: str, direction: str, depth: int, key: str) -> list[tuple[DataFrame, DataFrame]]:
-    """For each hop what was met, (node, key, walked), as a checkpoint, and the nodes (node) that are walked on from; the last hop may be empty."""
+def _levels(edges: DataFrame, subject: str, direction: str, depth: int, key: str) -> list[Level]:
+    """What each hop met; the last one may have met nothing."""
     steps = _steps(edges, direction, key)
     frontier = edges.sparkSession.createDataFrame([(subject,)], "node string")
     out, seen, size = [], [frontier], 1
     for _ in range(depth):
-        on = F.broadcast(frontier) if size <= FRONTIER else frontier
-        met = steps.join(on, F.col("a") == F.col("node"), "left_semi")
-        # the edge's own row has its ends: the graph is read once a level
-        level = cut(met.select(key, "b", F.explode(F.concat("sources", F.array("target"))).alias("node")).groupBy("node", key).agg(F.max(F.col("node") == F.col("b")).alias("walked")))
-        size = level.count()  # of the edges' ends that were met: an upper bound of the next frontier
+        # a step's own row has its edge's ends: the graph is read once a level, and only what is met is moved
+        met = stored(among(steps, "a", frontier, size).select(key, "down", "sources", "target"))
+        size = met.agg(F.coalesce(F.sum(F.size(_ahead())), F.lit(0))).first()[0]
         known = reduce(DataFrame.unionByName, seen)
-        frontier = level.where("walked").select("node").distinct().join(known, "node", "left_anti")
-        out.append((level, frontier))
-        seen.append(level.select("node"))
+        frontier = met.select(F.explode(_ahead()).alias("node")).distinct().join(known, "node", "left_anti")
+        out.append(Level(met, frontier, size))
+        seen.append(_nodes(out[-1]))
         if not size:
             break
     return out
@@ -79,24 +119,23 @@ def lineage(edges: DataFrame, subject: str, direction: str = "down", depth: int
     _depth(depth)
     levels = _levels(edges, subject, direction, depth, key)
     start = edges.sparkSession.createDataFrame([(subject, 0)], "node string, hops int")
-    every = reduce(DataFrame.unionByName, [start, *[level.select("node", F.lit(hop).alias("hops")) for hop, (level, _) in enumerate(levels, 1)]])
+    every = reduce(DataFrame.unionByName, [start, *[_nodes(level).withColumn("hops", F.lit(hop)) for hop, level in enumerate(levels, 1)]])
     nodes = every.groupBy("node").agg(F.min("hops").alias("hops"))
-    touched = reduce(DataFrame.unionByName, [level.select(key) for level, _ in levels]).distinct()
-    return Lineage(nodes, edges.join(touched, key, "left_semi"), len(levels) == depth and _leads_on(edges, levels[-1][1], direction, key))
+    touched = reduce(DataFrame.unionByName, [level.met.select(F.col(key).alias("node")) for level in levels]).distinct()
+    return Lineage(nodes, among(edges, key, touched, sum(level.size for level in levels)), len(levels) == depth and _leads_on(edges, levels[-1], direction, key))
 
 
-def _leads_on(edges: DataFrame, frontier: DataFrame, direction: str, key: str) -> bool:
-    return not _steps(edges, direction, key).join(frontier, F.col("a") == F.col("node"), "left_semi").isEmpty()
+def _leads_on(edges: DataFrame, last: Level, direction: str, key: str) -> bool:
+    return last.size > 0 and not among(_steps(edges, direction, key).select("a"), "a", last.frontier, last.size).isEmpty()
 
 
 def truncated(edges: DataFrame, subject: str, direction: str = "down", depth: int = MAX_DEPTH, key: str = "edge_key") -> list[bool]:
     """Whether a lineage of depth 1, 2, ... would be truncated, from one walk."""
     _depth(depth)
     levels = _levels(edges, subject, direction, depth, key)
-    sizes = [level.count() for level, _ in levels]
     # edges lead on from a level's frontier just where the next level met some
-    inside = [n > 0 for n in sizes[1:]]
-    last = len(levels) == depth and _leads_on(edges, levels[-1][1], direction, key)
+    inside = [level.size > 0 for level in levels[1:]]
+    last = len(levels) == depth and _leads_on(edges, levels[-1], direction, key)
     return (inside + [last] + [False] * depth)[:depth]
 
 
@@ -116,7 +155,7 @@ def paths(edges: DataFrame, subject: str, depth: int, limit: int, direction: str
     _depth(depth)
     if not 1 <= limit <= 10_000:
         raise ValueError("limit must be from 1 to 10000")
-    steps = _steps(edges, direction, key).drop("sources", "target").join(edges.select(key, F.col("band_at").alias("own")), key)
+    steps = _steps(edges, direction, key).select("a", F.explode(_ahead()).alias("b"), key).join(edges.select(key, F.col("band_at").alias("own")), key)
     level = edges.sparkSession.createDataFrame([(subject, [], len(rules.BANDS) - 1)], "node string, via array<string>, band_at int")
     out, left, more = level.where(F.lit(False)).withColumn("path_length", F.lit(0)), limit, False
     order = ["via", "node"] if by_via else ["node", "via"]
