@@ -64,10 +64,11 @@ def sifted(rows: DataFrame, on: str, nodes: DataFrame, size: int) -> DataFrame:
     """
     bits = min(BITS, max(1 << 15, 1 << (16 * size).bit_length()))
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    # as functions of SQL make and number them: 2**15 bits a row
-    maps = nodes.select(place("node").alias("p")).groupBy(F.shiftright("p", 15).alias("part_")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(32767)).alias("map_"))
-    found = rows.withColumn("p_", place(on)).withColumn("part_", F.shiftright("p_", 15)).join(F.broadcast(maps), "part_")
-    bit = F.col("p_").bitwiseAND(32767).cast("int")
+    # as functions of SQL make and number them, 2**15 bits a row; dealt out in pieces of 64 bytes, as a row's piece is copied to be looked into
+    maps = nodes.select(place("node").alias("p")).groupBy(F.shiftright("p", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(32767)).alias("map"))
+    pieces = maps.select("part", "map", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i")).select((F.col("part") * 64 + F.col("i")).alias("part_"), F.substring("map", F.col("i") * 64 + 1, F.lit(64)).alias("map_"))
+    found = rows.withColumn("p_", place(on)).withColumn("part_", F.shiftright("p_", 9)).join(F.broadcast(pieces), "part_")
+    bit = F.col("p_").bitwiseAND(511).cast("int")
     byte = F.conv(F.hex(F.substring("map_", F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
     return found.where(F.getbit(byte, bit.bitwiseAND(7)) == 1).select(*rows.columns)
 
@@ -235,20 +236,25 @@ def impact_truncated(adjacent: DataFrame, subjects: DataFrame, affected: DataFra
 def blast_radius(adjacent: DataFrame, seed: str) -> DataFrame:
     """(node, dataset, hops, severity, via) of everything that a seed reaches, to the fixpoint; via: the transforms on the way.
 
-    adjacent: (source, target, transform). A dataset also reaches the targets of its elements (one way). Of several ways of the fewest hops that of the
+    adjacent: (source, target, transform), read once a level. A dataset also reaches the targets of its elements (one way). Of several ways of the fewest hops that of the
     parent found first counts, of one parent the smallest transform: so each level is ranked by (parent's rank, node).
     """
     spark = adjacent.sparkSession
+    # only the steps that a frontier takes are moved; of one parent's steps to a node the smallest way is that of the smallest transform
     own = adjacent.select("source", "target", F.coalesce("transform", F.lit("")).alias("transform"))
-    bridge = own.where(F.col("source").contains("#")).select(names.dataset_of(F.col("source")).alias("source"), "target", "transform")
-    steps = cut(own.unionByName(bridge).groupBy("source", "target").agg(F.min("transform").alias("transform")))
+    bridge = own.where(F.col("source").contains("#")).withColumn("source", names.dataset_of(F.col("source")))
+    sets = "#" not in seed  # whether there are datasets in the frontier
     reached = spark.createDataFrame([(seed, 0, [])], "node string, hops int, via array<string>")
-    frontier = reached.select("node", "via").withColumn("rank", F.lit(1).cast("bigint"))
+    frontier, size = reached.select("node", "via").withColumn("rank", F.lit(1).cast("bigint")), 1
     for hop in itertools.count(1):
-        met = frontier.withColumnRenamed("node", "source").join(steps, "source").select(F.col("target").alias("node"), "rank", F.concat("via", F.array("transform")).alias("via"))
+        few, steps = size <= FRONTIER, own.unionByName(bridge) if sets else own
+        taken = steps if few else sifted(steps, "source", frontier.select("node"), size)
+        ahead = frontier.withColumnRenamed("node", "source")
+        met = taken.join(F.broadcast(ahead) if few else ahead, "source").select(F.col("target").alias("node"), "rank", F.concat("via", F.array("transform")).alias("via"))
         best = met.join(reached.select("node"), "node", "left_anti").groupBy("node").agg(F.min(F.struct("rank", "via")).alias("best"))
         level = cut(best.select("node", F.col("best.via").alias("via"), F.col("best.rank").alias("parent")))
-        if level.isEmpty():
+        size, sets = level.agg(F.count("*"), F.coalesce(F.bool_or(~F.col("node").contains("#")), F.lit(False))).first()
+        if not size:
             break
         frontier = numbered(level, ["parent", "node"], name="rank").select("node", "via", "rank")
         reached = reached.unionByName(level.select("node", F.lit(hop).alias("hops"), "via"))
