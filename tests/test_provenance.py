@@ -43,3 +43,13 @@ def test_chains_keep_no_ways_between_queries(spark, monkeypatch):
     held.clear()
     told = provenance.residue(spark.createDataFrame([("s", *r) for r in rows], SCHEMA), spark.createDataFrame([("t", "a")], "table string, column string"))
     assert [(r["query"], r["column"], r["code"]) for r in told.collect()] == [("q0", "w", "unknown-table-column")] and len(held) == 1
+
+
+def test_what_is_read_is_judged_without_joins(spark):
+    rows = [("s", "q", 1, 0, "x", "t", "a"), ("s", "q", 1, 0, "y", "t", "b"), ("s", "q", 2, 0, "z", "u", "a"), ("s", "r", 1, 0, "v", "q", "y"), ("s", None, 1, 0, "v", None, "v"), ("s", "n", 1, None, "v", "t", "a"), ("s", "m", 1, 0, None, "t", "a")]
+    judged, wide = provenance._judged(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([("t", "a"), ("t", "b"), ("u", "a")], "table string, column string"))
+    # a position of two names has both; where a key is null nothing has a name
+    assert sorted((r["query"], r["column"], r["source"], r["inner"], r["code"]) for r in judged.collect()) == sorted([("q", n, t, False, None) for n in "xy" for t in "tu"] + [("q", n, "t", False, None) for n in "xy"] + [("r", "v", "q", True, None)])
+    assert sorted((r["query"] or "", r["source"] or "") for r in wide.collect()) == [("", ""), ("m", "t"), ("n", "t")]
+    # the tables' columns come by the only join
+    assert judged._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1

@@ -7,7 +7,7 @@ rounds as its length has binary digits.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators.checkpoints import cut
@@ -18,24 +18,30 @@ _OWN, _FROM = ["statement", "query", "column"], ["source", "source_column"]
 def _named(projections: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Projections under their output's name, which a union has from its first branch; and those beyond that branch's width.
 
-    A query's own outputs, as many as it has columns, come to its projections by one join.
+    Windows, all of which one shuffle by statement (or by statement and query) serves.
     """
-    outputs = projections.groupBy("statement", "query").agg(F.min("branch").alias("first"), F.collect_set(F.struct("branch", "position", "column")).alias("outputs"))
-    names = outputs.select("statement", "query", F.filter("outputs", lambda o: o["branch"] == F.col("first")).alias("outputs"))
-    own = projections.join(names, ["statement", "query"], "left").withColumn("names", F.transform(F.filter("outputs", lambda o: o["position"] == F.col("position")), lambda o: o["column"]))
-    named = own.select("statement", "query", F.explode("names").alias("column"), *_FROM).where(F.col("column").isNotNull())
-    return named.distinct(), own.where((F.coalesce(F.size("names"), F.lit(0)) <= 0) | F.exists("names", lambda n: n.isNull())).select(*_OWN, *_FROM)
+    whole, place = Window.partitionBy("statement", "query"), Window.partitionBy("statement", "query", "position")
+    keyed = F.col("statement").isNotNull() & F.col("query").isNotNull() & F.col("position").isNotNull()
+    first = keyed & (F.col("branch") == F.col("first"))
+    own = projections.withColumn("first", F.min("branch").over(whole)).withColumns({"names": F.collect_set(F.when(first, F.col("column"))).over(place), "unnamed": F.max(F.coalesce(first, F.lit(False)) & F.col("column").isNull()).over(place)})
+    named = own.select("statement", "query", F.explode("names").alias("column"), *_FROM)
+    return named.distinct(), own.where((F.size("names") == 0) | F.col("unnamed")).select(*_OWN, *_FROM)
 
 
 def _judged(projections: DataFrame, columns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Named projections with inner, whether they read a query, and code; and those beyond a union's width."""
+    """Named projections with inner, whether they read a query, and code; and those beyond a union's width.
+
+    What a statement makes and what it reads are rows beside one another, so that what is read is found by windows, without a join.
+    """
     named, wide = _named(projections)
-    named = cut(named)
-    queries = named.groupBy("statement", F.col("query").alias("source")).agg(F.collect_set("column").alias("outputs"))
+    sides = F.array(F.struct(F.col("query").alias("name"), F.col("column").alias("item"), F.lit(True).alias("made")), F.struct(F.col("source").alias("name"), F.col("source_column").alias("item"), F.lit(False).alias("made")))
+    keyed = F.col("statement").isNotNull() & F.col("name").isNotNull()
+    beside = named.select(*_OWN, *_FROM, F.inline(sides))
+    found = beside.withColumns({"inner": F.max(F.col("made") & keyed).over(Window.partitionBy("statement", "name")), "there": F.max("made").over(Window.partitionBy("statement", "name", "item"))})
     tables = columns.groupBy(F.col("table").alias("source")).agg(F.collect_set("column").alias("held"))
-    judged = named.join(queries, ["statement", "source"], "left").join(tables, "source", "left")
-    inner, lacks = F.col("outputs").isNotNull(), lambda c: ~F.coalesce(F.array_contains(c, F.col("source_column")), F.lit(False))
-    code = F.when(inner & lacks("outputs"), "unknown-query-column").when(~inner & F.col("held").isNull(), "unknown-table").when(~inner & lacks("held"), "unknown-table-column")
+    judged = found.where("NOT made").join(tables, "source", "left")
+    inner, lacks = F.col("inner"), ~F.coalesce(F.array_contains("held", F.col("source_column")), F.lit(False))
+    code = F.when(inner & ~F.col("there"), "unknown-query-column").when(~inner & F.col("held").isNull(), "unknown-table").when(~inner & lacks, "unknown-table-column")
     return judged.select(*_OWN, *_FROM, inner.alias("inner"), code.alias("code")), wide
 
 
@@ -45,7 +51,7 @@ def _told(judged: DataFrame, wide: DataFrame) -> DataFrame:
 
 def residue(projections: DataFrame, columns: DataFrame) -> DataFrame:
     """The residue of ``column_provenance`` alone: it is told where it is written, so nothing is walked."""
-    return _told(*_judged(projections, columns))
+    return cut(_told(*_judged(projections, columns)))
 
 
 def column_provenance(projections: DataFrame, columns: DataFrame) -> tuple[DataFrame, DataFrame]:
