@@ -332,3 +332,15 @@ def test_walks_are_alike_with_and_without_broadcasts(spark, monkeypatch):
     few = walked()
     monkeypatch.setattr(graph, "FRONTIER", 0)
     assert walked() == few and len(few[1]) > 20
+
+
+def test_only_crowded_groups_are_dealt_into_ranges(spark, monkeypatch):
+    ranged = []
+    own = ordered._ranged
+    monkeypatch.setattr(ordered, "_ranged", lambda rows, *a: (ranged.append(rows.count()), own(rows, *a))[1])
+    monkeypatch.setattr(ordered, "CROWD", 100)
+    rows = spark.createDataFrame([("hot" if i % 2 else f"g{i % 10}", i) for i in range(400)] + [("hot", 1), ("g0", 0)], "g string, i int").repartition(5)
+    got = {(r["g"], r["i"], r["nth"]) for r in ordered.numbered(rows, ["i"], by=["g"], once=True).collect()}
+    assert got == {("hot", i, i // 2 + 1) for i in range(1, 400, 2)} | {(f"g{i % 10}", i, i // 10 + 1) for i in range(0, 400, 2)}
+    assert ranged == [200]
+    assert ordered.numbered(rows.where("g <> 'hot'"), ["i"], by=["g"], once=True).count() == 200 and ranged == [200]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import names, rules
-from weftline.operators.checkpoints import cut
+from weftline.operators.checkpoints import stored
 from weftline.operators.ordered import numbered
 
 
@@ -78,7 +78,7 @@ def consolidate(claims: DataFrame) -> DataFrame:
 
 def ledger(claims: DataFrame) -> DataFrame:
     """A7 from nothing: the version that each provenance_id gives its edge: 1, 2, ... in order of provenance_id."""
-    return numbered(with_key(claims).select("edge_key", "provenance_id").distinct(), ["provenance_id"], by=["edge_key"], name="version")
+    return numbered(with_key(claims).select("edge_key", "provenance_id"), ["provenance_id"], by=["edge_key"], name="version", once=True)
 
 
 def last_versions(claims: DataFrame) -> DataFrame:
@@ -92,11 +92,11 @@ def merged(known: DataFrame, claims: DataFrame, order: str = "provenance_id") ->
     A provenance_id that its edge already has changes nothing, and among the new ones only the first of each counts; every other claim gives
     its edge the next version.
     """
-    known = cut(known.select("edge_key", "provenance_id", "version"))
+    known = stored(known.select("edge_key", "provenance_id", "version"))
     keyed = with_key(claims).groupBy("edge_key", "provenance_id").agg(F.min(order).alias("at_"))
     new = keyed.join(known.select("edge_key", "provenance_id"), ["edge_key", "provenance_id"], "left_anti")
     top = known.groupBy("edge_key").agg(F.max("version").alias("top_"))
-    placed = numbered(new, ["at_", "provenance_id"], by=["edge_key"], name="nth_").join(top, "edge_key", "left")
+    placed = numbered(new, ["at_", "provenance_id"], by=["edge_key"], name="nth_", counted=with_key(claims).select("edge_key")).join(top, "edge_key", "left")
     added = placed.select("edge_key", "provenance_id", (F.coalesce("top_", F.lit(0)) + F.col("nth_")).alias("version"), F.lit(True).alias("fresh"))
     return known.select("edge_key", "provenance_id", F.col("version").cast("bigint"), F.lit(False).alias("fresh")).unionByName(added)
 

@@ -14,12 +14,33 @@ from pyspark.sql import functions as F
 from weftline.operators.checkpoints import cut
 
 
-def numbered(rows: DataFrame, order: list[str], by: list[str] | None = None, value: str | None = None, name: str = "nth") -> DataFrame:
+#: Groups are counted by as many hashes; those of a hash with more rows than CROWD are numbered by ranges, the others by one window.
+HASHES = 1 << 16
+CROWD = 1_000_000
+
+
+def numbered(rows: DataFrame, order: list[str], by: list[str] | None = None, value: str | None = None, name: str = "nth", counted: DataFrame | None = None, once: bool = False) -> DataFrame:
     """rows with the running number (or, with ``value``, the running sum of it) in order, for each group of ``by``.
 
-    order must tell any two rows of a group apart. The ranges are checkpointed, so that each row keeps its range.
+    order must tell any two rows of a group apart. counted: (by) at least as often as in rows, if that is easier to read than rows are. once: rows may
+    come again, which counts once.
     """
-    by = by or []
+    if not by:
+        return _ranged(rows.distinct() if once else rows, order, [], value, name)
+    crowd = F.pmod(F.xxhash64(*by), F.lit(HASHES))
+    many = [r["h"] for r in (rows if counted is None else counted).select(crowd.alias("h")).groupBy("h").count().where(F.col("count") > CROWD).select("h").collect()]
+    each = F.lit(1).cast("bigint") if value is None else F.col(value)
+    # one shuffle serves the repeats and the window
+    one = lambda df: (df.repartition(*by).distinct() if once else df).withColumn(name, F.sum(each).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    if not many:
+        return one(rows)
+    crowded = crowd.isin(many)
+    rest = rows.where(crowded)
+    return one(rows.where(~crowded)).unionByName(_ranged(rest.distinct() if once else rest, order, by, value, name))
+
+
+def _ranged(rows: DataFrame, order: list[str], by: list[str], value: str | None, name: str) -> DataFrame:
+    """``numbered`` for groups of any size. The ranges are checkpointed, so that each row keeps its range."""
     dealt = cut(rows.repartitionByRange(*by, *order).withColumn("range_", F.spark_partition_id()))
     each = F.lit(1).cast("bigint") if value is None else F.col(value)
     totals = dealt.groupBy(*by, "range_").agg(F.sum(each).alias("total_"))
