@@ -344,3 +344,36 @@ def test_only_crowded_groups_are_dealt_into_ranges(spark, monkeypatch):
     assert got == {("hot", i, i // 2 + 1) for i in range(1, 400, 2)} | {(f"g{i % 10}", i, i // 10 + 1) for i in range(0, 400, 2)}
     assert ranged == [200]
     assert ordered.numbered(rows.where("g <> 'hot'"), ["i"], by=["g"], once=True).count() == 200 and ranged == [200]
+
+
+def test_claims_of_edges_go_into_tasks_by_their_number(spark, small, monkeypatch):
+    claims, ends = inputs.assertions(spark, small), inputs.assertion_ends(spark, small)
+    rows = lambda df: sorted(map(str, df.collect()))
+    first, n = rows(consolidate.consolidate(claims, ends)), claims.count()
+    assert n == ends.count()
+    monkeypatch.setattr(ordered, "ROWS_A_TASK", 500)
+    dealt = inputs.assertions(spark, small)
+    edges = consolidate.consolidate(dealt, ends)
+    assert dealt.rdd.getNumPartitions() == edges.rdd.getNumPartitions() == -(-n // 500)
+    assert max(r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()) < 1000
+    assert max(r["n"] for r in edges.groupBy(F.spark_partition_id()).agg(F.sum("n_claims").alias("n")).collect()) < 1000
+    assert rows(edges) == rows(consolidate.consolidate(dealt)) == first
+
+
+def test_claims_of_a_crowded_edge_are_combined_before_they_are_shuffled(spark, small, monkeypatch):
+    some = inputs.assertions(spark, small).limit(300).localCheckpoint()
+    hot = some.withColumns({"sources": F.array(F.lit("urn:ldp:e:p:s:b"), F.lit("urn:ldp:e:p:s:a")), "target": F.lit("urn:ldp:e:p:s:c"), "edge_type": F.lit("READS")})
+    turned = hot.withColumns({"sources": F.reverse("sources"), "provenance_id": F.concat("provenance_id", F.lit("-"))})
+    claims = some.unionByName(hot).unionByName(turned).repartition(5)
+    rows = lambda df: sorted(map(str, df.collect()))
+    plain = rows(consolidate.consolidate(claims))
+    monkeypatch.setattr(ordered, "CROWD", 100)
+    edges = consolidate.consolidate(claims)
+    assert rows(edges) == plain and [r["n_claims"] for r in edges.where("edge_type = 'READS'").collect()] == [600]
+    # the rest is dealt by its key as it is; of the crowded edge each task sends one row
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString().splitlines()
+    whole = lambda df: {"REPARTITION_BY_NUM" in line for line in plan(df) if "Exchange hashpartitioning(edge_key" in line}
+    assert whole(edges) == {True, False} and whole(consolidate.consolidate(some)) == {True}
+    ends = [F.array_sort("sources"), "target", "edge_type"]
+    assert claims.where(ordered.crowds(claims, ends)[1]).count() == 600
+    assert ordered.crowds(some, ends) == (300, None) and ordered.crowds(some.limit(0), ends) == (0, None)

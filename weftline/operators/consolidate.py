@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import names, rules
 from weftline.operators.checkpoints import stored
-from weftline.operators.ordered import numbered
+from weftline.operators.ordered import crowds, numbered, shares
 
 
 def deduplicated(claims: DataFrame) -> DataFrame:
@@ -37,13 +38,24 @@ def with_key(claims: DataFrame) -> DataFrame:
     return claims.withColumn("edge_key", rules.edge_key(F.col("sources"), F.col("target"), F.col("edge_type")))
 
 
-def consolidate(claims: DataFrame) -> DataFrame:
+def _by_edge(claims: DataFrame, counted: DataFrame | None, grouped: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``grouped`` of keyed claims, by edge_key, in as many tasks as their number asks for. Edges of a hash with many claims are combined before they are shuffled, so that no task gets all claims of one.
+
+    counted: (sources, target, edge_type) of the claims, at least as often, if that is easier to read than claims are.
+    """
+    n, crowded = crowds(claims if counted is None else counted, [F.array_sort("sources"), "target", "edge_type"])
+    lone = lambda df: grouped(df.repartition(shares(df.sparkSession, n), "edge_key"))
+    keyed = with_key(claims)
+    return lone(keyed) if crowded is None else lone(keyed.where(~crowded)).unionByName(grouped(keyed.where(crowded)))
+
+
+def consolidate(claims: DataFrame, counted: DataFrame | None = None) -> DataFrame:
     """A1-A5: one edge for each (sources, target, edge_type).
 
     Runtime counts as a mechanism only for complete sessions that observed elements. An edge without any counting
     mechanism has a null band (to be quarantined). The transform is that of the first exact SCA claim by
     provenance_id, else of the first SCA or LLM claim; none if their normalised transforms conflict. Its system is that of its target, or of
-    the first governed source where the target is a service.
+    the first governed source where the target is a service. counted: as ``_by_edge`` takes it.
     """
     complete_runtime = (F.col("mechanism") == "RUNTIME") & F.col("session_complete")
     static = F.col("mechanism") != "RUNTIME"
@@ -52,7 +64,7 @@ def consolidate(claims: DataFrame) -> DataFrame:
     normal = F.when(given, rules.normal_transform(F.col("transform")))
     rank = F.when(given, F.struct((~((F.col("mechanism") == "SCA") & F.col("exact"))).cast("int").alias("later"), F.col("provenance_id")))
     # one aggregate without DISTINCT: two normalised transforms differ if their smallest and largest do
-    grouped = with_key(claims).withColumn("normal", normal).groupBy("edge_key").agg(
+    grouped = _by_edge(claims, counted, lambda keyed: keyed.withColumn("normal", normal).groupBy("edge_key").agg(
         F.min_by(F.struct("sources", "target", "edge_type"), "provenance_id").alias("e"),
         has(F.col("mechanism") == "SCA").alias("sca"),
         has(F.col("mechanism") == "LLM").alias("llm"),
@@ -62,7 +74,7 @@ def consolidate(claims: DataFrame) -> DataFrame:
         F.min_by("transform", rank).alias("first_transform"),
         has((F.col("mechanism") == "SCA") & F.col("exact") & F.col("transform").isNotNull()).alias("exact_sca"),
         F.count("*").alias("n_claims"),
-    )
+    ))
     governed = F.when(F.col("e.target").startswith("urn:ldp:"), F.col("e.target")).otherwise(F.get(F.filter("e.sources", lambda x: x.startswith("urn:ldp:")), 0))
     return grouped.select(
         "edge_key", F.array_sort("e.sources").alias("sources"), "e.target", "e.edge_type",

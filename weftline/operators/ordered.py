@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.operators.checkpoints import cut
@@ -17,6 +17,24 @@ from weftline.operators.checkpoints import cut
 #: Groups are counted by as many hashes; those of a hash with more rows than CROWD are numbered by ranges, the others by one window.
 HASHES = 1 << 16
 CROWD = 1_000_000
+#: A task that sorts or hashes whole rows takes about as many of them.
+ROWS_A_TASK = 500_000
+
+
+def shares(spark: SparkSession, n: int) -> int:
+    """Into how many tasks n rows go, so that a task's memory does not grow with them."""
+    return max(spark.sparkContext.defaultParallelism, -(-n // ROWS_A_TASK))
+
+
+def _hash(by: list) -> Column:
+    return F.pmod(F.xxhash64(*by), F.lit(HASHES))
+
+
+def crowds(rows: DataFrame, by: list) -> tuple[int, Column | None]:
+    """How many rows there are, and whether a row's ``by`` has one of the hashes that more than CROWD rows have; none if no hash has."""
+    counts = rows.select(_hash(by).alias("h")).groupBy("h").count()
+    n, many = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.collect_list(F.when(F.col("count") > CROWD, F.col("h")))).first()
+    return n, _hash(by).isin(many) if many else None
 
 
 def numbered(rows: DataFrame, order: list[str], by: list[str] | None = None, value: str | None = None, name: str = "nth", counted: DataFrame | None = None, once: bool = False) -> DataFrame:
@@ -27,14 +45,12 @@ def numbered(rows: DataFrame, order: list[str], by: list[str] | None = None, val
     """
     if not by:
         return _ranged(rows.distinct() if once else rows, order, [], value, name)
-    crowd = F.pmod(F.xxhash64(*by), F.lit(HASHES))
-    many = [r["h"] for r in (rows if counted is None else counted).select(crowd.alias("h")).groupBy("h").count().where(F.col("count") > CROWD).select("h").collect()]
+    _, crowded = crowds(rows if counted is None else counted, by)
     each = F.lit(1).cast("bigint") if value is None else F.col(value)
     # one shuffle serves the repeats and the window
     one = lambda df: (df.repartition(*by).distinct() if once else df).withColumn(name, F.sum(each).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-    if not many:
+    if crowded is None:
         return one(rows)
-    crowded = crowd.isin(many)
     rest = rows.where(crowded)
     return one(rows.where(~crowded)).unionByName(_ranged(rest.distinct() if once else rest, order, by, value, name))
 

@@ -35,7 +35,7 @@ BY_PART = (SQL_ASSERTIONS, KEYED, CONSOLIDATED)
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    return c.consolidate(inputs.assertions(spark, d))
+    return c.consolidate(inputs.assertions(spark, d), inputs.assertion_ends(spark, d))
 
 
 @query("SELECT * FROM consolidated", *BY_PART)
