@@ -358,6 +358,7 @@ def test_claims_of_edges_go_into_tasks_by_their_number(spark, small, monkeypatch
     assert max(r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()) < 1000
     assert max(r["n"] for r in edges.groupBy(F.spark_partition_id()).agg(F.sum("n_claims").alias("n")).collect()) < 1000
     assert rows(edges) == rows(consolidate.consolidate(dealt)) == first
+    assert consolidate.compose(dealt, ends).rdd.getNumPartitions() == -(-n // 500)
 
 
 def test_claims_of_a_crowded_edge_are_combined_before_they_are_shuffled(spark, small, monkeypatch):

@@ -157,18 +157,18 @@ def latest(rows: DataFrame, key: str, version: str) -> DataFrame:
     return best.select(key, "row.*")
 
 
-def compose(edges: DataFrame) -> DataFrame:
+def compose(edges: DataFrame, counted: DataFrame | None = None) -> DataFrame:
     """Edges of several repositories by (sources, target, edge_type): who contributes, by which claims, and whether transforms differ.
 
     What the edges hold beside that comes from the first repository's smallest claim. One grouping by the edge's key; the lists are as long as an edge's own
-    witnesses.
+    witnesses. counted: as ``_by_edge`` takes it.
     """
-    return with_key(edges).groupBy("edge_key").agg(
+    return _by_edge(edges, counted, lambda keyed: keyed.groupBy("edge_key").agg(
         F.min_by(F.struct(F.array_sort("sources").alias("sources"), "target", "edge_type"), F.struct("repository", "provenance_id")).alias("e"),
         F.array_sort(F.collect_set("repository")).alias("contributed_by"),
         F.array_sort(F.collect_set("provenance_id")).alias("provenance_ids"),
         F.array_sort(F.collect_set("transform")).alias("transforms"),
-    ).select("edge_key", "e.*", "contributed_by", "provenance_ids", "transforms", (F.size("transforms") > 1).alias("transform_conflict"))
+    )).select("edge_key", "e.*", "contributed_by", "provenance_ids", "transforms", (F.size("transforms") > 1).alias("transform_conflict"))
 
 
 def _ends(edges: DataFrame) -> DataFrame:

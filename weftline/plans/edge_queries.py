@@ -93,7 +93,7 @@ def c15_z6_late_claims(spark, d):
 @query("""SELECT source, target, array_to_string(list_sort(list(DISTINCT repository)), ',') AS contributed_by, array_to_string(list_sort(list(DISTINCT transform) FILTER (WHERE transform IS NOT NULL)), ',') AS transforms,
     array_to_string(list_sort(list(DISTINCT provenance_id)), ',') AS provenance_ids, count(DISTINCT transform) > 1 AS transform_conflict FROM assertions GROUP BY source, target, edge_type""", SQL_ASSERTIONS)
 def a8_compose(spark, d):
-    made, joined = c.compose(inputs.assertions(spark, d)), lambda c: F.array_join(c, ",").alias(c)
+    made, joined = c.compose(inputs.assertions(spark, d), inputs.assertion_ends(spark, d)), lambda c: F.array_join(c, ",").alias(c)
     return made.select(F.array_join("sources", ",").alias("source"), "target", joined("contributed_by"), F.nullif(F.array_join("transforms", ","), F.lit("")).alias("transforms"), joined("provenance_ids"), "transform_conflict")
 
 
