@@ -358,7 +358,7 @@ def test_claims_of_edges_go_into_tasks_by_their_number(spark, small, monkeypatch
     assert max(r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()) < 1000
     assert max(r["n"] for r in edges.groupBy(F.spark_partition_id()).agg(F.sum("n_claims").alias("n")).collect()) < 1000
     assert rows(edges) == rows(consolidate.consolidate(dealt)) == first
-    assert consolidate.compose(dealt, ends).rdd.getNumPartitions() == -(-n // 500)
+    assert consolidate.compose(dealt, ends).rdd.getNumPartitions() == consolidate.last_versions(dealt, ends).rdd.getNumPartitions() == -(-n // 500)
 
 
 def test_claims_of_a_crowded_edge_are_combined_before_they_are_shuffled(spark, small, monkeypatch):
@@ -367,9 +367,10 @@ def test_claims_of_a_crowded_edge_are_combined_before_they_are_shuffled(spark, s
     turned = hot.withColumns({"sources": F.reverse("sources"), "provenance_id": F.concat("provenance_id", F.lit("-"))})
     claims = some.unionByName(hot).unionByName(turned).repartition(5)
     rows = lambda df: sorted(map(str, df.collect()))
-    plain = rows(consolidate.consolidate(claims))
+    plain, last = rows(consolidate.consolidate(claims)), rows(consolidate.last_versions(claims))
     monkeypatch.setattr(ordered, "CROWD", 100)
     edges = consolidate.consolidate(claims)
+    assert rows(consolidate.last_versions(claims)) == last
     assert rows(edges) == plain and [r["n_claims"] for r in edges.where("edge_type = 'READS'").collect()] == [600]
     # the rest is dealt by its key as it is; of the crowded edge each task sends one row
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString().splitlines()

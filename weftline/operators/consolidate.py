@@ -93,9 +93,10 @@ def ledger(claims: DataFrame) -> DataFrame:
     return numbered(with_key(claims).select("edge_key", "provenance_id"), ["provenance_id"], by=["edge_key"], name="version", once=True)
 
 
-def last_versions(claims: DataFrame) -> DataFrame:
-    """J11 over ``ledger``: each edge's last row of it, by one aggregate: versions are counts, so the last is how many there are."""
-    return with_key(claims).select("edge_key", "provenance_id").distinct().groupBy("edge_key").agg(F.max("provenance_id").alias("provenance_id"), F.count("*").alias("version"))
+def last_versions(claims: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+    """J11 over ``ledger``: each edge's last row of it, by one aggregate: versions are counts, so the last is how many there are. counted: as ``_by_edge`` takes it."""
+    last = [F.max("provenance_id").alias("provenance_id"), F.count("*").alias("version")]
+    return _by_edge(claims, counted, lambda keyed: keyed.select("edge_key", "provenance_id").distinct().groupBy("edge_key").agg(*last))
 
 
 def merged(known: DataFrame, claims: DataFrame, order: str = "provenance_id") -> DataFrame:

@@ -115,7 +115,7 @@ def a15_band_histogram(spark, d):
 @query("SELECT edge_key, arg_max(provenance_id, version) AS provenance_id, max(version) AS version FROM (SELECT edge_key, provenance_id, row_number() OVER (PARTITION BY edge_key ORDER BY provenance_id) AS version FROM keyed) GROUP BY edge_key", SQL_ASSERTIONS, KEYED)
 def j11_w1_latest(spark, d):
     """The last row of each edge's ledger, without numbering the others."""
-    return c.last_versions(inputs.assertions(spark, d))
+    return c.last_versions(inputs.assertions(spark, d), inputs.assertion_ends(spark, d))
 
 
 @query("SELECT DISTINCT k.edge_key FROM keyed k WHERE EXISTS (SELECT 1 FROM assertions a WHERE a.mechanism = 'RUNTIME' AND a.session_complete AND a.scope = 'ELEMENT' AND a.source = k.source AND a.target = k.target)", SQL_ASSERTIONS, KEYED)
