@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import itertools
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 from functools import reduce
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import names, rules
 from weftline.operators.checkpoints import cut, stored
-from weftline.operators.ordered import numbered
+from weftline.operators.ordered import crowds, numbered, shares
 
 MAX_DEPTH = 5
 #: After so many levels the union of them is cut, so that a deep chain's plan stays short.
@@ -382,12 +385,118 @@ def _longest(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return ranked
 
 
+#: Workflows of a hash with more stages are walked by joins, all others each by one task.
+WORKFLOW = 100_000
+
+
 def workflow_errors(stages: DataFrame, workflows: DataFrame) -> DataFrame:
     """(kind, stage, error) of workflow definitions: routes, bounds, reachability.
 
     stages: (kind, stage, timeout_s, max_attempts, retry_class, side_effect, on_success, on_error array<string>); workflows: (kind, entry,
     timeout_s, terminals array<string>). A route goes to a stage of its workflow or to ``terminal:`` and a declared state.
+
+    No route leaves its workflow, so stages are shuffled once, by kind, however long the ways are. Stages that already are in ``ordered.shares`` by kind are not shuffled again.
     """
+    n, crowded = crowds(stages, ["kind"], WORKFLOW)
+    if crowded is None:
+        return _errors_by_workflow(stages, workflows, n)
+    return _errors_by_workflow(stages.where(~crowded), workflows.where(~crowded), n).unionByName(_errors_by_joins(stages.where(crowded), workflows.where(crowded)))
+
+
+def _codes(tests: list[tuple[str, Column]]) -> Column:
+    return F.array_compact(F.array(*[F.when(t, c) for c, t in tests]))
+
+
+def _stage_codes() -> Column:
+    """What a stage's own row tells."""
+    return _codes([
+        ("ATTEMPTS", ~F.col("max_attempts").between(1, 5)), ("RETRY_CLASS", ~F.col("retry_class").isin("NONE", "BOUNDED_TRANSIENT")),
+        ("SIDE_EFFECT", ~F.col("side_effect").isin("PURE", "READ_ONLY", "IMMUTABLE_WRITE", "IDEMPOTENT_WRITE", "FENCED_WRITE", "CHECK_AND_AUDIT_WRITE")),
+        ("NO_SUCCESS_ROUTE", F.size("on_success") == 0), ("NO_ERROR_ROUTE", F.size("on_error") == 0),
+    ])
+
+
+def _workflow_codes(w: Callable[[str], Column], n: Column, distinct: Column, there: Column, path_s: Column) -> Column:
+    """What a workflow's definition tells, beside its number of stages and of their names, whether its entry is there, and the sum of their times."""
+    return _codes([
+        ("REPEATED_STAGE", n != distinct), ("UNKNOWN_ENTRY", ~there), ("TIMEOUT", w("timeout_s") < 1),
+        ("CRITICAL_PATH", path_s > w("timeout_s")), ("NO_TERMINAL", F.size(w("terminals")) == 0),
+    ])
+
+
+def _errors_by_workflow(stages: DataFrame, workflows: DataFrame, n: int) -> DataFrame:
+    """``workflow_errors`` of workflows of moderate size: each is a row, whose routes one task walks."""
+    own = F.struct("stage", "timeout_s", _stage_codes().alias("codes"), "on_success", "on_error").alias("s")
+    whole = stages.repartition(shares(stages.sparkSession, n), "kind").select("kind", "timeout_s", own).groupBy("kind").agg(F.collect_list("s").alias("stages"), F.sum("timeout_s").alias("path_s"))
+    # a kind may be defined more than once
+    defined = workflows.groupBy("kind").agg(F.collect_list(F.struct("entry", "timeout_s", "terminals")).alias("defs"))
+    some = lambda df, c: F.coalesce(F.col(c), F.array().cast(df.schema[c].dataType)).alias(c)
+    each = whole.join(defined, "kind", "full_outer").select("kind", "path_s", some(whole, "stages"), some(defined, "defs"))
+    names = F.col("stages.stage")
+    of_workflow = F.transform("defs", lambda d: _workflow_codes(lambda c: d[c], F.size("stages"), F.size(F.array_distinct(F.array_compact(names))), F.coalesce(F.array_contains(names, d["entry"]), F.lit(False)), F.col("path_s")))
+
+    def of_stage(s: Column) -> Column:
+        lost = lambda to: to.startswith("terminal:") & F.exists("defs", lambda d: ~F.array_contains(d["terminals"], F.regexp_replace(to, "^terminal:", "")))
+        tests = [("STAGE_TIMEOUT", F.exists("defs", lambda d: ~s["timeout_s"].between(1, d["timeout_s"]))), ("UNDECLARED_TERMINAL", F.exists(s["on_success"], lost) | F.exists(s["on_error"], lost))]
+        return F.when(F.size("defs") > 0, F.concat(s["codes"], _codes(tests))).otherwise(F.array().cast("array<string>"))
+
+    rows = each.select("kind", F.flatten(of_workflow).alias("of_workflow"), names.alias("names"), F.transform("stages", of_stage).alias("of_stage"), F.col("stages.on_success"), F.col("stages.on_error"), F.col("defs.entry").alias("entries"), F.col("defs.terminals").alias("terminals"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds, found = [], []
+            for kind, of_workflow, names, of_stage, *routes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                errors = {(None, c) for c in of_workflow} | {(name, c) for name, codes in zip(names, of_stage, strict=True) for c in codes} | _route_errors(names, *routes)
+                kinds += [kind] * len(errors)
+                found += errors
+            columns = zip(*found, strict=True) if found else ([], [])
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, batch.schema.types[0]), *(pa.array(c, t) for c, t in zip(columns, (batch.schema.types[2].value_type, pa.string()), strict=True))], names=["kind", "stage", "error"])
+
+    return rows.mapInArrow(run, f"kind {stages.schema['kind'].dataType.simpleString()}, stage {stages.schema['stage'].dataType.simpleString()}, error string")
+
+
+def _walk(found: set, ways: dict) -> set:
+    """What is reached from found, itself included."""
+    todo = list(found)
+    while todo:
+        new = set(ways.get(todo.pop(), ())) - found
+        found |= new
+        todo += new
+    return found
+
+
+def _route_errors(names: list, on_success: list, on_error: list, entries: list, terminals: list) -> set[tuple]:
+    """(stage, error) of the routes of one workflow. Nulls are as in ``_errors_by_joins``: a route to none is to no stage, and may end well or not, as one to a terminal does where no definition tells all its terminals."""
+    known = set(names) - {None}
+    ends = {f"terminal:{t}" for own in terminals for t in own or () if t is not None}
+    unsure = all(own is None or None in own for own in terminals)
+    after, before, well = defaultdict(list), defaultdict(list), set()
+    for name, *ways in zip(names, on_success, on_error, strict=True):
+        for to in itertools.chain(*(way or () for way in ways)):
+            if to in known:
+                after[name].append(to)
+                before[to].append(name)
+            if to in ends:
+                well.add(name)
+    reached, well = _walk(set(entries), after), _walk(well, before)
+    out = {(name, "UNREACHABLE") for name in names if name not in reached}
+    if not entries:  # no definition says where a route may go
+        return out
+    led: dict[tuple, bool] = {}
+    for name, *ways in zip(names, on_success, on_error, strict=True):
+        for way, routes in zip(("SUCCESS", "ERROR"), ways, strict=True):
+            for to in routes or ():
+                end = to is not None and to.startswith("terminal:")
+                if not end and to not in known:
+                    out.add((name, "UNKNOWN_STAGE"))
+                ok = to in ends or to in well
+                if ok or not (to is None or end and unsure):
+                    led[name, way] = led.get((name, way), False) or ok
+    return out | {(name, f"{way}_WITHOUT_TERMINAL") for (name, way), ok in led.items() if not ok}
+
+
+def _errors_by_joins(stages: DataFrame, workflows: DataFrame) -> DataFrame:
+    """``workflow_errors`` of workflows of any size: no task holds one."""
     whole = F.lit(None).cast("string")
     key = lambda c: F.concat_ws("\0", "kind", c)
     routes = stages.select("kind", "stage", F.inline(F.array(F.struct(F.lit("success").alias("way"), F.col("on_success").alias("to")), F.struct(F.lit("error").alias("way"), F.col("on_error").alias("to")))))
@@ -405,18 +514,10 @@ def workflow_errors(stages: DataFrame, workflows: DataFrame) -> DataFrame:
     unreached = stages.select("kind", "stage", key("stage").alias("node")).join(inside, "node", "left_anti")
     sums = stages.groupBy("kind").agg(F.sum("timeout_s").alias("path_s"), F.count("*").alias("n"), F.countDistinct("stage").alias("k"))
     w = workflows.join(sums, "kind", "left").join(stages.select("kind", F.col("stage").alias("entry"), F.lit(True).alias("there")).distinct(), ["kind", "entry"], "left")
-    of_workflow = [
-        ("REPEATED_STAGE", F.col("n") != F.col("k")), ("UNKNOWN_ENTRY", F.col("there").isNull()), ("TIMEOUT", F.col("timeout_s") < 1),
-        ("CRITICAL_PATH", F.col("path_s") > F.col("timeout_s")), ("NO_TERMINAL", F.size("terminals") == 0),
-    ]
+    of_workflow = _workflow_codes(F.col, F.col("n"), F.col("k"), F.col("there").isNotNull(), F.col("path_s"))
     s = stages.join(workflows.select("kind", F.col("timeout_s").alias("most")), "kind")
-    of_stage = [
-        ("STAGE_TIMEOUT", ~F.col("timeout_s").between(1, F.col("most"))), ("ATTEMPTS", ~F.col("max_attempts").between(1, 5)), ("RETRY_CLASS", ~F.col("retry_class").isin("NONE", "BOUNDED_TRANSIENT")),
-        ("SIDE_EFFECT", ~F.col("side_effect").isin("PURE", "READ_ONLY", "IMMUTABLE_WRITE", "IDEMPOTENT_WRITE", "FENCED_WRITE", "CHECK_AND_AUDIT_WRITE")),
-        ("NO_SUCCESS_ROUTE", F.size("on_success") == 0), ("NO_ERROR_ROUTE", F.size("on_error") == 0),
-    ]
-    codes = lambda tests: F.explode(F.array_compact(F.array(*[F.when(t, c) for c, t in tests])))
-    found = w.select("kind", whole.alias("stage"), codes(of_workflow).alias("error")).unionByName(s.select("kind", "stage", codes(of_stage).alias("error")))
+    of_stage = F.concat(_codes([("STAGE_TIMEOUT", ~F.col("timeout_s").between(1, F.col("most")))]), _stage_codes())
+    found = w.select("kind", whole.alias("stage"), F.explode(of_workflow).alias("error")).unionByName(s.select("kind", "stage", F.explode(of_stage).alias("error")))
     bad = each.where(F.when(F.col("ends"), ~F.col("declared")).otherwise(~F.col("known"))).select("kind", "stage", F.when(F.col("ends"), "UNDECLARED_TERMINAL").otherwise("UNKNOWN_STAGE").alias("error"))
     dead = led.where(~F.col("ok")).select("kind", "stage", F.concat(F.upper("way"), F.lit("_WITHOUT_TERMINAL")).alias("error"))
     return found.unionByName(bad).unionByName(dead).unionByName(unreached.select("kind", "stage", F.lit("UNREACHABLE").alias("error"))).distinct()

@@ -30,10 +30,10 @@ def _hash(by: list) -> Column:
     return F.pmod(F.xxhash64(*by), F.lit(HASHES))
 
 
-def crowds(rows: DataFrame, by: list) -> tuple[int, Column | None]:
-    """How many rows there are, and whether a row's ``by`` has one of the hashes that more than CROWD rows have; none if no hash has."""
+def crowds(rows: DataFrame, by: list, most: int | None = None) -> tuple[int, Column | None]:
+    """How many rows there are, and whether a row's ``by`` has one of the hashes that more than ``most`` (CROWD, unless given) rows have; none if no hash has."""
     counts = rows.select(_hash(by).alias("h")).groupBy("h").count()
-    n, many = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.collect_list(F.when(F.col("count") > CROWD, F.col("h")))).first()
+    n, many = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.collect_list(F.when(F.col("count") > (CROWD if most is None else most), F.col("h")))).first()
     return n, _hash(by).isin(many) if many else None
 
 

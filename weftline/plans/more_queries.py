@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import consolidate, graph, interactions, java_facts, operations, publication, queues, validation, workflows
 from weftline.operators.checkpoints import shared_folder
+from weftline.operators.ordered import shares
 from weftline.plans.registry import query
 from weftline.sources import inputs, objects
 from weftline.sources.inputs import SQL_MESSAGES, SQL_OBSERVATIONS, table
@@ -364,14 +365,16 @@ STAGED = "staged AS (SELECT 'w' || o_custkey AS kind, o_custkey AS k, o_orderkey
     UNION ALL SELECT kind, NULL, 'CRITICAL_PATH' FROM staged GROUP BY kind HAVING sum(CASE WHEN o % 13 = 0 THEN 150 ELSE 10 END) > 140""", STAGED)
 def t8_workflow_errors(spark, d):
     """Each customer's orders as a workflow: stages that lead to the next order; some with too many attempts, a route to no state, too long a time, or none that leads to them."""
-    o, k = F.col("o_orderkey"), F.col("o_custkey")
-    by = Window.partitionBy("o_custkey").orderBy("o_orderkey")  # the orders of one customer
-    rows = table(spark, d, "orders").select(k, o, F.lead("o_orderkey").over(by).alias("next"), F.row_number().over(by).alias("nth"))
+    o, k = F.col("o_orderkey"), F.expr("CAST(substring(kind, 2) AS BIGINT)")  # what is shuffled is the same for stages and workflows
+    by = Window.partitionBy("kind").orderBy("o_orderkey")  # the orders of one customer
+    orders = table(spark, d, "orders").select(F.concat(F.lit("w"), F.col("o_custkey").cast("string")).alias("kind"), o)
+    # one shuffle serves the order of the stages and what is found in them
+    rows = orders.repartition(shares(spark, orders.count()), "kind").select("kind", o, F.lead("o_orderkey").over(by).alias("next"), F.row_number().over(by).alias("nth"))
     name = lambda c: F.concat(F.lit("s"), c.cast("string"))
     done = F.lit("terminal:DONE")
     success = F.when((k % 5 == 0) & (F.col("nth") == 1), done).otherwise(F.coalesce(name(F.col("next")), done))
     stages = rows.select(
-        F.concat(F.lit("w"), k.cast("string")).alias("kind"), name(o).alias("stage"), F.when(o % 13 == 0, 150).otherwise(10).alias("timeout_s"), F.when(o % 7 == 0, 9).otherwise(3).alias("max_attempts"), F.lit("BOUNDED_TRANSIENT").alias("retry_class"),
+        "kind", name(o).alias("stage"), F.when(o % 13 == 0, 150).otherwise(10).alias("timeout_s"), F.when(o % 7 == 0, 9).otherwise(3).alias("max_attempts"), F.lit("BOUNDED_TRANSIENT").alias("retry_class"),
         F.lit("READ_ONLY").alias("side_effect"), F.array(success).alias("on_success"), F.array(F.when(o % 11 == 0, "terminal:LOST").otherwise(done)).alias("on_error"), "nth",
     )
     kinds = stages.where("nth = 1").select("kind", F.col("stage").alias("entry"), F.lit(140).alias("timeout_s"), F.array(F.lit("DONE")).alias("terminals"))
