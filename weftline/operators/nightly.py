@@ -20,12 +20,18 @@ DIFFERENCES = {"missing_receipts": (1, 2), "missing_archives": (1, 4), "orphan_r
 def event_reconciliation(accepted: DataFrame, receipts: DataFrame, archived: DataFrame, by: list[str], event: str = "event_id") -> DataFrame:
     """Counts of the ids that each side has, their differences, how many ids a side has more than once, and the status, for each ``by``.
 
-    The three tables are one union whose ids are shuffled once: each id becomes a mask of the sides that have it.
+    The three tables are one union whose ids are shuffled once. Where the sides come from one table, ``sides_reconciliation`` shuffles its rows once, not thrice.
     """
-    tables = [df.select(*by, F.col(event).alias("event_"), F.lit(1 << i).alias("bit_")) for i, df in enumerate((accepted, receipts, archived))]
-    count = lambda i: F.sum((F.col("bit_") == 1 << i).cast("int"))
-    each = reduce(DataFrame.unionByName, tables).groupBy(*by, "event_").agg(F.bit_or("bit_").alias("mask_"), F.greatest(*[count(i) for i in range(3)]).alias("most_"))
-    has = lambda bit: F.col("mask_").bitwiseAND(bit) != 0
+    tables = [df.select(*by, F.col(event).alias("event_"), F.lit(1 << i).alias("sides")) for i, df in enumerate((accepted, receipts, archived))]
+    return sides_reconciliation(reduce(DataFrame.unionByName, tables), by, ["event_"])
+
+
+def sides_reconciliation(events: DataFrame, by: list[str], event: list[str]) -> DataFrame:
+    """``event_reconciliation`` of rows (by, event, sides) that tell of any number of sides: sides is the sum of the bits of those that have the event once more. Each id becomes a mask of the sides that have it."""
+    on = lambda c, bit: F.col(c).bitwiseAND(bit) != 0
+    count = lambda i: F.sum(on("sides", 1 << i).cast("int"))
+    each = events.groupBy(*by, *event).agg(F.bit_or("sides").alias("mask_"), F.greatest(*[count(i) for i in range(3)]).alias("most_"))
+    has = lambda bit: on("mask_", bit)
     number = lambda cond: F.sum(cond.cast("bigint"))
     differences = {name: number(has(there) & ~has(lacking)) for name, (there, lacking) in DIFFERENCES.items()}
     out = each.groupBy(*by).agg(*[number(has(1 << i)).alias(f"{side}_count") for i, side in enumerate(_SIDES)], *[c.alias(name) for name, c in differences.items()], number(F.col("most_") > 1).alias("repeated"))
@@ -35,9 +41,9 @@ def event_reconciliation(accepted: DataFrame, receipts: DataFrame, archived: Dat
 
 def bottom_sample(rows: DataFrame, by: str, key: str, size: int) -> DataFrame:
     """For each ``by`` the ``size`` keys of the smallest hashes: the same sample on every run, and a new key changes it by one at most."""
-    keys = rows.select(by, key).distinct().withColumn("hash_", F.sha2(F.col(key), 256))
-    # ranks beyond size are dropped before the shuffle
-    return keys.withColumn("nth_", F.row_number().over(Window.partitionBy(by).orderBy("hash_", key))).where(F.col("nth_") <= size).select(by, key)
+    keys = rows.select(by, key).withColumn("hash_", F.sha2(F.col(key), 256))
+    # a key that comes again has its rank again; ranks beyond size are dropped before the shuffle, if there is one
+    return keys.withColumn("nth_", F.dense_rank().over(Window.partitionBy(by).orderBy("hash_", key))).where(F.col("nth_") <= size).select(by, key).distinct()
 
 
 _ROW = ("edge_id", "source", "target", "type")
@@ -55,11 +61,12 @@ def projection_drift(clean: DataFrame, projection: DataFrame, scope: DataFrame,
     clean: rows of a clean consolidation, projection: those published, both (system, edge_id, source, target, type); scope: (system, urn) sampled, rows of either side count where their source
     or target is in it; pinned: (system, n, total) when the night began; pointers: (system, pinned_version, pinned_fence, version, fence).
     """
-    urns = scope.select(system, F.col("urn").alias("urn_")).distinct()
+    # a sample is small: as one row for each system it needs rows by their system only, not by each of their ends
+    urns = scope.groupBy(system).agg(F.collect_set("urn").alias("urns_"))
 
     def inside(rows: DataFrame) -> DataFrame:
-        end = lambda c: rows.join(urns, (rows[system] == urns[system]) & (rows[c] == urns["urn_"]), "left_semi")
-        return end("source").unionByName(end("target")).distinct()
+        end = lambda c: F.coalesce(F.array_contains("urns_", F.col(c)), F.lit(False))
+        return rows.join(urns, system).where(end("source") | end("target")).select(*rows.columns).distinct()
 
     mark = lambda rows, bit: rows.select(system, *_ROW, F.lit(bit).alias("bit_"))
     both = mark(inside(clean), 1).unionByName(mark(inside(projection), 2)).groupBy(system, *_ROW).agg(F.bit_or("bit_").alias("mask_"))
@@ -77,20 +84,21 @@ def cache_drain(entries: DataFrame, cache: DataFrame, limits: DataFrame, system:
 
     entries: (system, key, version); cache: (key, version, invalid); limits: (system, cache_limit). A drain is incomplete (drain_truncated) beyond its limit, or where an entry is missing or superseded.
     """
-    ranked = entries.withColumn("nth_", F.row_number().over(Window.partitionBy(system).orderBy("key"))).join(limits, system)
-    done = ranked.where(F.col("nth_") <= F.col("cache_limit")).select(system, "key", "version")
-    told = publication.cache_disposition(done.select("key", "version").distinct(), cache)
-    results = done.join(told, "key").groupBy(system).agg(F.count("*").alias("processed"), F.max((~F.col("disposition").isin("INVALIDATED", "DUPLICATE")).cast("int")).alias("odd_"))
-    asked = entries.groupBy(system).agg(F.count("*").alias("requested"))
-    out = limits.join(asked, system, "left").join(results, system, "left")
+    by = Window.partitionBy(system).orderBy("key")
+    ranked = entries.withColumns({"nth_": F.row_number().over(by), "last_": F.lead(F.lit(1)).over(by).isNull()}).join(limits, system)
+    # the last one tells how many there are
+    some = ranked.withColumn("done_", F.col("nth_") <= F.col("cache_limit")).where(F.col("done_") | F.col("last_")).select(system, "key", "version", "nth_", "done_")
+    told = publication.cache_disposition(some, cache, system, "nth_", "done_")
+    odd = F.col("done_") & ~F.col("disposition").isin("INVALIDATED", "DUPLICATE")
+    results = told.groupBy(system).agg(F.max("nth_").alias("requested"), F.count_if("done_").alias("processed"), F.max(odd.cast("int")).alias("odd_"))
+    out = limits.join(results, system, "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     return out.select(system, zero("requested").alias("requested"), zero("processed").alias("processed"), ((zero("requested") > F.col("cache_limit")) | (zero("odd_") > 0)).alias("drain_truncated"))
 
 
 def publish_audit(samples: DataFrame, system: str = "system") -> DataFrame:
     """(system, samples, unsafe) of audited decisions (system, status, coverage, static_exact, mechanisms)."""
-    unsafe = publication.unsafe_auto_publish(samples).groupBy(system).agg(F.count("*").alias("unsafe"))
-    return samples.groupBy(system).agg(F.count("*").alias("samples")).join(unsafe, system, "left").select(system, "samples", F.coalesce("unsafe", F.lit(0)).alias("unsafe"))
+    return samples.groupBy(system).agg(F.count("*").alias("samples"), F.count_if(publication.unsafe()).alias("unsafe"))
 
 
 def report(events: DataFrame, drift: DataFrame, drain: DataFrame, audit: DataFrame, system: str = "system") -> DataFrame:

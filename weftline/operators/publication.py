@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators.queues import checksum
@@ -112,10 +112,15 @@ def diff(base: DataFrame, new: DataFrame, key: str, band: str) -> DataFrame:
     return j.select(key, "before", "after", kind.alias("kind")).where(F.col("kind").isNotNull())
 
 
-def unsafe_auto_publish(edges: DataFrame) -> DataFrame:
-    """Auto-published edges that lacked complete coverage, an exact static proof, or more than a model's word."""
+def unsafe() -> Column:
+    """Whether an edge was auto-published that lacked complete coverage, an exact static proof, or more than a model's word."""
     safe = (F.col("coverage") == "COMPLETE") & F.col("static_exact") & F.array_contains("mechanisms", "SCA")
-    return edges.where((F.col("status") == "AUTO_PUBLISHED") & ~safe)
+    return (F.col("status") == "AUTO_PUBLISHED") & ~safe
+
+
+def unsafe_auto_publish(edges: DataFrame) -> DataFrame:
+    """The edges that are ``unsafe``."""
+    return edges.where(unsafe())
 
 
 def alerts(checks: DataFrame) -> DataFrame:
@@ -134,7 +139,7 @@ def drained(entries: DataFrame, order: list[str], most: int) -> tuple[DataFrame,
     return entries.orderBy(*order).limit(most), some.count() > most
 
 
-def cache_disposition(asked: DataFrame, cache: DataFrame) -> DataFrame:
-    """INVALIDATED, DUPLICATE (already), SUPERSEDED (a newer version is held) or MISSING."""
+def cache_disposition(asked: DataFrame, cache: DataFrame, *others: str) -> DataFrame:
+    """(key, others of asked, disposition): INVALIDATED, DUPLICATE (already), SUPERSEDED (a newer version is held) or MISSING."""
     j = asked.join(cache.select("key", F.col("version").alias("held"), "invalid"), "key", "left")
-    return j.select("key", F.when(F.col("held").isNull(), "MISSING").when(F.col("held") > F.col("version"), "SUPERSEDED").when(F.col("invalid"), "DUPLICATE").otherwise("INVALIDATED").alias("disposition"))
+    return j.select("key", *others, F.when(F.col("held").isNull(), "MISSING").when(F.col("held") > F.col("version"), "SUPERSEDED").when(F.col("invalid"), "DUPLICATE").otherwise("INVALIDATED").alias("disposition"))
