@@ -40,4 +40,4 @@ def test_night_shuffles_a_line_a_few_times(spark, small):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     lines = spark.read.parquet(f"{small}/lineitem.parquet").count()
     moved = sum(s.shuffleWriteRecords() for s in stages() if s.stageId() > last)
-    assert moved < 6 * lines, moved / lines
+    assert moved < 4 * lines, moved / lines
